@@ -216,3 +216,67 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
                 term = np.where(short & (at + k >= stop), np.uint64(0), term)
             out = out * np.uint64(0xD6E8FEB86659FD93) + term
     return mixed(out), before
+
+
+# ------------------------------------------------------- fixed-size id filters
+
+#: Bits of an id bitmap: 131,072 words of 64 bits, about 2 MB whatever the input.
+BITMAP_BITS = 1 << 23
+
+
+def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashed ids as at most 131,072 rows (slot, bits)."""
+    h = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
+    return ids.select(F.shiftright(h, 6).cast("int").alias("_slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {BITMAP_BITS}) & 63 as int))").alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def with_possible(df: DataFrame, column: str, bitmap: DataFrame, name: str) -> DataFrame:
+    """``df`` with boolean ``name``: false only where the id is surely not in the
+    bitmap.  The broadcast is bounded by BITMAP_BITS, so a filter on it spares a
+    shuffle of wide rows; an exact join of the few that pass follows where the
+    result must be exact."""
+    slot = F.shiftright(F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS)), 6).cast("int")
+    hit = F.expr(f"coalesce((_bits & shiftleft(1L, cast(pmod(xxhash64(`{column}`), {BITMAP_BITS}) & 63 as int))) != 0, false)")
+    return df.withColumn("_at", slot).join(F.broadcast(bitmap), F.col("_at") == F.col("_slot"), "left").withColumn(name, hit).drop("_at", "_slot", "_bits")
+
+
+def without_ids(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose id is in ``gone`` (one column of that name).
+    Only rows that the bitmap can't rule out are shuffled.  Null ids stay."""
+    gone = gone.select(F.col(column).alias("_gone"))
+    marked = with_possible(df, column, written(id_bitmap(gone, "_gone"), "bitmap"), "_maybe")
+    sure = marked.where("not _maybe").drop("_maybe")
+    rest = marked.where("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(gone, rest[column] == F.col("_gone"), "left_anti"))
+
+
+# -------------------------------------------------------- connected components
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (long u, v): component is
+    the smallest node that is reachable.  Alternating large-star and small-star
+    steps, each written to the shared folder; nothing but a checksum reaches the
+    driver, and the steps are about the logarithm of the longest chain."""
+    spark = edges.sparkSession
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def digest(x):
+        return tuple(x.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+
+    last = digest(e)
+    while last[0]:
+        both = e.union(e.select("v", "u"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "low")
+        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large")
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
+        fresh = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        now = digest(fresh)
+        for x in (e, low, large):
+            dropped(spark, x)
+        e, before, last = fresh, last, now
+        if now == before:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -19,8 +19,17 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digest=True)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def queries() -> dict:
-    return {"op10_token_output": op10_token_output}
+    return {
+        "op6_near_dedup": op6_near_dedup,
+        "op10_token_output": op10_token_output,
+    }
 
 
 def oracles() -> dict[str, str]:
