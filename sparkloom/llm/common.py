@@ -160,13 +160,13 @@ def spans_of(offsets: np.ndarray, limit: int = 1 << 21) -> list[tuple[int, int]]
     return out
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the words before each document
     (n + 1 entries).  Documents never share a word."""
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~BLANKS[raw]
+    inside = ~blanks[raw]
     fresh = inside.copy()
     fresh[1:] &= ~inside[:-1]
     edge = offsets[1:-1]

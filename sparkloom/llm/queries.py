@@ -19,6 +19,24 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, digest=True)
 
 
+#: Weights of the sources in turn, and the share of all sizes that they fill.
+MIX = {"weights": [3.0, 1.0, 2.0], "share": 1.5, "epochs": 2.0, "seed": "mix"}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fitted, grades_of, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fitted(docs, grades_of(_table(spark, sf_dir, "labels")))
+    return scored(docs, model).withColumn("kept", F.col("p_top") >= 0.5)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -27,10 +45,42 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
+        "op7_quality": op7_quality,
         "op6_near_dedup": op6_near_dedup,
         "op10_token_output": op10_token_output,
     }
 
 
+_MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+w AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+         CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
+  FROM s),
+c AS (
+  SELECT *, sum(cap) OVER up - cap AS before, sum(weight) OVER () - sum(weight) OVER up + weight AS rest_weight
+  FROM w WINDOW up AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, (total - before) / rest_weight >= cap / weight AS clamped FROM c),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN clamped THEN cap ELSE weight * ((total - coalesce(sum(CASE WHEN clamped THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT clamped THEN weight END) OVER ()) END AS target
+  FROM f),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+r AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sized d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (whole + CASE WHEN 2 * upto - size <= 2 * rest AND rest > 0 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": _MIXING_SQL}
