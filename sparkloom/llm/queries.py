@@ -37,6 +37,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).withColumn("kept", F.col("p_top") >= 0.5)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -47,6 +53,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op7_quality": op7_quality,
+        "op5_decontamination": op5_decontamination,
         "op6_near_dedup": op6_near_dedup,
         "op10_token_output": op10_token_output,
     }
