@@ -37,6 +37,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).withColumn("kept", F.col("p_top") >= 0.5)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digest of the contract: near_docs, for ids divisible by 100
+    the number of documents whose fingerprint is within 3 bits, itself included."""
+    from .common import written
+    from .fingerprints import edited_fingerprints, neighbours
+
+    prints = written(edited_fingerprints(_table(spark, sf_dir, "documents")), "prints")
+    asked = prints.where("doc_id % 100 = 0").select("fingerprint").distinct()
+    classes = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    near = neighbours(prints, asked, 3).join(classes.withColumnRenamed("fingerprint", "near"), "near").groupBy("fingerprint").agg(F.sum("n").alias("near_docs"))
+    asked = prints.where("doc_id % 100 = 0").join(near, "fingerprint")
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_docs"]
+    rest = prints.where("doc_id % 100 <> 0 or doc_id is null").withColumn("near_docs", F.lit(None).cast("long"))
+    return asked.select(columns).union(rest.select(columns))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotated
+
+    return rotated(_table(spark, sf_dir, "conversations")).drop("mask")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import leaks
 
@@ -52,7 +74,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op8_chat": op8_chat,
         "op7_quality": op7_quality,
+        "op3_fingerprints": op3_fingerprints,
         "op5_decontamination": op5_decontamination,
         "op6_near_dedup": op6_near_dedup,
         "op10_token_output": op10_token_output,
@@ -89,5 +113,23 @@ FROM r
 """
 
 
+_CHAT_SQL = r"""
+WITH said AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'),
+m AS (
+  SELECT s.conv_id, p.perspective, CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS part, turn, role, text, coalesce(role = perspective, false) AS mine,
+         '<|im_start|>' || CASE WHEN coalesce(role = perspective, false) THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head,
+         replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM m)
+SELECT conv_id, perspective, part, count(*) AS n_messages, CAST(coalesce(sum(length(body)) FILTER (mine), 0) AS BIGINT) AS n_masked,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT), ',' ORDER BY start) FILTER (mine), '') AS mask_text
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_mixing": _MIXING_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op8_chat": _CHAT_SQL}
