@@ -37,6 +37,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).withColumn("kept", F.col("p_top") >= 0.5)
 
 
+#: The rules of the contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number in a page's path is the document it shows; that document's
+    labels are the page's: bad is low quality or toxic."""
+    from .url_filters import judged_urls, path_of
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.select("page_id", F.regexp_extract(path_of(F.col("url")), "/([0-9]{1,18})", 1).alias("n")).where("n <> ''").select("page_id", F.col("n").cast("long").alias("doc_id"))
+    bad = F.when((F.col("quality") <= 0) | (F.col("toxic") > 0), 1).otherwise(0)
+    labels = shown.join(_table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+    return judged_urls(pages, URL_RULES, labels)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Besides the digest of the contract: near_docs, for ids divisible by 100
     the number of documents whose fingerprint is within 3 bits, itself included."""
@@ -76,6 +92,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op8_chat": op8_chat,
         "op7_quality": op7_quality,
+        "op2_url_filter": op2_url_filter,
         "op3_fingerprints": op3_fingerprints,
         "op5_decontamination": op5_decontamination,
         "op6_near_dedup": op6_near_dedup,
@@ -131,5 +148,56 @@ FROM o GROUP BY conv_id, perspective, part
 """
 
 
+def _url_sql() -> str:
+    out = [r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+v AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS e FROM u),
+urls AS (
+  SELECT page_id, host, path, list_concat(list_transform(e[1:3], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '*'
+         WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z0-9]+)$') THEN '*' || regexp_extract(s, '^[0-9]+(\.[A-Za-z0-9]+)$', 1)
+         WHEN length(s) >= 8 AND regexp_matches(s, '^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$') THEN '*' ELSE s END), CASE WHEN len(e) > 3 THEN ['**'] ELSE [] END) AS segs
+  FROM v),
+known AS (
+  SELECT page_id, max(CASE WHEN quality <= 0 OR toxic > 0 THEN 1 ELSE 0 END) AS bad
+  FROM (SELECT page_id, regexp_extract(path, '/([0-9]{1,18})', 1) AS n FROM u) s JOIN labels l ON s.n <> '' AND TRY_CAST(s.n AS BIGINT) = l.doc_id GROUP BY page_id),
+p0 AS (
+  SELECT host, array_to_string(segs, '/') AS path_key, any_value(segs) AS segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad
+  FROM urls LEFT JOIN known USING (page_id) GROUP BY host, path_key)"""]
+    for k in (1, 2, 3):
+        out.append(f""",
+h{k} AS (SELECT *, array_to_string(segs[1:{k - 1}], '/') AS prefix, segs[{k}] AS child FROM p{k - 1}),
+c{k} AS (SELECT host, prefix, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM h{k} WHERE child IS NOT NULL GROUP BY ALL),
+j{k} AS (
+  SELECT host, prefix, child, children >= 8 AND all_n < 4 * children AS variable, abs(bad - labelled * share) <= 2.0 * sqrt(labelled * share * (1 - share)) + 1e-9 AS alike
+  FROM c{k} JOIN (SELECT host, prefix, count(*) AS children, sum(n) AS all_n, (sum(bad) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share FROM c{k} GROUP BY ALL) USING (host, prefix)),
+w{k} AS (SELECT host, prefix, child FROM (SELECT *, count(*) FILTER (alike) OVER (PARTITION BY host, prefix) AS alikes FROM j{k}) WHERE variable OR (alike AND alikes >= 2)),
+p{k} AS (
+  SELECT h.host, path_key, CASE WHEN w.child IS NOT NULL THEN list_concat(list_concat(segs[1:{k - 1}], ['*']), segs[{k + 1}:]) ELSE segs END AS segs, n, labelled, bad
+  FROM h{k} h LEFT JOIN w{k} w ON h.host = w.host AND h.prefix = w.prefix AND h.child = w.child)""")
+    out.append("""
+, t AS (SELECT *, '/' || array_to_string(segs, '/') AS template FROM p3),
+s AS (
+  SELECT host, template, 1 - (bad + 5.0::DOUBLE * ((host_bad + 5.0::DOUBLE * share) / (host_labelled + 5.0::DOUBLE))) / (labelled + 5.0::DOUBLE) AS purity
+  FROM (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM t GROUP BY ALL)
+  JOIN (SELECT host, sum(labelled) AS host_labelled, sum(bad) AS host_bad FROM t GROUP BY ALL) USING (host),
+       (SELECT (coalesce(sum(bad), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS share FROM t)),
+r AS (
+  SELECT page_id, host, path, template, purity,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM (SELECT *, array_to_string(segs, '/') AS path_key FROM urls) JOIN (SELECT host, path_key, template FROM t) USING (host, path_key) JOIN s USING (host, template))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, purity
+FROM r
+""")
+    return "".join(out)
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_mixing": _MIXING_SQL, "op8_chat": _CHAT_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op2_url_filter": _url_sql(), "op8_chat": _CHAT_SQL}
