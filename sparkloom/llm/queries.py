@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import marked_lines
+
+    marked = marked_lines(_table(spark, sf_dir, "documents"))
+    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("kept_chars"), F.min(F.when(~F.col("kept"), F.col("pos"))).cast("long").alias("first_dropped"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +76,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(columns).union(rest.select(columns))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scanned
+
+    return scanned(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotated
 
@@ -94,8 +107,10 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op2_url_filter": op2_url_filter,
         "op3_fingerprints": op3_fingerprints,
+        "op4_license_scan": op4_license_scan,
         "op5_decontamination": op5_decontamination,
         "op6_near_dedup": op6_near_dedup,
+        "op9_line_dedup": op9_line_dedup,
         "op10_token_output": op10_token_output,
     }
 
@@ -148,6 +163,24 @@ FROM o GROUP BY conv_id, perspective, part
 """
 
 
+_LINES_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+o AS (SELECT * FROM l WHERE trim(line) <> ''),
+d AS (SELECT line, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM o GROUP BY line),
+e AS (
+  SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id
+  WHERE a.n >= 20 AND b.n >= 20 AND levenshtein(a.line, b.line) <= 2),
+r(id, root) AS (SELECT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON r.id = e.u),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+f AS (SELECT d.line, d.n, min(d.first) OVER (PARTITION BY coalesce(c.root, -d.id)) AS first FROM d LEFT JOIN c USING (id))
+SELECT o.doc_id, count(*) AS n_lines, count(*) FILTER ((o.doc_id, o.pos) = f.first) AS n_kept,
+       CAST(coalesce(sum(f.n) FILTER ((o.doc_id, o.pos) = f.first), 0) AS BIGINT) AS kept_chars,
+       CAST(min(o.pos) FILTER ((o.doc_id, o.pos) <> f.first) AS BIGINT) AS first_dropped
+FROM o JOIN f USING (line) GROUP BY o.doc_id
+"""
+
+
 def _url_sql() -> str:
     out = [r"""
 WITH u AS (
@@ -200,4 +233,4 @@ FROM r
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mixing": _MIXING_SQL, "op2_url_filter": _url_sql(), "op8_chat": _CHAT_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op2_url_filter": _url_sql(), "op8_chat": _CHAT_SQL, "op9_line_dedup": _LINES_SQL}
