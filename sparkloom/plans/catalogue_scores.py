@@ -192,7 +192,7 @@ def token_f1(read):
     return _pairs(read).select("item_id", sim.token_f1(F.split("x", " "), F.split("y", " ")).alias("f1"))
 
 
-@query(QUERIES, f"WITH {PAIRS} SELECT item_id, {r6('1 - damerau_levenshtein({FOLD.format('x')}, {FOLD.format('y')}) / greatest(length(x), length(y))::DOUBLE')} AS similarity FROM p")
+@query(QUERIES, f"WITH {PAIRS} SELECT item_id, {r6('1 - damerau_levenshtein(fx, fy) / greatest(length(fx), length(fy))::DOUBLE')} AS similarity FROM (SELECT item_id, {FOLD.format('x')} AS fx, {FOLD.format('y')} AS fy FROM p)")
 def edit_sim_damerau(read):
     return _pairs(read).select("item_id", sim.damerau(_folded("x"), _folded("y")).alias("similarity"))
 
