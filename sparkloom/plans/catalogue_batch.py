@@ -328,10 +328,10 @@ def sample_repeat(read):
     return batch.repeat_by(_orders(read), F.col("v") % 4).select("pos", "v", "copy")
 
 
-@query(QUERIES, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT o_orderkey AS pos, o_custkey AS v FROM orders UNION ALL SELECT n + o_orderkey, o_custkey FROM orders, n WHERE o_orderkey < (7000 - n % 7000) % 7000")
+@query(QUERIES, "WITH n AS (SELECT count(*) AS n FROM orders) SELECT o_orderkey AS pos, o_custkey AS v FROM orders UNION ALL SELECT n + o_orderkey, o_custkey FROM orders, n WHERE o_orderkey < (7 - n % 7) % 7")
 def pad_divisor(read):
     df = _orders(read)
-    return batch.pad_to_multiple(df, 7000, df.count()).select("pos", "v")
+    return batch.pad_to_multiple(df, 7, df.count()).select("pos", "v")
 
 
 @query(QUERIES, "SELECT o_orderkey AS pos, o_orderkey // CAST(ceil((SELECT count(*) FROM orders) / 7.0) AS BIGINT) AS chunk FROM orders")
