@@ -22,6 +22,8 @@ from .common import connected_components, dropped, id_bitmap, with_possible, wri
 EDITS = 2
 #: Lines of fewer code points have only exact copies: a few edits would make any short lines alike.
 MIN_CHARS = 20
+#: What a line that is not blank has.
+BLANKLESS = r"[^\x20\x09-\x0D]"
 #: Characters whose parities are compared: each edit changes two of them at most.
 PARITY = "etaoinshrdlucmfwypvbgk.,"
 
@@ -104,7 +106,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     """
     if min_chars < 2 * edits + 2:
         raise ValueError("min_chars must be 2 * edits + 2 or more")
-    base = lines_of(docs).where("trim(line) <> ''").select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    base = lines_of(docs).where(F.col("line").rlike(BLANKLESS)).select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     occurrences = base.select("doc_id", "pos", "n", "h1", "h2")
     none = F.expr("cast(null as array<bigint>)")
     long = F.col("n") >= min_chars

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return short_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +168,7 @@ FROM o GROUP BY conv_id, perspective, part
 _LINES_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
-o AS (SELECT * FROM l WHERE trim(line) <> ''),
+o AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT line, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM o GROUP BY line),
 e AS (
   SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id

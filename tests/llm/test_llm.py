@@ -1,0 +1,424 @@
+"""The operators against brute force, and on nulls, empty texts, ties, repeats,
+empty tables and clashing column names."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import chat, common, decontamination, fingerprints, license_scan, line_dedup, mixing, near_dedup, quality, token_output, url_filters
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, comp int, line string, h string, size int, pos int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, rows):
+    full = [(i, t, "en", s, 0, "k", 1, 2, "l", "h", 3, 4) for i, t, s in rows]
+    return spark.createDataFrame(full, EXTRA)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (3, "  \n\t ", None), (4, "one", "b"), (4, "one", "b"), (5, "one two three four five six", "b"), (None, "one two three four five six", None), (6, "word " * 60_000, "a"), (7, "é\u00a0ß 日本 x", "c")]
+
+
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+# ---------------------------------------------------------------- 1: mixing
+
+
+def test_mixing_reaches_targets(spark):
+    rows = [(i, "w " * (1 + i % 7), "src%d" % (i % 5 if i % 3 else 0)) for i in range(600)]
+    out = mixing.mixture(docs(spark, rows), [3.0, 1.0, 2.0]).toPandas()
+    assert len(out) == 600 and (out.taken <= 2 * out["size"]).all()
+    for _, g in out.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 4
+        assert g.target.iloc[0] <= 2 * g.source_size.iloc[0]
+    assert out.groupby("source").target.first().sum() == pytest.approx(1.5 * out["size"].sum())
+    again = mixing.mixture(docs(spark, rows[::-1]), [3.0, 1.0, 2.0]).toPandas()
+    assert dict(zip(out.doc_id, out.taken)) == dict(zip(again.doc_id, again.taken))
+
+
+def test_water_filling_against_clamping(spark):
+    rng = np.random.RandomState(1)
+    for _ in range(5):
+        caps, weights = rng.randint(0, 50, 6).astype(float), rng.randint(1, 5, 6).astype(float)
+        total = 0.6 * caps.sum()
+        left, fixed, want = set(range(6)), 0.0, {}
+        while left:
+            level = (total - fixed) / sum(weights[i] for i in left)
+            over = {i for i in left if level * weights[i] >= caps[i]}
+            if not over:
+                want |= {i: level * weights[i] for i in left}
+                break
+            want |= {i: caps[i] for i in over}
+            fixed += sum(caps[i] for i in over)
+            left -= over
+        df = spark.createDataFrame([(str(i), float(c), float(w)) for i, (c, w) in enumerate(zip(caps, weights))], "source string, cap double, weight double")
+        got = {int(r.source): r.target for r in mixing.water_filling(df, F.lit(float(total))).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_mixing_odd_rows(spark):
+    out = mixing.mixture(docs(spark, ODD), [3.0, 1.0, 2.0])
+    assert out.count() == len(ODD)
+    assert mixing.mixed_documents(docs(spark, ODD), [1.0]).columns == docs(spark, ODD).columns
+    assert mixing.mixture(docs(spark, []), [1.0]).count() == 0
+
+
+# ------------------------------------------------------------- 2: url filters
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("block", "com/de/")]
+
+
+def test_url_parts_and_rules(spark):
+    urls = ["HTTP://A.Example.ORG/es/x?q#f", "x://example.org/en/12", "x://example.org", "no scheme", None, "x://badexample.org/es/", "x://h.com/de/1#a", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], "page_id long, url string, n int")
+    labels = spark.createDataFrame([], "page_id long, bad int")
+    out = {r.page_id: r for r in url_filters.judged_urls(pages, RULES, labels).collect()}
+    assert [out[i].host for i in range(8)] == ["a.example.org", "example.org", "example.org", "", "", "badexample.org", "h.com", "b:"]
+    assert [out[i].path for i in range(8)] == ["/es/x", "/en/12", "", "", "", "/es/", "/de/1", "//c/d"]
+    assert [out[i].rule for i in range(8)] == ["example.org/es/", "example.org/en/1", None, None, None, "org/", "com/de/", None]
+    assert [out[i].verdict for i in range(8)] == ["block", "block", "allow", "allow", "allow", "allow", "block", "allow"]
+    assert url_filters.judged_urls(pages.limit(0), RULES, labels).count() == 0
+
+
+def test_bad_templates_are_blocked_and_clean_ones_not(spark):
+    rows = [(i, f"x://h.net/{'spam' if i % 2 else 'news'}/{i}.html") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 1) if i % 5 < 2], "page_id long, bad int")
+    out = url_filters.judged_urls(pages, [], labels).collect()
+    assert {(r.template, r.verdict) for r in out} == {("/spam/*.html", "block"), ("/news/*.html", "allow")}
+
+
+# ------------------------------------------------------------ 3: fingerprints
+
+
+def test_edited_fingerprints_odd_rows(spark):
+    import hashlib
+
+    out = fingerprints.edited_fingerprints(docs(spark, ODD)).collect()
+    assert len(out) == len(ODD)
+    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    texts = [t or "" for _, t, _ in order]
+    want = Counter(hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip(texts, texts[1:] + texts[:1]))
+    assert Counter(r.edited_sha256 for r in out) == want
+    assert fingerprints.edited_fingerprints(docs(spark, [])).count() == 0
+    one = fingerprints.edited_fingerprints(docs(spark, [(1, "a b c", "s")])).first()
+    assert one.near_next == 1.0 and one.n_chars == 5
+
+
+def test_neighbours_against_all_pairs(spark):
+    rng = np.random.RandomState(2)
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(30)]
+    prints = {f"{b:032x}" for b in base}
+    for b in base:
+        for _ in range(4):
+            x = b
+            for k in rng.choice(128, rng.randint(1, 6), replace=False):
+                x ^= 1 << int(k)
+            prints.add(f"{x:032x}")
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    got = {(r.fingerprint, r.near, r.distance) for r in fingerprints.neighbours(df, df, 3).collect()}
+    want = {(a, b, bin(int(a, 16) ^ int(b, 16)).count("1")) for a in prints for b in prints if bin(int(a, 16) ^ int(b, 16)).count("1") <= 3}
+    assert got == want
+
+
+def test_half_edits_are_nearer_than_strangers(spark, sf):
+    out = fingerprints.edited_fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    assert (out.near_edited > out.near_next).mean() > 0.95
+    same = out.groupby("fingerprint").size().max()
+    assert same >= 2  # exact copies
+
+
+# ------------------------------------------------------------ 4: license scans
+
+
+def test_licenses(spark):
+    filler = "lorem ipsum dolor sit amet consectetur " * 200
+    rows = [(1, filler + "Released under the MIT License. " + filler, "a"), (2, filler, "a"), (3, "Licensed under CC BY-NC 4.0.", "a"), (4, "licensed UNDER the apache license, version 2.0.", "b"), (5, "Released under the License.", "b")]
+    out = {(r.doc_id, r.license) for r in license_scan.scanned(docs(spark, rows)).collect()}
+    assert out == {(1, "MIT"), (3, "CC-BY-NC-4.0"), (4, "Apache-2.0")}
+    assert license_scan.scanned(docs(spark, ODD)).count() == 0
+    assert license_scan.scanned(docs(spark, [])).count() == 0
+
+
+# --------------------------------------------------------- 5: decontamination
+
+
+def test_leaks_with_other_numbers(spark):
+    filler = " ".join(f"w{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(80))
+    item = "A train leaves the city with 30 people and 12 bags then 30 more people join after 5 stops how many are there"
+    moved = item.replace("30", "77").replace("12", "13")
+    broken = item.replace("30 people", "41 people", 1)
+    items = spark.createDataFrame([(9, item), (10, None), (11, ""), (12, "too short")], "item_id long, text string")
+    rows = [(1, f"{filler} {item} {filler}", "a"), (2, f"{filler} {moved} {filler}", "a"), (3, f"{filler} {broken} {filler}", "a"), (4, filler, "a")]
+    out = {(r.doc_id, r.item_id, r.exact) for r in decontamination.leaks(docs(spark, rows), items).collect()}
+    assert out == {(1, 9, True), (2, 9, False)}  # 30 can't be both 41 and 30
+    assert sorted(r.doc_id for r in decontamination.decontaminated(docs(spark, rows), items).collect()) == [3, 4]
+
+
+def test_leaks_odd_rows(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert decontamination.leaks(docs(spark, ODD), bench).count() == 0
+    assert decontamination.decontaminated(docs(spark, ODD), bench.limit(0)).count() == len(ODD)
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    held = {(r.doc_id, b.item_id) for r in d.collect() for b in bench.collect() if " ".join(b.text.split()) in " ".join((r.text or "").split())}
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, bench).collect()} == held
+
+
+# --------------------------------------------------------------- 6: near-dedup
+
+
+def brute_components(rows, width, percent):
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = []
+    for i, t, _ in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    low = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(k)] = min(low.get(find(k), r[0]), r[0])
+    return sets, [low.get(find(k)) for k in range(len(rows))]
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = np.random.RandomState(3)
+    rows, n = [], 0
+    for _ in range(12):
+        base = [f"w{rng.randint(400)}" for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(1, 9)):
+            t = list(base)
+            for _ in range(rng.randint(0, 6)):
+                t[rng.randint(len(t))] = f"x{rng.randint(9)}"
+            rows.append((n, " ".join(t).title() if rng.rand() < 0.5 else " ".join(t), "s"))
+            n += 1
+    out = {r.doc_id: r for r in near_dedup.near_duplicates(docs(spark, rows), width=4).collect()}
+    sets, want = brute_components(rows, 4, 80)
+    assert [out[r[0]].component_id for r in rows] == want
+    assert [out[r[0]].n_shingles for r in rows] == [len(s) for s in sets]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out.values())
+
+
+def test_near_duplicates_odd_rows(spark):
+    out = near_dedup.near_duplicates(docs(spark, ODD)).collect()
+    _, want = brute_components(ODD, 5, 80)
+    assert Counter((r.doc_id, r.n_shingles > 0) for r in out) == Counter((i, bool(WORD.findall(t or ""))) for i, t, _ in ODD)
+    assert {r.component_id for r in out if r.doc_id == 5} == {5}
+    assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
+    assert near_dedup.deduplicated(docs(spark, ODD)).columns == docs(spark, ODD).columns
+
+
+def test_posterior_rule_keeps_true_links():
+    rule = near_dedup.least_matches(128, 80, 1e-6)
+    rng = np.random.RandomState(4)
+    left = rng.randint(0, 1 << 16, (4000, 128)).astype(np.uint16)
+    right = np.where(rng.rand(4000, 128) < 0.8, left, left + 1).astype(np.uint16)
+    assert len(near_dedup.surviving(left, right, rule)) >= 3999
+    assert len(near_dedup.surviving(left, np.where(rng.rand(4000, 128) < 0.4, left, left + 1).astype(np.uint16), rule)) == 0
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 8), (9, 8), (3, 3)]
+    out = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {out[i] for i in range(100, 161)} == {100} and out[9] == 7 and out[7] == 7 and 3 not in out
+
+
+# ------------------------------------------------------------------ 7: quality
+
+
+def test_quality_on_held_out_labels(spark):
+    rng = np.random.RandomState(5)
+    good = [f"g{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        words = [good[k] for k in rng.randint(0, 300, 60)]
+        if bad:
+            words[rng.randint(60)] = ["awful", "nasty", "vile"][i % 3]
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(bad)))
+    d = docs(spark, rows)
+    train = spark.createDataFrame(labels[:800], "doc_id long, quality int, toxic int")
+    model = quality.fitted(d, quality.grades_of(train))
+    out = {r.doc_id: r.p_top for r in quality.scored(d, model).collect()}
+    wrong = sum((out[i] < 0.5) != bool(t) for i, _, t in labels[800:])
+    assert wrong <= 4
+    assert model.thresholds[0] < model.thresholds[1]
+    assert quality.selected(d, model).columns == d.columns
+
+
+def test_quality_odd_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality.fitted(docs(spark, ODD), quality.grades_of(none))
+    assert quality.scored(docs(spark, ODD), model).count() == len(ODD)
+    assert quality.scored(docs(spark, []), model).count() == 0
+    odd = spark.createDataFrame([(1, None, 1), (None, 1, 0), (5, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [(r.doc_id, r.grade) for r in quality.grades_of(odd).collect()] == [(5, 1)]
+
+
+# --------------------------------------------------------------------- 8: chat
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "system", "be kind", 9), (1, 1, "ann", "hi", 9), (1, 2, "bob", "yo<|im_end|>", 9), (1, 2, "bob", "yo<|im_end|>", 9), (1, 3, None, None, 9), (2, 0, "system", "x", 9), (None, 0, "ann", "z", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, part int")
+    out = {(r.conv_id, r.perspective): r for r in chat.rotated(df).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob"), (None, "ann")}
+    a = out[(1, "ann")]
+    assert a.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo<| im_end|><|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
+    assert [a.rendered[s.start : s.end] for s in a["mask"]] == ["hi<|im_end|>"]
+    assert [out[(1, "bob")].rendered[s.start : s.end] for s in out[(1, "bob")]["mask"]] == ["yo<| im_end|><|im_end|>"]
+    assert chat.rotated(df.limit(0)).count() == 0
+
+
+def test_long_conversations_come_in_parts(spark):
+    df = spark.range(200).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
+    out = chat.rotated(df).where("perspective = 'a'").orderBy("part").collect()
+    assert [r.n_messages for r in out] == [64, 64, 64, 8]
+
+
+# --------------------------------------------------------------- 9: line dedup
+
+
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_join_against_all_pairs(spark):
+    rng = np.random.RandomState(6)
+    lines = []
+    for _ in range(40):
+        base = [chr(97 + c) for c in rng.randint(0, 8, rng.randint(18, 40))]
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                p, kind = rng.randint(len(t)), rng.randint(3)
+                if kind == 0:
+                    t[p] = "é"
+                elif kind == 1:
+                    t.insert(p, "z")
+                elif len(t) > 18:
+                    t.pop(p)
+            lines.append("".join(t))
+    rows = [(i, "\n".join(lines[i * 8 : i * 8 + 8]), "s") for i in range(20)]
+    got = {(r.doc_id, r.pos): r.kept for r in line_dedup.marked_lines(docs(spark, rows)).collect()}
+    up = list(range(len(lines)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(lines)):
+        for b in range(a):
+            near = lines[a] == lines[b] or (min(len(lines[a]), len(lines[b])) >= 20 and lev(lines[a], lines[b]) <= 2)
+            if near and find(a) != find(b):
+                up[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {(k // 8, k % 8): find(k) == k for k in range(len(lines))}
+
+
+def test_line_dedup_odd_rows(spark):
+    out = line_dedup.marked_lines(docs(spark, ODD)).collect()
+    assert Counter((r.doc_id, r.kept) for r in out) == Counter({(4, True): 2, (5, True): 1, (None, False): 1, (6, True): 1, (7, True): 1})
+    assert line_dedup.marked_lines(docs(spark, [])).count() == 0
+    back = line_dedup.without_repeated_lines(docs(spark, ODD))
+    assert back.columns == docs(spark, ODD).columns and back.count() == len(ODD)
+
+
+# ------------------------------------------------------------ 10: token output
+
+
+def test_token_files_round_trip(spark, sf):
+    from tokenizers import Tokenizer
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    path = token_output.write_token_files(d, tokenizer(), ids_per_shard=20_000)
+    got = {r.doc_id: r for r in token_output.read_token_files(spark, path).collect()}
+    digest = {r.doc_id: r for r in token_output.read_token_files(spark, path, digest=True).collect()}
+    t, start = Tokenizer.from_file(tokenizer()), 0
+    for r in sorted(d.collect(), key=lambda r: r.doc_id):
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        assert got[r.doc_id].ids == ids and got[r.doc_id].start == start
+        assert digest[r.doc_id].ids_crc32 == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_chunks_give_the_tokens_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["", "  ", "a  b", " a", "a ", "\n", "a\n b", "a \nb", "x\r\n\ty", "don't I'll '  's", "½ ² a½b", "<|endoftext|> a <|endoftext|>b", "ÿ \xa0x", "日本 語　a", "a\x1cb \x1c", "1,000.5  kg\n\n\nz"]
+    t, whole = token_output.ChunkTokenizer(tokenizer()), Tokenizer.from_file(tokenizer())
+    for _ in range(2):
+        for text, ids in zip(texts, t(texts)):
+            assert np.frombuffer(ids, np.uint16).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_odd_rows(spark):
+    path = token_output.write_token_files(docs(spark, ODD), tokenizer())
+    out = token_output.read_token_files(spark, path, digest=True).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _, _ in ODD)
+    assert sorted(r.n_tokens for r in out)[:2] == [1, 1]
+    path = token_output.write_token_files(docs(spark, []), tokenizer())
+    assert token_output.read_token_files(spark, path).count() == 0
+
+
+def test_code_lengths_are_optimal_and_limited():
+    import heapq
+
+    rng = np.random.RandomState(7)
+    for _ in range(20):
+        counts = (rng.rand(rng.randint(2, 60)) ** 6 * 1e6).astype(np.int64) + 1
+        free = token_output.code_lengths(counts, 40).astype(int)
+        heap = [(int(c), i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        cost = 0
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            cost += a[0] + b[0]
+            heapq.heappush(heap, (a[0] + b[0], -1))
+        assert int((counts * free).sum()) == cost
+        limited = token_output.code_lengths(counts, 7).astype(int)
+        assert limited.max() <= 7 and (2.0**-limited).sum() <= 1 + 1e-12
+
+
+def test_catalogue_of_this_subpackage(spark, sf):
+    from oracle import connect, same
+
+    from sparkloom.llm import queries
+
+    con = connect(sf)
+    for name, sql in queries.oracles().items():
+        same(queries.queries()[name](spark, sf), con, sql)
+
+
+def test_pipeline_keeps_columns_and_clean_documents(spark, sf):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = d
+        d = common.written(stage(spark, d, sf), "stage")
+        assert d.columns == before.columns and 0 < d.count(), name
+        assert d.select("doc_id").exceptAll(before.select("doc_id")).distinct().join(before, "doc_id", "left_anti").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count() == d.count()
