@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import short_batches, written
 from sparkloom.llm.decontamination import decontaminated
 from sparkloom.llm.mixing import mixed_documents
 from sparkloom.llm.near_dedup import deduplicated
@@ -21,19 +21,20 @@ from sparkloom.llm.token_output import read_token_files, write_token_files
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives the highest grade with probability
     0.5 or more; it is fitted on the labels of the documents it is given."""
-    model = fitted(docs, grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fitted(docs, grades_of(short_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")))
     return selected(docs, model, 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each near-duplicate group (five-word shingles,
     similarity 0.8)."""
+    short_batches(spark)
     return deduplicated(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminated(docs, short_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +47,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ids_crc32 of each document."""
     import public_tokenizers
 
+    short_batches(spark)
     path = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, path, digest=True)
 

@@ -16,7 +16,7 @@ BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
 _ODD = 0x9E3779B97F4A7C15
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+_OTHER = 0xC2B2AE3D27D4EB4F
 
 
 # --------------------------------------------------------------- scratch tables
@@ -70,6 +70,39 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+# ------------------------------------------------------------ memory of workers
+
+#: Rows of an Arrow batch: texts are long, so far fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the rows that a Python worker and its executor hold at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
+def tidy(fn):
+    """``fn`` for mapInArrow; when a task ends, its worker, which Spark keeps for
+    other tasks, hands free memory back to the system."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 # ------------------------------------------------------------------ expressions
 
 
@@ -114,19 +147,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+_POWERS: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", _ODD), ("down", _ODD_INVERSE)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-        return cls.up[:n], cls.down[:n]
+def _powers(n: int, other: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, kept for the next call."""
+    if other not in _POWERS or len(_POWERS[other][0]) < n:
+        base = _OTHER if other else _ODD
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(max(n, 1 << 16), b, np.uint64)
+            x[0] = 1
+            both.append(np.multiply.accumulate(x))
+        _POWERS[other] = tuple(both)
+    up, down = _POWERS[other]
+    return up[:n], down[:n]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,12 +216,13 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray = BLANK
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
     """64-bit hash of each word, the same wherever the word stands: prefix sums
-    of byte * base^i modulo 2^64, shifted back to the word's start."""
+    of byte * base^i modulo 2^64, shifted back to the word's start; ``other`` takes
+    another base."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _Powers.of(len(raw) + 1)
+    up, down = _powers(len(raw) + 1, other)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts])
@@ -267,14 +303,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last = digest(e)
     while last[0]:
         both = e.union(e.select("v", "u"))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
         fresh = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         now = digest(fresh)
-        for x in (e, low, large):
+        for x in (e, large):
             dropped(spark, x)
         e, before, last = fresh, last, now
         if now == before:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, spans_of, text_buffer, without_ids, word_bounds, word_hashes, written
+from .common import mixed, spans_of, text_buffer, tidy, without_ids, word_bounds, word_hashes, written
 from .near_dedup import lowered
 
 WINDOW = 5
@@ -129,7 +129,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("words", pa.binary()), ("values", pa.binary())]))
 
     schema = "item_id long, item_words int, at int, win long, words binary, values binary"
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
@@ -155,7 +155,7 @@ def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) ->
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0), pa.array(at - first[doc], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(values, pa.binary())], ["doc_id", "pos", "win", "values"])
                 done += e - s
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pos long, win long, values binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, pos long, win long, values binary")
 
 
 def _consistent(keys: list[bytes], theirs: list[bytes]) -> bool:
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(k).take(take) for k in range(4)] + [pa.array(exact, pa.bool_())], ["doc_id", "item_id", "coverage", "pos", "exact"])
 
-    good = per.select("doc_id", "item_id", "coverage", F.col("diagonal").alias("pos"), "rows").mapInArrow(check, "doc_id long, item_id long, coverage double, pos long, exact boolean")
+    good = per.select("doc_id", "item_id", "coverage", F.col("diagonal").alias("pos"), "rows").mapInArrow(tidy(check), "doc_id long, item_id long, coverage double, pos long, exact boolean")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "exact", F.negative("pos").alias("at"))).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", "b.exact", F.negative("b.at").alias("pos"))
 

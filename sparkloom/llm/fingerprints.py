@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, parallelism, quantile_bounds, shingle_hashes, spans_of, text_buffer, word_bounds, word_hashes
+from .common import mixed, parallelism, quantile_bounds, shingle_hashes, spans_of, text_buffer, tidy, word_bounds, word_hashes
 
 BITS = 128
 TERM_WORDS = 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes().hex() for x in simhash(b.column(1))], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 # ------------------------------------------------------------------ edited texts
@@ -140,7 +140,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             yield flush(first)
 
     chained, _ = _chain(docs)
-    return chained.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return chained.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 # ----------------------------------------------------------------- radius search

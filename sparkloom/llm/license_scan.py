@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingle_hashes, spans_of, text_buffer, word_bounds, word_hashes
+from .common import mixed, shingle_hashes, spans_of, text_buffer, tidy, word_bounds, word_hashes
 from .near_dedup import _odd, lowered
 
 #: Words of a shingle: license lines are short, so three rather than five.
@@ -161,4 +161,4 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, **opt
                 ["doc_id", "license", "containment", "first_word", "n_words"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, license string, containment double, first_word long, n_words long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, license string, containment double, first_word long, n_words long")

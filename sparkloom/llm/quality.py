@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_of, text_buffer, word_bounds, word_hashes, written
+from .common import spans_of, text_buffer, tidy, word_bounds, word_hashes, written
 from .near_dedup import lowered
 
 DIMENSIONS = 1 << 20
@@ -102,19 +102,29 @@ def fit(slots: np.ndarray, before: np.ndarray, grades: np.ndarray, n_grades: int
     n = len(grades)
     if n == 0:
         return OrdinalModel(np.zeros(size, np.float32), even)
-    seen = np.bincount(slots, minlength=size)
+    # In parts, so that no temporary array is as long as all slots.
+    parts = [(a, min(a + 1000, n)) for a in range(0, n, 1000)]
+    seen, got = np.zeros(size), np.zeros((n_grades - 1, size))
+    for a, b in parts:
+        own, width = slots[before[a] : before[b]], np.diff(before[a : b + 1])
+        seen += np.bincount(own, minlength=size)
+        for k in range(n_grades - 1):
+            got[k] += np.bincount(own, weights=np.repeat((grades[a:b] > k).astype(float), width), minlength=size)
     use = np.zeros(size, bool)
     for k in range(n_grades - 1):
-        above = (grades > k).astype(float)
-        mean = above.mean()
-        got = np.bincount(slots, weights=np.repeat(above, np.diff(before)), minlength=size)
-        use |= np.abs(got - seen * mean) >= SIGNIFICANT * np.sqrt(np.maximum(seen * mean * (1 - mean), 1e-12))
+        mean = (grades > k).mean()
+        use |= np.abs(got[k] - seen * mean) >= SIGNIFICANT * np.sqrt(np.maximum(seen * mean * (1 - mean), 1e-12))
     use &= seen >= MIN_DOCUMENTS
+    del seen, got
     names = np.flatnonzero(use)
-    number = np.cumsum(use) - 1
-    ok = use[slots]
-    doc = np.repeat(np.arange(n), np.diff(before))[ok]
-    col = number[slots[ok]]
+    number = (np.cumsum(use) - 1).astype(np.int32)
+    doc, col = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a, b in parts:
+        own = slots[before[a] : before[b]]
+        ok = use[own]
+        doc.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(before[a : b + 1]))[ok])
+        col.append(number[own[ok]])
+    doc, col = np.concatenate(doc), np.concatenate(col)
     counts = np.bincount(grades, minlength=n_grades) + 0.5
     tail = np.cumsum(counts[::-1])[::-1][1:] / counts.sum()
     t = -np.log(tail / (1 - tail))
@@ -159,12 +169,14 @@ def fitted(docs: DataFrame, grades: DataFrame, n_grades: int = 3, max_labelled:
     them, the first by a hash of doc_id: the broadcast and what reaches the
     driver are bounded by that parameter."""
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(_listed, "doc_id long, grade int, slots binary"), "labelled")
+    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(tidy(_listed), "doc_id long, grade int, slots binary"), "labelled")
     rows = known.toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
     slots = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("slots")]
     before = np.cumsum([0, *map(len, slots)])
-    flat = np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, np.int64)
-    return fit(flat, before, np.asarray(rows.column("grade"), np.int64), n_grades)
+    flat = np.concatenate(slots) if slots else np.zeros(0, np.int32)
+    grade = np.asarray(rows.column("grade"), np.int64)
+    del rows, slots
+    return fit(flat, before, grade, n_grades)
 
 
 def _listed(batches):
@@ -185,7 +197,7 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             tails = np.concatenate(tails) if tails else np.zeros((0, len(model.thresholds)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.array(np.ascontiguousarray(tails[:, -1]))], ["doc_id", "expected_grade", "p_top"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, p_top double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, expected_grade double, p_top double")
 
 
 def selected(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
@@ -200,4 +212,4 @@ def selected(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFr
             tails = [model.tails(s, x)[:, -1] for s, x in features(b.column(at).cast(pa.string()))]
             yield b.filter(pa.array(np.concatenate(tails) >= least)) if tails else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
