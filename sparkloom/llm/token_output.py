@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, quantile_bounds, scratch_path, written
+from .common import dropped, quantile_bounds, scratch_path, text_buffer, tidy, word_hashes, written
 
 MAGIC = 0x31465548  # "HUF1"
 BLOCK = 512
@@ -58,10 +60,9 @@ class ChunkTokenizer:
         self.byte_level = len(line_end) == 1 and self.whole.normalizer is None and kind is not None and type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex
         # The pattern of byte-level BPE.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.text_rule, self.piece_rule = kind, pre_tokenizers.CharDelimiterSplit("\n")
         self.alphabet = self._alphabet()
-        self.cache: dict[str, bytes | None] = {}
+        self._clear()
 
     @staticmethod
     def _alphabet() -> str:
@@ -78,23 +79,32 @@ class ChunkTokenizer:
         out[255] = "\n"
         return "".join(out)
 
+    def _pieces(self, texts: list[str], **options):
+        """Encodes with the delimiter as the only rule: one vocabulary in memory
+        serves both ways."""
+        self.whole.pre_tokenizer = self.piece_rule
+        try:
+            return self.whole.encode_batch_fast(texts, **options)
+        finally:
+            self.whole.pre_tokenizer = self.text_rule
+
     def _array(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype=self.kind).tobytes()
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learned(self, fresh: list[str]) -> list[bytes | None]:
+        """Ids of chunks; None for one that can't stand alone."""
+        out: list[bytes | None] = [None] * len(fresh)
         good = []
-        for c in fresh:
+        for k, c in enumerate(fresh):
             text = c[1:] if c[:1] == " " else c
-            if not text or text[0].isspace() or text[-1].isspace() or any(s in c for s in self.special):
-                self.cache[c] = None
-            else:
-                good.append(c)
-        split = [self.pattern.findall(c) for c in good]
-        of = {p: None for x in split for p in x}
+            if text and not text[0].isspace() and not text[-1].isspace() and not any(s in c for s in self.special):
+                good.append(k)
+        split = [self.pattern.findall(fresh[k]) for k in good]
+        of = {p: b"" for x in split for p in x}
         names = [p for p in of if "\n" not in p]
         if names:
             joined = b"\xff\n\xff".join(p.encode() for p in names).decode("latin1").translate(self.alphabet)
-            ids = np.asarray(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ids = np.asarray(self._pieces([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
             stops = np.flatnonzero(ids == self.line_end)
             raw, width = ids.tobytes(), ids.itemsize
             at, to = [0, *((stops + 1) * width).tolist()], [*(stops * width).tolist(), len(raw)]
@@ -102,33 +112,68 @@ class ChunkTokenizer:
         lines = [p for p in of if "\n" in p]
         for p, e in zip(lines, self.whole.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             of[p] = self._array(e.ids)
-        for c, x in zip(good, split, strict=True):
-            self.cache[c] = of[x[0]] if len(x) == 1 else b"".join([of[p] for p in x])
+        for k, x in zip(good, split, strict=True):
+            out[k] = of[x[0]] if len(x) == 1 else b"".join([of[p] for p in x])
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.check = np.zeros(0, np.uint64)
+        self.size = np.zeros(0, np.int64)
+        self.start = np.zeros(0, np.int64)
+        self.bad = np.zeros(0, bool)
+        self.ids = np.zeros(0, self.kind)
+
+    def encoded(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow column; null: empty.  Chunks are told
+        apart by two 64-bit hashes and looked up once for all their copies."""
         if not self.byte_level:
-            return [self._array(e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        split, fresh = [], set()
-        for t in texts:
-            x = t.replace(" ", "\xff ").split("\xff") if "\xff" not in t else None
-            split.append(x)
-            if x:
-                fresh.update(x)
-        self._learn([c for c in fresh if c not in self.cache])
-        out, get = [], self.cache.__getitem__
-        for t, x in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(get, x)) if t else b"")
-            except TypeError:  # a chunk that can't stand alone, or none at all
-                out.append(self._array(self.whole.encode(t, add_special_tokens=False).ids))
+            return [self._array(e.ids) for e in self.whole.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        raw, offsets = text_buffer(column)
+        n = len(offsets) - 1
+        if not len(raw):
+            return [b""] * n
+        mark = raw == 32
+        mark[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(mark)
+        ends = np.append(starts[1:], len(raw))
+        h, h2 = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, other=True)
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.slot) > CACHE_ENTRIES:
+            self._clear()
+        keys = own.tolist()
+        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            data = raw.tobytes()
+            got = self._learned([data[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
+            base, width = len(self.check), np.dtype(self.kind).itemsize
+            size = np.asarray([len(x or b"") // width for x in got], np.int64)
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.bad = np.append(self.bad, [x is None for x in got])
+            self.check = np.append(self.check, h2[first[fresh]])
+            self.ids = np.append(self.ids, np.frombuffer(b"".join(x or b"" for x in got), self.kind))
+            slots[fresh] = np.arange(base, base + len(fresh))
+            self.slot.update(zip(own[fresh].tolist(), slots[fresh].tolist(), strict=True))
+        slots = slots[back]
+        odd = self.bad[slots] | (self.check[slots] != h2)
+        size = self.size[slots]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        tokens = self.ids[np.arange(int(upto[-1])) + np.repeat(self.start[slots] - upto[:-1], size)]
+        of_doc = upto[np.searchsorted(starts, offsets)].tolist()
+        out = [tokens[i:j].tobytes() for i, j in zip(of_doc[:-1], of_doc[1:], strict=True)]
+        for d in np.unique(np.searchsorted(offsets, starts[odd], side="right") - 1).tolist():
+            out[d] = self._array(self.whole.encode(raw[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids)
         return out
 
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.encoded(pa.array(texts, pa.large_string()))
+
 
 def _batches(table: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes of one column, one row at least."""
-    size = np.asarray(pa.compute.binary_length(table.column(column)).fill_null(0), np.int64)
+    size = np.asarray(pc.binary_length(table.column(column)).fill_null(0), np.int64)
     done = np.cumsum(size)
     first = 0
     while first < table.num_rows:
@@ -150,7 +195,6 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFr
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import pyarrow.compute  # noqa: F401
 
         for whole in batches:
             for b in _batches(whole, 1):
@@ -158,11 +202,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFr
                 if t is None:
                     t = _TOKENIZERS[tokenizer] = ChunkTokenizer(tokenizer)
                 tail = b"" if end_id is None else np.asarray([end_id], t.kind).tobytes()
-                ids = [x + tail for x in t([x or "" for x in b.column(1).to_pylist()])]
+                ids = [x + tail for x in t.encoded(b.column(1))]
                 width = np.dtype(t.kind).itemsize
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, width int, ids binary")
 
 
 # ------------------------------------------------------------------ Huffman code
@@ -365,7 +409,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         used, some = np.flatnonzero(counts), np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(used), len(some)]), pa.int32()), pa.array(np.concatenate([used, some]), pa.int64()), pa.array(np.concatenate([counts[used], sums[some]]), pa.int64())], ["kind", "key", "n"])
 
-    rows = ids.select("doc_id", "n_tokens", "width", "ids").mapInArrow(tally, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("doc_id", "n_tokens", "width", "ids").mapInArrow(tidy(tally), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([0, *(r.key for r in rows if r.kind == 0)]) + 1, np.int64)
     base = np.zeros(len(bounds) + 1, np.int64)
     for r in rows:
@@ -406,8 +450,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         if held:
             yield flush()
 
-    coded = ids.select("doc_id", "n_tokens", "width", "ids").mapInArrow(encode, "shard int, doc_id long, n_tokens long, bits binary, marks binary")
-    images = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "bits").mapInArrow(assemble, "shard int, seq int, image binary")
+    coded = ids.select("doc_id", "n_tokens", "width", "ids").mapInArrow(tidy(encode), "shard int, doc_id long, n_tokens long, bits binary, marks binary")
+    images = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "bits").mapInArrow(tidy(assemble), "shard int, seq int, image binary")
     images.write.option("compression", "none").parquet(f"{path}/images")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     dropped(spark, ids)
@@ -434,4 +478,4 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(tokens, pa.int64()), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     images = spark.read.schema("shard int, seq int, image binary").parquet(f"{path}/images")
-    return images.select("image").mapInArrow(decode, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return images.select("image").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
