@@ -1,13 +1,13 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents with equal shingle sets form one class (a 128-bit set hash).  Classes
-that share a band of their MinHash signature are candidates.  A first round
-compares each class with the leaders of its buckets only, so a large group of
-near copies costs one comparison for each class; the second round compares all
-pairs of a bucket that the first left in different components, in blocks, and
-passes on only what survives.  Both compare signatures batch by batch, dropping
-a pair once the posterior probability that it is a link falls below the miss
-probability, and confirm survivors on the full shingle sets.
+that share a band of their MinHash signature are candidates.  A star round
+compares each class with one leader of its buckets only, so a large group of
+near copies costs one comparison for each class; the last round compares all
+pairs that this left in different components, in blocks within a task, and
+passes on forests of what survives, never the pairs.  Both compare signatures
+batch by batch, dropping a pair once the posterior probability that it is a link
+falls below the miss probability, and confirm survivors on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, id_bitmap, mixed, shingle_hashes, spans_of, text_buffer, with_possible, without_ids, word_bounds, word_hashes, written
+from .common import connected_components, dropped, id_bitmap, mixed, shingle_hashes, spans_of, text_buffer, tidy, with_possible, without_ids, word_bounds, word_hashes, written
 
 #: 32 bands of 4 rows: a pair of similarity 0.8 shares no band with probability 4.6e-8.
 BANDS, ROWS = 32, 4
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, width: int, lower: bool, bands: int, rows: int) -> D
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(sets)), pa.array(n), pa.array(h1), pa.array(h2), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "keys", "sig"])
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def least_matches(n_hashes: int, percent: int, miss: float, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -126,28 +126,25 @@ def _rows_of(column: pa.Array, n_hashes: int) -> np.ndarray:
 
 
 def _likely(edges: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> DataFrame:
-    """Edges (a, b) that survive, with the matches of their whole signatures."""
+    """The edges (a, b) that survive."""
 
     def run(batches):
         for x in batches:
             if x.num_rows:
                 left, right = _rows_of(x.column(2), n_hashes), _rows_of(x.column(3), n_hashes)
                 go = surviving(left, right, rule)
-                same = (left[go] == right[go]).sum(axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(go)), x.column(1).take(pa.array(go)), pa.array(same)], ["a", "b", "same"])
+                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(go)), x.column(1).take(pa.array(go))], ["a", "b"])
 
     right = edges.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     both = right.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, same long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
-    """Edges (u, v) of ``pairs`` (a, b) whose full shingle sets reach the
-    similarity.  Only texts of documents in a pair are hashed again."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int, lower: bool) -> DataFrame:
+    """(cid, members): the sorted shingle hashes of the classes in ``nodes``
+    (cid).  Only texts that the bitmap of their ids lets through are hashed."""
     involved = written(nodes.join(reps.select("cid", "doc_id", "h1", "h2"), "cid"), "involved")
-    bitmap = written(id_bitmap(involved, "doc_id"), "bitmap")
+    bitmap = id_bitmap(involved, "doc_id")
 
     def run(batches):
         for b in batches:
@@ -159,76 +156,166 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, p
                     yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["h1", "h2", "members"])
 
     texts = with_possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", bitmap, "_maybe").where("_maybe").select("text")
-    sets = written(texts.mapInArrow(run, "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"]).join(involved.select("cid", "h1", "h2"), ["h1", "h2"]).select("cid", "members"), "sets", "none")
+    sets = texts.mapInArrow(tidy(run), "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
+    out = written(sets.join(involved.select("cid", "h1", "h2"), ["h1", "h2"]).select("cid", "members"), "sets", "none")
+    dropped(docs.sparkSession, involved)
+    return out
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < percent * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, percent: int, lower: bool) -> DataFrame:
+    """Edges (u, v) of ``pairs`` (a, b) whose full shingle sets reach the
+    similarity."""
+    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = _sets(docs, nodes, reps, width, lower)
 
     def compare(batches):
         for x in batches:
-            keep = []
-            for i, (p, q) in enumerate(zip(x.column(2), x.column(3), strict=True)):
-                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                if 100 * common >= percent * (len(p) + len(q) - common):
-                    keep.append(i)
+            keep = [i for i, (p, q) in enumerate(zip(x.column(2), x.column(3), strict=True)) if linked(np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8"), percent)]
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column(0).take(take), x.column(1).take(take)], ["u", "v"])
 
     joined = pairs.select("a", "b").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a")
-    out = written(joined.select("a", "b", "ma", "mb").mapInArrow(compare, "u long, v long"), "links")
-    for x in (involved, bitmap, sets):
-        dropped(spark, x)
+    out = written(joined.select("a", "b", "ma", "mb").mapInArrow(tidy(compare), "u long, v long"), "links")
+    dropped(docs.sparkSession, sets)
     return out
 
 
-def _crossing(rows: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> DataFrame:
-    """Surviving pairs (a, b) of classes in one bucket and different components;
-    ``rows`` has (key, cid, comp).  A bucket of more than BLOCK classes is dealt
-    out as pairs of blocks, so no task holds it whole."""
-    ends = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", F.expr(f"cast(ceil(k / {BLOCK}) as int)").alias("nb"))
-    mine = rows.join(written(ends, "ends"), "key").withColumn("s", F.expr("cast(pmod(xxhash64(cid), nb) as int)"))
+class _Forest:
+    """Union-find over the few thousand nodes that one task compares."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[y] if y in self.up else y
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """One pair (a, b) for each class b that shares a bucket: the leader that it
+    shares most buckets with.  A bucket's leader is the class that shares buckets
+    with most others, so the original of a group of edited copies leads although
+    the copies may not be alike enough.  ``rows`` has (key, cid, n): n classes in
+    the bucket."""
+    degree = rows.groupBy("cid").agg(F.sum("n").alias("degree"))
+    mine = written(rows.join(degree, "cid").select("key", "cid", "degree"), "mine")
+    lead = mine.groupBy("key").agg(F.max(F.struct("degree", F.negative("cid").alias("c"))).alias("top"))
+    lead = written(lead.select("key", F.negative("top.c").alias("a"), F.col("top.degree").alias("weight")), "lead")
+    pairs = mine.join(lead, "key").where("cid <> a").groupBy("cid", "a").agg(F.count(F.lit(1)).alias("k"), F.max("weight").alias("weight"))
+    return pairs.groupBy("cid").agg(F.max(F.struct("k", "weight", F.negative("a").alias("c"))).alias("top")).select(F.negative("top.c").alias("a"), F.col("cid").alias("b"))
+
+
+def _dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
+    """``rows`` with group, s, i, j: a group of more than ``block`` rows of a key
+    is dealt out as pairs of blocks (i, j), so that no task holds it whole; s is
+    a row's own block."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, F.expr(f"cast(ceil(n / {block}) as int)").alias("nb"))
+    mine = rows.join(counts, by).withColumn("s", F.expr("cast(pmod(xxhash64(cid), nb) as int)"))
     mine = mine.withColumn("t", F.explode(F.expr("sequence(0, nb - 1)")))
-    mine = mine.select("key", "cid", "comp", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
-    mine = mine.join(sigs.select("cid", "sig"), "cid").withColumn("group", F.xxhash64("key", "i", "j"))
+    mine = mine.withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")).drop("t", "nb")
+    return mine.withColumn("group", F.xxhash64(by, "i", "j"))
+
+
+def _whole_groups(batches):
+    """Tables that hold all rows of their groups; rows come sorted by the first
+    column."""
+    held = None
+    for x in batches:
+        x = pa.Table.from_batches([x])
+        if held is not None:
+            x = pa.concat_tables([held, x])
+        if not x.num_rows:
+            continue
+        g = np.asarray(x.column(0).combine_chunks())
+        cut = int(np.flatnonzero(g[1:] != g[:-1])[-1] + 1) if (g[1:] != g[:-1]).any() else 0
+        held = x.slice(cut)
+        if cut:
+            yield x.slice(0, cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _likely_groups(rows: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> DataFrame:
+    """(node, component): groups of classes that are connected by surviving pairs
+    of one bucket and different components.  A task returns a forest of its
+    pairs, which grows with the classes and not with the pairs; ``rows`` has
+    (key, cid, comp)."""
+    ends = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mine = _dealt(written(rows.join(written(ends, "ends"), "key"), "crossing"), "key", BLOCK).join(sigs.select("cid", "sig"), "cid")
 
     def run(batches):
-        held = None
-        for x in batches:
-            x = pa.Table.from_batches([x])
-            if held is not None:
-                x = pa.concat_tables([held, x])
-            g = np.asarray(x.column(0).combine_chunks())
-            if not len(g):
-                continue
-            cut = int(np.searchsorted(-(g != g[-1]).astype(int), 0, side="left")) if g[0] != g[-1] else 0
-            held = x.slice(cut)
-            if cut:
-                yield from pairs(x.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from pairs(held)
-
-    def pairs(x):
-        x = x.combine_chunks()
-        g, cid, comp, s, i, j = (np.asarray(x.column(k).combine_chunks()) for k in range(6))
-        sig = _rows_of(x.column(6).combine_chunks(), n_hashes)
-        found = []
-        for d in range(1, len(g)):
-            left = np.flatnonzero(g[d:] == g[:-d])
-            if not len(left):
-                break
-            right = left + d
-            go = (comp[left] != comp[right]) & (cid[left] != cid[right]) & ((i[left] == j[left]) | (s[left] != s[right]))
-            left, right = left[go], right[go]
-            if len(left):
+        for x in _whole_groups(batches):
+            g, cid, comp, s, i, j = (np.asarray(x.column(k).combine_chunks()) for k in range(6))
+            sig = _rows_of(x.column(6).combine_chunks(), n_hashes)
+            forest, found = _Forest(), []
+            for d in range(1, len(g)):
+                left = np.flatnonzero(g[d:] == g[:-d])
+                if not len(left):
+                    break
+                right = left + d
+                go = (comp[left] != comp[right]) & (cid[left] != cid[right]) & ((i[left] == j[left]) | (s[left] != s[right]))
+                left, right = left[go], right[go]
                 go = surviving(sig[left], sig[right], rule)
-                left, right = cid[left[go]], cid[right[go]]
-                found.append(np.stack([np.minimum(left, right), np.maximum(left, right)]))
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                found += [(a, b) for a, b in zip(cid[left[go]].tolist(), cid[right[go]].tolist(), strict=True) if forest.join(a, b)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
-    return mine.repartition("group").sortWithinPartitions("group").select("group", "cid", "comp", "s", "i", "j", "sig").mapInArrow(run, "a long, b long").distinct()
+    mine = mine.select("group", "cid", "comp", "s", "i", "j", "sig")
+    return connected_components(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"))
+
+
+def _group_links(docs: DataFrame, groups: DataFrame, rows: DataFrame, reps: DataFrame, rule, n_hashes: int, width: int, percent: int, lower: bool) -> DataFrame:
+    """Links (u, v) between different components within the likely groups: all
+    pairs of a group are compared by signature in blocks and confirmed on the
+    full sets in the same task, which returns a forest of its links."""
+    groups = written(groups.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
+    comp = rows.select("cid", "comp").distinct()
+    sets = _sets(docs, groups.select("cid"), reps, width, lower)
+    mine = _dealt(written(groups.join(comp, "cid"), "grouped"), "grp", BLOCK // 2)
+    mine = mine.join(reps.select("cid", "sig"), "cid").join(sets, "cid").select("group", "cid", "comp", "s", "i", "j", "sig", "members")
+
+    def run(batches):
+        for x in _whole_groups(batches):
+            g, cid, comp, s, i, j = (np.asarray(x.column(k).combine_chunks()) for k in range(6))
+            sig = _rows_of(x.column(6).combine_chunks(), n_hashes)
+            members = x.column(7).combine_chunks()
+            heads = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]).tolist()
+            forest, found = _Forest(), []
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                own = [np.frombuffer(members[k].as_buffer(), "<u8") for k in range(a, b)]
+                for p in range(a, b - 1):
+                    q = np.arange(p + 1, b)
+                    q = q[(comp[q] != comp[p]) & (cid[q] != cid[p]) & ((i[q] == j[q]) | (s[q] != s[p]))]
+                    if not len(q):
+                        continue
+                    q = q[surviving(np.broadcast_to(sig[p], (len(q), n_hashes)), sig[q], rule)]
+                    for r in q.tolist():
+                        if forest.root(int(comp[p])) != forest.root(int(comp[r])) and linked(own[p - a], own[r - a], percent):
+                            forest.join(int(comp[p]), int(comp[r]))
+                            found.append((int(cid[p]), int(cid[r])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+
+    return written(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -253,22 +340,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: b
     reps = written(reps, "reps", "none")
 
     index = reps.select("cid", F.explode("keys").alias("key"))
-    lead = index.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("hi")).where("leader <> hi").select("key", "leader")
-    lead = written(lead, "lead")
-    shared = written(index.join(lead, "key").select("key", "leader", "cid"), "shared")
-    stars = shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-    best = _likely(stars, reps, rule, n_hashes).groupBy("b").agg(F.max_by("a", F.struct("same", F.negative("a"))).alias("a")).select("a", "b")
-    links = _confirmed(docs, written(best, "stars"), reps, width, percent, lower)
-    first = written(connected_components(links), "components")
-
-    comp = shared.select("key", "cid").join(first, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    more = _confirmed(docs, written(_crossing(written(comp, "comps"), reps, rule, n_hashes), "crossing"), reps, width, percent, lower)
-    final = written(connected_components(links.union(more)), "components")
+    many = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "many")
+    shared = written(index.join(many, "key").select("key", "cid", "n"), "shared")
+    links = _confirmed(docs, written(_likely(_stars(shared), reps, rule, n_hashes), "likely"), reps, width, percent, lower)
+    stars = written(connected_components(links), "components")
+    rows = written(shared.join(stars, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp")), "comps")
+    groups = _likely_groups(rows, reps, rule, n_hashes)
+    more = _group_links(docs, groups, rows, reps, rule, n_hashes, width, percent, lower)
+    final = written(connected_components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
 
     named = classes.join(final, F.col("cid") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "cid").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = written(named.join(lowest, "comp").select("h1", "h2", "component_id"), "by_class")
-    for x in (lead, shared, reps, first, final):
+    for x in (many, shared, reps, rows):
         dropped(spark, x)
     full = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
