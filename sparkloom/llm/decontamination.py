@@ -2,6 +2,7 @@
 
 Words become template words: numbers, names and units are replaced by typed
 placeholders, everything else is lower-cased and stripped of punctuation.
+Capitalised words at the start of a text, sentence or line are read both ways.
 Windows of template words of the benchmark are matched by hash against all
 windows of all documents.  Runs of matching windows on one diagonal (document
 position minus item position) line an item up with a document; there the slots
@@ -32,7 +33,10 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs min mins h
          "inch inches foot feet yard yards mile miles gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres "
          "dollar dollars cent cents euro euros percent degree degrees usd eur gbp mph kmh km/h % $ € £ °c °f").split()
 
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+PLAIN, NUMBER, NAME, UNIT, OPEN = range(5)
+#: What stands for a word of each kind in a window's hash; OPEN words read as names first.
+_SLOTS = np.asarray([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333, 0x2222222222222222], np.uint64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _ENDS = np.zeros(256, bool)
@@ -49,14 +53,14 @@ _UNIT_HASHES = _hash_of(UNITS)
 
 
 def template(raw: np.ndarray, own: np.ndarray):
-    """Template word and value hash of each word of a span of documents, and the
-    words before each document.  A number has an ASCII digit; a unit is in
-    UNITS; a name starts with an upper-case ASCII letter, has a lower-case one
-    after it and follows neither a text's start nor the end of a sentence or
-    line."""
+    """Kind and value hash of each word of a span of documents, and the words
+    before each document.  A number has an ASCII digit; a unit is in UNITS; a
+    name starts with an upper-case ASCII letter and has a lower-case one after
+    it.  At a text's start and after the end of a sentence or line such a word
+    is OPEN: a name or a plain word."""
     starts, ends, first = word_bounds(raw, own)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint64), first
     low = lowered(raw)
     # Bounds without leading and trailing punctuation; a word of signs alone stays whole.
     n = len(raw)
@@ -86,49 +90,67 @@ def template(raw: np.ndarray, own: np.ndarray):
         lines = np.zeros(n + 1, np.int64)
         np.cumsum(raw == 10, out=lines[1:])
         after[1:] |= lines[starts[1:]] > lines[ends[:-1]]
-    name &= ~after
-    word = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return word, value, first
+    kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name & after, OPEN, np.where(name, NAME, PLAIN)))).astype(np.uint8)
+    return kind, value, first
 
 
-def windows(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that starts at each word, and whether it lies within
-    its document."""
-    n = len(word)
+def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every window that lies within its document, once for
+    each reading of its OPEN words as names or plain words."""
+    n = len(kind)
     if n < width:
-        return np.zeros(n, np.uint64), np.zeros(n, bool)
-    h = np.zeros(n - width + 1, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    word = np.where(kind == PLAIN, value, _SLOTS[kind])
+    m = n - width + 1
+    h, open_ = np.zeros(m, np.uint64), np.zeros(m, np.int64)
     for k in range(width):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + word[k : k + n - width + 1]
-    out = np.zeros(n, np.uint64)
-    out[: len(h)] = mixed(h)
-    stop = np.repeat(first[1:], np.diff(first))
-    return out, np.arange(n) + width <= stop
+        h = h * _STEP + word[k : k + m]
+        open_ |= (kind[k : k + m] == OPEN).astype(np.int64) << k
+    stop = np.repeat(first[1:], np.diff(first))[:m]
+    inside = np.arange(m) + width <= stop
+    at, out = [np.flatnonzero(inside)], [h[inside]]
+    some = np.flatnonzero(inside & (open_ > 0))
+    masks, readings = open_[some], set()
+    for mask in np.unique(masks).tolist():
+        sub = mask
+        while sub:
+            readings.add(sub)
+            sub = (sub - 1) & mask
+    for plain in sorted(readings):
+        # The hash is a sum over the words, so a reading differs by its own terms.
+        here = some[(masks & plain) == plain]
+        g = h[here]
+        for k in range(width):
+            if plain >> k & 1:
+                g += (value[here + k] - _SLOTS[NAME]) * np.uint64(pow(int(_STEP), width - 1 - k, 1 << 64))
+        at.append(here)
+        out.append(g)
+    return np.concatenate(at), mixed(np.concatenate(out))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, item_words, at, win, words, values): every window of every
+    """(item_id, item_words, at, win, kinds, values): every window of every
     item.  An item of fewer words is one window of all its words, padded."""
 
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
             ids = b.column(0).to_pylist()
-            out = {k: [] for k in ("item_id", "item_words", "at", "win", "words", "values")}
+            out = {k: [] for k in ("item_id", "item_words", "at", "win", "kinds", "values")}
             for i, key in enumerate(ids):
                 part = raw[offsets[i] : offsets[i + 1]]
-                word, value, first = template(part, np.asarray([0, len(part)]))
-                h, ok = windows(word, first, width)
-                for at in np.flatnonzero(ok).tolist():
+                kind, value, first = template(part, np.asarray([0, len(part)]))
+                where, h = windows(kind, value, first, width)
+                for at, win in zip(where.tolist(), h.view(np.int64).tolist(), strict=True):
                     out["item_id"].append(key)
-                    out["item_words"].append(len(word))
+                    out["item_words"].append(len(kind))
                     out["at"].append(at)
-                    out["win"].append(int(h[at].view(np.int64)))
-                    out["words"].append(word[at : at + width].astype("<u8").tobytes())
+                    out["win"].append(win)
+                    out["kinds"].append(kind[at : at + width].tobytes())
                     out["values"].append(value[at : at + width].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("words", pa.binary()), ("values", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("kinds", pa.binary()), ("values", pa.binary())]))
 
-    schema = "item_id long, item_words int, at int, win long, words binary, values binary"
+    schema = "item_id long, item_words int, at int, win long, kinds binary, values binary"
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
@@ -140,31 +162,31 @@ def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) ->
         for b in batches:
             ids, done = b.column(0), 0
             raw, offsets = text_buffer(b.column(1))
-            for s, e in spans_of(offsets, 1 << 20):
+            for s, e in spans_of(offsets, 1 << 18):
                 part, own = raw[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]
-                word, value, first = template(part, own)
-                h, ok = windows(word, first, width)
-                if wanted is not None and len(wanted):
-                    where = np.searchsorted(wanted, h)
-                    ok &= wanted[np.minimum(where, len(wanted) - 1)] == h
-                elif wanted is not None:
-                    ok[:] = False
-                at = np.flatnonzero(ok)
+                kind, value, first = template(part, own)
+                at, h = windows(kind, value, first, width)
+                if wanted is not None:
+                    ok = np.zeros(len(h), bool)
+                    if len(wanted):
+                        ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    at, h = at[ok], h[ok]
                 doc = np.searchsorted(first, at, side="right") - 1
                 values = [value[p : p + width].astype("<u8").tobytes() for p in at.tolist()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0), pa.array(at - first[doc], pa.int64()), pa.array(h[at].view(np.int64)), pa.array(values, pa.binary())], ["doc_id", "pos", "win", "values"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0), pa.array(at - first[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(values, pa.binary())], ["doc_id", "pos", "win", "values"])
                 done += e - s
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, pos long, win long, values binary")
 
 
-def _consistent(keys: list[bytes], theirs: list[bytes]) -> bool:
+def _consistent(kinds: list[bytes], keys: list[bytes], theirs: list[bytes]) -> bool:
     """Whether equal values of the item stand for equal values of the document
-    and the other way round, all along a line-up."""
+    and the other way round, all along a line-up.  OPEN words of the item don't
+    decide: one that is no name may have been swapped like any plain word."""
     there, back = {}, {}
-    for k, d in zip(keys, theirs, strict=True):
-        for x, y in zip(np.frombuffer(k, "<u8").tolist(), np.frombuffer(d, "<u8").tolist(), strict=True):
-            if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+    for c, k, d in zip(kinds, keys, theirs, strict=True):
+        for kind, x, y in zip(c, np.frombuffer(k, "<u8").tolist(), np.frombuffer(d, "<u8").tolist(), strict=True):
+            if kind != OPEN and (there.setdefault(x, y) != y or back.setdefault(y, x) != x):
                 return False
     return True
 
@@ -190,9 +212,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float
         wanted = None
     found = document_windows(docs, width, wanted)
     found = written(found, "found") if wanted is not None else found
-    lined = found.join(known.select("item_id", "item_words", "at", "win", F.col("values").alias("theirs")), "win")
-    lined = lined.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "item_words", "at", "values", "theirs")
-    per = lined.groupBy("doc_id", "item_id", "diagonal", "item_words").agg(F.countDistinct("at").alias("n"), F.sort_array(F.collect_set(F.struct("at", "values", "theirs"))).alias("rows"))
+    lined = found.join(known.select("item_id", "item_words", "at", "win", "kinds", F.col("values").alias("theirs")), "win")
+    lined = lined.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "item_words", "at", "kinds", "values", "theirs")
+    per = lined.groupBy("doc_id", "item_id", "diagonal", "item_words").agg(F.countDistinct("at").alias("n"), F.sort_array(F.collect_set(F.struct("at", "kinds", "values", "theirs"))).alias("rows"))
     per = per.withColumn("coverage", F.col("n") / (F.col("item_words") - F.lit(width - 1))).where(F.col("coverage") >= covered)
 
     def check(batches):
@@ -200,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float
             keep, exact = [], []
             for i, rows in enumerate(b.column("rows").to_pylist()):
                 mine, theirs = [r["theirs"] for r in rows], [r["values"] for r in rows]
-                if _consistent(mine, theirs):
+                if _consistent([r["kinds"] for r in rows], mine, theirs):
                     keep.append(i)
                     exact.append(mine == theirs)
             take = pa.array(keep, pa.int64())

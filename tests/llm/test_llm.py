@@ -161,6 +161,15 @@ def test_leaks_with_other_numbers(spark):
     assert sorted(r.doc_id for r in decontamination.decontaminated(docs(spark, rows), items).collect()) == [3, 4]
 
 
+def test_leaks_with_other_names_at_sentence_starts(spark):
+    filler = " ".join(f"w{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(80))
+    item = "Tom has 5 apples. Tom gives 2 to Anna. How many apples are left?"
+    texts = [item.replace("Tom", "Bob"), item.replace("Tom has", "Now Bob has").replace("Tom", "Bob"), item.replace("How", "how"), item.replace("apples", "pears").replace("gives", "sold")]
+    rows = [(i, f"{filler}. {t} {filler}", "a") for i, t in enumerate(texts)]
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.exact) for r in decontamination.leaks(docs(spark, rows), items).collect()) == [(0, False), (1, False), (2, True)]
+
+
 def test_leaks_odd_rows(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontamination.leaks(docs(spark, ODD), bench).count() == 0
