@@ -4,15 +4,18 @@ Words become template words: numbers, names and units are replaced by typed
 placeholders, everything else is lower-cased and stripped of punctuation.
 Capitalised words at the start of a text, sentence or line are read both ways.
 Windows of template words of the benchmark are matched by hash against all
-windows of all documents.  Runs of matching windows on one diagonal (document
-position minus item position) line an item up with a document; there the slots
-are compared, and the line-up counts only if the item's slot values map
-one-to-one onto the document's, which a re-parameterised question does and
+windows of all documents.  Matching windows on neighbouring diagonals (document
+position minus item position) are chained, so an item is lined up with a
+document across words put in, left out or replaced.  There the slots are
+compared, and the line-up counts only if the item's slot values map one-to-one
+onto the document's, a few aside, which a re-parameterised question does and
 text that merely has numbers in the same places mostly doesn't.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,39 +132,44 @@ def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int)
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, item_words, at, win, kinds, values): every window of every
-    item.  An item of fewer words is one window of all its words, padded."""
+    """(item_id, item, item_words, at, win, kinds, values): every window of every
+    item in each reading.  item: a hash of the text; kinds, values: all words of
+    the item, in the rows of its first window only."""
 
     def run(batches):
         for b in batches:
-            raw, offsets = text_buffer(b.column(1))
-            ids = b.column(0).to_pylist()
-            out = {k: [] for k in ("item_id", "item_words", "at", "win", "kinds", "values")}
-            for i, key in enumerate(ids):
+            raw, offsets = text_buffer(b.column(2))
+            ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = {k: [] for k in ("item_id", "item", "item_words", "at", "win", "kinds", "values")}
+            for i, (key, item) in enumerate(zip(ids, keys, strict=True)):
                 part = raw[offsets[i] : offsets[i + 1]]
                 kind, value, first = template(part, np.asarray([0, len(part)]))
                 where, h = windows(kind, value, first, width)
                 for at, win in zip(where.tolist(), h.view(np.int64).tolist(), strict=True):
                     out["item_id"].append(key)
+                    out["item"].append(item)
                     out["item_words"].append(len(kind))
                     out["at"].append(at)
                     out["win"].append(win)
-                    out["kinds"].append(kind[at : at + width].tobytes())
-                    out["values"].append(value[at : at + width].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("kinds", pa.binary()), ("values", pa.binary())]))
+                    out["kinds"].append(None if at else kind.tobytes())
+                    out["values"].append(None if at else value.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("kinds", pa.binary()), ("values", pa.binary())]))
 
-    schema = "item_id long, item_words int, at int, win long, kinds binary, values binary"
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), schema)
+    schema = "item_id long, item long, item_words int, at int, win long, kinds binary, values binary"
+    text = F.col("text").cast("string")
+    return items.select(F.col("item_id").cast("long"), F.xxhash64(text).alias("item"), text).mapInArrow(tidy(run), schema)
 
 
 def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, row, pos, win, values) of the windows of whole texts whose hash
-    is in ``wanted`` (None: of all)."""
+    """(doc_id, doc, pos, win, start, kinds, values) of the windows of whole texts
+    whose hash is in ``wanted`` (None: of all).  doc: a hash of the text; kinds,
+    values: the words from ``start`` on, ``width`` before the window to ``width``
+    after it."""
 
     def run(batches):
         for b in batches:
-            ids, done = b.column(0), 0
-            raw, offsets = text_buffer(b.column(1))
+            ids, done = pa.StructArray.from_arrays([b.column(0), b.column(1)], ["doc_id", "doc"]), 0
+            raw, offsets = text_buffer(b.column(2))
             for s, e in spans_of(offsets, 1 << 18):
                 part, own = raw[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]
                 kind, value, first = template(part, own)
@@ -172,35 +180,122 @@ def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) ->
                         ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                     at, h = at[ok], h[ok]
                 doc = np.searchsorted(first, at, side="right") - 1
-                values = [value[p : p + width].astype("<u8").tobytes() for p in at.tolist()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0), pa.array(at - first[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(values, pa.binary())], ["doc_id", "pos", "win", "values"])
+                lo, hi = np.maximum(at - width, first[doc]), np.minimum(at + 2 * width, first[doc + 1])
+                ranges = list(zip(lo.tolist(), hi.tolist(), strict=True))
+                own_ids = ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0)
+                kinds, values = [kind[p:q].tobytes() for p, q in ranges], [value[p:q].astype("<u8").tobytes() for p, q in ranges]
+                yield pa.RecordBatch.from_arrays(
+                    [*own_ids.flatten(), pa.array(at - first[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(lo - first[doc], pa.int64()), pa.array(kinds, pa.binary()), pa.array(values, pa.binary())],
+                    ["doc_id", "doc", "pos", "win", "start", "kinds", "values"],
+                )
                 done += e - s
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, pos long, win long, values binary")
-
-
-def _consistent(kinds: list[bytes], keys: list[bytes], theirs: list[bytes]) -> bool:
-    """Whether equal values of the item stand for equal values of the document
-    and the other way round, all along a line-up.  OPEN words of the item don't
-    decide: one that is no name may have been swapped like any plain word."""
-    there, back = {}, {}
-    for c, k, d in zip(kinds, keys, theirs, strict=True):
-        for kind, x, y in zip(c, np.frombuffer(k, "<u8").tolist(), np.frombuffer(d, "<u8").tolist(), strict=True):
-            if kind != OPEN and (there.setdefault(x, y) != y or back.setdefault(y, x) != x):
-                return False
-    return True
+    schema = "doc_id long, doc long, pos long, win long, start long, kinds binary, values binary"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("doc"), text).mapInArrow(tidy(run), schema)
+
+
+def _chain(match: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """The diagonal (row of ``match``: diagonal, item word) of each item word on the
+    best chain: positions ascend in item and document, each matching word counts
+    1 and each change of the diagonal costs 1."""
+    count, words = match.shape
+    # From diagonal j to k: item words that can't be used between them.
+    skipped = np.maximum(0, diagonals[:, None] - diagonals[None, :])
+    cost = (~np.eye(count, dtype=bool)).astype(np.int64)
+    best = np.zeros((words + 1, count), np.int64)
+    came = np.zeros((words, count), np.int64)
+    own = np.arange(count)
+    for i in range(words):
+        scores = best[np.maximum(i - skipped, 0), own[:, None]] - cost
+        came[i] = scores.argmax(axis=0)
+        keep = scores[own, own] >= scores[came[i], own]
+        came[i][keep] = own[keep]
+        best[i + 1] = scores[came[i], own] + match[:, i]
+    out = np.full(words, -1, np.int64)
+    i, k = words - 1, int(best[words].argmax())
+    while i >= 0:
+        out[i] = k
+        j = int(came[i, k])
+        i, k = i - 1 - int(skipped[j, k]), j
+    return out
+
+
+def _judged(ik: list[int], iv: list[int], dk: list[int], dv: list[int]) -> tuple[int, bool] | None:
+    """(covered words, exact) of matched pairs of item and document words, None
+    if slot values conflict: an item's value stands for one of the document's and
+    the other way round.  Where plain words are at least as many as slots, a
+    fifth of the slots may conflict either way, and one value may always take the
+    place of a second one too.  A conflicting word isn't covered."""
+    there, back, plain, soft, slots = {}, {}, set(), [], 0
+    for k, x, y in zip(ik, iv, dv, strict=True):
+        if k in (NUMBER, NAME, UNIT):
+            slots += 1
+            there.setdefault(x, Counter())[y] += 1
+            back.setdefault(y, Counter())[x] += 1
+        elif x == y:
+            plain.add(x)
+        else:
+            soft.append((x, y))
+    same = len(ik) - slots - len(soft)
+    forth = sum(c.total() - max(c.values()) for c in there.values())
+    reverse = sum(c.total() - max(c.values()) for c in back.values())
+    some = slots // 5 if same >= slots else 0
+    if forth > some or reverse - forth > (max(1, some) if same >= slots else 0):
+        return None
+    # OPEN words that differ: a swapped name if that fits, else a swapped plain word.
+    stands = {x: c.most_common(1)[0][0] for x, c in there.items()}
+    swapped = 0
+    for x, y in soft:
+        swapped += x not in plain and stands.setdefault(x, y) == y
+    exact = not soft and all(set(c) == {x} for x, c in there.items())
+    return same + slots - forth + swapped, exact
+
+
+def _placed(rows: list[dict], kinds: bytes, values: bytes, covered: float):
+    """(coverage, exact, pos) of each place where the hits ``rows`` of a document
+    line an item up."""
+    ik, iv = np.frombuffer(kinds, np.uint8), np.frombuffer(values, "<u8")
+    low = min(r["start"] for r in rows)
+    span = max(r["start"] + len(r["kinds"]) for r in rows) - low
+    dk, dv = np.full(span, 255, np.uint8), np.zeros(span, np.uint64)
+    for r in rows:
+        at = r["start"] - low
+        dk[at : at + len(r["kinds"])] = np.frombuffer(r["kinds"], np.uint8)
+        dv[at : at + len(r["kinds"])] = np.frombuffer(r["values"], "<u8")
+    diagonals = np.asarray(sorted({r["pos"] - r["at"] for r in rows}), np.int64)
+    p = diagonals[:, None] + np.arange(len(ik)) - low
+    inside = (p >= 0) & (p < span)
+    p = np.clip(p, 0, span - 1)
+    k, v = np.where(inside, dk[p], 255), dv[p]
+    named = np.isin(ik, (NAME, OPEN)) & np.isin(k, (NAME, OPEN))
+    match = (k != 255) & (named | (iv == v) | ((ik == k) & np.isin(ik, (NUMBER, UNIT))))
+    full = match.sum(axis=1)
+    lines = [np.full(len(ik), d) for d in np.flatnonzero(full >= covered * len(ik))]
+    if len(diagonals) > 1 and full.max() < len(ik):
+        lines.append(_chain(match, diagonals))
+    for line in lines:
+        i = np.flatnonzero((line >= 0) & match[line, np.arange(len(ik))])
+        if len(i) < covered * len(ik):
+            continue
+        d = line[i]
+        got = _judged(ik[i].tolist(), iv[i].tolist(), k[d, i].tolist(), v[d, i].tolist())
+        if got and got[0] >= covered * len(ik):
+            yield got[0] / len(ik), got[1], int(diagonals[d[0]])
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, coverage, exact, pos): items of ``items`` (item_id, text)
     that a document of ``docs`` (doc_id, text) holds, alike or
-    re-parameterised: of the item's windows at least the share ``covered`` stand
-    on one diagonal of the document, with one-to-one slot values.  exact: all
-    slot values are equal too.  pos: the first word.
+    re-parameterised: of the item's words at least the share ``covered`` stand in
+    their order in the document, around common windows of ``width`` words and
+    with less than the item's length of words put in or left out, and slot values
+    fit as ``_judged`` says.  exact: all slot values are equal too.  pos: where
+    the item's first word is, or would be.
 
     Null and empty texts hold nothing and are held by nothing, as are items of
     fewer than ``width`` words.  Repeated documents and items count alike; the
-    best line-up of a document and an item is returned, ties by position.
+    best place of a document and an item is returned, ties by position.
     """
     spark = docs.sparkSession
     known = written(item_windows(items, width), "items")
@@ -212,23 +307,24 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float
         wanted = None
     found = document_windows(docs, width, wanted)
     found = written(found, "found") if wanted is not None else found
-    lined = found.join(known.select("item_id", "item_words", "at", "win", "kinds", F.col("values").alias("theirs")), "win")
-    lined = lined.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "item_words", "at", "kinds", "values", "theirs")
-    per = lined.groupBy("doc_id", "item_id", "diagonal", "item_words").agg(F.countDistinct("at").alias("n"), F.sort_array(F.collect_set(F.struct("at", "kinds", "values", "theirs"))).alias("rows"))
-    per = per.withColumn("coverage", F.col("n") / (F.col("item_words") - F.lit(width - 1))).where(F.col("coverage") >= covered)
+    lined = found.join(known.select("item_id", "item", "item_words", "at", "win"), "win")
+    # Chains of less drift than the item is long lie in two neighbouring blocks of diagonals.
+    block = F.floor((F.col("pos") - F.col("at")) / F.col("item_words"))
+    lined = lined.select("doc_id", "doc", "item_id", "item", "item_words", F.explode(F.array(block, block - 1)).alias("block"), F.struct("pos", "at", "start", "kinds", "values").alias("row"))
+    per = lined.groupBy("doc_id", "doc", "item_id", "item", "item_words", "block").agg(F.collect_set("row").alias("rows"))
+    # A hit shows 3 * width words of the document at most.
+    per = per.where(F.size("rows") * F.lit(3 * width) >= F.lit(covered) * F.col("item_words"))
+    whole = known.where("kinds is not null").select("item", "kinds", "values").dropDuplicates(["item"])
+    per = per.join(whole, "item").select("doc_id", "item_id", "rows", "kinds", "values")
 
     def check(batches):
         for b in batches:
-            keep, exact = [], []
-            for i, rows in enumerate(b.column("rows").to_pylist()):
-                mine, theirs = [r["theirs"] for r in rows], [r["values"] for r in rows]
-                if _consistent([r["kinds"] for r in rows], mine, theirs):
-                    keep.append(i)
-                    exact.append(mine == theirs)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(k).take(take) for k in range(4)] + [pa.array(exact, pa.bool_())], ["doc_id", "item_id", "coverage", "pos", "exact"])
-
-    good = per.select("doc_id", "item_id", "coverage", F.col("diagonal").alias("pos"), "rows").mapInArrow(tidy(check), "doc_id long, item_id long, coverage double, pos long, exact boolean")
+            out = [(i, *place) for i, (rows, kinds, values) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)) for place in _placed(rows, kinds, values, covered)]
+            take, coverage, exact, pos = zip(*out, strict=True) if out else ((), (), (), ())
+            take = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(coverage, pa.float64()), pa.array(pos, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "item_id", "coverage", "pos", "exact"])
+
+    good = per.mapInArrow(tidy(check), "doc_id long, item_id long, coverage double, pos long, exact boolean")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "exact", F.negative("pos").alias("at"))).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", "b.exact", F.negative("b.at").alias("pos"))
 

@@ -170,6 +170,28 @@ def test_leaks_with_other_names_at_sentence_starts(spark):
     assert sorted((r.doc_id, r.exact) for r in decontamination.leaks(docs(spark, rows), items).collect()) == [(0, False), (1, False), (2, True)]
 
 
+def test_leaks_with_words_put_in_left_out_or_replaced(spark):
+    filler = " ".join(f"w{chr(97 + i % 26)}x{chr(97 + i // 26)}" for i in range(80))
+    item = "On Monday Tom buys 12 red apples for the whole class and then he gives 3 of them to Anna so how many apples are left"
+    texts = [
+        item.replace("Tom", "Mary Ann"),
+        item.replace("12", "1 200"),
+        item.replace("the whole class", "the class"),
+        item.replace("class", "team"),
+        item.replace("red", "green"),
+        item.replace("12", "7").replace("3", "7"),
+        item.replace("Anna", "Ben").replace("12", "40") + " " + item,
+        item.replace("class and then he gives", filler),
+        " ".join(item.split()[::-1]),
+    ]
+    rows = [(i, f"{filler}. {t} {filler}", "a") for i, t in enumerate(texts)]
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    out = {r.doc_id: r for r in decontamination.leaks(docs(spark, rows), items).collect()}
+    assert sorted(out) == [0, 1, 2, 3, 4, 5, 6]
+    assert out[3].coverage == pytest.approx(25 / 26) and not out[5].exact
+    assert out[6].exact and out[6].coverage == 1.0 and out[6].pos == 80 + 26
+
+
 def test_leaks_odd_rows(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontamination.leaks(docs(spark, ODD), bench).count() == 0
