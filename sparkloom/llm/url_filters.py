@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DEPTH = 3
-#: A place whose children are this many and come up less often than REPEATS each is variable.
+#: A place whose children are this many and come up less often than REPEATS each
+#: is variable: those of its children that do come up less often and whose bad
+#: share is like the place's become a wildcard.
 CHILDREN, REPEATS = 8, 4
 #: Standard errors within which a child's bad share is like its siblings'.
 ALIKE = 2.0
@@ -54,14 +55,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments of a path with ids as wildcards, and ** if there
-    are more."""
+    """The segments of a path with ids as wildcards."""
 
     def shaped(s):
         return F.when(s.rlike(DIGITS), "*").when(s.rlike(ENDED), F.concat(F.lit("*"), F.regexp_extract(s, ENDED, 1))).when((F.length(s) >= 8) & s.rlike(HEX), "*").otherwise(s)
 
-    every = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.concat(F.transform(F.slice(every, 1, DEPTH), shaped), F.when(F.size(every) > DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shaped)
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], by: Column) -> DataFrame:
@@ -75,18 +74,23 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], by: Column) -> D
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path_key, segs, n, labelled, bad: a row for each distinct
     host and segs) with ``template``."""
-    for level in range(1, DEPTH + 1):
-        here = paths.withColumn("prefix", F.array_join(F.slice("segs", 1, level - 1), "/")).withColumn("child", F.element_at("segs", F.when(F.size("segs") >= level, level).otherwise(F.lit(None).cast("int"))))
-        child = here.where("child is not null").groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    # Each level takes the paths that reach it; those that end before it are done.
+    done, longest = [], paths.agg(F.max(F.size("segs"))).first()[0] or 0
+    for level in range(1, longest + 1):
+        done.append(paths.where(F.size("segs") < level))
+        here = paths.where(F.size("segs") >= level).withColumn("prefix", F.array_join(F.slice("segs", 1, level - 1), "/")).withColumn("child", F.element_at("segs", level))
+        child = here.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         place = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), ((F.sum("bad") + 1.0) / (F.sum("labelled") + 2.0)).alias("share"))
         judged = _salted(child, place, ["host", "prefix"], F.col("child"))
-        judged = judged.withColumn("variable", F.expr(f"children >= {CHILDREN} and all_n < {REPEATS} * children"))
         judged = judged.withColumn("alike", F.expr(f"abs(bad - labelled * share) <= {ALIKE} * sqrt(labelled * share * (1 - share)) + 1e-9"))
+        judged = judged.withColumn("variable", F.expr(f"children >= {CHILDREN} and all_n < {REPEATS} * children and n < {REPEATS} and alike"))
         judged = written(judged.select("host", "prefix", "child", "variable", "alike"), "judged")
         pairs = judged.groupBy("host", "prefix").agg(F.count_if("alike").alias("alikes"))
         merged = _salted(judged, pairs, ["host", "prefix"], F.col("child")).where("variable or (alike and alikes >= 2)").select("host", "prefix", "child", F.lit(True).alias("wild"))
         wild = F.expr(f"transform(segs, (s, i) -> case when i = {level - 1} and wild then '*' else s end)")
         paths = written(here.join(merged, ["host", "prefix", "child"], "left").withColumn("segs", F.when(F.col("wild"), wild).otherwise(F.col("segs"))).drop("prefix", "child", "wild"), "paths")
+    for ended in done:
+        paths = paths.unionByName(ended)
     return paths.withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/")))
 
 

@@ -94,6 +94,24 @@ def test_bad_templates_are_blocked_and_clean_ones_not(spark):
     assert {(r.template, r.verdict) for r in out} == {("/spam/*.html", "block"), ("/news/*.html", "allow")}
 
 
+def test_url_templates_below_the_third_level(spark):
+    rows = [(i, f"x://a.com/2024/05/12/{'casino' if i % 2 else 'news'}/{'xy'[i % 4 // 2]}") for i in range(80)]
+    rows += [(100 + i, "x://a.com/b/c/d/e/f/g/h") for i in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "page_id long, bad int")
+    out = {r.page_id: r for r in url_filters.judged_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()}
+    assert len(out) == 83
+    assert {(out[i].template, out[i].verdict) for i in range(80)} == {("/*/*/*/casino/*", "block"), ("/*/*/*/news/*", "allow")}
+    assert out[100].template.count("/") == 7
+
+
+def test_url_branches_that_repeat_stay_out_of_variable_places(spark):
+    rows = [(i, f"x://a.com/s{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(60)] + [(100 + i, "x://a.com/casino") for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "page_id long, bad int")
+    out = url_filters.judged_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
+    assert {(r.template, r.verdict) for r in out if r.page_id >= 100} == {("/casino", "block")}
+    assert {(r.template, r.verdict) for r in out if r.page_id < 100} == {("/*", "allow")}
+
+
 # ------------------------------------------------------------ 3: fingerprints
 
 
