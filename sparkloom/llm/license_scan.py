@@ -8,6 +8,8 @@ text around the window holds.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,38 @@ TEMPLATES = [
 ]
 
 
+#: Full texts by SPDX name, and words of the pieces they are cut into.
+TEXTS = Path(__file__).parent / "licenses"
+PIECE = 64
+
+# Full texts and headers of other licenses.
+MORE = [
+    ("MIT-text", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause-text", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("GPL-2.0-notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC-BY-SA-4.0-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+]
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """TEMPLATES, MORE and the pieces of the full texts; all pieces of a text have
+    its name with -text."""
+    out = TEMPLATES + MORE
+    for path in sorted(TEXTS.glob("*.txt")):
+        words = path.read_text(encoding="utf-8").split()
+        cuts = [words[i : i + PIECE] for i in range(0, len(words), PIECE)]
+        if len(cuts) > 1 and len(cuts[-1]) < PIECE // 2:
+            cuts[-2:] = [cuts[-2] + cuts[-1]]
+        out = out + [(path.stem + "-text", " ".join(c)) for c in cuts]
+    return out
+
+
 def _signatures(h: np.ndarray, starts: np.ndarray, stops: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band keys of the shingle ranges [start, stop), none empty."""
     times, plus = _odd(71, bands * rows), _odd(83, bands * rows)
@@ -70,14 +104,14 @@ class Scanner:
             raise ValueError("the templates are too long to be sent to the tasks")
         # One window length for each power of two that a template's size asks for.
         self.scales = sorted({1 << int(np.ceil(np.log2(max(n, 2)))) for n in sizes})
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for scale in self.scales:
             own = [i for i, n in enumerate(sizes) if n and 1 << int(np.ceil(np.log2(max(n, 2)))) == scale]
             if own:
                 k = np.concatenate([_signatures(self.sets[i], np.asarray([0]), np.asarray([len(self.sets[i])]), bands, rows)[0] for i in own])
                 t = np.repeat(own, bands)
                 order = np.argsort(k, kind="stable")
-                self.keys[scale] = k[order], t[order]
+                self.keys[scale] = k[order], t[order], np.unique(np.concatenate([self.sets[i] for i in own]))
 
     def _shingles(self, column):
         raw, offsets = text_buffer(column)
@@ -86,9 +120,20 @@ class Scanner:
         h, before = shingle_hashes(word_hashes(low, starts, ends), first, self.shingle)
         return h, before, starts, ends, first
 
+    def _bettered(self, best: dict, d: int, t: int) -> bool:
+        """Whether a notice is another one's with a few words changed: the other is
+        held to a larger share on most of the same words."""
+        share, at, words = best[(d, t)]
+        if not self.names[t].endswith("-notice"):
+            return False
+        for (e, u), (more, there, long) in best.items():
+            if e == d and more > share and self.names[u].endswith("-notice") and 2 * (min(words - at, long - there) - max(-at, -there)) > words:
+                return True
+        return False
+
     def scan(self, column: pa.Array):
         """(document, template, containment, first word, words) of each find, the
-        best place of a template in a document."""
+        best place of a name's templates in a document."""
         out = []
         raw, offsets = text_buffer(column)
         for a, b in spans_of(offsets, 1 << 19):
@@ -97,7 +142,7 @@ class Scanner:
             if not len(h):
                 continue
             best: dict[tuple[int, int], tuple] = {}
-            for scale, (keys, names) in self.keys.items():
+            for scale, (keys, names, shingles) in self.keys.items():
                 step = max(1, scale // 2)
                 n = np.diff(before)
                 count = np.where(n > 0, (np.maximum(n - scale, 0) + step - 1) // step + 1, 0)
@@ -108,7 +153,7 @@ class Scanner:
                 good = start < stop
                 doc, start, stop = doc[good], start[good], stop[good]
                 # Windows that hold no shingle of any template can't lead to a find.
-                known = np.isin(h, np.unique(np.concatenate([self.sets[i] for i in np.unique(names)])))
+                known = np.isin(h, shingles)
                 upto = np.concatenate([[0], np.cumsum(known)])
                 some = upto[stop] > upto[start]
                 doc, start, stop = doc[some], start[some], stop[some]
@@ -134,24 +179,26 @@ class Scanner:
                     if share >= self.contained:
                         where = np.flatnonzero(inside)
                         found = (share, -(lo + int(where[0]) - int(before[d])), int(where[-1] - where[0]) + self.shingle)
-                        if found > best.get((d, t), (0.0, 0, 0)):
-                            best[(d, t)] = found
-            out += [(a + d, t, share, -at, words) for (d, t), (share, at, words) in sorted(best.items())]
+                        own = self.names.index(self.names[t])
+                        if found > best.get((d, own), (0.0, 0, 0)):
+                            best[(d, own)] = found
+            out += [(a + d, t, share, -at, words) for (d, t), (share, at, words) in sorted(best.items()) if not self._bettered(best, d, t)]
         return out
 
 
-def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, **options) -> DataFrame:
-    """(doc_id, license, containment, first_word, n_words) for each template of
-    ``templates`` (name, text) that a document of ``docs`` (doc_id, text) holds:
+def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, **options) -> DataFrame:
+    """(doc_id, license, containment, first_word, n_words) for each name of
+    ``templates`` (name, text; None: ``all_templates``) one of whose texts a document of ``docs`` (doc_id, text) holds:
     of its distinct word shingles, A-Z lower-cased, at least the share
-    ``contained`` stands around one window.  The best place of a template is
-    returned, the first of equal ones.
+    ``contained`` stands around one window.  The best place of a name is
+    returned, the first of equal ones; texts that licenses share name them all; of notices
+    that differ in a few words the one that fits best is named.
 
     Null and empty texts and templates give nothing; a template shorter than a
     shingle is matched as a whole text of its words only.  Repeated rows come
     back as often as they are given.
     """
-    scanner = Scanner(templates, **options)
+    scanner = Scanner(all_templates() if templates is None else templates, **options)
 
     def run(batches):
         for b in batches:

@@ -164,6 +164,24 @@ def test_licenses(spark):
     assert license_scan.scanned(docs(spark, [])).count() == 0
 
 
+def test_license_bodies_and_other_licenses(spark):
+    body = (license_scan.TEXTS / "GPL-2.0.txt").read_text().split()
+    rows = [
+        (1, " ".join(body), "a"),
+        (2, "junk words here " * 20 + " ".join(body[900:1100]), "a"),
+        (3, dict(license_scan.MORE)["ISC-text"], "a"),
+        (4, "x y z " * 9 + dict(license_scan.MORE)["MPL-2.0-notice"], "a"),
+        (5, "some plain prose about nothing at all " * 20, "a"),
+    ]
+    out = [(r.doc_id, r.license) for r in license_scan.scanned(docs(spark, rows)).collect()]
+    assert len(out) == len(set(out))
+    assert {(1, "GPL-2.0-text"), (2, "GPL-2.0-text"), (3, "ISC-text"), (4, "MPL-2.0-notice")} <= set(out)
+    assert not [x for x in out if x[0] == 5]
+    notices = [(i, text, "a") for i, (name, text) in enumerate(license_scan.TEMPLATES + license_scan.MORE) if name.endswith("-notice")]
+    named = {r.doc_id: r.license for r in license_scan.scanned(docs(spark, notices)).collect() if r.license.endswith("-notice")}
+    assert [named[i] for i, _, _ in notices] == [n for n, _ in license_scan.TEMPLATES + license_scan.MORE if n.endswith("-notice")]
+
+
 # --------------------------------------------------------- 5: decontamination
 
 
