@@ -129,7 +129,7 @@ def quantile_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
     if buckets < 2:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    got = df.select(F.percentile_approx(F.col(column), shares, 20_000)).first()[0]
+    got = df.select(F.percentile_approx(F.col(column), shares, max(20_000, 8 * buckets))).first()[0]
     return sorted(set(got or []))
 
 

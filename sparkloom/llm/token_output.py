@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +23,65 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, quantile_bounds, scratch_path, text_buffer, tidy, word_hashes, written
+from .common import dropped, quantile_bounds, scratch_path, text_buffer, tidy, written
 
 MAGIC = 0x31465548  # "HUF1"
 BLOCK = 512
 MAX_LENGTH = 18
 IDS_PER_SHARD = 4_000_000
 IDS_PER_IMAGE = 2_000_000
-#: Entries of the chunk cache of one Python worker, about 100 MB.
+#: Shards are tasks; beyond so many they hold more ids each, in images of the same size.
+MAX_SHARDS = 100_000
+#: Pieces that one Python worker keeps, about 100 MB.
 CACHE_ENTRIES = 500_000
 
 
 # ------------------------------------------------------------------- tokenizing
 
 
+LETTER, DIGIT, SIGN, BLANK, ODD = range(5)
+
+
+def _classes() -> np.ndarray:
+    """The class of each code point below 65,536 in the pattern of byte-level BPE.
+    ODD: code points that Unicode versions may tell apart differently."""
+    import unicodedata
+
+    out = np.full(1 << 16, SIGN, np.uint8)
+    for c in range(1 << 16):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LN":
+            out[c] = LETTER if kind[0] == "L" else DIGIT
+        elif kind in ("Cn", "Cs"):
+            out[c] = ODD
+    # White space.
+    out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+    out[[0x1C, 0x1D, 0x1E, 0x1F, 0x180E]] = ODD
+    return out
+
+
 class ChunkTokenizer:
-    """Byte-level BPE of whole texts, one library call for many new chunks.
+    """Byte-level BPE of whole texts, one library call for many new pieces.
 
-    A single space between two non-blank characters always starts a new piece of
-    this tokenizer's pattern, so a text is the concatenation of its chunks with
-    their leading space, and ids of chunks seen before come from a bounded cache.
-    Texts for which this doesn't hold (runs of blanks, blanks beside line ends,
-    literal special tokens) are passed to the library whole.
+    The pattern of byte-level BPE cuts a text into pieces that are encoded
+    independently, so a text's ids are those of its pieces, and ids of pieces seen
+    before come from a bounded cache.  The cuts are found for all bytes of a batch
+    at once.  Texts with literal special tokens or odd code points, and tokenizers
+    of another kind, are passed to the library whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        rule = self.whole.pre_tokenizer
         line_end = self.whole.encode("\n", add_special_tokens=False).ids
         self.line_end = line_end[0] if line_end else None
-        kind = self.whole.pre_tokenizer
-        self.byte_level = len(line_end) == 1 and self.whole.normalizer is None and kind is not None and type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex
-        # The pattern of byte-level BPE.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.text_rule, self.piece_rule = kind, pre_tokenizers.CharDelimiterSplit("\n")
-        self.alphabet = self._alphabet()
+        self.text_rule, self.piece_rule, self.alphabet = rule, pre_tokenizers.CharDelimiterSplit("\n"), self._alphabet()
+        self.byte_level = len(line_end) == 1 and self.whole.normalizer is None and rule is not None and type(rule).__name__ == "ByteLevel" and not rule.add_prefix_space and rule.use_regex
+        self.classes = _classes()
         self._clear()
 
     @staticmethod
@@ -79,96 +99,141 @@ class ChunkTokenizer:
         out[255] = "\n"
         return "".join(out)
 
-    def _pieces(self, texts: list[str], **options):
-        """Encodes with the delimiter as the only rule: one vocabulary in memory
-        serves both ways."""
-        self.whole.pre_tokenizer = self.piece_rule
-        try:
-            return self.whole.encode_batch_fast(texts, **options)
-        finally:
-            self.whole.pre_tokenizer = self.text_rule
-
-    def _array(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
-
-    def _learned(self, fresh: list[str]) -> list[bytes | None]:
-        """Ids of chunks; None for one that can't stand alone."""
-        out: list[bytes | None] = [None] * len(fresh)
-        good = []
-        for k, c in enumerate(fresh):
-            text = c[1:] if c[:1] == " " else c
-            if text and not text[0].isspace() and not text[-1].isspace() and not any(s in c for s in self.special):
-                good.append(k)
-        split = [self.pattern.findall(fresh[k]) for k in good]
-        of = {p: b"" for x in split for p in x}
-        names = [p for p in of if "\n" not in p]
-        if names:
-            joined = b"\xff\n\xff".join(p.encode() for p in names).decode("latin1").translate(self.alphabet)
-            ids = np.asarray(self._pieces([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
-            stops = np.flatnonzero(ids == self.line_end)
-            raw, width = ids.tobytes(), ids.itemsize
-            at, to = [0, *((stops + 1) * width).tolist()], [*(stops * width).tolist(), len(raw)]
-            of |= {p: raw[i:j] for p, i, j in zip(names, at, to, strict=True)}
-        lines = [p for p in of if "\n" in p]
-        for p, e in zip(lines, self.whole.encode_batch_fast(lines, add_special_tokens=False), strict=True):
-            of[p] = self._array(e.ids)
-        for k, x in zip(good, split, strict=True):
-            out[k] = of[x[0]] if len(x) == 1 else b"".join([of[p] for p in x])
-        return out
-
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.check = np.zeros(0, np.uint64)
-        self.size = np.zeros(0, np.int64)
-        self.start = np.zeros(0, np.int64)
-        self.bad = np.zeros(0, bool)
-        self.ids = np.zeros(0, self.kind)
-
-    def encoded(self, column: pa.Array) -> list[bytes]:
-        """Ids of each text of an Arrow column; null: empty.  Chunks are told
-        apart by two 64-bit hashes and looked up once for all their copies."""
-        if not self.byte_level:
-            return [self._array(e.ids) for e in self.whole.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        self.slot: dict[bytes, int] = {}
+        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind)
+        self.n_ids = 0
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Adds the ids of pieces; the buffers double when full."""
+        lines = [p for p in fresh if b"\n" in p]
+        for some, ids in ((lines, [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in lines], add_special_tokens=False)]), ([p for p in fresh if b"\n" not in p], None)):
+            if not some:
+                continue
+            if ids is None:
+                # One text of all pieces, cut by the delimiter alone.
+                text = b"\xff\n\xff".join(some).decode("latin1").translate(self.alphabet)
+                self.whole.pre_tokenizer = self.piece_rule
+                try:
+                    flat = np.asarray(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+                finally:
+                    self.whole.pre_tokenizer = self.text_rule
+                stops = np.append(np.flatnonzero(flat == self.line_end), len(flat))
+                size = np.diff(stops, prepend=-1) - 1
+                flat = flat[flat != self.line_end]
+            else:
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))
+            base = len(self.slot)
+            while len(self.start) < base + len(some):
+                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+            while len(self.ids) < self.n_ids + len(flat):
+                self.ids = np.append(self.ids, np.zeros_like(self.ids))
+            self.start[base : base + len(some)] = self.n_ids + np.cumsum(size) - size
+            self.size[base : base + len(some)] = size
+            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+            self.n_ids += len(flat)
+            self.slot.update(zip(some, range(base, base + len(some)), strict=True))
+
+    def _class_of(self, raw: np.ndarray) -> np.ndarray:
+        """The class of the code point that each UTF-8 byte belongs to."""
+        kind = self.classes[raw]
+        lead = np.flatnonzero(raw >= 0xC0)
+        if len(lead):
+            pad = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.uint32)
+            a, b, c, d = (pad[lead + k] for k in range(4))
+            two, three = a < 0xE0, (a >= 0xE0) & (a < 0xF0)
+            code = np.where(two, (a & 31) << 6 | b & 63, np.where(three, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
+            own = self.classes[np.minimum(code, 0xFFFF)]
+            far = code > 0xFFFF
+            if far.any():
+                import unicodedata
+
+                names, back = np.unique(code[far], return_inverse=True)
+                own[far] = np.asarray([ODD if unicodedata.category(chr(x))[0] in "LN" else SIGN for x in names.tolist()], np.uint8)[back]
+            kind[lead] = own
+            for k, some in ((1, None), (2, ~two), (3, ~two & ~three)):
+                at = lead + k if some is None else lead[some] + k
+                kind[at] = own if some is None else own[some]
+        return kind
+
+    def _cuts(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """First bytes of all pieces of non-empty texts, one after another."""
+        n = len(raw)
+        head = np.zeros(n + 1, bool)
+        head[offsets] = True
+        change = head[:n].copy()
+        change[1:] |= kind[1:] != kind[:-1]
+        blank = kind == BLANK
+        after_space = np.zeros(n, bool)
+        after_space[1:] = (raw[:-1] == 32) & ~head[1:n]
+        cut = change & (blank | ~after_space)
+        # The last blank before something else stands alone, or at its head if it is a space.
+        follows = np.flatnonzero(change & ~blank & ~head[:n])
+        last = follows[blank[follows - 1]] - 1
+        while len(last) and (more := (raw[last] & 0xC0) == 0x80).any():
+            last = last - more
+        cut[last] = True
+        # 's, 't, 'm, 'd, 're, 've and 'll where no space or sign leads.
+        at = np.flatnonzero((raw[: n - 1] == 39) & cut[: n - 1] & (kind[1:] == LETTER) & ~head[1:n])
+        if len(at):
+            first = raw[at + 1]
+            one = np.isin(first, list(b"stmd"))
+            second = raw[np.minimum(at + 2, n - 1)]
+            two = (at + 2 < n) & ~head[np.minimum(at + 2, n)] & (((first == 114) | (first == 118)) & (second == 101) | (first == 108) & (second == 108))
+            cut[at[one | two] + 1] = False
+            rest = np.where(one, at + 2, at + 3)[one | two]
+            rest = rest[rest < n]
+            cut[rest[kind[rest] == LETTER]] = True
+        return np.flatnonzero(cut)
+
+    def encoded(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of an Arrow column one after another, and how many
+        each has; null: empty.  ``end_id`` follows each text unless it is None."""
         raw, offsets = text_buffer(column)
         n = len(offsets) - 1
-        if not len(raw):
-            return [b""] * n
-        mark = raw == 32
-        mark[offsets[:-1][offsets[:-1] < len(raw)]] = True
-        starts = np.flatnonzero(mark)
-        ends = np.append(starts[1:], len(raw))
-        h, h2 = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, other=True)
-        own, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) > CACHE_ENTRIES:
-            self._clear()
-        keys = own.tolist()
-        slots = np.fromiter(map(self.slot.get, keys, repeat(-1)), np.int64, len(keys))
-        fresh = np.flatnonzero(slots < 0)
-        if len(fresh):
+        odd = np.zeros(n, bool)
+        size, tokens = np.zeros(n, np.int64), np.zeros(0, self.kind)
+        if not self.byte_level:
+            odd[:] = True
+        elif len(raw):
             data = raw.tobytes()
-            got = self._learned([data[i:j].decode() for i, j in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
-            base, width = len(self.check), np.dtype(self.kind).itemsize
-            size = np.asarray([len(x or b"") // width for x in got], np.int64)
-            self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.bad = np.append(self.bad, [x is None for x in got])
-            self.check = np.append(self.check, h2[first[fresh]])
-            self.ids = np.append(self.ids, np.frombuffer(b"".join(x or b"" for x in got), self.kind))
-            slots[fresh] = np.arange(base, base + len(fresh))
-            self.slot.update(zip(own[fresh].tolist(), slots[fresh].tolist(), strict=True))
-        slots = slots[back]
-        odd = self.bad[slots] | (self.check[slots] != h2)
-        size = self.size[slots]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        tokens = self.ids[np.arange(int(upto[-1])) + np.repeat(self.start[slots] - upto[:-1], size)]
-        of_doc = upto[np.searchsorted(starts, offsets)].tolist()
-        out = [tokens[i:j].tobytes() for i, j in zip(of_doc[:-1], of_doc[1:], strict=True)]
-        for d in np.unique(np.searchsorted(offsets, starts[odd], side="right") - 1).tolist():
-            out[d] = self._array(self.whole.encode(raw[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids)
-        return out
+            for mark in self.special:
+                at = data.find(mark)
+                while at >= 0:
+                    odd[np.searchsorted(offsets, at, side="right") - 1] = True
+                    at = data.find(mark, at + 1)
+            kind = self._class_of(raw)
+            at = np.flatnonzero(kind == ODD)
+            odd[np.searchsorted(offsets, at, side="right") - 1] = True
+            starts = self._cuts(raw, offsets, kind)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(data)]).dictionary_encode()
+            if len(self.slot) > CACHE_ENTRIES:
+                self._clear()
+            names = pieces.dictionary.to_pylist()
+            fresh = [p for p in names if p not in self.slot]
+            # A piece of an odd text may end within a mark, never within a code point.
+            if fresh:
+                self._learn(fresh)
+            slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[np.asarray(pieces.indices)]
+            each = self.size[slots]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            tokens = self.ids[np.arange(int(upto[-1])) + np.repeat(self.start[slots] - upto[:-1], each)]
+            size = np.diff(upto[np.searchsorted(starts, offsets)])
+        if odd.any():
+            parts = np.split(tokens, np.cumsum(size)[:-1]) if n else []
+            for d in np.flatnonzero(odd).tolist():
+                parts[d] = np.asarray(self.whole.encode(raw[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids, self.kind)
+            size, tokens = np.asarray([len(p) for p in parts], np.int64), np.concatenate(parts) if parts else tokens
+        if end_id is not None:
+            out = np.full(len(tokens) + n, end_id, self.kind)
+            out[np.arange(len(tokens)) + np.repeat(np.arange(n), size)] = tokens
+            tokens, size = out, size + 1
+        return tokens, size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return self.encoded(pa.array(texts, pa.large_string()))
+        tokens, size = self.encoded(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(tokens, np.cumsum(size)[:-1])] if len(size) else []
 
 
 def _batches(table: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -201,10 +266,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFr
                 t = _TOKENIZERS.get(tokenizer)
                 if t is None:
                     t = _TOKENIZERS[tokenizer] = ChunkTokenizer(tokenizer)
-                tail = b"" if end_id is None else np.asarray([end_id], t.kind).tobytes()
-                ids = [x + tail for x in t.encoded(b.column(1))]
-                width = np.dtype(t.kind).itemsize
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
+                ids, n = t.encoded(b.column(1), end_id)
+                ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+                coded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), ids.itemsize, np.int32)), coded], ["doc_id", "n_tokens", "width", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, width int, ids binary")
 
@@ -213,8 +278,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFr
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits (package-merge); ids that
-    never occur get 0, a single id gets 1."""
+    """Optimal code lengths of at most ``limit`` bits (package-merge), or of as few
+    as so many ids need; ids that never occur get 0, a single id gets 1."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.uint8)
     n = len(used)
@@ -223,8 +288,7 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     if n == 1:
         out[used] = 1
         return out
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     leaf_of_level, row = [], np.zeros(0, np.int64)
@@ -383,7 +447,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     path = path or scratch_path(spark, "tokens")
     ids = written(tokenized(docs, tokenizer, end_id), "ids")
     total = ids.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, min(100_000, -(-total // ids_per_shard)))
+    shards = max(1, -(-total // max(ids_per_shard, -(-total // MAX_SHARDS))))
     bounds = np.asarray(quantile_bounds(ids, "doc_id", shards), np.int64)
 
     def shard_of(column: pa.Array) -> np.ndarray:
@@ -393,9 +457,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         return at
 
     def ids_of(b: pa.RecordBatch) -> np.ndarray:
-        raw = b"".join(b.column("ids").to_pylist())
-        width = b.column("width")[0].as_py()
-        return np.frombuffer(raw, np.uint16 if width == 2 else np.uint32)
+        return text_buffer(b.column("ids"))[0].view(np.uint16 if b.column("width")[0].as_py() == 2 else np.uint32)
 
     def tally(batches):
         counts, sums = np.zeros(1 << 10, np.int64), np.zeros(len(bounds) + 1, np.int64)
