@@ -260,33 +260,120 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 BITMAP_BITS = 1 << 23
 
 
-def id_bitmap(ids: DataFrame, column: str) -> DataFrame:
-    """A bitmap of the hashed ids as at most 131,072 rows (slot, bits)."""
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
-    return ids.select(F.shiftright(h, 6).cast("int").alias("_slot"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {BITMAP_BITS}) & 63 as int))").alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
-def with_possible(df: DataFrame, column: str, bitmap: DataFrame, name: str) -> DataFrame:
-    """``df`` with boolean ``name``: false only where the id is surely not in the
+def _places(columns: list[Column]) -> tuple[Column, Column]:
+    """The word of the bitmap and the bit within it that stand for a key."""
+    h = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS).cast("long"))
+    return F.shiftright(h, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+
+
+def id_bitmap(ids: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of the hashed ids as at most 131,072 rows (_slot, _bits)."""
+    slot, bit = _places([F.col(c) for c in columns])
+    return ids.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def with_possible(df: DataFrame, columns: Column | str | list[Column], bitmap: DataFrame, name: str) -> DataFrame:
+    """``df`` with boolean ``name``: false only where the key is surely not in the
     bitmap.  The broadcast is bounded by BITMAP_BITS, so a filter on it spares a
     shuffle of wide rows; an exact join of the few that pass follows where the
-    result must be exact."""
-    slot = F.shiftright(F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS)), 6).cast("int")
-    hit = F.expr(f"coalesce((_bits & shiftleft(1L, cast(pmod(xxhash64(`{column}`), {BITMAP_BITS}) & 63 as int))) != 0, false)")
-    return df.withColumn("_at", slot).join(F.broadcast(bitmap), F.col("_at") == F.col("_slot"), "left").withColumn(name, hit).drop("_at", "_slot", "_bits")
+    result must be exact.  ``df`` may have columns of any other name."""
+    columns = columns if isinstance(columns, list) else [F.col(columns) if isinstance(columns, str) else columns]
+    slot, bit = _places(columns)
+    at, word, bits = (fresh_name(df, x) for x in ("_at", "_slot", "_bits"))
+    bitmap = bitmap.select(F.col("_slot").alias(word), F.col("_bits").alias(bits))
+    out = df.withColumn(at, slot).join(F.broadcast(bitmap), F.col(at) == F.col(word), "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)).alias(name))
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """What tells rows of documents apart by id and text: whether the id is null,
+    the id, and 128 bits of the text's hash.  None is null."""
+    text = df["text"].cast("string")
+    return [df["doc_id"].isNull(), F.coalesce(df["doc_id"].cast("long"), F.lit(0).cast("long")), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+#: Names of the ``row_keys`` in a table of them.
+ROW_KEYS = ["z", "id", "x1", "x2"]
+
+
+def without_rows(df: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """``df`` (doc_id, text, ...) without the rows whose ``row_keys`` are in ``gone``
+    (columns ROW_KEYS), null ids among them; of rows whose keys are in
+    ``repeated`` one stays.  Only rows that the bitmap can't rule out are
+    shuffled."""
+    known = gone if repeated is None else gone.unionByName(repeated)
+    maybe = fresh_name(df, "_maybe")
+    marked = with_possible(df, row_keys(df), written(id_bitmap(known, *ROW_KEYS), "bitmap"), maybe)
+    sure, rest = marked.where(~F.col(maybe)).drop(maybe), marked.where(F.col(maybe)).drop(maybe)
+    names = [fresh_name(df, "_key_" + k) for k in ROW_KEYS]
+    rest = rest.select("*", *[k.alias(n) for k, n in zip(row_keys(rest), names, strict=True)])
+    rest = rest.join(gone.select(*[F.col(k).alias("_gone_" + n) for k, n in zip(ROW_KEYS, names, strict=True)]), [F.col(n) == F.col("_gone_" + n) for n in names], "left_anti")
+    if repeated is not None:
+        rest = rest.dropDuplicates(names)
+    return sure.unionByName(rest.drop(*names))
 
 
-def without_ids(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose id is in ``gone`` (one column of that name).
-    Only rows that the bitmap can't rule out are shuffled.  Null ids stay."""
-    gone = gone.select(F.col(column).alias("_gone"))
-    marked = with_possible(df, column, written(id_bitmap(gone, "_gone"), "bitmap"), "_maybe")
-    sure = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(gone, rest[column] == F.col("_gone"), "left_anti"))
+# -------------------------------------------------------- connected components
+
+#: Links that one task brings to an end, 16 bytes each; more of them first go
+#: through star steps over all tasks.
+LAST_LINKS = 2_000_000
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of two arrays of ends of links, and the smallest that
+    each reaches."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return names, names[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _joined(batches, own: bool = False):
+    """Links of a partition as (number, smallest number that links of the same
+    LAST_LINKS ones reach), with ``own`` also for that number itself."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        names, root = _roots(np.asarray(table.column(0)), np.asarray(table.column(1)))
+        go = np.ones(len(names), bool) if own else names != root
+        return pa.RecordBatch.from_arrays([pa.array(names[go]), pa.array(root[go])], ["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= LAST_LINKS:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
-# -------------------------------------------------------- connected components
+def components_of(edges: DataFrame) -> DataFrame:
+    """``connected_components`` with Arrow tasks: links of a task are joined before
+    they are written, star steps follow if they are more than LAST_LINKS, else one
+    task, bounded by that number, does the rest."""
+    e = written(edges.where("u <> v").select("u", "v").mapInArrow(tidy(_joined), "u long, v long"), "edges")
+    if e.count() > LAST_LINKS:
+        return connected_components(e)
+    return e.coalesce(1).mapInArrow(tidy(lambda batches: _joined(batches, own=True)), "node long, component long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

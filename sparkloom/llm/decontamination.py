@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, spans_of, text_buffer, tidy, without_ids, word_bounds, word_hashes, written
+from .common import ROW_KEYS, mixed, row_keys, spans_of, text_buffer, tidy, without_rows, word_bounds, word_hashes, written
 from .near_dedup import lowered
 
 WINDOW = 5
@@ -131,10 +131,24 @@ def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int)
     return np.concatenate(at), mixed(np.concatenate(out))
 
 
+def whole_windows(value: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of every window of ``width`` words as they are, without
+    placeholders: what an item of so few words is looked for by."""
+    m = len(value) - width + 1
+    if m < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(m, width, np.uint64)
+    for k in range(width):
+        h = h * _STEP + value[k : k + m]
+    inside = np.flatnonzero(np.arange(m) + width <= np.repeat(first[1:], np.diff(first))[:m])
+    return inside, mixed(h[inside] ^ np.uint64(0x0F0F0F0F0F0F0F0F))
+
+
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """(item_id, item, item_words, at, win, kinds, values): every window of every
     item in each reading.  item: a hash of the text; kinds, values: all words of
-    the item, in the rows of its first window only."""
+    the item, in the rows of its first window only.  An item of fewer than
+    ``width`` words, but not none, has one window of all its words as they are."""
 
     def run(batches):
         for b in batches:
@@ -144,7 +158,7 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
             for i, (key, item) in enumerate(zip(ids, keys, strict=True)):
                 part = raw[offsets[i] : offsets[i + 1]]
                 kind, value, first = template(part, np.asarray([0, len(part)]))
-                where, h = windows(kind, value, first, width)
+                where, h = windows(kind, value, first, width) if len(kind) >= width else whole_windows(value, first, max(len(kind), 1))
                 for at, win in zip(where.tolist(), h.view(np.int64).tolist(), strict=True):
                     out["item_id"].append(key)
                     out["item"].append(item)
@@ -160,39 +174,49 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.xxhash64(text).alias("item"), text).mapInArrow(tidy(run), schema)
 
 
-def document_windows(docs: DataFrame, width: int, wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, doc, pos, win, start, kinds, values) of the windows of whole texts
-    whose hash is in ``wanted`` (None: of all).  doc: a hash of the text; kinds,
-    values: the words from ``start`` on, ``width`` before the window to ``width``
-    after it."""
+def document_windows(docs: DataFrame, width: int, short: list[int], wanted: np.ndarray | None) -> DataFrame:
+    """(z, id, x1, x2, pos, win, start, kinds, values) of the windows of whole texts
+    whose hash is in ``wanted`` (None: of all): the row's keys; kinds, values: the
+    words from ``start`` on, ``width`` before the window to ``width`` after it.  Of
+    the widths ``short`` the windows of words as they are, each distinct one of a
+    document where it comes first, with null kinds and values."""
+
+    def known(h):
+        if wanted is None:
+            return np.ones(len(h), bool)
+        return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+
+    def rows_of(keys, doc, pos, h, start, kinds, values):
+        own = keys.take(pa.array(doc)) if len(doc) else keys.slice(0, 0)
+        return pa.RecordBatch.from_arrays([*own.flatten(), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)), pa.array(start, pa.int64()), pa.array(kinds, pa.binary()), pa.array(values, pa.binary())], [*ROW_KEYS, "pos", "win", "start", "kinds", "values"])
 
     def run(batches):
         for b in batches:
-            ids, done = pa.StructArray.from_arrays([b.column(0), b.column(1)], ["doc_id", "doc"]), 0
-            raw, offsets = text_buffer(b.column(2))
+            keys, done = pa.StructArray.from_arrays([b.column(k) for k in range(4)], ROW_KEYS), 0
+            raw, offsets = text_buffer(b.column(4))
             for s, e in spans_of(offsets, 1 << 18):
                 part, own = raw[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s]
                 kind, value, first = template(part, own)
                 at, h = windows(kind, value, first, width)
-                if wanted is not None:
-                    ok = np.zeros(len(h), bool)
-                    if len(wanted):
-                        ok = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                    at, h = at[ok], h[ok]
+                ok = known(h)
+                at, h = at[ok], h[ok]
                 doc = np.searchsorted(first, at, side="right") - 1
                 lo, hi = np.maximum(at - width, first[doc]), np.minimum(at + 2 * width, first[doc + 1])
                 ranges = list(zip(lo.tolist(), hi.tolist(), strict=True))
-                own_ids = ids.take(pa.array(done + doc)) if len(at) else ids.slice(0, 0)
                 kinds, values = [kind[p:q].tobytes() for p, q in ranges], [value[p:q].astype("<u8").tobytes() for p, q in ranges]
-                yield pa.RecordBatch.from_arrays(
-                    [*own_ids.flatten(), pa.array(at - first[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(lo - first[doc], pa.int64()), pa.array(kinds, pa.binary()), pa.array(values, pa.binary())],
-                    ["doc_id", "doc", "pos", "win", "start", "kinds", "values"],
-                )
+                yield rows_of(keys, done + doc, at - first[doc], h, lo - first[doc], kinds, values)
+                for w in short:
+                    at, h = whole_windows(value, first, w)
+                    ok = known(h)
+                    at, h = at[ok], h[ok]
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    _, once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1, return_index=True)
+                    at, h, doc = at[once], h[once], doc[once]
+                    yield rows_of(keys, done + doc, at - first[doc], h, at - first[doc], [None] * len(at), [None] * len(at))
                 done += e - s
 
-    schema = "doc_id long, doc long, pos long, win long, start long, kinds binary, values binary"
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("doc"), text).mapInArrow(tidy(run), schema)
+    schema = "z boolean, id long, x1 long, x2 long, pos long, win long, start long, kinds binary, values binary"
+    return docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ROW_KEYS, strict=True)], F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _chain(match: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -284,20 +308,9 @@ def _placed(rows: list[dict], kinds: bytes, values: bytes, covered: float):
             yield got[0] / len(ik), got[1], int(diagonals[d[0]])
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float = COVERED) -> DataFrame:
-    """(doc_id, item_id, coverage, exact, pos): items of ``items`` (item_id, text)
-    that a document of ``docs`` (doc_id, text) holds, alike or
-    re-parameterised: of the item's words at least the share ``covered`` stand in
-    their order in the document, around common windows of ``width`` words and
-    with less than the item's length of words put in or left out, and slot values
-    fit as ``_judged`` says.  exact: all slot values are equal too.  pos: where
-    the item's first word is, or would be.
-
-    Null and empty texts hold nothing and are held by nothing, as are items of
-    fewer than ``width`` words.  Repeated documents and items count alike; the
-    best place of a document and an item is returned, ties by position.
-    """
-    spark = docs.sparkSession
+def _found(docs: DataFrame, items: DataFrame, width: int, covered: float) -> DataFrame:
+    """(z, id, x1, x2, item_id, coverage, pos, exact): places where a row of
+    ``docs``, known by its ``row_keys``, holds an item."""
     known = written(item_windows(items, width), "items")
     hashes = known.select("win").distinct()
     if hashes.limit(MAX_SENT + 1).count() <= MAX_SENT:
@@ -305,31 +318,56 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float
         wanted = np.sort(np.asarray(rows, np.int64).view(np.uint64))
     else:
         wanted = None
-    found = document_windows(docs, width, wanted)
+    short = sorted(r[0] for r in known.where(F.col("item_words") < width).select("item_words").distinct().collect())  # fewer than width numbers
+    found = document_windows(docs, width, short, wanted)
     found = written(found, "found") if wanted is not None else found
     lined = found.join(known.select("item_id", "item", "item_words", "at", "win"), "win")
+    of = [*ROW_KEYS, "item_id"]
+    whole_items = lined.where((F.col("item_words") < width) & F.col("kinds").isNull()).select(*of, F.lit(1.0).alias("coverage"), "pos", F.lit(True).alias("exact"))
+    lined = lined.where((F.col("item_words") >= width) & F.col("kinds").isNotNull())
     # Chains of less drift than the item is long lie in two neighbouring blocks of diagonals.
     block = F.floor((F.col("pos") - F.col("at")) / F.col("item_words"))
-    lined = lined.select("doc_id", "doc", "item_id", "item", "item_words", F.explode(F.array(block, block - 1)).alias("block"), F.struct("pos", "at", "start", "kinds", "values").alias("row"))
-    per = lined.groupBy("doc_id", "doc", "item_id", "item", "item_words", "block").agg(F.collect_set("row").alias("rows"))
+    lined = lined.select(*of, "item", "item_words", F.explode(F.array(block, block - 1)).alias("block"), F.struct("pos", "at", "start", "kinds", "values").alias("row"))
+    per = lined.groupBy(*of, "item", "item_words", "block").agg(F.collect_set("row").alias("rows"))
     # A hit shows 3 * width words of the document at most.
     per = per.where(F.size("rows") * F.lit(3 * width) >= F.lit(covered) * F.col("item_words"))
     whole = known.where("kinds is not null").select("item", "kinds", "values").dropDuplicates(["item"])
-    per = per.join(whole, "item").select("doc_id", "item_id", "rows", "kinds", "values")
+    per = per.join(whole, "item").select(*of, "rows", "kinds", "values")
 
     def check(batches):
         for b in batches:
-            out = [(i, *place) for i, (rows, kinds, values) in enumerate(zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)) for place in _placed(rows, kinds, values, covered)]
+            out = [(i, *place) for i, (rows, kinds, values) in enumerate(zip(*(b.column(k).to_pylist() for k in (5, 6, 7)), strict=True)) for place in _placed(rows, kinds, values, covered)]
             take, coverage, exact, pos = zip(*out, strict=True) if out else ((), (), (), ())
             take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(coverage, pa.float64()), pa.array(pos, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "item_id", "coverage", "pos", "exact"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(5)), pa.array(coverage, pa.float64()), pa.array(pos, pa.int64()), pa.array(exact, pa.bool_())], [*of, "coverage", "pos", "exact"])
+
+    placed = per.mapInArrow(tidy(check), "z boolean, id long, x1 long, x2 long, item_id long, coverage double, pos long, exact boolean")
+    return placed.unionByName(whole_items) if short else placed
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float = COVERED) -> DataFrame:
+    """(doc_id, item_id, coverage, exact, pos): items of ``items`` (item_id, text)
+    that a document of ``docs`` (doc_id, text) holds, alike or
+    re-parameterised: of the item's words at least the share ``covered`` stand in
+    their order in the document, around common windows of ``width`` words and
+    with less than the item's length of words put in or left out, and slot values
+    fit as ``_judged`` says.  exact: all slot values are equal too.  pos: where
+    the item's first word is, or would be.
 
-    good = per.mapInArrow(tidy(check), "doc_id long, item_id long, coverage double, pos long, exact boolean")
+    Items of fewer than ``width`` words are found word for word only, A-Z and
+    punctuation around words aside.  Null and empty texts hold nothing and are
+    held by nothing.  Repeated documents and items count alike, null ids are one
+    document; the best place of a document and an item is returned, ties by
+    position.
+    """
+    good = _found(docs, items, width, covered).withColumn("doc_id", F.when(~F.col("z"), F.col("id")))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "exact", F.negative("pos").alias("at"))).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", "b.exact", F.negative("b.at").alias("pos"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    gone = leaks(docs, items, **options).select("doc_id").distinct()
-    return without_ids(docs, "doc_id", written(gone, "gone"))
+def decontaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, covered: float = COVERED) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others), all columns, that hold no
+    benchmark item: rows go by id and text, so a null or repeated id takes no
+    other text along."""
+    gone = _found(docs, items, width, covered).select(*ROW_KEYS).distinct()
+    return without_rows(docs, written(gone, "gone"))

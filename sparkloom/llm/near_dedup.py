@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, id_bitmap, mixed, shingle_hashes, spans_of, text_buffer, tidy, with_possible, without_ids, word_bounds, word_hashes, written
+from .common import ROW_KEYS, components_of, dropped, id_bitmap, mixed, row_keys, shingle_hashes, spans_of, text_buffer, tidy, with_possible, without_rows, word_bounds, word_hashes, written
 
 #: 32 bands of 4 rows: a pair of similarity 0.8 shares no band with probability 4.6e-8.
 BANDS, ROWS = 32, 4
@@ -58,41 +58,43 @@ def set_hash(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, width: int, lower: bool, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, keys, sig) of each document."""
+    """(z, id, x1, x2, n_shingles, h1, h2, keys, sig) of each row: its
+    ``row_keys``, the size and hash of its set, the keys of its bands and its
+    signature; both are empty where the set is."""
     n_hashes = bands * rows
     times, plus = _odd(11, n_hashes), _odd(23, n_hashes)
     salt = _odd(37, bands)
 
     def run(batches):
         for b in batches:
-            ids, done = b.column(0), 0
-            for sets in shingle_sets(b.column(1), width, lower):
+            done = 0
+            for sets in shingle_sets(b.column(4), width, lower):
                 n = np.asarray([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-                keys, sigs = [None] * len(sets), [None] * len(sets)
+                sig, key = np.empty((n_hashes, len(full)), np.uint32), np.zeros((len(full), bands), np.uint64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     at = np.cumsum(n[full]) - n[full]
                     x, y = set_hash(flat, at)
                     h1[full], h2[full] = x.view(np.int64), y.view(np.int64)
-                    sig = np.empty((n_hashes, len(full)), np.uint32)
                     work = np.empty_like(flat)
                     for k in range(n_hashes):
                         np.multiply(flat, times[k], out=work)
                         np.add(work, plus[k], out=work)
                         sig[k] = np.minimum.reduceat(work, at) >> np.uint64(32)
-                    sig = np.ascontiguousarray(sig.T)
-                    key = np.repeat(salt[None, :], len(full), axis=0)
+                    key += salt
                     for r in range(rows):
-                        key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + sig[:, r::rows].astype(np.uint64)[:, :bands])
-                    short = sig.astype("<u2")
-                    for j, i in enumerate(full.tolist()):
-                        keys[i], sigs[i] = key[j].view(np.int64), short[j].tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(done, len(sets)), pa.array(n), pa.array(h1), pa.array(h2), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "keys", "sig"])
+                        key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + sig[r::rows].T.astype(np.uint64)[:, :bands])
+                upto = np.concatenate([[0], np.cumsum(n > 0)])
+                keys = pa.ListArray.from_arrays(pa.array((upto * bands).astype(np.int32)), pa.array(key.ravel().view(np.int64)))
+                sigs = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((upto * 2 * n_hashes).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sig.T.astype("<u2")))])
+                own = [b.column(k).slice(done, len(sets)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(h1), pa.array(h2), keys, sigs], [*ROW_KEYS, "n_shingles", "h1", "h2", "keys", "sig"])
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
+    rows_of = [k.alias(name) for k, name in zip(row_keys(docs), ROW_KEYS, strict=True)]
+    return docs.select(*rows_of, F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "z boolean, id long, x1 long, x2 long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def least_matches(n_hashes: int, percent: int, miss: float, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -143,8 +145,8 @@ def _likely(edges: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> DataFrame
 def _sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int, lower: bool) -> DataFrame:
     """(cid, members): the sorted shingle hashes of the classes in ``nodes``
     (cid).  Only texts that the bitmap of their ids lets through are hashed."""
-    involved = written(nodes.join(reps.select("cid", "doc_id", "h1", "h2"), "cid"), "involved")
-    bitmap = id_bitmap(involved, "doc_id")
+    involved = written(nodes.join(reps.select("cid", "h1", "h2", *ROW_KEYS), "cid"), "involved")
+    bitmap = id_bitmap(involved, *ROW_KEYS)
 
     def run(batches):
         for b in batches:
@@ -155,7 +157,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, width: int, lower:
                     h1, h2 = set_hash(np.concatenate(sets), np.cumsum(n) - n)
                     yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["h1", "h2", "members"])
 
-    texts = with_possible(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", bitmap, "_maybe").where("_maybe").select("text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = with_possible(texts, row_keys(texts), bitmap, "_maybe").where("_maybe").select("text")
     sets = texts.mapInArrow(tidy(run), "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
     out = written(sets.join(involved.select("cid", "h1", "h2"), ["h1", "h2"]).select("cid", "members"), "sets", "none")
     dropped(docs.sparkSession, involved)
@@ -215,23 +218,23 @@ def _stars(rows: DataFrame) -> DataFrame:
     shares most buckets with.  A bucket's leader is the class that shares buckets
     with most others, so the original of a group of edited copies leads although
     the copies may not be alike enough.  ``rows`` has (key, cid, n): n classes in
-    the bucket."""
-    degree = rows.groupBy("cid").agg(F.sum("n").alias("degree"))
-    mine = written(rows.join(degree, "cid").select("key", "cid", "degree"), "mine")
+    the bucket; a class has no more rows than bands."""
+    mine = rows.groupBy("cid").agg(F.sum("n").alias("degree"), F.collect_list("key").alias("keys")).select("cid", "degree", F.explode("keys").alias("key"))
+    mine = written(mine, "mine")
     lead = mine.groupBy("key").agg(F.max(F.struct("degree", F.negative("cid").alias("c"))).alias("top"))
     lead = written(lead.select("key", F.negative("top.c").alias("a"), F.col("top.degree").alias("weight")), "lead")
-    pairs = mine.join(lead, "key").where("cid <> a").groupBy("cid", "a").agg(F.count(F.lit(1)).alias("k"), F.max("weight").alias("weight"))
-    return pairs.groupBy("cid").agg(F.max(F.struct("k", "weight", F.negative("a").alias("c"))).alias("top")).select(F.negative("top.c").alias("a"), F.col("cid").alias("b"))
+    leads = mine.join(lead, "key").where("cid <> a").groupBy("cid").agg(F.collect_list(F.struct("weight", F.negative("a").alias("c"))).alias("leads"))
+    most = F.array_max(F.transform("leads", lambda x: F.struct(F.size(F.filter("leads", lambda y: y["c"] == x["c"])), x["weight"], x["c"].alias("c"))))
+    return leads.select(F.negative(most["c"]).alias("a"), F.col("cid").alias("b"))
 
 
 def _dealt(rows: DataFrame, by: str, block: int) -> DataFrame:
-    """``rows`` with group, s, i, j: a group of more than ``block`` rows of a key
-    is dealt out as pairs of blocks (i, j), so that no task holds it whole; s is
-    a row's own block."""
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).select(by, F.expr(f"cast(ceil(n / {block}) as int)").alias("nb"))
-    mine = rows.join(counts, by).withColumn("s", F.expr("cast(pmod(xxhash64(cid), nb) as int)"))
+    """``rows`` (``by``, cid, rows: how many have the same ``by``) with group, s, i,
+    j: a group of more than ``block`` rows is dealt out as pairs of blocks (i, j),
+    so that no task holds it whole; s is a row's own block."""
+    mine = rows.withColumn("nb", F.expr(f"cast(ceil(rows / {block}) as int)")).withColumn("s", F.expr("cast(pmod(xxhash64(cid), nb) as int)"))
     mine = mine.withColumn("t", F.explode(F.expr("sequence(0, nb - 1)")))
-    mine = mine.withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")).drop("t", "nb")
+    mine = mine.withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")).drop("t", "nb", "rows")
     return mine.withColumn("group", F.xxhash64(by, "i", "j"))
 
 
@@ -259,8 +262,8 @@ def _likely_groups(rows: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> Dat
     of one bucket and different components.  A task returns a forest of its
     pairs, which grows with the classes and not with the pairs; ``rows`` has
     (key, cid, comp)."""
-    ends = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    mine = _dealt(written(rows.join(written(ends, "ends"), "key"), "crossing"), "key", BLOCK).join(sigs.select("cid", "sig"), "cid")
+    ends = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
+    mine = _dealt(rows.join(written(ends, "ends"), "key"), "key", BLOCK).join(sigs.select("cid", "sig"), "cid")
 
     def run(batches):
         for x in _whole_groups(batches):
@@ -280,17 +283,17 @@ def _likely_groups(rows: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
     mine = mine.select("group", "cid", "comp", "s", "i", "j", "sig")
-    return connected_components(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"))
+    return components_of(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"))
 
 
-def _group_links(docs: DataFrame, groups: DataFrame, rows: DataFrame, reps: DataFrame, rule, n_hashes: int, width: int, percent: int, lower: bool) -> DataFrame:
+def _group_links(docs: DataFrame, groups: DataFrame, stars: DataFrame, reps: DataFrame, rule, n_hashes: int, width: int, percent: int, lower: bool) -> DataFrame:
     """Links (u, v) between different components within the likely groups: all
     pairs of a group are compared by signature in blocks and confirmed on the
     full sets in the same task, which returns a forest of its links."""
-    groups = written(groups.select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
-    comp = rows.select("cid", "comp").distinct()
     sets = _sets(docs, groups.select("cid"), reps, width, lower)
-    mine = _dealt(written(groups.join(comp, "cid"), "grouped"), "grp", BLOCK // 2)
+    sizes = written(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    comp = stars.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    mine = _dealt(groups.join(sizes, "grp").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "grp", BLOCK // 2)
     mine = mine.join(reps.select("cid", "sig"), "cid").join(sets, "cid").select("group", "cid", "comp", "s", "i", "j", "sig", "members")
 
     def run(batches):
@@ -318,48 +321,64 @@ def _group_links(docs: DataFrame, groups: DataFrame, rows: DataFrame, reps: Data
     return written(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id,
-    text; other columns are not looked at).
-
-    Links: 100 * |intersection| >= percent * |union| of the distinct
-    ``width``-word shingles of the text, A-Z lower-cased if ``lower``; a shorter
-    text has its whole word sequence as one shingle.  Null and empty texts have
-    no shingle and no link: their component is their own doc_id.  component_id
-    is the smallest doc_id that links reach.  Repeated rows come back as often as
-    they are given, kept or not alike.  A null doc_id is never smaller than
-    another; a component of such rows alone has a null id.
-    """
+def _members(docs: DataFrame, width: int, percent: int, lower: bool, bands: int, rows: int, miss: float) -> DataFrame:
+    """(z, id, x1, x2, n_shingles, first) of each row of ``docs``: its ``row_keys``,
+    the size of its set and the smallest row keys (null ids last) that links
+    reach; null where the set is empty."""
     spark = docs.sparkSession
     n_hashes = bands * rows
     rule = least_matches(n_hashes, percent, miss)
     sig = written(signed(docs, width, lower, bands, rows), "signed", "none")
-    classes = sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
-    classes = written(classes, "classes")
-    reps = sig.join(classes.select("h1", "h2", "cid", "rep"), ["h1", "h2"]).where("doc_id <=> rep").dropDuplicates(["cid"]).select("cid", "doc_id", "h1", "h2", "keys", "sig")
+    reps = sig.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct(*ROW_KEYS, "keys", "sig")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "r.*")
     reps = written(reps, "reps", "none")
 
     index = reps.select("cid", F.explode("keys").alias("key"))
     many = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "many")
     shared = written(index.join(many, "key").select("key", "cid", "n"), "shared")
     links = _confirmed(docs, written(_likely(_stars(shared), reps, rule, n_hashes), "likely"), reps, width, percent, lower)
-    stars = written(connected_components(links), "components")
-    rows = written(shared.join(stars, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp")), "comps")
-    groups = _likely_groups(rows, reps, rule, n_hashes)
-    more = _group_links(docs, groups, rows, reps, rule, n_hashes, width, percent, lower)
-    final = written(connected_components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
-
-    named = classes.join(final, F.col("cid") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "cid").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_class = written(named.join(lowest, "comp").select("h1", "h2", "component_id"), "by_class")
-    for x in (many, shared, reps, rows):
+    stars = written(components_of(links), "components")
+    comps = written(shared.join(stars, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp")), "comps")
+    groups = written(_likely_groups(comps, reps, rule, n_hashes).select(F.col("node").alias("cid"), F.col("component").alias("grp")), "groups")
+    final = stars
+    if not groups.isEmpty():
+        more = _group_links(docs, groups, stars, reps, rule, n_hashes, width, percent, lower)
+        final = written(components_of(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "components")
+
+    named = reps.select("cid", "h1", "h2", F.struct(*ROW_KEYS).alias("r")).join(final, F.col("cid") == F.col("node"), "left").select("h1", "h2", "r", F.coalesce("component", "cid").alias("comp"))
+    lowest = written(named.groupBy("comp").agg(F.min("r").alias("first")), "lowest")
+    by_class = written(named.join(lowest, "comp").select("h1", "h2", "first"), "by_class")
+    for x in (many, shared, reps, comps):
         dropped(spark, x)
-    full = sig.where("n_shingles > 0").select("doc_id", "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.expr("doc_id <=> component_id"))
+    full = sig.where("n_shingles > 0").select(*ROW_KEYS, "n_shingles", "h1", "h2").join(by_class, ["h1", "h2"]).select(*ROW_KEYS, "n_shingles", "first")
+    return full.unionByName(sig.where("n_shingles = 0").select(*ROW_KEYS, "n_shingles"), allowMissingColumns=True)
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each near-duplicate group only."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id")
-    return without_ids(docs, "doc_id", written(gone, "gone"))
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id,
+    text; other columns are not looked at).
+
+    Links: 100 * |intersection| >= percent * |union| of the distinct
+    ``width``-word shingles of the text, A-Z lower-cased if ``lower``; a shorter
+    text has its whole word sequence as one shingle.  Null and empty texts have
+    no shingle and no link: their component is their own doc_id.  component_id
+    is the smallest doc_id that links reach.  Repeated rows come back as often as
+    they are given, kept or not alike.  A null doc_id is never smaller than
+    another; a component of such rows alone has a null id.  Ties don't arise: the
+    links are exact; a very long text is one row like any other; an empty table
+    gives none.
+    """
+    own = F.when(~F.col("z"), F.col("id"))
+    first = F.when(F.col("first").isNull(), own).when(~F.col("first.z"), F.col("first.id"))
+    return _members(docs, width, percent, lower, bands, rows, miss).select(own.alias("doc_id"), "n_shingles", first.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """``docs`` (doc_id, text, any others), all columns, with one row of each
+    near-duplicate group: that of the smallest doc_id (null ids last), of rows
+    with that id the one of the smallest text hash, of rows equal in both any one.
+    Rows without words have no group and all stay."""
+    rows_of = written(_members(docs, width, percent, lower, bands, rows, miss).where("first is not null"), "members")
+    first = F.struct(*ROW_KEYS) == F.col("first")
+    repeated = rows_of.where(first).groupBy(*ROW_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW_KEYS)
+    gone = rows_of.where(~first).select(*ROW_KEYS).distinct()
+    return without_rows(docs, written(gone, "gone"), written(repeated, "repeated"))
