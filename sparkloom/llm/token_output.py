@@ -32,8 +32,10 @@ IDS_PER_SHARD = 4_000_000
 IDS_PER_IMAGE = 2_000_000
 #: Shards are tasks; beyond so many they hold more ids each, in images of the same size.
 MAX_SHARDS = 100_000
-#: Pieces that one Python worker keeps, about 100 MB.
-CACHE_ENTRIES = 500_000
+#: Pieces that one Python worker keeps, about 30 MB.
+CACHE_ENTRIES = 300_000
+#: Uses of a piece that keep it when there are too many.
+OFTEN = 3
 
 
 # ------------------------------------------------------------------- tokenizing
@@ -100,40 +102,46 @@ class ChunkTokenizer:
         return "".join(out)
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind)
-        self.n_ids = 0
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        """Adds the ids of pieces; the buffers double when full."""
-        lines = [p for p in fresh if b"\n" in p]
-        for some, ids in ((lines, [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in lines], add_special_tokens=False)]), ([p for p in fresh if b"\n" not in p], None)):
-            if not some:
-                continue
-            if ids is None:
-                # One text of all pieces, cut by the delimiter alone.
-                text = b"\xff\n\xff".join(some).decode("latin1").translate(self.alphabet)
-                self.whole.pre_tokenizer = self.piece_rule
-                try:
-                    flat = np.asarray(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-                finally:
-                    self.whole.pre_tokenizer = self.text_rule
-                stops = np.append(np.flatnonzero(flat == self.line_end), len(flat))
-                size = np.diff(stops, prepend=-1) - 1
-                flat = flat[flat != self.line_end]
-            else:
-                size = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))
-            base = len(self.slot)
-            while len(self.start) < base + len(some):
-                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            while len(self.ids) < self.n_ids + len(flat):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.start[base : base + len(some)] = self.n_ids + np.cumsum(size) - size
-            self.size[base : base + len(some)] = size
-            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.n_ids += len(flat)
-            self.slot.update(zip(some, range(base, base + len(some)), strict=True))
+        self.known = pa.array([], pa.large_binary())
+        self.start, self.size, self.used, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind))
+
+    def _thin(self) -> None:
+        """Keeps the pieces that came up OFTEN times, if they are less than half."""
+        keep = self.used >= OFTEN
+        known, start, size, used, ids = self.known.filter(pa.array(keep)), self.start[keep], self.size[keep], self.used[keep], self.ids
+        self._clear()
+        if 2 * len(known) < len(keep):
+            self._put(known, size, ids[np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)])
+            self.used = used
+
+    def _put(self, names: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.used, self.ids = np.append(self.size, size), np.append(self.used, np.zeros_like(size)), np.append(self.ids, ids)
+        self.known = pa.concat_arrays([self.known, names])
+
+    def _learned(self, fresh: pa.Array) -> np.ndarray:
+        """Encodes pieces and adds them; their places."""
+        names = fresh.to_pylist()
+        lines = np.fromiter((b"\n" in p for p in names), bool, len(names))
+        out = np.empty(len(names), np.int64)
+        if lines.any():
+            some = [names[k] for k in np.flatnonzero(lines).tolist()]
+            ids = [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            out[lines] = len(self.known) + np.arange(len(some))
+            self._put(pa.array(some, pa.large_binary()), np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), self.kind))
+            names = [names[k] for k in np.flatnonzero(~lines).tolist()]
+        if names:
+            # One text of all pieces, cut by the delimiter alone.
+            text = b"\xff\n\xff".join(names).decode("latin1").translate(self.alphabet)
+            self.whole.pre_tokenizer = self.piece_rule
+            try:
+                flat = np.asarray(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            finally:
+                self.whole.pre_tokenizer = self.text_rule
+            stops = np.append(np.flatnonzero(flat == self.line_end), len(flat))
+            out[~lines] = len(self.known) + np.arange(len(names))
+            self._put(fresh.filter(pa.array(~lines)), np.diff(stops, prepend=-1) - 1, flat[flat != self.line_end])
+        return out
 
     def _class_of(self, raw: np.ndarray) -> np.ndarray:
         """The class of the code point that each UTF-8 byte belongs to."""
@@ -208,17 +216,20 @@ class ChunkTokenizer:
             odd[np.searchsorted(offsets, at, side="right") - 1] = True
             starts = self._cuts(raw, offsets, kind)
             pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(data)]).dictionary_encode()
-            if len(self.slot) > CACHE_ENTRIES:
-                self._clear()
-            names = pieces.dictionary.to_pylist()
-            fresh = [p for p in names if p not in self.slot]
+            if len(self.known) > CACHE_ENTRIES:
+                self._thin()
             # A piece of an odd text may end within a mark, never within a code point.
-            if fresh:
-                self._learn(fresh)
-            slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))[np.asarray(pieces.indices)]
-            each = self.size[slots]
-            upto = np.concatenate([[0], np.cumsum(each)])
-            tokens = self.ids[np.arange(int(upto[-1])) + np.repeat(self.start[slots] - upto[:-1], each)]
+            names, at = pieces.dictionary, np.asarray(pieces.indices)
+            own = np.asarray(pc.index_in(names, value_set=self.known).fill_null(-1), np.int64)
+            fresh = own < 0
+            if fresh.any():
+                own[fresh] = self._learned(names.filter(pa.array(fresh)))
+            self.used[own] += np.bincount(at, minlength=len(own))
+            each = self.size[own].astype(np.int32)[at]
+            upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+            where = np.repeat(self.start[own][at] - upto[:-1], each)
+            where += np.arange(len(where))
+            tokens = self.ids[where]
             size = np.diff(upto[np.searchsorted(starts, offsets)])
         if odd.any():
             parts = np.split(tokens, np.cumsum(size)[:-1]) if n else []
