@@ -366,11 +366,19 @@ def _joined(batches, own: bool = False):
         yield flush()
 
 
-def components_of(edges: DataFrame) -> DataFrame:
+def joined(fn):
+    """``fn`` for mapInArrow, which gives links (u, v), with its links joined in the
+    same Python worker: see ``_joined``."""
+    return lambda batches: _joined(b.rename_columns(["u", "v"]) for b in fn(batches))
+
+
+def components_of(edges: DataFrame, is_joined: bool = False) -> DataFrame:
     """``connected_components`` with Arrow tasks: links of a task are joined before
-    they are written, star steps follow if they are more than LAST_LINKS, else one
-    task, bounded by that number, does the rest."""
-    e = written(edges.where("u <> v").select("u", "v").mapInArrow(tidy(_joined), "u long, v long"), "edges")
+    they are written (unless ``joined`` did so where they arise), star steps follow
+    if they are more than LAST_LINKS, else one task, bounded by that number, does
+    the rest."""
+    e = edges.where("u <> v").select("u", "v")
+    e = written(e if is_joined else e.mapInArrow(tidy(_joined), "u long, v long"), "edges")
     if e.count() > LAST_LINKS:
         return connected_components(e)
     return e.coalesce(1).mapInArrow(tidy(lambda batches: _joined(batches, own=True)), "node long, component long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEYS, components_of, dropped, id_bitmap, mixed, row_keys, shingle_hashes, spans_of, text_buffer, tidy, with_possible, without_rows, word_bounds, word_hashes, written
+from .common import ROW_KEYS, components_of, dropped, id_bitmap, joined, mixed, row_keys, shingle_hashes, spans_of, text_buffer, tidy, with_possible, without_rows, word_bounds, word_hashes, written
 
 #: 32 bands of 4 rows: a pair of similarity 0.8 shares no band with probability 4.6e-8.
 BANDS, ROWS = 32, 4
@@ -283,7 +283,7 @@ def _likely_groups(rows: DataFrame, sigs: DataFrame, rule, n_hashes: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
     mine = mine.select("group", "cid", "comp", "s", "i", "j", "sig")
-    return components_of(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(run), "u long, v long"))
+    return components_of(mine.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(joined(run)), "u long, v long"), is_joined=True)
 
 
 def _group_links(docs: DataFrame, groups: DataFrame, stars: DataFrame, reps: DataFrame, rule, n_hashes: int, width: int, percent: int, lower: bool) -> DataFrame:
