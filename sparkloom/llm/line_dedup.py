@@ -1,15 +1,18 @@
 """Line dedup: segment-partition edit join.
 
-Two lines within ``edits`` edits share, unchanged and near its place, one of the
-``edits`` + 1 segments that the shorter is cut into.  Segments of all distinct
-lines are indexed by (length, segment number, hash) and probed with the few
-substrings of each line that can be such a segment; the parities of common
-characters rule most candidates out within the join, and a banded bit-parallel
-edit distance verifies the rest.  DataFrame functions only.
+Two lines within t edits share, unchanged and near its place, one of the t + 1
+segments that the shorter is cut into; t is a tenth of the shorter line's code
+points, EDITS at most.  Segments of all distinct lines are indexed by (length,
+segment number, hash) and probed with the few substrings of each line that can be
+such a segment.  Of the lines that share a key each is first compared with one
+leader of the key only; then all pairs that this left in different classes are.
+The parities of common characters rule most of them out, and a banded
+bit-parallel edit distance verifies the rest.  DataFrame functions only.
 
 Copies of a line are one distinct line, found by a partial aggregate first, so a
-line that is everywhere costs no more than another.  Texts of lines are only
-shuffled for candidates; all else is hashes.
+line that is everywhere costs no more than another, and a group of lines that are
+all alike costs one comparison for each.  Texts of lines are only fetched for
+lines that share a key; all else is hashes.
 """
 
 from __future__ import annotations
@@ -17,19 +20,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dropped, id_bitmap, with_possible, written
+from .common import connected_components, dropped, fresh_name, id_bitmap, with_possible, written
 
 EDITS = 2
-#: Lines of fewer code points have only exact copies: a few edits would make any short lines alike.
-MIN_CHARS = 20
-#: What a line that is not blank has.
-BLANKLESS = r"[^\x20\x09-\x0D]"
+#: Code points of the shorter line for each edit that is allowed.
+CHARS_AN_EDIT = 10
+#: Code points that trimming leaves of a line.
+LEAST = 8
 #: Characters whose parities are compared: each edit changes two of them at most.
 PARITY = "etaoinshrdlucmfwypvbgk.,"
+#: What a blank line may hold.
+BLANKS = r"' \t\n\u000b\f\r'"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) of ``docs`` (doc_id, text), cut at line feeds."""
+    """(doc_id, pos, line) of ``docs`` (doc_id, text), cut at line feeds; null text
+    is empty, and an empty one has one empty line."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
 
 
@@ -41,28 +47,43 @@ def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
     return start, f"({length} div {n} + case when {i} >= {n} - {length} % {n} then 1 else 0 end)"
 
 
+def _of_edits(length: str, t: int, edits: int) -> str:
+    """Whether a shorter line of so many code points may have just ``t`` edits."""
+    return f"{length} >= {t * CHARS_AN_EDIT}" + (f" and {length} < {(t + 1) * CHARS_AN_EDIT}" if t < edits else "")
+
+
 def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment("n", i, edits)
-        keys.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
-    return F.expr(f"array({', '.join(keys)})")
+    """Keys of a line's own segments; none of a line that allows no edit."""
+    cases = []
+    for t in range(1, edits + 1):
+        keys = []
+        for i in range(t + 1):
+            start, size = _segment("n", i, t)
+            keys.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
+        cases.append(f"when {_of_edits('n', t, edits)} then array({', '.join(keys)})")
+    return F.expr(f"case {' '.join(cases)} else cast(array() as array<bigint>) end")
 
 
 def probe_keys(edits: int) -> Column:
     """Keys of the substrings that may be a segment of a line that is ``d``
-    code points shorter, for each d up to ``edits``, but for a line's own
+    code points shorter, for each d up to its edits, but for a line's own
     segments: segment i can have moved by at most i edits before it, and by what
     is left of the edits after it."""
-    keys = []
+    parts = []
     for d in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(f"(n - {d})", i, edits)
-            for move in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                if d or move:
-                    keys.append(f"xxhash64(n - {d}, {i}, substring(line, {start} + {move}, {size}))")
-    return F.expr(f"array({', '.join(keys)})")
+        cases = []
+        for t in range(max(d, 1), edits + 1):
+            keys = []
+            for i in range(t + 1):
+                start, size = _segment(f"(n - {d})", i, t)
+                for move in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
+                    if d or move:
+                        keys.append(f"xxhash64(n - {d}, {i}, substring(line, {start} + {move}, {size}))")
+            if keys:
+                cases.append(f"when {_of_edits(f'(n - {d})', t, edits)} then array({', '.join(keys)})")
+        if cases:
+            parts.append(f"case {' '.join(cases)} else cast(array() as array<bigint>) end")
+    return F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<bigint>)")
 
 
 def parities() -> Column:
@@ -71,8 +92,8 @@ def parities() -> Column:
     return F.expr(" | ".join(bits))
 
 
-def edit_distance(a: str, b: str, edits: int) -> Column:
-    """Edit distance of two columns of at least 2 * edits + 2 code points, the
+def _distance(a: str, b: str, edits: int) -> str:
+    """SQL of the edit distance of two columns of at least 2 * edits + 2 code points, the
     first not the shorter, exact up to ``edits`` and larger beyond: a band of the
     matrix's diagonals is kept as vertical differences in two words of 2 * edits
     + 2 bits and moves one column at a time."""
@@ -92,66 +113,129 @@ def edit_distance(a: str, b: str, edits: int) -> Column:
           case when i < size(s) - {edits} then acc.mask else shiftright(acc.mask, 1) end as mask))[0])[0])[0]"""
     start = f"struct({(full << (w - edits - 1)) & full} as vp, 0 as vn, {edits} as d, {1 << (w - 2)} as mask)"
     body = step.replace("get(s, i", "get(s, u.i").replace(" = c then", " = u.c then").replace("case when i <", "case when u.i <")
-    return F.expr(f"case when length({a}) - length({b}) > {edits} then {edits + 1} else transform(array(split({a}, '')), s -> aggregate(transform(split({b}, ''), (c, i) -> struct(c as c, i as i)), {start}, (acc, u) -> {body}, acc -> acc.d))[0] end")
+    return f"case when length({a}) - length({b}) > {edits} then {edits + 1} else transform(array(split({a}, '')), s -> aggregate(transform(split({b}, ''), (c, i) -> struct(c as c, i as i)), {start}, (acc, u) -> {body}, acc -> acc.d))[0] end"
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, lines): occurrences (doc_id, pos, n, h1, h2) of all lines
-    that are not blank, and for each distinct one (h1, h2) the place
-    (first_doc, first_pos) where its class comes up first.
-
-    A class holds copies, and of lines of at least ``min_chars`` code points also
-    what chains of at most ``edits`` edits reach.  A line is known by 128 bits of
-    hash; links go by 64 of them, but a link needs the texts' true distance.
+def _trimmed(a: str, b: str) -> str:
+    """SQL of struct(la, lb): two lines without most of what both start or end
+    with, which leaves the edit distance as it is; LEAST code points stay of the
+    second, the shorter one."""
+    step = f"""
+      (p, k) -> transform(array(length(p.lb) div if(k % 5 < 3, 2, 3)), h -> case
+        when length(p.lb) - h < {LEAST} then p
+        when k < 5 and left(p.la, h) = left(p.lb, h) then struct(substring(p.la, h + 1) as la, substring(p.lb, h + 1) as lb)
+        when k >= 5 and right(p.la, h) = right(p.lb, h) then struct(left(p.la, length(p.la) - h) as la, left(p.lb, length(p.lb) - h) as lb)
+        else p end)[0]"""
+    return f"aggregate(sequence(0, 9), struct({a} as la, {b} as lb), {step})"
+
+
+def _links(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(u, v) of ``pairs`` (a, b) whose edit distance is small enough."""
+    of = lambda x: texts.select(F.col("lid").alias(x), F.col("line").alias("l" + x), F.col("n").alias("n" + x), F.col("par").alias("p" + x))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("t", F.expr(f"least({edits}, least(na, nb) div {CHARS_AN_EDIT})"))
+    both = both.where("abs(na - nb) <= t and bit_count(pa ^ pb) <= 2 * t")
+    both = both.select("a", "b", "t", F.expr("if(na >= nb, la, lb)").alias("la"), F.expr("if(na >= nb, lb, la)").alias("lb"))
+    near = f"transform(array({_trimmed('la', 'lb')}), p -> {_distance('p.la', 'p.lb', edits)})[0] <= t"
+    return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _shared(lines: DataFrame) -> DataFrame:
+    """(key, lid, own) of the lines that share a key with another line, one of the
+    two having it in the index; own: whether this line has."""
+    own = lines.select("lid", F.explode("own").alias("key"))
+    every = lines.select("lid", F.explode(F.concat("own", "other")).alias("key"))
+    other = own.select(F.col("lid").alias("y"), F.col("key").alias("k"))
+    hits = written(every.join(other, (F.col("key") == F.col("k")) & (F.col("lid") != F.col("y")), "left_semi").distinct(), "hits")
+    keys = hits.select("key").distinct()
+    mine = with_possible(own, "key", written(id_bitmap(keys, "key"), "bitmap"), "_maybe").where("_maybe").join(keys, "key", "left_semi")
+    return mine.select("key", "lid", F.lit(True).alias("own")).union(hits.select("key", "lid", F.lit(False))).groupBy("key", "lid").agg(F.max("own").alias("own"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h1, h2, first_doc, first_pos, near) of each distinct line that is not blank
+    and comes up again or is linked to another: the place where its class comes up
+    first, and whether the class holds more than copies.
+
+    A class holds copies and what chains of small edits reach.  A line is known by
+    128 bits of hash, links by numbers of lines.
     """
-    if min_chars < 2 * edits + 2:
-        raise ValueError("min_chars must be 2 * edits + 2 or more")
-    base = lines_of(docs).where(F.col("line").rlike(BLANKLESS)).select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    occurrences = base.select("doc_id", "pos", "n", "h1", "h2")
-    none = F.expr("cast(null as array<bigint>)")
-    long = F.col("n") >= min_chars
-    distinct = base.select("h1", "h2", "doc_id", "pos", F.when(long, F.col("n")).alias("n"), F.when(long, parities()).alias("par"), F.when(long, index_keys(edits)).otherwise(none).alias("own"), F.when(long, probe_keys(edits)).otherwise(none).alias("other"))
-    distinct = distinct.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")).alias("first"), F.any_value("n").alias("n"), F.any_value("par").alias("par"), F.any_value("own").alias("own"), F.any_value("other").alias("other"))
-    distinct = written(distinct, "lines")
-    near = distinct.where("n is not null")
-    index = near.select(F.explode("own").alias("key"), F.col("h1").alias("b"), F.col("par").alias("par_b"))
-    probe = near.select(F.explode(F.concat("own", "other")).alias("key"), F.col("h1").alias("a"), F.col("par").alias("par_a"))
-    pairs = probe.join(index, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("par_a").bitwiseXOR(F.col("par_b"))) <= 2 * edits)).select("a", "b").distinct()
-    pairs = written(pairs, "pairs")
-
-    # Texts of candidate lines: from the documents where they come up first.
-    nodes = written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct().join(distinct.select("h1", "h2", "first"), "h1").select("h1", "h2", "first.doc_id", "first.pos"), "nodes")
+    if 2 * edits + 2 > LEAST:
+        raise ValueError(f"edits must be at most {LEAST // 2 - 1}")
+    base = _hashed(docs).where("n is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")
+    lines = base.select("h1", "h2", place.alias("place"), "n", index_keys(edits).alias("own"), probe_keys(edits).alias("other"))
+    lines = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("cnt"), F.any_value("n").alias("n"), F.any_value("own").alias("own"), F.any_value("other").alias("other"))
+    lines = written(lines.withColumn("lid", F.monotonically_increasing_id()), "lines", "snappy")
+
+    mine = written(_shared(lines), "shared")
+    lids = mine.select("lid").distinct()
+    nodes = with_possible(lines.select("lid", "h1", "h2", "first.doc_id", "first.pos", "cnt"), "lid", written(id_bitmap(lids, "lid"), "bitmap"), "_maybe").where("_maybe").drop("_maybe")
+    nodes = written(nodes.join(lids, "lid", "left_semi"), "nodes")
+    # Texts of these lines: from the documents where they come up first.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = with_possible(source, "doc_id", written(id_bitmap(nodes, "doc_id"), "bitmap"), "_maybe").where("_maybe")
-    texts = lines_of(source).withColumn("h1", F.xxhash64("line"))
-    texts = with_possible(texts, "h1", written(id_bitmap(nodes, "h1"), "bitmap"), "_maybe").where("_maybe").select("doc_id", "pos", "h1", "line")
-    texts = texts.join(nodes.withColumnRenamed("h1", "_h1"), (texts["h1"] == F.col("_h1")) & (texts["pos"] == nodes["pos"]) & texts["doc_id"].eqNullSafe(nodes["doc_id"])).select("h1", "line").distinct()
-    texts = written(texts, "texts")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    links = both.where(edit_distance("la", "lb", edits) <= edits).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = written(connected_components(written(links, "links")), "classes")
-
-    named = distinct.select("h1", "h2", "first").join(classes, F.col("h1") == F.col("node"), "left").select("h1", "h2", "first", F.col("component").alias("class"))
-    first = written(named.where("class is not null").groupBy("class").agg(F.min("first").alias("class_first")), "first")
-    lines = named.join(first, "class", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("f"))
-    lines = written(lines.select("h1", "h2", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos")), "line_classes")
-    for x in (pairs, nodes, texts, distinct):
-        dropped(docs.sparkSession, x)
-    return occurrences, lines
-
-
-def marked_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, pos, n, kept) of every line that is not blank: kept where its
-    class comes up first, by doc_id (null last) and position.  Rows of equal
-    doc_id count as one document.  Null and empty texts have no such line."""
-    occurrences, lines = line_classes(docs, edits, min_chars)
-    return occurrences.join(lines, ["h1", "h2"]).select("doc_id", "pos", "n", (F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))).alias("kept"))
-
-
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    texts = with_possible(_hashed(source), ["h1", "h2"], written(id_bitmap(nodes, "h1", "h2"), "bitmap"), "_maybe").where("_maybe").select("doc_id", "pos", "h1", "h2", "line", "n")
+    at = nodes.select("lid", "cnt", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("doc_id").alias("d"), F.col("pos").alias("p"))
+    texts = texts.join(at, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    texts = written(texts.select("lid", "cnt", "line", "n", parities().alias("par")).dropDuplicates(["lid"]), "texts")
+
+    # Each line against one leader of each of its keys: the most frequent line that has it in the index.
+    lead = mine.where("own").join(texts.select("lid", "cnt"), "lid").groupBy("key").agg(F.max(F.struct("cnt", F.negative("lid").alias("c"))).alias("top"))
+    lead = written(lead.select("key", F.negative("top.c").alias("a")), "lead")
+    pairs = mine.join(lead, "key").where("lid <> a").select("a", F.col("lid").alias("b")).distinct()
+    stars = written(connected_components(written(_links(pairs, texts, edits), "links")), "stars")
+    # Pairs of a key that are still apart.
+    rows = mine.join(stars, F.col("lid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "lid"))
+    rows = written(rows.join(texts.select("lid", "par"), "lid").select("key", "lid", "own", "comp", "par"), "rows")
+    ends = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "ends")
+    apart = written(rows.join(ends, "key"), "apart")
+    x = apart.where("own").select("key", F.col("lid").alias("a"), F.col("comp").alias("ca"), F.col("par").alias("qa"))
+    y = apart.select("key", F.col("lid").alias("b"), F.col("comp").alias("cb"), F.col("par").alias("qb"))
+    pairs = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(_links(pairs, texts, edits), "links")
+    classes = stars
+    if not more.isEmpty():
+        classes = written(connected_components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "classes")
+
+    maybe = with_possible(lines.select("lid", "h1", "h2", "first", "cnt"), "lid", written(id_bitmap(classes, "node"), "bitmap"), "_maybe")
+    linked = maybe.where("_maybe").join(classes, F.col("lid") == F.col("node"), "left").select("h1", "h2", "first", "cnt", F.col("component").alias("class"))
+    linked = written(linked, "linked")
+    first = linked.where("class is not null").groupBy("class").agg(F.min("first").alias("f"))
+    near = linked.join(written(first, "first"), "class").select("h1", "h2", "f", F.lit(True).alias("near"))
+    copies = maybe.where("not _maybe").select("h1", "h2", "first", "cnt").union(linked.where("class is null").select("h1", "h2", "first", "cnt")).where("cnt > 1").select("h1", "h2", F.col("first").alias("f"), F.lit(False).alias("near"))
+    out = written(near.union(copies).select("h1", "h2", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"), "near"), "line_classes")
+    for table in (lines, mine, nodes, texts, rows, apart):
+        dropped(docs.sparkSession, table)
+    return out
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, line, n, h1, h2) of all lines; n is null for blank ones."""
+    return lines_of(docs).select("doc_id", "pos", "line", F.expr(f"if(ltrim({BLANKS}, line) = '', null, length(line))").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def marked_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc_id, pos, n, kept, near) of every line: kept where its class comes up
+    first, by doc_id (null last) and position; near where the class holds more
+    than copies.  n, kept and near are null for blank lines, so for null and empty
+    texts.  Rows of equal doc_id count as one document: of lines that are equal
+    in id, position and text all are kept or none.  An empty table gives none, a
+    very long text or line is dealt with like any other."""
+    classes = line_classes(docs, edits)
+    lines = with_possible(_hashed(docs).select("doc_id", "pos", "n", "h1", "h2"), ["h1", "h2"], written(id_bitmap(classes, "h1", "h2"), "bitmap"), "_maybe")
+    sure = lines.where("not _maybe").select("doc_id", "pos", "n", F.expr("if(n is null, null, true)").alias("kept"), F.expr("if(n is null, null, false)").alias("near"))
+    first = F.col("first_doc").eqNullSafe(F.col("doc_id")) & (F.col("first_pos") == F.col("pos"))
+    rest = lines.where("_maybe").join(classes, ["h1", "h2"], "left")
+    kept = F.when(F.col("n").isNotNull(), F.coalesce(F.when(F.col("near").isNotNull(), first), F.lit(True)))
+    return sure.union(rest.select("doc_id", "pos", "n", kept, F.when(F.col("n").isNotNull(), F.coalesce("near", F.lit(False)))))
+
+
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with the lines that are kept, and blank lines, joined again.  The
-    columns stay; a text that loses everything is empty."""
-    gone = written(marked_lines(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_doc"), "gone")
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    columns stay, whatever their names; a text that loses everything is empty, a
+    null text stays null."""
+    doc, lost = fresh_name(docs, "_doc"), fresh_name(docs, "_gone")
+    gone = written(marked_lines(docs, edits).where("not kept").groupBy("doc_id").agg(F.collect_set("pos").alias(lost)).withColumnRenamed("doc_id", doc), "gone")
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)), "left")
+    kept = F.expr(f"array_join(filter(split(text, '\\n'), (x, i) -> not array_contains({lost}, i)), '\\n')")
+    return out.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

@@ -13,10 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its lines that are not blank, those kept and their
+    code points, those in a class of more than copies, the first one dropped."""
     from .line_dedup import marked_lines
 
     marked = marked_lines(_table(spark, sf_dir, "documents"))
-    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("kept_chars"), F.min(F.when(~F.col("kept"), F.col("pos"))).cast("long").alias("first_dropped"))
+    return marked.groupBy("doc_id").agg(F.count("kept").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("kept_chars"), F.count_if("near").alias("n_near"), F.min(F.when(~F.col("kept"), F.col("pos"))).cast("long").alias("first_dropped"))
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,14 +174,14 @@ o AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT line, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY line) AS id, length(line) AS n FROM o GROUP BY line),
 e AS (
   SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id
-  WHERE a.n >= 20 AND b.n >= 20 AND levenshtein(a.line, b.line) <= 2),
+  WHERE least(a.n, b.n) >= 10 AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 10)),
 r(id, root) AS (SELECT u, u FROM e UNION SELECT e.v, r.root FROM r JOIN e ON r.id = e.u),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
-f AS (SELECT d.line, d.n, min(d.first) OVER (PARTITION BY coalesce(c.root, -d.id)) AS first FROM d LEFT JOIN c USING (id))
-SELECT o.doc_id, count(*) AS n_lines, count(*) FILTER ((o.doc_id, o.pos) = f.first) AS n_kept,
-       CAST(coalesce(sum(f.n) FILTER ((o.doc_id, o.pos) = f.first), 0) AS BIGINT) AS kept_chars,
-       CAST(min(o.pos) FILTER ((o.doc_id, o.pos) <> f.first) AS BIGINT) AS first_dropped
-FROM o JOIN f USING (line) GROUP BY o.doc_id
+f AS (SELECT d.line, d.n, c.root, min(d.first) OVER (PARTITION BY coalesce(c.root, -d.id)) AS first FROM d LEFT JOIN c USING (id)),
+m AS (SELECT l.doc_id, l.pos, f.n, f.root, (l.doc_id, l.pos) = f.first AS kept FROM l LEFT JOIN f USING (line))
+SELECT doc_id, count(kept) AS n_lines, count(*) FILTER (kept) AS n_kept, CAST(coalesce(sum(n) FILTER (kept), 0) AS BIGINT) AS kept_chars,
+       count(*) FILTER (root IS NOT NULL) AS n_near, CAST(min(pos) FILTER (NOT kept) AS BIGINT) AS first_dropped
+FROM m GROUP BY doc_id
 """
 
 

@@ -376,7 +376,7 @@ def test_edit_join_against_all_pairs(spark):
     rng = np.random.RandomState(6)
     lines = []
     for _ in range(40):
-        base = [chr(97 + c) for c in rng.randint(0, 8, rng.randint(18, 40))]
+        base = [chr(97 + c) for c in rng.randint(0, 8, rng.randint(7, 40))]
         for _ in range(4):
             t = list(base)
             for _ in range(rng.randint(0, 4)):
@@ -385,7 +385,7 @@ def test_edit_join_against_all_pairs(spark):
                     t[p] = "é"
                 elif kind == 1:
                     t.insert(p, "z")
-                elif len(t) > 18:
+                elif len(t) > 6:
                     t.pop(p)
             lines.append("".join(t))
     rows = [(i, "\n".join(lines[i * 8 : i * 8 + 8]), "s") for i in range(20)]
@@ -399,20 +399,43 @@ def test_edit_join_against_all_pairs(spark):
 
     for a in range(len(lines)):
         for b in range(a):
-            near = lines[a] == lines[b] or (min(len(lines[a]), len(lines[b])) >= 20 and lev(lines[a], lines[b]) <= 2)
+            near = lines[a] == lines[b] or lev(lines[a], lines[b]) <= min(2, min(len(lines[a]), len(lines[b])) // 10)
             if near and find(a) != find(b):
                 up[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {(k // 8, k % 8): find(k) == k for k in range(len(lines))}
 
 
+def test_short_lines_one_edit_apart(spark):
+    got = {r.doc_id: r.kept for r in line_dedup.marked_lines(docs(spark, [(1, "nineteen letters ab", "s"), (2, "nineteen letters ac", "s"), (3, "nine abcd", "s"), (4, "nine abce", "s")])).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_line_groups_that_one_leader_does_not_join(spark):
+    # A chain: each is two edits from the next, the ends far from the first.
+    base = "a line of forty letters, and some others"
+    steps = [base]
+    for i in range(1, 9):
+        t = list(steps[-1])
+        t[4 * i], t[4 * i + 1] = "#", "%"
+        steps.append("".join(t))
+    got = {r.doc_id: r.kept for r in line_dedup.marked_lines(docs(spark, [(i, t, "s") for i, t in enumerate(steps)])).collect()}
+    assert got == {i: i == 0 for i in range(9)}
+
+
 def test_line_dedup_odd_rows(spark):
-    out = line_dedup.marked_lines(docs(spark, ODD)).collect()
+    out = [r for r in line_dedup.marked_lines(docs(spark, ODD)).collect() if r.kept is not None]
     assert Counter((r.doc_id, r.kept) for r in out) == Counter({(4, True): 2, (5, True): 1, (None, False): 1, (6, True): 1, (7, True): 1})
     assert line_dedup.marked_lines(docs(spark, [])).count() == 0
     back = line_dedup.without_repeated_lines(docs(spark, ODD))
     assert back.columns == docs(spark, ODD).columns and back.count() == len(ODD)
 
 
+def test_repeated_lines_go_and_clashing_columns_stay(spark):
+    rows = spark.createDataFrame([(1, "one line of text here\n\nanother line, quite long", 5, 6), (2, "one line of text hero\nanother line, quite long\nnew", 7, 8), (3, None, 1, 1), (None, "new", 1, 1)], "doc_id long, text string, _gone int, _doc int")
+    back = {r.doc_id: (r.text, r._gone, r._doc) for r in line_dedup.without_repeated_lines(rows).collect()}
+    assert back == {1: ("one line of text here\n\nanother line, quite long", 5, 6), 2: ("new", 7, 8), 3: (None, 1, 1), None: ("", 1, 1)}
+
+
 # ------------------------------------------------------------ 10: token output
 
 
