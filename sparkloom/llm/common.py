@@ -387,16 +387,19 @@ def components_of(edges: DataFrame, is_joined: bool = False) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (long u, v): component is
     the smallest node that is reachable.  Alternating large-star and small-star
-    steps, each written to the shared folder; nothing but a checksum reaches the
-    driver, and the steps are about the logarithm of the longest chain."""
+    steps, each written to the shared folder, until all that is left are stars;
+    nothing but counts reaches the driver, and the steps are about the logarithm of
+    the longest chain."""
     spark = edges.sparkSession
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
-    def digest(x):
-        return tuple(x.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    def stars(x):
+        """Whether no node has two links upwards, or one upwards and one downwards."""
+        ends = x.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(x.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
-    last = digest(e)
-    while last[0]:
+    while not stars(e):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -404,10 +407,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_low.select("u", F.col("m").alias("v")))
         fresh = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = digest(fresh)
         for x in (e, large):
             dropped(spark, x)
-        e, before, last = fresh, last, now
-        if now == before:
-            break
+        e = fresh
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -39,51 +39,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
 
 
-def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
-    """Start (1-based) and length of segment i of a line: even, the last ones
-    longer by one."""
-    n = edits + 1
-    start = f"(1 + {i} * ({length} div {n}) + greatest(0, {i} - ({n} - {length} % {n})))"
-    return start, f"({length} div {n} + case when {i} >= {n} - {length} % {n} then 1 else 0 end)"
-
-
-def _of_edits(length: str, t: int, edits: int) -> str:
-    """Whether a shorter line of so many code points may have just ``t`` edits."""
-    return f"{length} >= {t * CHARS_AN_EDIT}" + (f" and {length} < {(t + 1) * CHARS_AN_EDIT}" if t < edits else "")
-
-
-def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments; none of a line that allows no edit."""
-    cases = []
-    for t in range(1, edits + 1):
-        keys = []
-        for i in range(t + 1):
-            start, size = _segment("n", i, t)
-            keys.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
-        cases.append(f"when {_of_edits('n', t, edits)} then array({', '.join(keys)})")
-    return F.expr(f"case {' '.join(cases)} else cast(array() as array<bigint>) end")
-
-
-def probe_keys(edits: int) -> Column:
-    """Keys of the substrings that may be a segment of a line that is ``d``
-    code points shorter, for each d up to its edits, but for a line's own
-    segments: segment i can have moved by at most i edits before it, and by what
-    is left of the edits after it."""
-    parts = []
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (line, n, others) with arrays own, the keys of a line's own
+    segments, and other, those of the substrings that may be a segment of a line
+    that is d code points shorter, for each d up to ``edits``.  Segments are even,
+    the last ones longer by one.  Segment i can have moved by at most i edits
+    before it, and by what is left of the edits after it.  Keys that a line's
+    length does not allow are null.
+
+    The lambda around n keeps the last step out of whole-stage code: in its one
+    method the keys would be more than the JVM compiles.
+    """
+    # For each shorter length: its edits, segments, their size and the first longer one.
+    t = {f"t{d}": F.expr(f"least({edits}, (n - {d}) div {CHARS_AN_EDIT})") for d in range(edits + 1)}
+    q = {f"q{d}": F.expr(f"(n - {d}) div (t{d} + 1)") for d in range(edits + 1)}
+    r = {f"r{d}": F.expr(f"t{d} + 1 - (n - {d}) % (t{d} + 1)") for d in range(edits + 1)}
+    # The part of the line that holds a segment and its moves: found once, cut from often.
+    o = {f"o{i}": F.expr(f"if(n < {2 * edits * CHARS_AN_EDIT}, 0, {i} * q0 - {edits + 2})") for i in range(1, edits + 1)}
+    p = {f"p{i}": F.expr(f"substring(line, o{i} + 1, if(n < {2 * edits * CHARS_AN_EDIT}, n, q0 + {4 * edits + 8}))") for i in range(1, edits + 1)}
+    names = lines.columns
+    own, other = [], []
     for d in range(edits + 1):
-        cases = []
-        for t in range(max(d, 1), edits + 1):
-            keys = []
-            for i in range(t + 1):
-                start, size = _segment(f"(n - {d})", i, t)
-                for move in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                    if d or move:
-                        keys.append(f"xxhash64(n - {d}, {i}, substring(line, {start} + {move}, {size}))")
-            if keys:
-                cases.append(f"when {_of_edits(f'(n - {d})', t, edits)} then array({', '.join(keys)})")
-        if cases:
-            parts.append(f"case {' '.join(cases)} else cast(array() as array<bigint>) end")
-    return F.expr(f"concat({', '.join(parts)})" if parts else "cast(array() as array<bigint>)")
+        for i in range(edits + 1):
+            text, at = (f"p{i}", f" - o{i}") if i else ("line", "")
+            for move in range(-i, i + 1):
+                least = max(1, d, i, d + i - move, move - d + i)
+                if least <= edits:
+                    cut = f"substring({text}, 1 + {i} * q{d} + greatest(0, {i} - r{d}) + {move}{at}, q{d} + if({i} >= r{d}, 1, 0))"
+                    (other if d or move else own).append(f"if(t{d} >= {least}, xxhash64(n - {d}, {i}, {cut}), null)")
+    lines = lines.withColumns(t).withColumns(q | r).withColumns(o).withColumns(p)
+    names = [F.transform(F.array("n"), lambda x: x)[0].alias("n") if c == "n" else F.col(c) for c in names]
+    return lines.select(*names, F.expr(f"array({', '.join(own)})").alias("own"), F.expr(f"array({', '.join(other)})").alias("other"))
 
 
 def parities() -> Column:
@@ -142,8 +128,8 @@ def _links(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def _shared(lines: DataFrame) -> DataFrame:
     """(key, lid, own) of the lines that share a key with another line, one of the
     two having it in the index; own: whether this line has."""
-    own = lines.select("lid", F.explode("own").alias("key"))
-    every = lines.select("lid", F.explode(F.concat("own", "other")).alias("key"))
+    own = lines.select("lid", F.explode("own").alias("key")).where("key is not null")
+    every = lines.select("lid", F.explode(F.concat("own", "other")).alias("key")).where("key is not null")
     other = own.select(F.col("lid").alias("y"), F.col("key").alias("k"))
     hits = written(every.join(other, (F.col("key") == F.col("k")) & (F.col("lid") != F.col("y")), "left_semi").distinct(), "hits")
     keys = hits.select("key").distinct()
@@ -161,9 +147,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     if 2 * edits + 2 > LEAST:
         raise ValueError(f"edits must be at most {LEAST // 2 - 1}")
-    base = _hashed(docs).where("n is not null")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")
-    lines = base.select("h1", "h2", place.alias("place"), "n", index_keys(edits).alias("own"), probe_keys(edits).alias("other"))
+    lines = keyed(_hashed(docs).where("n is not null"), edits).select("h1", "h2", place.alias("place"), "n", "own", "other")
     lines = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("cnt"), F.any_value("n").alias("n"), F.any_value("own").alias("own"), F.any_value("other").alias("other"))
     lines = written(lines.withColumn("lid", F.monotonically_increasing_id()), "lines", "snappy")
 
