@@ -5,7 +5,8 @@ speaker as the assistant and the others as named users; masks cover what the
 assistant says.  DataFrame functions only.
 
 A conversation is rendered in parts of ``TURNS`` turn numbers, so a very long
-one is dealt out over tasks; its parts in order are the whole dialogue.
+one is dealt out over tasks; its parts in order are the whole dialogue, which
+``assembled`` puts together where it fits a row.
 """
 
 from __future__ import annotations
@@ -56,3 +57,18 @@ def rotated(conversations: DataFrame, turns: int = TURNS) -> DataFrame:
     masked = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     text = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return both.select("conv_id", "perspective", "part", "n_messages", masked.alias("n_masked"), "rendered", "mask", text.alias("mask_text"))
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """(conv_id, perspective, n_messages, n_masked, rendered, mask) of the rows of
+    ``rotated``: one for each conversation and perspective, its parts in order,
+    masks counted from the dialogue's start.  A dialogue must fit a row."""
+    whole = parts.groupBy("conv_id", "perspective").agg(F.sum("n_messages").alias("n_messages"), F.sum("n_masked").alias("n_masked"), F.sort_array(F.collect_list(F.struct("part", "rendered", "mask"))).alias("parts"))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+
+    def step(a, p):
+        moved = F.transform(p["mask"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end")))
+        return F.struct((a["at"] + F.length(p["rendered"])).alias("at"), F.concat(a["spans"], moved).alias("spans"))
+
+    mask = F.aggregate("parts", zero, step, lambda a: a["spans"])
+    return whole.select("conv_id", "perspective", "n_messages", "n_masked", F.array_join(F.transform("parts", lambda p: p["rendered"]), "").alias("rendered"), mask.alias("mask"))

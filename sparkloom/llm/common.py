@@ -74,11 +74,15 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 #: Rows of an Arrow batch: texts are long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch; one row at least.
+BATCH_BYTES = 16 << 20
 
 
 def short_batches(spark: SparkSession) -> SparkSession:
-    """Bounds the rows that a Python worker and its executor hold at once."""
+    """Bounds the rows and bytes that a Python worker and its executor hold at
+    once, for the whole session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

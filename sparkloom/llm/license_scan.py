@@ -23,7 +23,7 @@ SHINGLE = 3
 #: 24 bands of 2 rows: windows of similarity 0.5 share none with probability 0.001.
 BANDS, ROWS = 24, 2
 CONTAINED = 0.8
-#: Templates are sent to the tasks; more words than this are refused.
+#: Templates are sent to the tasks; more words than this go in several scans.
 MAX_TEMPLATE_WORDS = 1_000_000
 
 # Public license notices by SPDX name.
@@ -100,8 +100,6 @@ class Scanner:
             h, before = self._shingles(pa.array([text], pa.string()))[:2]
             self.sets.append(np.unique(h))
             sizes.append(len(h))
-        if sum(sizes) > MAX_TEMPLATE_WORDS:
-            raise ValueError("the templates are too long to be sent to the tasks")
         # One window length for each power of two that a template's size asks for.
         self.scales = sorted({1 << int(np.ceil(np.log2(max(n, 2)))) for n in sizes})
         self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -198,14 +196,34 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, **o
     shingle is matched as a whole text of its words only.  Repeated rows come
     back as often as they are given.
     """
-    scanner = Scanner(all_templates() if templates is None else templates, **options)
-
-    def run(batches):
-        for b in batches:
-            found = scanner.scan(b.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([scanner.names[f[1]] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
-                ["doc_id", "license", "containment", "first_word", "n_words"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, license string, containment double, first_word long, n_words long")
+    # All texts of a name go in one scan, notices first, so that they are weighed against each other.
+    named: dict[str, list[tuple[str, str]]] = {}
+    for name, text in all_templates() if templates is None else templates:
+        named.setdefault(name, []).append((name, text or ""))
+    rounds, words = [[]], 0
+    for name in sorted(named, key=lambda n: not n.endswith("-notice")):
+        size = sum(len(text.split()) for _, text in named[name])
+        if rounds[-1] and words + size > MAX_TEMPLATE_WORDS:
+            rounds.append([])
+            words = 0
+        rounds[-1] += named[name]
+        words += size
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def one(some):
+        scanner = Scanner(some, **options)
+
+        def run(batches):
+            for b in batches:
+                found = scanner.scan(b.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([scanner.names[f[1]] for f in found], pa.string()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
+                    ["doc_id", "license", "containment", "first_word", "n_words"],
+                )
+
+        return texts.mapInArrow(tidy(run), "doc_id long, license string, containment double, first_word long, n_words long")
+
+    out = one(rounds[0])
+    for some in rounds[1:]:
+        out = out.unionByName(one(some))
+    return out

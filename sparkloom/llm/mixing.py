@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import fresh_name, word_count, written
 
 #: Hex digits of the hash that name a bucket: 4096 buckets for each source.
 BUCKET_DIGITS = 3
@@ -84,9 +84,13 @@ def mixture(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: f
 
 
 def mixed_documents(docs: DataFrame, weights: list[float], **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as the
-    mixture takes it."""
-    plan = mixture(docs, weights, **options).where("times > 0").groupBy("doc_id", "source", "tie").agg(F.max("times").alias("_times"))
-    plan = written(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "_times"), "plan")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].cast("string").eqNullSafe(plan["_source"]) & (F.xxhash64(docs["text"]) == plan["_tie"]))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1L, _times)"))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: the rows of ``docs`` (doc_id, source, text, any others), all
+    columns, each as often as the mixture takes it.  Rows that are equal in id,
+    source and text get the larger of their repetition counts; null ids and
+    sources are values like others; an empty table gives none, and a very long
+    text is one row like any other."""
+    key, source, tie, times, copy = (fresh_name(docs, x) for x in ("_id", "_source", "_tie", "_times", "_copy"))
+    plan = mixture(docs, weights, **options).where("times > 0").groupBy("doc_id", "source", "tie").agg(F.max("times").alias(times))
+    plan = written(plan.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), times), "plan")
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[key]) & docs["source"].cast("string").eqNullSafe(plan[source]) & (F.xxhash64(docs["text"]) == plan[tie]))
+    return joined.withColumn(copy, F.explode(F.expr(f"sequence(1L, {times})"))).select(*[docs[c] for c in docs.columns])

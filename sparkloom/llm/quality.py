@@ -167,10 +167,13 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, grades: DataFrame, n_grades: int = 3, max_labelled: int = MAX_LABELLED) -> OrdinalModel:
     """A model of ``grades`` (doc_id, grade) from at most ``max_labelled`` of
     them, the first by a hash of doc_id: the broadcast and what reaches the
-    driver are bounded by that parameter."""
+    driver are bounded by that parameter.  Rows of a repeated id are all
+    labelled alike; if that makes more rows than ``max_labelled``, the first by
+    the same hash and their features stay.  Null ids have no label; without
+    labelled rows every grade is as likely as another."""
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(tidy(_listed), "doc_id long, grade int, slots binary"), "labelled")
-    rows = known.toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
+    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(max_labelled).toArrow().sort_by([("doc_id", "ascending"), ("slots", "ascending")])
     slots = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("slots")]
     before = np.cumsum([0, *map(len, slots)])
     flat = np.concatenate(slots) if slots else np.zeros(0, np.int32)
@@ -189,7 +192,9 @@ def _listed(batches):
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """(doc_id, expected_grade, p_top) of each row of ``docs`` (doc_id, text):
-    the mean grade and the probability of the highest.  Null text: empty."""
+    the mean grade and the probability of the highest.  Null text is empty,
+    repeated rows come back as often as they are given, equal texts have equal
+    values, an empty table gives none."""
 
     def run(batches):
         for b in batches:
@@ -201,8 +206,9 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def selected(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose probability of the highest grade
-    is ``least`` or more."""
+    """The rows of ``docs`` (text, any others), all columns, whose probability of
+    the highest grade is ``least`` or more; null text is empty, equal texts stay or
+    go alike, a very long text is one row like any other."""
 
     names = docs.columns
     at = names.index("text")

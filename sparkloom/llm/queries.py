@@ -186,6 +186,7 @@ FROM m GROUP BY doc_id
 
 
 def _url_sql() -> str:
+    # Six levels of the tree; the operator goes as deep as the paths.
     out = [r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -193,9 +194,9 @@ WITH u AS (
   FROM pages),
 v AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS e FROM u),
 urls AS (
-  SELECT page_id, host, path, list_concat(list_transform(e[1:3], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '*'
+  SELECT page_id, host, path, list_transform(e, lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '*'
          WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z0-9]+)$') THEN '*' || regexp_extract(s, '^[0-9]+(\.[A-Za-z0-9]+)$', 1)
-         WHEN length(s) >= 8 AND regexp_matches(s, '^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$') THEN '*' ELSE s END), CASE WHEN len(e) > 3 THEN ['**'] ELSE [] END) AS segs
+         WHEN length(s) >= 8 AND regexp_matches(s, '^[0-9a-fA-F-]*[0-9][0-9a-fA-F-]*$') THEN '*' ELSE s END) AS segs
   FROM v),
 known AS (
   SELECT page_id, max(CASE WHEN quality <= 0 OR toxic > 0 THEN 1 ELSE 0 END) AS bad
@@ -203,19 +204,19 @@ known AS (
 p0 AS (
   SELECT host, array_to_string(segs, '/') AS path_key, any_value(segs) AS segs, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad
   FROM urls LEFT JOIN known USING (page_id) GROUP BY host, path_key)"""]
-    for k in (1, 2, 3):
+    for k in range(1, 7):
         out.append(f""",
 h{k} AS (SELECT *, array_to_string(segs[1:{k - 1}], '/') AS prefix, segs[{k}] AS child FROM p{k - 1}),
 c{k} AS (SELECT host, prefix, child, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM h{k} WHERE child IS NOT NULL GROUP BY ALL),
 j{k} AS (
-  SELECT host, prefix, child, children >= 8 AND all_n < 4 * children AS variable, abs(bad - labelled * share) <= 2.0 * sqrt(labelled * share * (1 - share)) + 1e-9 AS alike
-  FROM c{k} JOIN (SELECT host, prefix, count(*) AS children, sum(n) AS all_n, (sum(bad) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share FROM c{k} GROUP BY ALL) USING (host, prefix)),
+  SELECT host, prefix, child, children >= 8 AND all_n < 4 * children AND n < 4 AND close AS variable, close AND labelled >= 5 AS alike
+  FROM (SELECT *, abs(bad - labelled * share) <= 2.0 * sqrt(labelled * share * (1 - share)) + 1e-9 AS close FROM c{k} JOIN (SELECT host, prefix, count(*) AS children, sum(n) AS all_n, (sum(bad) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS share FROM c{k} GROUP BY ALL) USING (host, prefix))),
 w{k} AS (SELECT host, prefix, child FROM (SELECT *, count(*) FILTER (alike) OVER (PARTITION BY host, prefix) AS alikes FROM j{k}) WHERE variable OR (alike AND alikes >= 2)),
 p{k} AS (
   SELECT h.host, path_key, CASE WHEN w.child IS NOT NULL THEN list_concat(list_concat(segs[1:{k - 1}], ['*']), segs[{k + 1}:]) ELSE segs END AS segs, n, labelled, bad
   FROM h{k} h LEFT JOIN w{k} w ON h.host = w.host AND h.prefix = w.prefix AND h.child = w.child)""")
     out.append("""
-, t AS (SELECT *, '/' || array_to_string(segs, '/') AS template FROM p3),
+, t AS (SELECT *, '/' || array_to_string(segs, '/') AS template FROM p6),
 s AS (
   SELECT host, template, 1 - (bad + 5.0::DOUBLE * ((host_bad + 5.0::DOUBLE * share) / (host_labelled + 5.0::DOUBLE))) / (labelled + 5.0::DOUBLE) AS purity
   FROM (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM t GROUP BY ALL)

@@ -1,8 +1,9 @@
 """URL filters: rules first, then a path-template tree of each host.
 
 Paths become templates level by level: segments that are ids by their shape,
-segments of a place with many children that hardly repeat, and siblings whose
-labelled share of bad pages is statistically alike all turn into a wildcard.  A
+segments of a place with many children that hardly repeat, and siblings with
+enough labels whose share of bad pages is statistically alike all turn into a
+wildcard; a sibling with few labels stays as it is.  A
 template is blocked if its purity, the labelled share of good pages smoothed
 towards its host's and that towards all pages', is too low.  DataFrame functions
 only; joins on a host are salted, and everything but the first and the last
@@ -20,8 +21,9 @@ from .common import written
 #: is variable: those of its children that do come up less often and whose bad
 #: share is like the place's become a wildcard.
 CHILDREN, REPEATS = 8, 4
-#: Standard errors within which a child's bad share is like its siblings'.
-ALIKE = 2.0
+#: Standard errors within which a child's bad share is like its siblings', and the
+#: labelled pages it must have for that to say anything.
+ALIKE, EVIDENCE = 2.0, 5
 #: Pages of the prior that smooths a purity, and the purity a template needs.
 PRIOR, PURITY = 5.0, 0.5
 SALT = 16
@@ -82,8 +84,9 @@ def templates(paths: DataFrame) -> DataFrame:
         child = here.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         place = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), ((F.sum("bad") + 1.0) / (F.sum("labelled") + 2.0)).alias("share"))
         judged = _salted(child, place, ["host", "prefix"], F.col("child"))
-        judged = judged.withColumn("alike", F.expr(f"abs(bad - labelled * share) <= {ALIKE} * sqrt(labelled * share * (1 - share)) + 1e-9"))
-        judged = judged.withColumn("variable", F.expr(f"children >= {CHILDREN} and all_n < {REPEATS} * children and n < {REPEATS} and alike"))
+        judged = judged.withColumn("close", F.expr(f"abs(bad - labelled * share) <= {ALIKE} * sqrt(labelled * share * (1 - share)) + 1e-9"))
+        judged = judged.withColumn("variable", F.expr(f"children >= {CHILDREN} and all_n < {REPEATS} * children and n < {REPEATS} and close"))
+        judged = judged.withColumn("alike", F.expr(f"close and labelled >= {EVIDENCE}"))
         judged = written(judged.select("host", "prefix", "child", "variable", "alike"), "judged")
         pairs = judged.groupBy("host", "prefix").agg(F.count_if("alike").alias("alikes"))
         merged = _salted(judged, pairs, ["host", "prefix"], F.col("child")).where("variable or (alike and alikes >= 2)").select("host", "prefix", "child", F.lit(True).alias("wild"))
