@@ -60,8 +60,8 @@ STAGES = [
     ("token output", token_output),
 ]
 
-#: A classifier that is fitted can't be said in SQL; tests compare the stages
-#: with brute force instead.
+#: A classifier that is fitted can't be said in SQL; tests/llm/test_cases.py
+#: compares each stage with a plain version instead.
 ORACLE_SQL = None
 
 
