@@ -76,3 +76,25 @@ def interval_iou(left: DataFrame, right: DataFrame, by: str, start: str, end: st
     inter = a.join(b, by).groupBy(by).agg(F.sum(F.greatest(F.lit(0.0), F.least(end, "_e") - F.greatest(start, "_s"))).alias("_i"))
     union = F.col("_la") + F.col("_lb") - F.col("_i")
     return n.join(m, by).join(inter, by).select(by, F.when(union > 0, F.col("_i") / union).otherwise(0.0).alias("iou"))
+
+
+def crop_rect(box: str, width: Column, height: Column) -> Column:
+    """The box in whole pixels, halves to even, within the image; null if nothing
+    is left of it."""
+    w, h = width.cast("long"), height.cast("long")
+    at = [F.bround(F.col(box)[k], 0).cast("long") for k in range(4)]
+    low = [F.greatest(F.lit(0), F.least(side - 1, x)) for x, side in zip(at[:2], (w, h), strict=True)]
+    high = [F.greatest(F.lit(1), F.least(side, x)) for x, side in zip(at[2:], (w, h), strict=True)]
+    return F.when((high[0] > low[0]) & (high[1] > low[1]), F.array(*low, *high))
+
+
+def pixel_box(box: str, width: Column, height: Column, most: float = 1.5) -> Column:
+    """A box whose numbers are all at most ``most`` is one of fractions of the
+    image and becomes pixels; another stays."""
+    small = F.array_max(F.transform(box, F.abs)) <= most
+    return F.when(small, F.array(*[F.col(box)[k] * (width if k % 2 == 0 else height) for k in range(4)])).otherwise(F.col(box))
+
+
+def segment_group(boxes: str, confidence: str) -> Column:
+    """Boxes of a segment, how many, and the first one with its confidence."""
+    return F.struct(F.size(boxes).cast("long").alias("count"), F.get(boxes, 0).alias("selected_box"), F.get(confidence, 0).alias("selected_confidence"))

@@ -37,8 +37,8 @@ def squeezed(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Trimmed, lower case, blanks squeezed, edge punctuation gone."""
-    return F.btrim(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), F.lit(".,;:!?\"'()[]{} "))
+    """Lower case, blanks squeezed, blanks and .,;:!? at the edges gone."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "), F.lit(" \t\r\n.,;:!?"))
 
 
 def squad_normalised(text: Column) -> Column:
@@ -64,8 +64,15 @@ def em_with_penalty(text: Column, golds: Column, score: float = 1.0) -> Column:
 
 
 def option_match(gold: Column, text: Column) -> Column:
-    """A one-letter gold that the text starts with as a label."""
-    return (F.length(gold) == 1) & F.rlike(text, F.concat(F.lit("^"), gold, F.lit(r"(\b|[.)：:])")))
+    """A gold of one Latin letter that the text, both normalised, starts with as a
+    label."""
+    g = normalised(gold)
+    return g.rlike("^[a-z]$") & F.rlike(normalised(text), F.concat(F.lit("^"), F.when(g.rlike("^[a-z]$"), g).otherwise("a"), F.lit(r"(\b|[.)：:])")))
+
+
+def rule_match(text: Column, gold: Column) -> Column:
+    """Equal after normalisation, or a label that matches."""
+    return (normalised(text) == normalised(gold)) | option_match(gold, text)
 
 
 def gsm8k(text: Column, strict: bool = True) -> Column:
@@ -77,9 +84,12 @@ def gsm8k(text: Column, strict: bool = True) -> Column:
 
 
 def strict_format(text: Column) -> Column:
-    """Exactly one answer that is not empty and ends the text."""
-    one = (F.regexp_count(text, F.lit("<answer>")) == 1) & (F.regexp_count(text, F.lit("</answer>")) == 1)
-    return one & text.rlike(r"(?s)<answer>\s*\S.*</answer>\s*$") & ~text.rlike(r"(?s)<answer>\s*</answer>\s*$")
+    """Exactly one pair of answer tags, any case, around something without tags,
+    at the end of the final turn: the whole text, or what follows the last
+    assistant mark where there are tool responses."""
+    one = (F.regexp_count(text, F.lit("(?i)<answer>")) == 1) & (F.regexp_count(text, F.lit("(?i)</answer>")) == 1)
+    final = F.when(text.rlike("(?i)<tool_response>"), F.regexp_extract(text, r"(?is)^.*(?:<\|im_start\|>|^|\s)assistant\s*(.*)$", 1)).otherwise(text)
+    return one & final.rlike(r"(?is)<answer>\s*[^<>]+?\s*</answer>\s*$")
 
 
 def mixed_reward(correct: Column, well_formed: Column, share: float = 0.1) -> Column:
@@ -129,14 +139,54 @@ def relaxed_accuracy(said: Column, gold: Column, tolerance: float = 0.05) -> Col
     return F.when(a.isNotNull() & b.isNotNull() & (b != 0), close).otherwise(F.lower(F.trim(said)) == F.lower(F.trim(gold)))
 
 
+#: Phrases of a refusal, and of a failed call.
+REFUSALS = ["Sorry, I can't help with images of people yet.", "I can't process this file.", "I'm sorry, but without the image provided", "Cannot determine the answer"]
+FAILED = "Failed to obtain answer via API"
+
+
 def infer_letter(text: Column, letters: str = "ABCDE", tail: int = 5) -> Column:
-    """The only option letter among the words, if it is one of the last ones; Z
-    for a refusal; else null."""
-    words = F.split(squeezed(F.translate(text, ".()[],:;!*#{}", " " * 13)), " ")
+    """The only option letter among the words, if its first place is one of the
+    last ``tail`` - 1; Z for a refusal, or a Z among words without a letter; else
+    null, as for a failed call."""
+    words = F.filter(F.split(F.regexp_replace(F.translate(text, ".()[],:;!*#{}", " " * 13), r"\s+", " "), " "), lambda w: w != "")
     seen = F.array_intersect(F.array(*[F.lit(c) for c in letters]), words)
-    at = F.size(words) - F.array_position(F.reverse(words), seen[0])
-    refused = F.lower(text).rlike("sorry|cannot answer|can't answer|unable to")
-    return F.when(refused, "Z").when((F.size(seen) == 1) & (at > F.size(words) - 1 - tail), seen[0])
+    at = F.array_position(words, F.get(seen, 0)) - 1
+    refused = F.exists(F.array(*[F.lit(x) for x in REFUSALS]), lambda x: F.contains(text, x))
+    late = (F.size(seen) == 1) & (at > F.size(words) - tail)
+    none = (F.size(seen) == 0) & F.array_contains(words, "Z")
+    return F.when(F.contains(text, F.lit(FAILED)), F.lit(None)).when(refused | none, "Z").when(late, F.get(seen, 0))
+
+
+def infer_order(text: Column) -> Column:
+    """The order of four options: a word of four different letters A to D, else
+    the letters after first, second, third and fourth, else after four steps."""
+    up = F.upper(text)
+    word = F.regexp_extract(up, r"\b([A-D]{4})\b", 1)
+    # What names a place or a step.
+    places = ["first|1st|首先|第一步", "second|2nd|其次|第二步", "third|3rd|再次|第三步", "fourth|4th|最后|第四步"]
+    named = F.array_distinct(F.filter(F.array(*[F.upper(F.regexp_extract(up, f"(?i)(?:{x}).*?([A-D])", 1)) for x in places]), lambda x: x != ""))
+    step = F.lit(r"(?i)(?:step\s*[\d一二三四]+|步骤\s*[\d一二三四]+|第\s*[\d一二三四]\s*步).*?([A-D])")
+    steps = F.slice(F.regexp_extract_all(up, step, F.lit(1)), 1, 4)
+    steps = F.array_distinct(F.transform(steps, F.upper))
+    different = F.size(F.array_distinct(F.split(word, ""))) == 4
+    return F.when((word != "") & different, word).when(F.size(named) == 4, F.array_join(named, "")).when(F.size(steps) == 4, F.array_join(steps, ""))
+
+
+def think_box_format(text: Column) -> Column:
+    """1 for a text of thoughts in tags and then a box, else 0."""
+    return F.when(text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"), 1.0).otherwise(0.0)
+
+
+def strict_box(text: Column, gold: Column, tail: int = 100) -> Column:
+    """1 where the last box within the last ``tail`` characters holds the gold as
+    it is, else -1."""
+    return F.when(last_boxed(F.right(text, F.lit(tail))) == gold, 1).otherwise(-1)
+
+
+def anls_cut(a: Column, b: Column, cut: float = 0.5) -> Column:
+    """1 - distance over the longer length, 0 where that is at most ``cut``."""
+    s = 1 - anls_distance(a, b)
+    return F.when(s > cut, s).otherwise(0.0)
 
 
 def infer_by_text(text: Column, options: Column) -> Column:

@@ -33,12 +33,13 @@ def differencing(lengths: list[int], k: int, equal: bool = False) -> list[list[i
 
 
 def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
-    """Each length to the set of least sum, in order; with ``equal`` a full set
-    takes no more."""
-    sets, sums, most = [[] for _ in range(k)], [0] * k, -(-len(lengths) // k)
+    """Each length to the set of least sum, in order; with ``equal`` sets of fewer
+    members come first, so that sizes never differ by more than one."""
+    if equal and len(lengths) % k:
+        raise ValueError("equal sizes need a multiple of k lengths")
+    sets, sums = [[] for _ in range(k)], [0] * k
     for i, n in enumerate(lengths):
-        free = [j for j in range(k) if not equal or len(sets[j]) < most]
-        j = min(free, key=lambda j: (sums[j], j))
+        j = min(range(k), key=lambda j: (len(sets[j]) if equal else 0, sums[j], j))
         sets[j].append(i)
         sums[j] += n
     return sets

@@ -129,7 +129,7 @@ def anls(read):
 
 @query(QUERIES, "SELECT event_id, CASE WHEN event_type = 'error' THEN 'Z' WHEN event_type IN ('click', 'view') THEN 'B' END AS letter FROM events")
 def option_infer(read):
-    t = F.when(F.col("event_type") == "error", "Sorry, I cannot answer").when(F.col("event_type") == "click", "The answer is (B).").when(F.col("event_type") == "view", "B").otherwise("A or B")
+    t = F.when(F.col("event_type") == "error", "Cannot determine the answer").when(F.col("event_type") == "click", "The answer is (B).").when(F.col("event_type") == "view", "B").otherwise("A or B")
     return read("events").select("event_id", tx.infer_letter(t).alias("letter"))
 
 
