@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,35 +107,73 @@ def whiten(df: DataFrame, values: str, mask: str, out: str = "whitened") -> Data
     return both.join(F.broadcast(var)).withColumn(out, F.expr(f"transform({values}, x -> (x - _mean) / sqrt(_var + 1e-8))")).drop("_mean", "_n", "_var")
 
 
+def _right(column) -> tuple[np.ndarray, list[int]]:
+    """Arrays of a column as rows of a matrix that end together, and their
+    lengths; null arrays are empty."""
+    rows = [np.zeros(0) if x is None else np.asarray(x, np.float64) for x in column]
+    n = [len(x) for x in rows]
+    out = np.zeros((len(rows), max(n, default=0)))
+    for i, x in enumerate(rows):
+        if n[i]:
+            out[i, -n[i] :] = x
+    return out, n
+
+
+def _left(matrix: np.ndarray, n: list[int]) -> list[np.ndarray]:
+    width = matrix.shape[1]
+    return [row[width - k :] for row, k in zip(matrix, n, strict=True)]
+
+
 def suffix_returns(rewards: Column, mask: Column, gamma: float = 1.0) -> Column:
     """Discounted sums of the masked rewards from each token to the end; a masked
-    token resets what it passes on, as its own return is masked too."""
-    pairs = F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m")))
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+    token resets what it passes on, as its own return is masked too.  One pass
+    from the last token for all rows of an Arrow batch."""
 
-    def step(a, p):
-        run = p["r"] + gamma * a["run"]
-        return F.struct((run * p["m"]).alias("run"), F.concat(a["out"], F.array(run)).alias("out"))
+    @F.pandas_udf("array<double>")
+    def run(rewards: pd.Series, mask: pd.Series) -> pd.Series:
+        (r, n), (m, _) = _right(rewards), _right(mask)
+        held = np.zeros(len(r))
+        for k in range(r.shape[1] - 1, -1, -1):
+            r[:, k] += gamma * held
+            held = r[:, k] * m[:, k]
+        return pd.Series(_left(r, n), dtype=object)
 
-    return F.reverse(F.aggregate(pairs, zero, step, lambda a: a["out"]))
+    return run(rewards, mask)
 
 
 def remax_returns(rewards: str, mask: str) -> Column:
     """Suffix sums of reward * mask."""
-    done = f"aggregate(reverse(zip_with({rewards}, {mask}, (r, m) -> cast(r * m as double))), cast(array() as array<double>), (a, x) -> concat(a, array(x + coalesce(element_at(a, -1), 0D))))"
-    return F.expr(f"reverse({done.replace('element_at(a, -1)', 'try_element_at(a, -1)')})")
+
+    @F.pandas_udf("array<double>")
+    def run(rewards: pd.Series, mask: pd.Series) -> pd.Series:
+        (r, n), (m, _) = _right(rewards), _right(mask)
+        return pd.Series(_left(np.cumsum((r * m)[:, ::-1], axis=1)[:, ::-1], n), dtype=object)
+
+    return run(F.col(rewards), F.col(mask))
 
 
 def gae(rewards: str, values: str, mask: str, gamma: float, lam: float) -> Column:
-    """struct(advantages, returns) before whitening: a fold from the last token;
-    observation tokens (mask 0) pass value, advantage and return on unchanged."""
-    return F.expr(f"""
-      transform(array(aggregate(reverse(transform({rewards}, (r, i) -> struct(cast(r as double) as r, cast({values}[i] as double) as v, cast({mask}[i] as double) as m))),
-        struct(0D as adv, 0D as carry, 0D as ret, 0D as nv, 1D as nm, cast(array() as array<double>) as a, cast(array() as array<double>) as g),
-        (s, t) -> transform(array(struct(if(s.nm = 1D, s.nv, s.carry) as carry, if(t.m = 1D, {gamma}D, 1D) as gm, if(t.m = 1D, {lam}D, 1D) as lm)), k ->
-          transform(array(struct((t.r + k.gm * k.carry - t.v) * t.m + k.gm * k.lm * s.adv as adv, k.gm * s.ret + t.m * t.r as ret)), n ->
-            struct(n.adv as adv, k.carry as carry, n.ret as ret, t.v as nv, t.m as nm, concat(s.a, array(n.adv)) as a, concat(s.g, array(n.ret)) as g))[0])[0],
-        s -> struct(reverse(s.a) as advantages, reverse(s.g) as returns))), x -> x)[0]""")
+    """struct(advantages, returns) before whitening, in one pass from the last
+    token for all rows of an Arrow batch: observation tokens (mask 0) pass value,
+    advantage and return on unchanged."""
+
+    @F.pandas_udf("advantages array<double>, returns array<double>")
+    def run(rewards: pd.Series, values: pd.Series, mask: pd.Series) -> pd.DataFrame:
+        (r, n), (v, _), (m, _) = _right(rewards), _right(values), _right(mask)
+        adv, carry, ret, after, seen = (np.zeros(len(r)) for _ in range(5))
+        seen += 1
+        a, g = np.zeros_like(r), np.zeros_like(r)
+        for k in range(r.shape[1] - 1, -1, -1):
+            on = m[:, k] == 1
+            carry = np.where(seen == 1, after, carry)
+            step = np.where(on, gamma, 1.0)
+            adv = (r[:, k] + step * carry - v[:, k]) * m[:, k] + step * np.where(on, lam, 1.0) * adv
+            ret = step * ret + m[:, k] * r[:, k]
+            after, seen = v[:, k], m[:, k]
+            a[:, k], g[:, k] = adv, ret
+        return pd.DataFrame({"advantages": pd.Series(_left(a, n), dtype=object), "returns": pd.Series(_left(g, n), dtype=object)})
+
+    return run(F.col(rewards), F.col(values), F.col(mask))
 
 
 def soft_mean_baseline(df: DataFrame, score: str = "score", beta: float = 1.0) -> DataFrame:
@@ -170,7 +210,12 @@ def until_first_eos(ids: Column, eos: list[int]) -> Column:
 
 def position_ids(mask: str) -> Column:
     """Running sum of the mask less one, at least 0."""
-    return F.expr(f"transform({mask}, (x, i) -> greatest(aggregate(slice({mask}, 1, i + 1), 0, (a, y) -> a + cast(y as int)) - 1, 0))")
+
+    @F.pandas_udf("array<long>")
+    def run(mask: pd.Series) -> pd.Series:
+        return pd.Series([np.maximum(np.cumsum(np.asarray(x if x is not None else [], np.int64)) - 1, 0) for x in mask], dtype=object)
+
+    return run(F.col(mask))
 
 
 def kl_controller(kls: list[float], start: float, target: float, horizon: float, n: int) -> list[float]:

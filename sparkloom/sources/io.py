@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 _FORMATS = {"parquet": "parquet", "json": "json", "jsonl": "json", "csv": "csv", "tsv": "csv", "orc": "orc", "txt": "text"}
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A table by its suffix; parquet folders are searched through."""
+def read_table(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None, key: str | None = None) -> DataFrame:
+    """A table by its suffix, or the rows of several; parquet folders are searched
+    through, and one without any fails.  ``key``: the name of a struct column, or
+    dotted names, whose fields are the table."""
+    if not isinstance(path, str):
+        tables = [read_table(spark, p, schema, columns, key) for p in path]
+        if not tables:
+            raise ValueError("no paths")
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "parquet"
     if suffix not in _FORMATS:
         raise ValueError(f"no reader for .{suffix}")
@@ -23,19 +33,45 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, column
     if suffix == "parquet":
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.load(path)
+    if key:
+        df = df.select(f"{key}.*")
     return df.select(*columns) if columns else df
 
 
+def read_shards(spark: SparkSession, path: str, n: int, pattern: str = "train-*.parquet") -> DataFrame:
+    """The first ``n`` files of a folder that fit ``pattern``, by name."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(f.getPath().toString() for f in found or [])[:n]
+    if not names:
+        raise ValueError(f"no {pattern} in {path}")
+    return spark.read.parquet(*names)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of text or Markdown files, a row for each."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows with a key; none fails."""
+    out = df.where(F.col(key) == F.lit(value))
+    if out.isEmpty():
+        raise KeyError(value)
+    return out
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines. Strict: any bad or blank line fails the query; else blank
-    lines go and a bad line fails with its text."""
-    lines = spark.read.text(path)
+    lines go and a bad line fails with its file and text."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if not strict:
         lines = lines.where("trim(value) <> ''")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     # An object only: from_json gives a struct of nulls for anything else.
     good = F.json_object_keys("value").isNotNull()
-    return lines.select(F.when(good, parsed).otherwise(F.raise_error(F.concat(F.lit("bad JSON line: "), F.substring("value", 1, 200)))).alias("r")).select("r.*")
+    return lines.select(F.when(good, parsed).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": bad JSON line: "), F.substring("value", 1, 200)))).alias("r")).select("r.*")
 
 
 def read_records(spark: SparkSession, path: str, schema: str, column: str = "record_json") -> DataFrame:
@@ -61,8 +97,26 @@ def first_rows(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
     return out
 
 
-def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "error") -> None:
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text) of the lines of JSON files that hold no object; a file
+    must fit a row."""
+    pages = read_pages(spark, path)
+    lines = pages.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.where("trim(text) <> ''").where(F.json_object_keys("text").isNull()).select("path", (F.col("line") + 1).alias("line"), "text")
+
+
+def output_name(path: str, suffix: str, kind: str = "jsonl") -> str:
+    """The name of a result beside its input: the input's without its ending, an
+    underscore, ``suffix`` and the ending of ``kind``."""
+    folder, _, name = path.rpartition("/")
+    stem = name.rsplit(".", 1)[0] if "." in name else name
+    return (folder + "/" if folder else "") + f"{stem}_{suffix}.{kind}"
+
+
+def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "error", refuse_empty: bool = False) -> None:
     """By suffix or kind; csv and tsv quote every field."""
+    if refuse_empty and df.isEmpty():
+        raise ValueError("an empty table is not written")
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind not in _FORMATS:
         raise ValueError(f"no writer for {kind}")
