@@ -100,3 +100,14 @@ def weighted_pages(df: DataFrame, page: list[str], attribute: str, distance: str
     over pages."""
     g = df.groupBy(*page, attribute).agg((F.sum(F.col(distance) * F.col(length)) / F.sum(length)).alias("d"))
     return g.groupBy(attribute).agg(F.avg("d").alias("distance"), F.count(F.lit(1)).alias("pages"))
+
+
+def rotations(tables: list[DataFrame], key: str, names: list[str]) -> DataFrame:
+    """One row over the keys that all tables (key, one hit column each) have: the
+    mean of each, of all, and the shares of keys hit or missed by every one."""
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.join(t, key)
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    mean = lambda c: F.avg(c.cast("double"))
+    return both.agg(*[mean(F.col(n)).alias(n) for n in names], mean(total / len(names)).alias("average"), mean((total == len(names)).cast("int")).alias("hit_all"), mean((total == 0).cast("int")).alias("miss_all"))

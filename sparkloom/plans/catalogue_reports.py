@@ -71,10 +71,10 @@ def acc_rollup(read):
     return reports.rolled_up(_labelled(read), "quality", ["lang", "duration"])
 
 
-@query(QUERIES, f"""WITH {LABELLED}, p AS (SELECT source, coalesce(avg(quality) FILTER (lang = 'en'), 0) AS en, coalesce(avg(quality) FILTER (lang = 'de'), 0) AS de, coalesce(avg(quality) FILTER (lang = 'fr'), 0) AS fr FROM d GROUP BY source)
- SELECT source, {r6('en')} AS en, {r6('de')} AS de, {r6('fr')} AS fr, {r6('(en + de + fr) / 3')} AS average FROM p""")
+@query(QUERIES, f"""WITH {LABELLED}, p AS (SELECT source, coalesce(avg(quality) FILTER (lang = 'en'), 0) AS en, coalesce(avg(quality) FILTER (lang = 'de'), 0) AS de, coalesce(avg(quality) FILTER (lang = 'fr'), 0) AS fr, coalesce(avg(quality) FILTER (lang = 'es'), 0) AS es FROM d GROUP BY source)
+ SELECT source, {r6('en')} AS en, {r6('de')} AS de, {r6('fr')} AS fr, {r6('es')} AS es, {r6('(en + de + fr + es) / 4')} AS average FROM p""")
 def subject_pivot(read):
-    return reports.pivoted(_labelled(read), "source", "lang", ["en", "de", "fr"], "quality")
+    return reports.pivoted(_labelled(read), "source", "lang", ["en", "de", "fr", "es"], "quality")
 
 
 @query(QUERIES, f"""WITH {LABELLED} SELECT {r6('(SELECT avg(quality) FROM d)')} AS answer_accuracy, {r6('(SELECT avg(m) FROM (SELECT min(quality) AS m FROM d GROUP BY doc_id // 3))')} AS figure_accuracy, {r6('(SELECT avg(m) FROM (SELECT min(quality) AS m FROM d GROUP BY doc_id // 5, lang))')} AS question_accuracy""")
@@ -116,10 +116,10 @@ def acc_at_iou(read):
     return reports.at_thresholds(read("events").withColumn("iou", F.col("value") / 200), ["event_type"], "iou", [0.1, 0.2, 0.3, 0.4, 0.5])
 
 
-@query(QUERIES, f"WITH {LABELLED}, g AS (SELECT source, lang, avg(quality) AS s FROM d GROUP BY ALL) SELECT source, {r6('max(s) FILTER (lang = $$en$$)')} AS en, {r6('max(s) FILTER (lang = $$es$$)')} AS es FROM g GROUP BY source")
+@query(QUERIES, f"WITH {LABELLED}, g AS (SELECT source, lang, avg(quality) AS s FROM d GROUP BY ALL) SELECT source, {r6('max(s) FILTER (lang = $$en$$)')} AS en, {r6('max(s) FILTER (lang = $$es$$)')} AS es, {r6('max(s) FILTER (lang = $$de$$)')} AS de, {r6('max(s) FILTER (lang = $$fr$$)')} AS fr FROM g GROUP BY source")
 def leaderboard_pivot(read):
     g = _labelled(read).groupBy("source", "lang").agg(F.avg("quality").alias("s"))
-    return reports.leaderboard(g, "source", "lang", ["en", "es"], "s")
+    return reports.leaderboard(g, "source", "lang", ["en", "es", "de", "fr"], "s")
 
 
 @query(QUERIES, f"WITH {LABELLED} SELECT s.source, l.lang FROM (SELECT DISTINCT source FROM d) s, (SELECT DISTINCT lang FROM d) l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = s.source AND d.lang = l.lang AND d.quality = 0)")
@@ -138,11 +138,12 @@ def weighted_pages(read):
     return reports.weighted_pages(_labelled(read), ["source"], "lang", "quality", "n_chars")
 
 
-@query(QUERIES, f"""WITH a AS (SELECT l_orderkey, avg(l_discount) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), n AS (SELECT l_orderkey, avg(l_discount) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
- SELECT l_orderkey, {r6('a')} AS a, {r6('n')} AS n FROM a JOIN n USING (l_orderkey)""")
+@query(QUERIES, f"""WITH g AS (SELECT l_orderkey AS k, l_returnflag AS f, CASE WHEN avg(l_discount) > 0.05 THEN 1 ELSE 0 END AS hit FROM lineitem GROUP BY ALL),
+ j AS (SELECT a.k, a.hit AS a, n.hit AS n, r.hit AS r FROM g a JOIN g n ON a.k = n.k AND a.f = 'A' AND n.f = 'N' JOIN g r ON r.k = a.k AND r.f = 'R')
+ SELECT {r6('avg(a)')} AS a, {r6('avg(n)')} AS n, {r6('avg(r)')} AS r, {r6('avg((a + n + r) / 3.0::DOUBLE)')} AS average, {r6('avg(CASE WHEN a + n + r = 3 THEN 1 ELSE 0 END)')} AS hit_all, {r6('avg(CASE WHEN a + n + r = 0 THEN 1 ELSE 0 END)')} AS miss_all FROM j""")
 def rotation_join(read):
-    each = [read("lineitem").where(F.col("l_returnflag") == f).groupBy("l_orderkey").agg(F.avg("l_discount").alias(f.lower())) for f in "AN"]
-    return each[0].join(each[1], "l_orderkey")
+    each = [read("lineitem").where(F.col("l_returnflag") == f).groupBy("l_orderkey").agg((F.avg("l_discount") > 0.05).cast("int").alias(f.lower())) for f in "ANR"]
+    return reports.rotations(each, "l_orderkey", ["a", "n", "r"])
 
 
 # -------------------------------------------------------------------- balancing

@@ -135,7 +135,7 @@ def write_steps(df: DataFrame, path: str, step: str = "step") -> None:
 
 def summary_json(df: DataFrame) -> str:
     """A small aggregate as one JSON text."""
-    return json.dumps([json.loads(r) for r in df.toJSON().collect()], ensure_ascii=False)
+    return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()], ensure_ascii=False)
 
 
 def flat_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
