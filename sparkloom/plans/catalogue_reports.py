@@ -138,11 +138,11 @@ def weighted_pages(read):
     return reports.weighted_pages(_labelled(read), ["source"], "lang", "quality", "n_chars")
 
 
-@query(QUERIES, f"""WITH g AS (SELECT l_orderkey AS k, l_returnflag AS f, CASE WHEN avg(l_discount) > 0.05 THEN 1 ELSE 0 END AS hit FROM lineitem GROUP BY ALL),
+@query(QUERIES, f"""WITH g AS (SELECT l_orderkey AS k, l_returnflag AS f, CASE WHEN avg(l_discount) > 0.05171 THEN 1 ELSE 0 END AS hit FROM lineitem GROUP BY ALL),
  j AS (SELECT a.k, a.hit AS a, n.hit AS n, r.hit AS r FROM g a JOIN g n ON a.k = n.k AND a.f = 'A' AND n.f = 'N' JOIN g r ON r.k = a.k AND r.f = 'R')
  SELECT {r6('avg(a)')} AS a, {r6('avg(n)')} AS n, {r6('avg(r)')} AS r, {r6('avg((a + n + r) / 3.0::DOUBLE)')} AS average, {r6('avg(CASE WHEN a + n + r = 3 THEN 1 ELSE 0 END)')} AS hit_all, {r6('avg(CASE WHEN a + n + r = 0 THEN 1 ELSE 0 END)')} AS miss_all FROM j""")
 def rotation_join(read):
-    each = [read("lineitem").where(F.col("l_returnflag") == f).groupBy("l_orderkey").agg((F.avg("l_discount") > 0.05).cast("int").alias(f.lower())) for f in "ANR"]
+    each = [read("lineitem").where(F.col("l_returnflag") == f).groupBy("l_orderkey").agg((F.avg("l_discount") > 0.05171).cast("int").alias(f.lower())) for f in "ANR"]
     return reports.rotations(each, "l_orderkey", ["a", "n", "r"])
 
 
