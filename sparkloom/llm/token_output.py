@@ -32,8 +32,10 @@ IDS_PER_SHARD = 4_000_000
 IDS_PER_IMAGE = 2_000_000
 #: Shards are tasks; beyond so many they hold more ids each, in images of the same size.
 MAX_SHARDS = 100_000
-#: Pieces that one Python worker keeps, about 30 MB.
-CACHE_ENTRIES = 300_000
+#: Pieces that one Python worker keeps, about 40 MB.
+CACHE_ENTRIES = 450_000
+#: Bytes of text that are cut and looked up at once.
+TEXT_BYTES = 5 << 20
 #: Uses of a piece that keep it when there are too many.
 OFTEN = 3
 
@@ -148,8 +150,7 @@ class ChunkTokenizer:
         kind = self.classes[raw]
         lead = np.flatnonzero(raw >= 0xC0)
         if len(lead):
-            pad = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.uint32)
-            a, b, c, d = (pad[lead + k] for k in range(4))
+            a, b, c, d = (raw[np.minimum(lead + k, len(raw) - 1)].astype(np.uint32) for k in range(4))
             two, three = a < 0xE0, (a >= 0xE0) & (a < 0xF0)
             code = np.where(two, (a & 31) << 6 | b & 63, np.where(three, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
             own = self.classes[np.minimum(code, 0xFFFF)]
@@ -227,8 +228,8 @@ class ChunkTokenizer:
             self.used[own] += np.bincount(at, minlength=len(own))
             each = self.size[own].astype(np.int32)[at]
             upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-            where = np.repeat(self.start[own][at] - upto[:-1], each)
-            where += np.arange(len(where))
+            where = np.repeat((self.start[own][at] - upto[:-1]).astype(np.int32), each)
+            where += np.arange(len(where), dtype=np.int32)
             tokens = self.ids[where]
             size = np.diff(upto[np.searchsorted(starts, offsets)])
         if odd.any():
@@ -259,6 +260,21 @@ def _batches(table: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterat
         first = last
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``limit`` bytes of one column."""
+    held, size = [], 0
+    for b in batches:
+        own = b.column(column).nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
@@ -272,8 +288,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFr
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-        for whole in batches:
-            for b in _batches(whole, 1):
+        for whole in _gathered(batches, 1):
+            for b in _batches(whole, 1, TEXT_BYTES):
                 t = _TOKENIZERS.get(tokenizer)
                 if t is None:
                     t = _TOKENIZERS[tokenizer] = ChunkTokenizer(tokenizer)
