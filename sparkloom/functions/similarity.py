@@ -108,81 +108,134 @@ def rouge_l(candidate, reference):
 
 
 class _Tree(HTMLParser):
+    """Markup as nodes [tag, (colspan, rowspan), children, pieces]; pieces are what a
+    cell shows: characters, and the tags of elements within."""
+
     VOID = {"br", "img", "meta", "hr", "input", "link"}
 
     def __init__(self):
         super().__init__()
-        self.root = ("root", [], [""])
+        self.root = ["root", ("1", "1"), [], []]
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        node = (tag, [], [""])
-        self.open[-1][1].append(node)
+        spans = dict(attrs)
+        node = [tag, (spans.get("colspan", "1"), spans.get("rowspan", "1")), [], []]
+        for outer in self.open:
+            outer[3].append(f"<{tag}>")
+        self.open[-1][2].append(node)
         if tag not in self.VOID:
             self.open.append(node)
+        else:
+            for outer in self.open:
+                outer[3].append(f"</{tag}>")
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
+                for outer in self.open:
+                    outer[3].append(f"</{tag}>")
                 break
 
     def handle_data(self, data):
-        self.open[-1][2][0] += data.strip()
+        for outer in self.open:
+            outer[3].extend(data)
+
+
+def _edit_share(a: list[str], b: list[str]) -> float:
+    """Edit distance of two sequences over the longer length."""
+    if a == b:
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] / max(len(a), len(b))
+
+
+def _table(markup: str):
+    """The first table of a markup text, or None."""
+    p = _Tree()
+    p.feed(markup or "")
+    p.close()
+    todo = [p.root]
+    while todo:
+        node = todo.pop()
+        if node[0] == "table":
+            return node
+        todo.extend(reversed(node[2]))
+    return None
+
+
+def _inner(node) -> int:
+    return sum(1 + _inner(c) for c in node[2])
 
 
-def tree_distance(a: str, b: str, structure_only: bool = False) -> tuple[int, int]:
-    """(edits, larger node count) of two markup trees: ordered tree edit distance
-    over post-order leftmost leaves and key roots."""
+def tree_distance(x, y, structure_only: bool = False) -> float:
+    """Ordered tree edit distance of two tables (post-order leftmost leaves and key
+    roots).  A cell is a leaf; nodes of other tags or spans differ by 1, cells by the
+    edit share of what they show."""
 
-    def flat(markup):
-        p = _Tree()
-        p.feed(markup or "")
-        names, left = [], []
+    def flat(root):
+        nodes, left = [], []
 
         def walk(node):
-            first = None
-            for child in node[1]:
-                f = walk(child)
-                first = f if first is None else first
-            names.append(node[0] if structure_only else (node[0], node[2][0]))
-            left.append(len(names) - 1 if first is None else first)
+            cell = node[0] == "td"
+            firsts = [] if cell else [walk(c) for c in node[2]]
+            nodes.append((node[0], node[1] if cell else None, node[3] if cell and not structure_only else []))
+            left.append(firsts[0] if firsts else len(nodes) - 1)
             return left[-1]
 
-        walk(p.root)
-        roots = sorted({x: i for i, x in enumerate(left)}.values())
-        return names, left, roots
+        walk(root)
+        return nodes, left, sorted({a: i for i, a in enumerate(left)}.values())
 
-    (x, lx, kx), (y, ly, ky) = flat(a), flat(b)
-    d = [[0] * len(y) for _ in x]
+    (x, lx, kx), (y, ly, ky) = flat(x), flat(y)
+    costs = {}
+
+    def cost(p, q):
+        if (p, q) not in costs:
+            costs[p, q] = 1.0 if x[p][:2] != y[q][:2] else _edit_share(x[p][2], y[q][2])
+        return costs[p, q]
+
+    d = [[0.0] * len(y) for _ in x]
     for i in kx:
         for j in ky:
             m, n = i - lx[i] + 2, j - ly[j] + 2
-            f = [[0] * n for _ in range(m)]
-            for s in range(1, m):
-                f[s][0] = s
-            for t in range(1, n):
-                f[0][t] = t
+            f = [[float(s)] + [0.0] * (n - 1) for s in range(m)]
+            f[0] = [float(t) for t in range(n)]
             for s in range(1, m):
                 for t in range(1, n):
                     p, q = s + lx[i] - 1, t + ly[j] - 1
                     if lx[p] == lx[i] and ly[q] == ly[j]:
-                        f[s][t] = min(f[s - 1][t] + 1, f[s][t - 1] + 1, f[s - 1][t - 1] + (x[p] != y[q]))
+                        f[s][t] = min(f[s - 1][t] + 1, f[s][t - 1] + 1, f[s - 1][t - 1] + cost(p, q))
                         d[p][q] = f[s][t]
                     else:
                         f[s][t] = min(f[s - 1][t] + 1, f[s][t - 1] + 1, f[lx[p] - lx[i]][ly[q] - ly[j]] + d[p][q])
-    return d[-1][-1], max(len(x), len(y))
+    return d[-1][-1]
+
+
+def table_similarity(a: str, b: str, structure_only: bool = False) -> float:
+    """1 - edits over the larger count of elements below the tables; 0.0 where a text
+    is empty, null or holds no table, or neither table has elements."""
+    x, y = _table(a), _table(b)
+    if x is None or y is None:
+        return 0.0
+    n = max(_inner(x), _inner(y))
+    return 1 - tree_distance(x, y, structure_only) / n if n else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
 def teds(a, b):
-    """1 - tree edits over the larger tree of two tables' markup."""
+    """``table_similarity`` of two columns."""
+    return a.combine(b, table_similarity).astype(float)
 
-    def one(s, t):
-        edits, n = tree_distance(s, t)
-        return 1 - edits / n
 
-    return a.combine(b, one).astype(float)
+@F.pandas_udf(T.DoubleType())
+def teds_structure(a, b):
+    """The same without what the cells show."""
+    return a.combine(b, lambda s, t: table_similarity(s, t, True)).astype(float)
 
 
 def assignment(cost: list[list[float]]) -> list[int]:

@@ -32,6 +32,27 @@ def validation(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame
     return each.groupBy(source, "n").agg(F.count(F.lit(1)).alias("prompts"), F.avg("mean").alias("mean_at_n"), F.avg("std").alias("std_at_n"), F.avg("best").alias("best_at_n"), F.avg("worst").alias("worst_at_n"))
 
 
+def validation_at(df: DataFrame, source: str, prompt: str, value: str) -> DataFrame:
+    """(source, metric, value): mean@n and std@n of each prompt's n responses, and
+    best@k and worst@k, mean and std, for k = 2, 4, ... below n, and n; then means over
+    prompts.  best and worst are the exact expectations over k draws with
+    replacement, which 1000 seeded draws (``bootstrap``) estimate."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(source, prompt)
+    ranked = df.where(F.col(value).isNotNull()).select(source, prompt, F.col(value).cast("double").alias("x"), F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    each = ranked.groupBy(source, prompt, "n").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    plain = F.array(F.struct(F.concat(F.lit("mean@"), "n").alias("metric"), F.col("mean").alias("v")), F.struct(F.concat(F.lit("std@"), "n").alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("v")))
+    ks = F.when(F.col("n") > 1, F.expr("concat(filter(transform(sequence(1, 30), i -> shiftleft(1L, i)), k -> k < n), array(n))"))
+    at = ranked.withColumn("k", F.explode(ks))
+    upto = lambda r: F.pow(r / F.col("n"), F.col("k").cast("double"))
+    parts = {"best": upto(F.col("r")) - upto(F.col("r") - 1), "worst": upto(F.col("n") - F.col("r") + 1) - upto(F.col("n") - F.col("r"))}
+    at = at.groupBy(source, prompt, "k").agg(*[F.sum(F.col("x") ** p * share).alias(f"{c}{p}") for c, share in parts.items() for p in (1, 2)])
+    tops = [F.struct(F.concat(F.lit(f"{c}@"), "k", F.lit(f"/{kind}")).alias("metric"), v.alias("v")) for c in parts for kind, v in (("mean", F.col(f"{c}1")), ("std", F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}2") - F.col(f"{c}1") ** 2))))]
+    both = each.select(source, F.explode(plain).alias("m")).unionByName(at.select(source, F.explode(F.array(*tops)).alias("m")))
+    return both.select(source, "m.*").where("v is not null").groupBy(source, "metric").agg(F.avg("v").alias("value"))
+
+
 def schedule(n: int) -> list[int]:
     """2, 4, 8, ... below n, then n."""
     out, k = [], 2

@@ -106,3 +106,116 @@ def mask_lengths(attention: str, n_response: Column, action: str | None = None)
 def stored_or(score: str, computed: Column) -> Column:
     """A score that is there already, else the computed one."""
     return F.coalesce(F.col(score), computed)
+
+
+def faulty_paths(df: DataFrame, key: str, paths: str, listing: DataFrame) -> DataFrame:
+    """(key, path, fault) of references that are absolute, or that ``listing``
+    (path) does not hold; equal references of a key are one row."""
+    each = df.select(key, F.explode(paths).alias("path")).where("path <> ''").distinct()
+    known = listing.select("path").distinct().withColumn("_there", F.lit(True))
+    fault = F.when(F.startswith("path", F.lit("/")), "absolute").when(F.col("_there").isNull(), "missing")
+    return each.join(known, "path", "left").withColumn("fault", fault).where("fault is not null").select(key, "path", "fault")
+
+
+def first_existing(df: DataFrame, key: str, path: str, roots: list[str], listing: DataFrame) -> DataFrame:
+    """(key, path, found): the first of the path itself and the path below each root
+    that ``listing`` (path) holds; null if none."""
+    tries = F.array(F.col(path), *[F.concat(F.lit(r.rstrip("/") + "/"), F.col(path)) for r in roots])
+    each = df.select(key, F.col(path).alias("path"), F.posexplode(tries).alias("_at", "_try"))
+    known = listing.select(F.col("path").alias("_try")).distinct().withColumn("_there", F.lit(True))
+    return each.join(known, "_try", "left").groupBy(key, "path").agg(F.min_by("_try", F.when(F.col("_there"), F.col("_at"))).alias("found"))
+
+
+def cached_or(df: DataFrame, key: str, cache: DataFrame, value: str, missing: Column) -> DataFrame:
+    """``df`` with ``value`` looked up in ``cache`` by ``key`` (one row a key), else
+    ``missing``.  The optimizer broadcasts a small cache."""
+    return df.join(cache.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), missing))
+
+
+def by_parent(df: DataFrame, key: str, nodes: DataFrame, parent: str, score: str) -> DataFrame:
+    """(parent, n, score): rows looked up in ``nodes`` (key, parent) and averaged
+    again by parent; rows without a node have a null parent."""
+    return df.join(nodes.select(key, parent), key, "left").groupBy(parent).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias(score))
+
+
+def right_at_threshold(df: DataFrame, by: list[str], qid: str, mode: str, score: str, threshold: float) -> DataFrame:
+    """Share of questions, among those asked in both modes, with a miou score above
+    ``threshold`` whose long_acc answer is right; 0 without such questions."""
+    is_miou, is_long = F.col(mode) == "miou", F.col(mode) == "long_acc"
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    each = df.groupBy(*by, qid).agg(some(is_miou).alias("a"), some(is_long).alias("b"), some(is_miou & (F.col(score) > threshold)).alias("x"), some(is_long & (F.col(score) == 1)).alias("y"))
+    both, hit = F.count_if(F.col("a") & F.col("b")), F.count_if(F.col("x") & F.col("y"))
+    return each.groupBy(*by).agg(F.when(both > 0, F.bround(hit / both, 4)).otherwise(0.0).alias("acc"))
+
+
+def score_sheet(df: DataFrame, category: str, score: str, groups: dict[str, str]) -> DataFrame:
+    """(name, value): sums of scores by group of categories (``groups`` maps a
+    category to its group, others stand for themselves), then Final Score and
+    Final Score Norm, a tenth of it."""
+    names = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv]) if groups else None
+    name = F.col(category) if names is None else F.coalesce(names[F.col(category)], F.col(category))
+    sums = df.groupBy(name.alias("name")).agg(F.sum(score).cast("double").alias("value"))
+    total = df.agg(F.coalesce(F.sum(score), F.lit(0)).cast("double").alias("t"))
+    lines = F.explode(F.array(F.struct(F.lit("Final Score").alias("name"), F.col("t").alias("value")), F.struct(F.lit("Final Score Norm").alias("name"), (F.col("t") / 10).alias("value"))))
+    return sums.unionByName(total.select(lines.alias("x")).select("x.*"))
+
+
+def paired_scores(df: DataFrame, text: str, score: str) -> DataFrame:
+    """``df`` with ``pair_score``: where exactly two rows have one text, 1 if both
+    have a score other than 0, else 0; other rows and empty texts keep their score."""
+    groups = df.where(F.col(text) != "").groupBy(text).agg(F.every(F.col(score) != 0).alias("_both"), F.count(F.lit(1)).alias("_n"))
+    pair = F.when(F.col("_n") == 2, F.coalesce(F.col("_both"), F.lit(False)).cast("double")).otherwise(F.col(score))
+    return df.join(groups, text, "left").withColumn("pair_score", pair).drop("_both", "_n")
+
+
+def group_rows(df: DataFrame, prompt: str, n: int) -> DataFrame:
+    """Each prompt row ``n`` times, with ``uid`` (SHA-256 of the prompt) and its ``ordinal`` from 0."""
+    return df.withColumn("uid", F.sha2(prompt, 256)).withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+def with_tools(rows: DataFrame, tools: list[str]) -> DataFrame:
+    """Training rows (``curate.rl_rows``) whose extra info says that each tool is
+    created with the row's truth, question and source."""
+    made = F.struct(F.struct(F.col("reward_model.ground_truth"), F.col("extra_info.question"), F.col("data_source")).alias("create_kwargs"))
+    extra = F.col("extra_info").withField("need_tools_kwargs", F.lit(True)).withField("tools_kwargs", F.struct(*[made.alias(t) for t in tools]))
+    return rows.withColumn("extra_info", extra)
+
+
+def adapted(rows: DataFrame, source: str | None = None, system: str | None = None, ability: str | None = None) -> DataFrame:
+    """Training rows under another source or ability, or with a system message in
+    front of their trimmed question; what is None stays."""
+    changes = {c: F.lit(v) for c, v in (("data_source", source), ("ability", ability)) if v is not None}
+    if system is not None:
+        turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+        changes["prompt"] = F.array(turn("system", F.lit(system)), turn("user", F.trim(F.col("extra_info.question"))))
+    return rows.withColumns(changes) if changes else rows
+
+
+def within_length(df: DataFrame, length: Column, most: int) -> DataFrame:
+    """Rows whose prompt has at most ``most`` tokens by ``length``, for example
+    ``word_count`` or ``token_count(path)`` of the prompt."""
+    return df.where(length <= most)
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def token_count(path: str):
+    """A UDF: number of a tokenizer file's tokens of a text, without special ones; null counts 0."""
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def count(texts):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([len(x.ids) for x in found], dtype="int32")
+
+    return count
+
+
+def submission(df: DataFrame, prediction: str, a: str, letter) -> DataFrame:
+    """``submission``: the letter that ``letter(prediction)`` infers where option
+    ``a`` is there, else the prediction itself."""
+    return df.withColumn("submission", F.when(F.col(a).isNotNull(), letter(F.col(prediction))).otherwise(F.col(prediction)))

@@ -200,10 +200,18 @@ def bleu_rouge(read):
     return _pairs(read).select("item_id", sim.bleu("x", "y").alias("bleu"), sim.rouge_l("x", "y").alias("rouge_l"))
 
 
-@query(QUERIES)
+# Two cells in a row: no shift of cells (2 edits) beats changing both in place, so the
+# distance is the sum of the cells' edit shares, 1 where spans differ, and of rows put in.
+_TEDS = """WITH p AS (SELECT p_partkey, p_name AS a1, p_brand AS a2, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_type END AS b1, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand || 'x' END AS b2, p_size % 3 AS more, p_size % 4 = 1 AS span, p_size % 11 = 0 AS gone FROM part)"""
+
+
+@query(QUERIES, f"""{_TEDS}, d AS (SELECT *, levenshtein(a1, b1) / greatest(length(a1), length(b1))::DOUBLE AS d1, CASE WHEN span THEN 1 ELSE levenshtein(a2, b2) / greatest(length(a2), length(b2))::DOUBLE END AS d2 FROM p)
+ SELECT p_partkey, {r6('CASE WHEN gone THEN 0 ELSE 1 - (d1 + d2 + 2 * more) / (3 + 2 * more) END')} AS teds, {r6('CASE WHEN gone THEN 0 ELSE 1 - (CAST(span AS INTEGER) + 2 * more) / (3 + 2 * more)::DOUBLE END')} AS structure FROM d""")
 def teds(read):
-    rows = read("part").select("p_partkey", F.expr("concat('<table><tr><td>', p_name, '</td><td>', p_brand, '</td></tr></table>')").alias("a"), F.expr("concat('<table><tr><td>', p_name, '</td></tr>', repeat('<tr><td>x</td></tr>', p_size % 3), '</table>')").alias("b"))
-    return rows.select("p_partkey", sim.teds("a", "b").alias("teds"))
+    rows = read("part").selectExpr("p_partkey", "concat('<table><tr><td>', p_name, '</td><td>', p_brand, '</td></tr></table>') AS a", "p_size", "if(p_size % 5 = 0, p_name, p_type) AS b1", "if(p_size % 7 = 0, '', p_brand || 'x') AS b2")
+    b = F.expr("if(p_size % 11 = 0, 'no table', concat('<table><tr><td>', b1, if(p_size % 4 = 1, '</td><td colspan=\"2\">', '</td><td>'), b2, '</td></tr>', repeat('<tr><td>x</td></tr>', p_size % 3), '</table>'))")
+    rows = rows.select("p_partkey", "a", b.alias("b"))
+    return rows.select("p_partkey", sim.teds("a", "b").alias("teds"), sim.teds_structure("a", "b").alias("structure"))
 
 
 # -------------------------------------------------------------------- geometry

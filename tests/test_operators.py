@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import geometry, similarity, text
-from sparkloom.operators import advantage, balance, batch, conversation, curate, losses, metrics
+from sparkloom.functions import answers, geometry, similarity, text
+from sparkloom.operators import advantage, balance, batch, conversation, curate, losses, metrics, rows
 from sparkloom.sources import io
 
 
@@ -134,7 +135,12 @@ def test_answers(spark):
 def test_similarities(spark):
     df = spark.createDataFrame([("ca", "abc"), ("", "")], "a string, b string")
     assert [r[0] for r in df.select(similarity.damerau("a", "b")).collect()] == pytest.approx([1 - 2 / 3, 1.0])
-    assert similarity.tree_distance("<a><b>x</b></a>", "<a><b>y</b></a>") == (1, 3)
+    cell = "<table><tr><td>{}</td></tr></table>".format
+    assert similarity.table_similarity(cell("ab"), cell("ac")) == pytest.approx(1 - 0.5 / 2)
+    assert similarity.table_similarity(cell("ab"), cell("xy"), True) == 1.0
+    assert similarity.table_similarity(cell("ab"), "<table><tr><td rowspan='2'>ab</td></tr></table>") == 0.5
+    assert similarity.table_similarity(cell("a<b>b</b>"), cell("ab")) == pytest.approx(1 - 0.5 / 3)
+    assert [similarity.table_similarity(a, b) for a, b in ((None, None), ("", cell("a")), ("<p>x</p>", cell("a")))] == [0.0, 0.0, 0.0]
     assert similarity.assignment([[4, 1, 3], [2, 0, 5], [3, 2, 2]]) == [1, 0, 2]
 
 
@@ -172,3 +178,46 @@ def test_stream_runs_until_full(spark, tmp_path, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     windows.run_until_full(stream, str(tmp_path / "out"), 300, str(tmp_path / "check"), lambda b: b.where("value > 10"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+
+
+def test_answer_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    lit = F.lit
+    for text, right, want in [("<think>a</think><answer>b</answer>", True, 1.0), ("a</think><answer>b</answer>", False, 0.2), ("b", True, 0.8), ("a</think><answer>" + "b" * 300 + "</answer>", True, 0.0), (None, None, 0.0)]:
+        assert one(answers.tagged_reward(lit(text).cast("string"), lit(right).cast("boolean")))["score"] == pytest.approx(want)
+    for text, gold, want in [("Answer: x=\\frac12", "\\frac{1}{2}", 1), ("so\nanswer: 1,234 dollars", "1234", 1), ("Answer: 3\nAnswer: 4", "3", -1), ("4", "4", -1), ("Answer: \\sqrt2", "\\sqrt{2}", 1)]:
+        assert one(answers.answer_line_score(lit(text), lit(gold))) == want
+    assert [one(answers.letter_behind(lit(x))) for x in ("The answer is B", "\\boxed{(C)}", "The best option is D", "e", "")] == ["B", "(C)", "D", "E", "A"]
+    assert one(answers.letter_behind(lit("Best Choice: D"), boxed=False)) == "B"
+    assert one(answers.clean_string(lit(" \"Ten\" (about) "))) == "ten" and one(answers.clean_string(lit("$4.5 %"))) == "4.5"
+    assert [one(answers.must_match(lit(x))) for x in ("555-1234", "2024-01-02", "a@b.org", "x.py", "ten")] == [True, True, True, True, False]
+    assert one(answers.contents(lit("a<t>1</t>\n<t>2\n</t>"), "<t>", "</t>")) == ["1", "2\n"]
+    assert one(answers.without_images(lit('["data:image/png;AA", "b"]'))) == '["<image data URL omitted: 17 chars>", "b"]'
+    assert one(answers.unpacked(lit("{'response': 'x', 'thinking': 't'}"))).asDict() == {"prediction": "x", "thinking": "t", "raw_response": "", "images": [""]}
+    assert one(answers.relative_closeness(lit("9"), lit("10"))) == pytest.approx(0.9) and one(answers.relative_closeness(lit("x"), lit("0"))) == 0.0
+    assert one(answers.proximity(lit(48.8566), lit(2.3522), lit(51.5074), lit(-0.1278))) == pytest.approx(0.0323, abs=2e-4)
+    df = spark.createDataFrame([("0.12", "12%"), ("12.3456", "12.35"), ("100", "100.9"), ("x", "1"), (None, "1")], "g string, s string")
+    assert [r[0] for r in df.select(answers.equal_as_shown()("g", "s")).collect()] == [False, True, False, False, False]
+    assert [r[0] for r in df.select(answers.equal_as_shown(True, True)("g", "s")).collect()] == [True, True, True, False, False]
+    m = spark.sql("select array(struct('user' as role, 2 as n), struct('assistant' as role, 3 as n), struct('assistant' as role, 1 as n)) as m")
+    assert m.select(answers.turn_loss_mask("m", 2)).first()[0] == [0, 0, 0, 0, 1, 0]
+
+
+def test_metrics_at_k_against_draws(spark):
+    """Exact expectations lie within the noise of 1000 draws; all draws of two of three values are listed."""
+    df = spark.createDataFrame([("s", "p", float(x)) for x in (1, 2, 4)] + [("s", "q", 5.0)], "s string, p string, v double")
+    got = {r["metric"]: r["value"] for r in metrics.validation_at(df, "s", "p", "v").collect()}
+    draws = np.array([(a, b) for a in (1, 2, 4) for b in (1, 2, 4)])
+    assert set(got) == {"mean@3", "std@3", "mean@1"} | {f"{b}@{k}/{m}" for b in ("best", "worst") for k in (2, 3) for m in ("mean", "std")}
+    assert got["best@2/mean"] == pytest.approx(draws.max(axis=1).mean()) and got["best@2/std"] == pytest.approx(draws.max(axis=1).std())
+    assert got["worst@2/mean"] == pytest.approx(draws.min(axis=1).mean()) and got["worst@2/std"] == pytest.approx(draws.min(axis=1).std())
+
+
+def test_token_count(spark):
+    from pathlib import Path
+
+    path = Path("/opt/tokenizers/byte_bpe_50k.json")
+    if not path.exists():
+        pytest.skip("no tokenizer file")
+    df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    assert [r[0] > 0 for r in df.select(rows.token_count(str(path))("t")).collect()] == [True, False, False]
