@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -64,28 +66,60 @@ def damerau(a, b):
     return (a.fillna("").combine(b.fillna(""), lambda s, t: 1.0 if not s and not t else 1 - distance(s, t) / max(len(s), len(t)))).astype(float)
 
 
+#: How the 13a tokenizer of translation scoring sets punctuation apart, in this order.
+APART = [(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")]
+
+
+def translation_tokens(text: str) -> list[str]:
+    """Words and punctuation of a text as translation scoring cuts them."""
+    text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for old, new in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = text.replace(old, new)
+    text = f" {text} "
+    for pattern, to in APART:
+        text = re.sub(pattern, to, text)
+    return text.split()
+
+
+def _grams(words: list[str], n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n)), strict=False))
+
+
+def bleu_score(candidate: str | None, reference: str | None) -> float:
+    """BLEU of up to four tokens between 0 and 1.  The k-th order without a match
+    counts 1 / 2^k matches; 0 without any match or with fewer than four tokens."""
+    c, r = translation_tokens(candidate or ""), translation_tokens(reference or "")
+    total, missed = 0.0, 1
+    for n in range(1, 5):
+        x = _grams(c, n)
+        hit, every = sum((x & _grams(r, n)).values()), len(c) - n + 1
+        if every < 1 or (n == 1 and not hit):
+            return 0.0
+        if not hit:
+            missed *= 2
+        total += math.log(hit / every if hit else 1 / (missed * every)) / 4
+    return math.exp(total + min(0.0, 1 - len(r) / len(c)))
+
+
+def gleu_score(candidate: str | None, reference: str | None) -> float:
+    """Matching n-grams of one to four words over the larger count of n-grams; 0 without any."""
+    c, r = (candidate or "").split(), (reference or "").split()
+    x = sum((_grams(c, n) for n in range(1, 5)), Counter())
+    y = sum((_grams(r, n) for n in range(1, 5)), Counter())
+    most = max(sum(x.values()), sum(y.values()))
+    return sum((x & y).values()) / most if most else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def bleu(candidate, reference):
-    """Sentence BLEU of up to four-word n-grams with add-one smoothing beyond
-    single words."""
-    import math
+    """``bleu_score`` of two columns."""
+    return candidate.combine(reference, bleu_score).astype(float)
 
-    def one(c, r):
-        c, r = (c or "").split(), (r or "").split()
-        if not c or not r:
-            return 0.0
-        total = 0.0
-        for n in range(1, 5):
-            x = Counter(tuple(c[i : i + n]) for i in range(len(c) - n + 1))
-            y = Counter(tuple(r[i : i + n]) for i in range(len(r) - n + 1))
-            hit, all_ = sum((x & y).values()), max(sum(x.values()), 0)
-            p = (hit + (n > 1)) / (all_ + (n > 1)) if all_ + (n > 1) else 0.0
-            if p == 0:
-                return 0.0
-            total += math.log(p) / 4
-        return math.exp(total + min(0.0, 1 - len(r) / len(c)))
 
-    return candidate.combine(reference, one).astype(float)
+@F.pandas_udf(T.DoubleType())
+def gleu(candidate, reference):
+    """``gleu_score`` of two columns."""
+    return candidate.combine(reference, gleu_score).astype(float)
 
 
 @F.pandas_udf(T.DoubleType())

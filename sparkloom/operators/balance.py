@@ -11,25 +11,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class _State:
+    """k disjoint sets (sum, size, [(index, length), ...]), largest first; in a heap the
+    widest spread comes first, and of equally wide ones that of the larger first set."""
+
+    def __init__(self, sets):
+        self.sets = sorted(sets, reverse=True)
+        self.rank = (self.sets[0][0] - self.sets[-1][0], self.sets[0])
+
+    def __lt__(self, other):
+        return self.rank > other.rank
+
+    def with_other(self, other):
+        pairs = zip(self.sets, reversed(other.sets), strict=True)
+        return _State([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in pairs])
+
+
 def differencing(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
     """k sets of indices with close sums by largest differencing: states of k
-    sets are merged, the two of widest spread first, largest set with smallest."""
+    sets are merged, the two of widest spread first, largest set with smallest.
+    Sets of one sum go by their size and members."""
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    alone = [(lengths[i], 1, [(i, lengths[i])]) for i in order]
     if equal:
         if len(lengths) % k:
             raise ValueError("equal sizes need a multiple of k lengths")
-        states = [sorted(([(lengths[i], [i]) for i in order[a : a + k]]), key=lambda s: -s[0]) for a in range(0, len(order), k)]
+        heap = [_State(alone[a : a + k]) for a in range(0, len(alone), k)]
     else:
-        states = [[(lengths[i], [i])] + [(0, []) for _ in range(k - 1)] for i in order]
-    heap = [(-(s[0][0] - s[-1][0]), -s[0][0], n, s) for n, s in enumerate(states)]
+        heap = [_State([s] + [(0, 0, [])] * (k - 1)) for s in alone]
     heapq.heapify(heap)
-    n = len(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[3], heapq.heappop(heap)[3]
-        s = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
-        heapq.heappush(heap, (-(s[0][0] - s[-1][0]), -s[0][0], n, s))
-        n += 1
-    return [sorted(s[1]) for s in heap[0][3]] if heap else [[] for _ in range(k)]
+        widest = heapq.heappop(heap)
+        heapq.heapreplace(heap, widest.with_other(heap[0]))
+    return [sorted(i for i, _ in s[2]) for s in heap[0].sets] if heap else [[] for _ in range(k)]
 
 
 def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:

@@ -30,9 +30,13 @@ def step_mastery(df: DataFrame, steps: list[str], whole: str) -> DataFrame:
 
 
 def positional_groups(df: DataFrame, pos: str, score: str, total: int, groups: int = 5) -> DataFrame:
-    """Mean score times 100 of consecutive groups, the last with the rest."""
+    """Mean score times 100 of consecutive groups, the last with the rest, and
+    ``spread``, the population std between the groups (a window over ``groups`` rows)."""
+    from pyspark.sql import Window as W
+
     width = max(1, total // groups)
-    return df.groupBy(F.least(F.floor(F.col(pos) / width), F.lit(groups - 1)).alias("part")).agg((100 * F.avg(score)).alias("score"))
+    means = df.groupBy(F.least(F.floor(F.col(pos) / width), F.lit(groups - 1)).alias("part")).agg((100 * F.avg(score)).alias("score"))
+    return means.withColumn("spread", F.stddev_pop("score").over(W.partitionBy(F.lit(0))))
 
 
 def paired_blocks(df: DataFrame, block: str, question: str, image: str, score: str) -> DataFrame:

@@ -19,7 +19,7 @@ def step_mastery(read):
     return bd.step_mastery(df, ["a", "b"], "m")
 
 
-@query(QUERIES, f"WITH n AS (SELECT count(*) // 5 AS w FROM events) SELECT least(event_id // w, 4) AS part, {r6('100 * avg(value)')} AS score FROM events, n GROUP BY 1")
+@query(QUERIES, f"WITH n AS (SELECT count(*) // 5 AS w FROM events) SELECT least(event_id // w, 4) AS part, {r6('100 * avg(value)')} AS score, {r6('stddev_pop(100 * avg(value)) OVER ()')} AS spread FROM events, n GROUP BY 1")
 def positional_groups(read):
     df = read("events")
     return bd.positional_groups(df, "event_id", "value", df.count())

@@ -158,7 +158,10 @@ def balance_kk(read):
     return balance.imbalance(balance.balanced(_batches(read), "batch", "pos", "length", 8), "batch", "length")
 
 
-@query(QUERIES)
+@query(QUERIES, f"""WITH RECURSIVE e AS (SELECT event_id // 256 AS batch, row_number() OVER (PARTITION BY event_id // 256 ORDER BY event_id) AS i, CAST(ceil(value) AS BIGINT) AS n FROM events),
+ s AS (SELECT DISTINCT batch, 0::BIGINT AS i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS sums FROM e
+  UNION ALL SELECT s.batch, s.i + 1, list_transform(s.sums, lambda x, j: CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN x + e.n ELSE x END) FROM s JOIN e ON e.batch = s.batch AND e.i = s.i + 1),
+ f AS (SELECT batch, unnest(arg_max(sums, i)) AS s, max(i) AS n FROM s GROUP BY batch) SELECT batch, min(s) FILTER (s > 0) AS least, max(s) AS largest, {r6('avg(s) FILTER (s > 0)')} AS mean FROM f GROUP BY batch""")
 def balance_greedy(read):
     return balance.imbalance(balance.balanced(_batches(read), "batch", "pos", "length", 8, "greedy"), "batch", "length")
 

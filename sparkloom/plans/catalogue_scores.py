@@ -195,9 +195,36 @@ def edit_sim_damerau(read):
     return _pairs(read).select("item_id", sim.damerau(F.col("x"), F.col("y")).alias("similarity"))
 
 
-@query(QUERIES)
+def _apart(x: str) -> str:
+    x = f"' ' || {x} || ' '"
+    for old, new in sim.APART:
+        x = f"regexp_replace({x}, '{old}', '{new}', 'g')"
+    return x
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+
+
+def _ngrams(x: str, n: int) -> str:
+    return f"list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string(list_slice({x}, i, i + {n} - 1), ' '))"
+
+
+def _hits(x: str, y: str) -> str:
+    return f"coalesce(list_sum(list_transform(list_distinct({x}), lambda g: least(len(list_filter({x}, lambda h: h = g)), len(list_filter({y}, lambda h: h = g))))), 0)"
+
+
+# The row of the longest common subsequence is a running maximum of what ends at each word.
+_LCS = """list_reduce(x, lambda row, w: list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN y[i] = w THEN coalesce(row[i - 1], 0) + 1 ELSE 0 END)))), list_transform(y, lambda w: 0::BIGINT))"""
+
+
+@query(QUERIES, f"""WITH {PAIRS}, t AS (SELECT item_id, {_words(_apart('x'))} AS c, {_words(_apart('y'))} AS r, {_words('x')} AS x, {_words('y')} AS y FROM p),
+ h AS (SELECT *, [{', '.join(_hits(_ngrams('c', n), _ngrams('r', n)) for n in range(1, 5))}] AS h, [greatest(len(c) - n + 1, 0) FOR n IN [1, 2, 3, 4]] AS t, [{', '.join(_hits(_ngrams('x', n), _ngrams('y', n)) for n in range(1, 5))}] AS g, {_LCS} AS l FROM t),
+ q AS (SELECT *, list_transform([1, 2, 3, 4], lambda n: CASE WHEN h[n] > 0 THEN ln(h[n] / t[n]::DOUBLE) ELSE -ln(pow(2, len(list_filter(h[1:n], lambda z: z = 0))) * t[n]) END) AS q FROM h)
+ SELECT item_id, {r6("CASE WHEN h[1] = 0 OR t[4] = 0 THEN 0 ELSE exp(list_sum(q) / 4 + least(0, 1 - len(r) / len(c)::DOUBLE)) END")} AS bleu, {r6("coalesce(list_sum(g) / nullif(greatest(list_sum([greatest(len(x) - n, 0) FOR n IN [0, 1, 2, 3]]), list_sum([greatest(len(y) - n, 0) FOR n IN [0, 1, 2, 3]])), 0)::DOUBLE, 0)")} AS gleu,
+  {r6("CASE WHEN coalesce(l[len(y)], 0) = 0 THEN 0 ELSE 2 * l[len(y)] / (len(x) + len(y))::DOUBLE END")} AS rouge_l FROM q""")
 def bleu_rouge(read):
-    return _pairs(read).select("item_id", sim.bleu("x", "y").alias("bleu"), sim.rouge_l("x", "y").alias("rouge_l"))
+    return _pairs(read).select("item_id", sim.bleu("x", "y").alias("bleu"), sim.gleu("x", "y").alias("gleu"), sim.rouge_l("x", "y").alias("rouge_l"))
 
 
 # Two cells in a row: no shift of cells (2 edits) beats changing both in place, so the

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,33 @@ def sessions(df: DataFrame, ts: str, gap: str, by: list[str], value: str, late:
     return df.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
-def run_until_full(stream: DataFrame, sink: str, wanted: int, checkpoint: str, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Micro-batches are filtered and appended until ``wanted`` rows are there;
-    a batch that is replayed overwrites its own folder."""
-    state = {"rows": 0, "query": None}
+def run_until_full(stream: DataFrame, sink: str, wanted: int, checkpoint: str, keep: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> None:
+    """Micro-batches are filtered by ``keep`` and appended until ``wanted`` rows are
+    in ``sink``; then the query stops.  The rows there count, also after a restart; a
+    batch that is replayed overwrites its own folder with the same rows, those first
+    by ``order`` (columns without ties; else by a hash of all columns)."""
+    full = threading.Event()
+
+    def rows_but(spark, number):
+        try:
+            return spark.read.parquet(sink).where(F.col("batch") != number).count()
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return 0
 
     def add(batch, number):
-        if state["rows"] >= wanted:
-            return
-        keep(batch).limit(wanted - state["rows"]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        state["rows"] += batch.sparkSession.read.parquet(f"{sink}/batch={number}").count()
+        room = wanted - rows_but(batch.sparkSession, number)
+        if room > 0:
+            kept = keep(batch)
+            if kept.count() > room:
+                kept = kept.orderBy(*(order or [F.xxhash64(*kept.columns)])).limit(room)
+            kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            room -= batch.sparkSession.read.parquet(f"{sink}/batch={number}").count()
+        if room <= 0:
+            full.set()
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    while not query.awaitTermination(1):
+        if full.is_set():
+            query.stop()

@@ -111,6 +111,35 @@ def test_balance_covers_everything():
     assert max(sums) - min(sums) <= 2
 
 
+def _merged(lengths, k):
+    """Largest differencing over plain lists, the two foremost states found anew each time."""
+    states = [[(n, 1, [(i, n)])] + [(0, 0, [])] * (k - 1) for i, n in enumerate(lengths)]
+    while len(states) > 1:
+        states = [sorted(s, reverse=True) for s in states]
+        states.sort(key=lambda s: (s[0][0] - s[-1][0], s[0]))
+        a, b = states.pop(), states.pop()
+        states.append([tuple(u + v for u, v in zip(x, y, strict=True)) for x, y in zip(a, b[::-1], strict=True)])
+    return sorted(sorted(i for i, _ in s[2]) for s in states[0])
+
+
+def test_differencing_by_brute_force():
+    rng = np.random.RandomState(7)
+    for _ in range(60):
+        lengths = rng.randint(1, 6, size=rng.randint(3, 14)).tolist()
+        for k in (2, 3):
+            assert sorted(balance.differencing(lengths, k)) == _merged(lengths, k)
+
+
+def test_translation_scores():
+    assert similarity.bleu_score("the cat sat on the mat", "the cat sat on the mat") == pytest.approx(1.0)
+    assert similarity.bleu_score("the cat", "the cat") == 0.0 and similarity.bleu_score(None, "a") == 0.0
+    assert similarity.translation_tokens("Hi, it's 3.5-4.") == ["Hi", ",", "it's", "3.5", "-", "4", "."]
+    # 3 of 5 words, 1 of 4 pairs, no triple or longer run: half and a quarter of a match.
+    want = (3 / 5 * 1 / 4 * 1 / (2 * 3) * 1 / (4 * 2)) ** 0.25
+    assert similarity.bleu_score("a b x c y", "a b q c z") == pytest.approx(want)
+    assert similarity.gleu_score("a b c", "a b d") == pytest.approx(3 / 6) and similarity.gleu_score("", "") == 0.0
+
+
 def test_majority_takes_the_first_seen_on_ties(spark):
     df = spark.createDataFrame([("p", 0, "A", 0.9), ("p", 1, "B", 0.8), ("p", 2, "A", 0.7), ("p", 3, "B", 0.1)], "g string, pos int, vote string, v double")
     assert metrics.majority(df, ["g"], "vote", "v", "pos").first()["majority"] == 0.9
@@ -178,6 +207,8 @@ def test_stream_runs_until_full(spark, tmp_path, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     windows.run_until_full(stream, str(tmp_path / "out"), 300, str(tmp_path / "check"), lambda b: b.where("value > 10"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 300
+    windows.run_until_full(stream, str(tmp_path / "out"), 300, str(tmp_path / "check2"), lambda b: b.where("value > 10"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 300
 
 
 def test_answer_rules(spark):
