@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -110,6 +111,21 @@ def gleu_score(candidate: str | None, reference: str | None) -> float:
     return sum((x & y).values()) / most if most else 0.0
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def caption_counts(candidate, references):
+    """Of a caption and its array of references: matches of one to four words, numbers
+    of such n-grams, the caption's length, that of the nearest reference."""
+
+    def one(c, refs):
+        c, refs = (c or "").split(), [(r or "").split() for r in (refs if refs is not None else [])]
+        grams = [_grams(c, n) for n in range(1, 5)]
+        most = [functools.reduce(Counter.__or__, (_grams(r, n) for r in refs), Counter()) for n in range(1, 5)]
+        near = min((abs(len(r) - len(c)), len(r)) for r in refs)[1] if refs else 0
+        return [sum((x & m).values()) for x, m in zip(grams, most, strict=True)] + [max(0, len(c) - n) for n in range(4)] + [len(c), near]
+
+    return candidate.combine(references, one)
+
+
 @F.pandas_udf(T.DoubleType())
 def bleu(candidate, reference):
     """``bleu_score`` of two columns."""

@@ -122,12 +122,29 @@ def concat(parts: list[DataFrame], sizes: list[int], pos: str = "pos") -> DataFr
     return out
 
 
+def shuffled_rank(df: DataFrame, seed: int, pos: str = "pos", bits: int = 12) -> DataFrame:
+    """``rank`` of each row, from 0, in the order of a seeded hash, and ``total``.  No
+    global sort: rows are ranked within ranges of the hash, and the ranges' counts, a
+    table of at most 2^bits rows, say where each begins."""
+    from pyspark.sql import Window as W
+
+    h = F.xxhash64(F.lit(seed), F.col(pos))
+    rows = df.withColumns({"_h": h, "_b": F.shiftright(h, 64 - bits)})
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"), F.sum("_n").over(W.partitionBy(F.lit(0))).alias("total"))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_h", pos)))
+    return ranked.join(F.broadcast(starts), "_b").withColumn("rank", F.col("_start") + F.col("_r") - 1).drop("_h", "_b", "_r", "_start")
+
+
 def mini_batches(df: DataFrame, size: int, seed: int, pos: str = "pos") -> DataFrame:
-    """A seeded shuffle dealt into batches by hash: batch sizes are ``size`` on
-    average, and no global sort is needed."""
-    total = df.count()
-    n = max(1, -(-total // size))
-    return df.withColumn("mini_batch", F.pmod(F.xxhash64(F.lit(seed), F.col(pos)), F.lit(n)).cast("long"))
+    """``mini_batch``: a seeded shuffle cut into batches of ``size`` rows, the last with
+    the rest.  Another epoch is another seed."""
+    return shuffled_rank(df, seed, pos).withColumn("mini_batch", F.floor(F.col("rank") / size)).drop("rank", "total")
+
+
+def ratio_split(df: DataFrame, ratio: float, seed: int, pos: str = "pos") -> DataFrame:
+    """``split``: the first floor(ratio * N) rows of a seeded shuffle are train, others test."""
+    return shuffled_rank(df, seed, pos).withColumn("split", F.when(F.col("rank") < F.floor(F.lit(ratio) * F.col("total")), "train").otherwise("test")).drop("rank", "total")
 
 
 def rank_shard(df: DataFrame, rank: int, world: int, pos: str = "pos") -> DataFrame:
@@ -145,3 +162,32 @@ def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int, pos:
     upto = W.orderBy(F.xxhash64(F.lit(seed), F.col(pos)), pos).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_hi", F.floor(F.sum("_w").over(upto) / F.lit(total) * draws + 0.5)).withColumn("_lo", F.floor((F.sum("_w").over(upto) - F.col("_w")) / F.lit(total) * draws + 0.5))
     return repeat_by(rows, F.col("_hi") - F.col("_lo")).drop("_w", "_hi", "_lo", "copy")
+
+
+def resample_weights(df: DataFrame, batch: str, score: str, method: str = "pow", power: float = 2.0) -> DataFrame:
+    """``weight`` of each row of a global batch: pow: |score|^power; max_min: 1 for the
+    best and worst scores, else 0; max_random: 0.4 for the best, else 0.1; all plus 1e-8."""
+    best = df.groupBy(batch).agg(F.max(score).alias("_max"), F.min(score).alias("_min"))
+    is_max, is_min = F.col(score) == F.col("_max"), F.col(score) == F.col("_min")
+    kinds = {"pow": F.pow(F.abs(F.col(score)), F.lit(power)), "max_min": (is_max | is_min).cast("double"), "max_random": F.when(is_max, 0.4).otherwise(0.1)}
+    if method not in kinds:
+        raise ValueError(f"no such weights: {method}")
+    return df.join(best, batch).withColumn("weight", F.greatest(kinds[method] + 1e-8, F.lit(1e-8))).drop("_max", "_min")
+
+
+def multinomial_resample(df: DataFrame, batch: str, weight: str, seed: int, pos: str = "pos") -> DataFrame:
+    """As many rows of each global batch as it has, drawn independently with
+    replacement by weight; repeated rows.  Draws are made over positions and weights of one
+    batch, which its size bounds; whole rows are only joined."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf):
+        pdf = pdf.sort_values(pos)
+        w = pdf[weight].to_numpy(dtype="float64")
+        times = np.random.RandomState(seed).multinomial(len(w), w / w.sum())
+        return pd.DataFrame({batch: pdf[batch], pos: pdf[pos], "_times": times})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    times = df.select(batch, pos, weight).groupBy(batch).applyInPandas(one, f"{batch} {kinds[batch]}, {pos} {kinds[pos]}, _times long").where("_times > 0")
+    return df.join(times, [batch, pos]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_copy", "_times")

@@ -111,3 +111,36 @@ def rotations(tables: list[DataFrame], key: str, names: list[str]) -> DataFrame:
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     mean = lambda c: F.avg(c.cast("double"))
     return both.agg(*[mean(F.col(n)).alias(n) for n in names], mean(total / len(names)).alias("average"), mean((total == len(names)).cast("int")).alias("hit_all"), mean((total == 0).cast("int")).alias("miss_all"))
+
+
+def split_report(df: DataFrame, split: str, area: str, task: str, hit: str) -> DataFrame:
+    """(split, kind, name, value): accuracy of each split and of ALL: overall, by task, and
+    by area the mean of its tasks' accuracies, null where a task has no row in the split."""
+    base = df.groupBy(F.col(split).alias("split"), F.col(area).alias("area"), F.col(task).alias("task")).agg(F.sum(F.col(hit).cast("double")).alias("s"), F.count(hit).alias("n"))
+    base = base.withColumn("split", F.explode(F.array("split", F.lit("ALL"))))
+    mean = F.sum("s") / F.sum("n")
+    tasks = base.groupBy("split", "task").agg(mean.alias("value"))
+    of = base.select("area", "task").distinct()
+    areas = tasks.join(of, "task").groupBy("split", "area").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("c")).join(of.groupBy("area").agg(F.count(F.lit(1)).alias("all")), "area")
+    line = lambda kind, name, value: ["split", F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.alias("value")]
+    overall = base.groupBy("split").agg(mean.alias("value")).select(*line("overall", F.lit("Overall"), F.col("value")))
+    return overall.unionByName(tasks.select(*line("task", F.col("task"), F.col("value")))).unionByName(areas.select(*line("area", F.col("area"), F.when(F.col("c") == F.col("all"), F.col("v")))))
+
+
+def caption_bleu(df: DataFrame, candidate: str, references: str, by: list[str] | None = None) -> DataFrame:
+    """bleu_1 to bleu_4 of a caption set: n-gram matches, clipped by the most of one
+    reference, and lengths (the reference nearest in length, the shorter of two) are summed
+    over all captions first."""
+    from ..functions.similarity import caption_counts
+
+    c = df.select(*(by or []), caption_counts(candidate, references).alias("c"))
+    sums = c.groupBy(*(by or [])).agg(*[F.sum(F.col("c")[i]).cast("double").alias(f"c{i}") for i in range(10)])
+    # What keeps the quotients from 0.
+    tiny, small = 1e-15, 1e-9
+    ratio = (F.col("c8") + tiny) / (F.col("c9") + small)
+    short = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
+    product, out = F.lit(1.0), []
+    for n in range(4):
+        product = product * (F.col(f"c{n}") + tiny) / (F.col(f"c{n + 4}") + small)
+        out.append((F.pow(product, F.lit(1 / (n + 1))) * short).alias(f"bleu_{n + 1}"))
+    return sums.select(*(by or []), *out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def allowed(df: DataFrame, answer: str, values: list[str]) -> DataFrame:
@@ -205,7 +206,7 @@ def token_count(path: str):
     """A UDF: number of a tokenizer file's tokens of a text, without special ones; null counts 0."""
     import pandas as pd
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def count(texts):
         from tokenizers import Tokenizer
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
+from ..functions import nested
 from ..functions import text as tx
-from ..operators import curate, metrics
+from ..operators import batch, curate, metrics, reports
 from ..operators import rows as rw
+from . import catalogue_scores as cs
 from .common import query, r6
 
 QUERIES: dict = {}
@@ -264,3 +266,71 @@ _AT = """WITH r AS (SELECT event_type AS s, user_id AS p, value AS x, row_number
 def validation_at_k(read):
     df = metrics.validation_at(read("events").select(F.col("event_type").alias("s"), F.col("user_id").alias("p"), "value"), "s", "p", "value")
     return df.select("s", "metric", F.round(F.col("value") + 1e-8, 4).alias("value"))
+
+
+@query(QUERIES, "WITH n AS (SELECT count(*) AS n FROM events) SELECT b AS mini_batch, least(300, n - b * 300) AS n FROM (SELECT unnest(range(0, (n + 299) // 300)) AS b, n FROM n)")
+def mini_batches(read):
+    return batch.mini_batches(read("events").select("event_id"), 300, 42, "event_id").groupBy("mini_batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(QUERIES, "WITH n AS (SELECT count(*) AS n FROM events) SELECT 'train' AS split, CAST(floor(0.7 * n) AS BIGINT) AS n FROM n UNION ALL SELECT 'test', n - CAST(floor(0.7 * n) AS BIGINT) FROM n")
+def seeded_split(read):
+    return batch.ratio_split(read("events").select("event_id"), 0.7, 42, "event_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BATCH = "event_id // 256 AS b, event_id AS pos, value AS s"
+
+
+@query(QUERIES, f"WITH e AS (SELECT {_BATCH} FROM events), m AS (SELECT b, max(s) AS hi, min(s) AS lo, count(*) AS n FROM e GROUP BY b) SELECT b, n, true AS known, {r6('sum(CASE WHEN s = hi OR s = lo THEN 1 ELSE 0 END + 1e-8)')} AS weight FROM e JOIN m USING (b) GROUP BY b, n")
+def resampled_batches(read):
+    df = read("events").selectExpr("event_id div 256 AS b", "event_id AS pos", "value AS s")
+    w = batch.resample_weights(df, "b", "s", "max_min")
+    drawn = batch.multinomial_resample(w, "b", "weight", 42).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("weight") > 0.5).alias("known"))
+    return drawn.join(w.groupBy("b").agg(F.sum("weight").alias("weight")), "b")
+
+
+_HITS = "SELECT event_type AS sp, CAST(user_id % 3 AS STRING) AS area, CAST(user_id % 9 AS STRING) AS task, CASE WHEN value > 20 THEN 1 ELSE 0 END AS hit FROM events"
+
+
+@query(QUERIES, f"""WITH h AS ({_HITS}), a AS (SELECT * FROM h UNION ALL SELECT 'ALL', area, task, hit FROM h), t AS (SELECT sp, area, task, avg(hit) AS v FROM a GROUP BY ALL)
+ SELECT sp AS split, 'overall' AS kind, 'Overall' AS name, {r6('avg(hit)')} AS value FROM a GROUP BY sp UNION ALL SELECT sp, 'task', task, {r6('v')} FROM t UNION ALL SELECT sp, 'area', area, {r6('CASE WHEN count(*) = 3 THEN avg(v) END')} FROM t GROUP BY sp, area""")
+def split_report(read):
+    df = read("events").selectExpr("event_type AS sp", "cast(user_id % 3 as string) AS area", "cast(user_id % 9 as string) AS task", "cast(value > 20 as int) AS hit")
+    return reports.split_report(df, "sp", "area", "task", "hit")
+
+
+_CB = "[{}]".format(", ".join(cs._hits(cs._ngrams("x", n), cs._ngrams("y", n)) for n in range(1, 5)))
+
+
+@query(QUERIES, f"""WITH {cs.PAIRS}, t AS (SELECT item_id % 5 AS g, {cs._words('x')} AS x, {cs._words('y')} AS y FROM p), h AS (SELECT g, {_CB} AS h, len(x) AS c, len(y) AS r FROM t),
+ s AS (SELECT g, [sum(h[1]), sum(h[2]), sum(h[3]), sum(h[4])] AS h, [sum(greatest(c, 0)), sum(greatest(c - 1, 0)), sum(greatest(c - 2, 0)), sum(greatest(c - 3, 0))] AS t, (sum(c) + 1e-15) / (sum(r) + 1e-9) AS q FROM h GROUP BY g),
+ f AS (SELECT g, CASE WHEN q < 1 THEN exp(1 - 1 / q) ELSE 1 END AS b, list_transform(h, lambda v, i: (v + 1e-15) / (t[i] + 1e-9)) AS p FROM s)
+ SELECT g, {r6('b * p[1]')} AS bleu_1, {r6('b * sqrt(p[1] * p[2])')} AS bleu_2, {r6('b * pow(p[1] * p[2] * p[3], 1 / 3.0::DOUBLE)')} AS bleu_3, {r6('b * pow(p[1] * p[2] * p[3] * p[4], 0.25)')} AS bleu_4 FROM f""")
+def caption_bleu(read):
+    df = cs._pairs(read).select((F.col("item_id") % 5).alias("g"), "x", F.array("y").alias("y"))
+    return reports.caption_bleu(df, "x", "y", ["g"])
+
+
+_JSONS = """'so {"b": ' || size || ', "a": {"d": ["' || name || '", 2], "c": null}} {bad} then {"x": []}{"' || brand || '": 1.5}'"""
+_FIRST = """'{"b": ' || size || ', "a": {"d": ["' || name || '", 2], "c": null}}'"""
+
+
+@query(QUERIES, f"""WITH {_P} SELECT id, {_FIRST} || '|{{"x": []}}|{{"' || brand || '": 1.5}}' AS objects, 'b=' || size || '|a.d=' || name || '|a.d=2|a.c=' AS pairs, '{{"a": {{"c": null, "d": ["' || name || '", 2]}}, "b": ' || size || '}}' AS sorted FROM p""")
+def nested_json(read):
+    df = _part(read).select("id", nested.json_objects(F.expr(_JSONS)).alias("o"), F.expr(_FIRST).alias("f"))
+    pairs = F.transform(nested.flattened("f"), lambda p: F.concat(p["key"], F.lit("="), F.coalesce(p["value"], F.lit(""))))
+    return df.select("id", F.array_join("o", "|").alias("objects"), F.array_join(pairs, "|").alias("pairs"), nested.sorted_json("f").alias("sorted"))
+
+
+@query(QUERIES, """SELECT event_id, CAST(regexp_extract(props, '"k": ?([0-9]+)', 1) AS BIGINT) AS k FROM events""")
+def json_columns(read):
+    return nested.normalised_columns(read("events").select("event_id", "props"), "props", "k long")
+
+
+_VERDICT = "CASE size % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No ' || name WHEN 2 THEN 'not Yes: boxed{No}' WHEN 3 THEN 'No <最终结果>' || 'Yes<' || chr(92) || '最终结果> No' ELSE 'maybe' END"
+
+
+@query(QUERIES, f"WITH {_P} SELECT id, {r6('CASE WHEN id % 3 = 0 THEN NULL WHEN size % 5 IN (0, 3) THEN 1 ELSE 0 END')} AS judge FROM p")
+def judge_verdicts(read):
+    p = _part(read)
+    return nested.judged(p.select("id"), "id", p.where("id % 3 <> 0").select("id", F.expr(_VERDICT).alias("a")), "a").select("id", "judge")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,3 +144,26 @@ def flat_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     names = [c for c in df.columns if c not in keys]
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
     return df.select(*keys, F.inline(pairs))
+
+
+def write_filtered_shards(df: DataFrame, path: str) -> None:
+    """Rows of a filtered file scan, in a folder for each input file they come from
+    (shard=<file name>), as Parquet under zstd.  ``df`` must hold the scan's
+    ``_metadata`` column, which is left out."""
+    df.withColumn("shard", F.col("_metadata.file_name")).drop("_metadata").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def mapped_once(df: DataFrame, key: str, cache: str, fn) -> DataFrame:
+    """``fn(rows)`` for the rows whose key is not yet in the Parquet cache; its result,
+    which has the key, is appended to the cache, and the cache's rows for ``df``'s keys come
+    back.  Run again after a failure it goes on where it stopped; a key that two runs
+    added at once is read once."""
+    spark = df.sparkSession
+    new = df
+    try:
+        new = df.join(spark.read.parquet(cache).select(key).distinct(), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    fn(new).write.mode("append").parquet(cache)
+    return spark.read.parquet(cache).dropDuplicates([key]).join(df.select(key).distinct(), key, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 from collections.abc import Callable
 
@@ -31,31 +32,33 @@ def sessions(df: DataFrame, ts: str, gap: str, by: list[str], value: str, late:
 
 def run_until_full(stream: DataFrame, sink: str, wanted: int, checkpoint: str, keep: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> None:
     """Micro-batches are filtered by ``keep`` and appended until ``wanted`` rows are
-    in ``sink``; then the query stops.  The rows there count, also after a restart; a
-    batch that is replayed overwrites its own folder with the same rows, those first
-    by ``order`` (columns without ties; else by a hash of all columns)."""
+    in ``sink``; later ones are passed over unread.  The rows there count, also after a
+    restart or from another checkpoint; a batch that is replayed overwrites its own folder
+    with the same rows, those first by ``order`` (columns without ties; else by a hash
+    of all columns)."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     full = threading.Event()
 
-    def rows_but(spark, number):
+    def rows_but(spark, folder):
         try:
-            return spark.read.parquet(sink).where(F.col("batch") != number).count()
+            return spark.read.parquet(sink).where(F.col("batch") != folder).count()
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return 0
 
     def add(batch, number):
-        room = wanted - rows_but(batch.sparkSession, number)
+        if full.is_set():
+            return
+        folder = f"q{run}-{number}"
+        room = wanted - rows_but(batch.sparkSession, folder)
         if room > 0:
             kept = keep(batch)
             if kept.count() > room:
                 kept = kept.orderBy(*(order or [F.xxhash64(*kept.columns)])).limit(room)
-            kept.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-            room -= batch.sparkSession.read.parquet(f"{sink}/batch={number}").count()
+            kept.write.mode("overwrite").parquet(f"{sink}/batch={folder}")
+            room -= batch.sparkSession.read.parquet(f"{sink}/batch={folder}").count()
         if room <= 0:
             full.set()
 
-    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while not query.awaitTermination(1):
-        if full.is_set():
-            query.stop()
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import answers, geometry, similarity, text
+from sparkloom.functions import answers, geometry, nested, similarity, text
 from sparkloom.operators import advantage, balance, batch, conversation, curate, losses, metrics, rows
 from sparkloom.sources import io
 
@@ -252,3 +252,39 @@ def test_token_count(spark):
         pytest.skip("no tokenizer file")
     df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
     assert [r[0] > 0 for r in df.select(rows.token_count(str(path))("t")).collect()] == [True, False, False]
+
+
+def test_shuffled_rank_is_a_permutation(spark):
+    df = spark.range(1000).withColumnRenamed("id", "pos")
+    one = [tuple(r) for r in batch.shuffled_rank(df, 1, bits=4).orderBy("rank").select("rank", "pos", "total").collect()]
+    assert [r for r, _, _ in one] == list(range(1000)) and {t for _, _, t in one} == {1000}
+    assert sorted(p for _, p, _ in one) == list(range(1000)) and [p for _, p, _ in one] != list(range(1000))
+    other = batch.shuffled_rank(df, 2, bits=4).orderBy("rank").select("pos").collect()
+    assert [p for _, p, _ in one] != [r[0] for r in other]
+    assert batch.shuffled_rank(df.limit(0), 1).count() == 0
+    assert batch.shuffled_rank(spark.createDataFrame([(None,), (None,), (3,)], "pos long"), 1).select("rank").distinct().count() == 3
+
+
+def test_multinomial_resample(spark):
+    df = spark.createDataFrame([(0, i, float(i == 3)) for i in range(8)] + [(1, i, 1.0) for i in range(500)], "b long, pos long, s double")
+    out = batch.multinomial_resample(batch.resample_weights(df, "b", "s"), "b", "weight", 7).toPandas()
+    assert out[out.b == 0].pos.tolist() == [3] * 8
+    times = out[out.b == 1].pos.value_counts()
+    assert times.sum() == 500 and 0.58 < len(times) / 500 < 0.68  # 1 - 1/e of the rows come up
+    assert batch.resample_weights(df, "b", "s", "max_random").where("b = 0").agg(F.sum("weight")).first()[0] == pytest.approx(0.4 + 7 * 0.1, abs=1e-6)
+    with pytest.raises(ValueError, match="no such weights"):
+        batch.resample_weights(df, "b", "s", "best")
+
+
+def test_nested_json_edges():
+    assert nested.objects_in(None) == [] and nested.objects_in('{"a": {"b": 1}} {') == ['{"a": {"b": 1}}']
+    assert nested.flat_pairs("no") == [] and nested.flat_pairs('{"menu": [{"name": ["cake"]}, {"name": ["juice"]}]}') == [("menu.name", "cake"), ("menu.name", "juice")]
+    assert nested.ordered("no") == "no" and nested.ordered('{"b": 1, "a": 2}') == '{"a": 2, "b": 1}'
+
+
+def test_path_rules(spark):
+    df = spark.createDataFrame([(1, ["/a", "b", "b", ""]), (2, ["c"]), (3, None)], "id long, p array<string>")
+    there = spark.createDataFrame([("c",), ("old/b",)], "path string")
+    assert sorted(map(tuple, rows.faulty_paths(df, "id", "p", there).collect())) == [(1, "/a", "absolute"), (1, "b", "missing")]
+    one = spark.createDataFrame([(1, "b"), (2, "c"), (3, "x")], "id long, p string")
+    assert sorted(map(tuple, rows.first_existing(one, "id", "p", ["new", "old"], there).collect())) == [(1, "b", "old/b"), (2, "c", "c"), (3, "x", None)]

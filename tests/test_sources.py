@@ -54,3 +54,25 @@ def test_letters_formats_and_equal_partitions(spark):
     got = [r[0] for r in spark.createDataFrame([(c, i) for i, (c, _) in enumerate(forms)], "t string, i int").orderBy("i").select(tx.strict_format(tx.F.col("t"))).collect()]
     assert got == [x for _, x in forms]
     assert balance.greedy([10, 1, 1, 1, 1, 1], 2, equal=True) == [[0, 3, 5], [1, 2, 4]]
+
+
+def test_filtered_shards_keep_their_files(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in")).where("id % 2 = 0")
+    io.write_filtered_shards(df.select("id", "_metadata"), str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 50 and {r[0] for r in out.select("shard").distinct().collect()} <= {p.name for p in (tmp_path / "in").iterdir()}
+    assert "_metadata" not in out.columns
+
+
+def test_mapped_once_goes_on(spark, tmp_path):
+    seen = []
+
+    def double(rows):
+        seen.append(rows.count())
+        return rows.selectExpr("k", "k * 2 AS v")
+
+    cache = str(tmp_path / "cache")
+    assert io.mapped_once(spark.range(5).toDF("k"), "k", cache, double).count() == 5
+    out = io.mapped_once(spark.range(3, 9).toDF("k"), "k", cache, double)
+    assert seen == [5, 4] and {tuple(r) for r in out.collect()} == {(k, 2 * k) for k in range(3, 9)}
