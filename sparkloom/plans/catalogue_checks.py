@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
-from ..functions import nested
+from ..functions import nested, tables
 from ..functions import text as tx
 from ..operators import batch, curate, metrics, reports
 from ..operators import rows as rw
@@ -334,3 +334,38 @@ _VERDICT = "CASE size % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No ' || name WHEN 2 THE
 def judge_verdicts(read):
     p = _part(read)
     return nested.judged(p.select("id"), "id", p.where("id % 3 <> 0").select("id", F.expr(_VERDICT).alias("a")), "a").select("id", "judge")
+
+
+_CELL_GOLD = "CASE id % 8 WHEN 6 THEN '2024-05-xx' WHEN 7 THEN '2020-xx-xx' ELSE size || '|' || name END"
+_CELL_SAID = """CASE id % 8 WHEN 0 THEN upper(name) || '[1]|' || size || '.0' WHEN 1 THEN name || ' (about)||' || size WHEN 2 THEN size || '' WHEN 3 THEN '"' || name || '"|' || size || '.|' || size WHEN 4 THEN name || '|' || (size + 1)
+ WHEN 5 THEN name || '|' || size || '|' || brand WHEN 6 THEN CASE WHEN size % 2 = 0 THEN '2024-5-xx' ELSE '2024-06-xx' END ELSE CASE WHEN size % 2 = 0 THEN '2020.0' ELSE '2021' END END"""
+
+
+@query(QUERIES, f"WITH {_P} SELECT id, CASE id % 8 WHEN 6 THEN size % 2 = 0 WHEN 7 THEN size % 2 = 0 ELSE id % 8 IN (0, 1, 3) END AS ok FROM p")
+def table_denotations(read):
+    return _part(read).selectExpr("id", f"{_CELL_GOLD} AS g", f"{_CELL_SAID} AS s").select("id", tables.denotation_match("g", "s").alias("ok"))
+
+
+_SUM_SAID = "CASE id % 6 WHEN 0 THEN '$' || (size * 1000) || ',000' WHEN 1 THEN size || ' million dollars' WHEN 2 THEN '' || size WHEN 3 THEN size || ' billion' WHEN 4 THEN size || '%' ELSE name END"
+
+
+@query(QUERIES, f"WITH {_P} SELECT id, id % 6 < 2 AS exact, id % 6 < 5 AS relieved FROM p")
+def scaled_amounts(read):
+    df = _part(read).selectExpr("id", "size || ' million' AS g", f"{_SUM_SAID} AS s")
+    return df.select("id", tables.amount_match("g", "s").alias("x")).select("id", "x.exact", "x.relieved")
+
+
+_CODE = "'<code>a</code>x<code>' || CASE id % 3 WHEN 0 THEN '```python' || chr(10) || 'if a:' || chr(10) || name || chr(10) || 'else:' || chr(10) || '  ' || brand || chr(10) || '```' WHEN 1 THEN name ELSE '```python ' || chr(10) || brand || chr(10) || '```' END || '</code>'"
+
+
+@query(QUERIES, f"WITH {_P} SELECT id, CASE id % 3 WHEN 0 THEN 'if a:' || chr(10) || '    ' || name || chr(10) || 'else:' || chr(10) || '    ' || brand WHEN 2 THEN brand END AS code FROM p")
+def code_blocks(read):
+    return _part(read).selectExpr("id", f"{_CODE} AS t").select("id", tables.repaired_code(tables.python_code(F.col("t"))).alias("code"))
+
+
+@query(QUERIES, f"WITH {_P}, c AS (SELECT id % 7 AS g, CASE WHEN size % 3 = 0 THEN 2 WHEN size % 3 = 1 THEN 3 ELSE 0 END AS hit, CASE WHEN size % 3 = 0 THEN 2 WHEN size % 3 = 1 THEN 0 ELSE 3 END AS off FROM p) SELECT g, {r6('2 * sum(hit) / nullif(2 * sum(hit) + sum(off), 0)')} AS f1 FROM c GROUP BY g")
+def form_fields(read):
+    gold = """'{"name": "' || name || '", "at": {"brand": ["' || brand || '", "z"]}}' AS g"""
+    said = """CASE size % 3 WHEN 0 THEN 'so ```json' || chr(10) || '{"at": {"brand": ["z", "' || brand || '"]},' || chr(10) || ' "name": "none!"} ```' WHEN 1 THEN '{"name": "' || name || ' ", "at": {"brand": ["z", "' || brand || '"]}}' ELSE 'none' END AS s"""
+    df = _part(read).selectExpr("id % 7 AS g0", gold, said).select(F.col("g0").alias("grp"), "g", tables.json_block(F.col("s")).alias("s"))
+    return tables.form_f1(df, "s", "g", ["grp"]).select(F.col("grp").alias("g"), "f1")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import answers, geometry, nested, similarity, text
+from sparkloom.functions import answers, geometry, nested, similarity, tables, text
 from sparkloom.operators import advantage, balance, batch, conversation, curate, losses, metrics, rows
 from sparkloom.sources import io
 
@@ -288,3 +288,13 @@ def test_path_rules(spark):
     assert sorted(map(tuple, rows.faulty_paths(df, "id", "p", there).collect())) == [(1, "/a", "absolute"), (1, "b", "missing")]
     one = spark.createDataFrame([(1, "b"), (2, "c"), (3, "x")], "id long, p string")
     assert sorted(map(tuple, rows.first_existing(one, "id", "p", ["new", "old"], there).collect())) == [(1, "b", "old/b"), (2, "c", "c"), (3, "x", None)]
+
+
+def test_table_and_form_rules(spark):
+    assert tables.plain_text("Café “x” [1]†.") == 'cafe "x" [1]†' and tables.plain_text("Ten (about)[2]") == "ten" and tables.plain_text('"A"') == "a" and tables.plain_text(None) == ""
+    same = [("5|a", "A|5.0", True), ("5", "5|5.0", True), ("5", "5|6", False), ("2024-05-xx", "2024-5-XX", True), ("2024-13-01", "2024-13-01", True), ("2020-xx-xx", "2020", True), ("a\\pb", "a|b", False), (None, "", True), ("nan", "NaN", True)]
+    assert [tables.same_denotations(a, b) for a, b, _ in same] == [w for _, _, w in same]
+    assert tables.amounts("$1,234") == (1234.0, 1234.0) and tables.amounts("3 million dollars")[0] == 3e6 and tables.amounts("5 %") == (0.05, 5.0) and tables.amounts("none") == ("none", "none")
+    assert tables.reindented("if a:\nb\nelse:\nc") == "if a:\n    b\nelse:\n    c" and tables.reindented(None) is None
+    assert tables.field_counts('{"a": [1, 1]}', '{"a": [1, 2]}') == [1, 2] and tables.field_counts("no", '{"a": 1}') == [0, 1] and tables.field_counts(None, None) == [0, 0]
+    assert spark.createDataFrame([("no", "no")], "s string, g string").transform(lambda d: tables.form_f1(d, "s", "g")).first()[0] == 0.0
