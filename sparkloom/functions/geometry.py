@@ -13,14 +13,14 @@ def absolute_box(box: str, width: Column, height: Column, scale: float = 1000.0)
     w, h = width.cast("double"), height.cast("double")
 
     def at(k, side):
-        return F.round(F.greatest(F.lit(0.0), F.least(F.col(box)[k] * side / scale, side)), 4)
+        return F.bround(F.greatest(F.lit(0.0), F.least(F.col(box)[k] * side / scale, side)), 4)
 
     out = F.array(at(0, w), at(1, h), at(2, w), at(3, h))
     return F.when((out[2] > out[0]) & (out[3] > out[1]), out)
 
 
 def relative_box(box: str, width: Column, height: Column, scale: float = 1000.0) -> Column:
-    return F.array(*[F.round(F.col(box)[k] * scale / (width if k % 2 == 0 else height), 4) for k in range(4)])
+    return F.array(*[F.bround(F.col(box)[k] * scale / (width if k % 2 == 0 else height), 4) for k in range(4)])
 
 
 def iou(a: str, b: str) -> Column:
@@ -54,7 +54,7 @@ def square_crop(df: DataFrame, box: str, width: str, height: str, margin: float,
     for low, high, size in (("_l", "_r", width), ("_t", "_b", height)):
         over = F.col(high) - F.col(size)
         out = out.withColumn(low, F.when(over > 0, F.col(low) - over).otherwise(F.col(low))).withColumn(high, F.when(over > 0, F.col(size).cast("double")).otherwise(F.col(high)))
-    crop = F.array(*[F.round(F.greatest(F.lit(0.0), F.least(F.col(c), F.col(s).cast("double"))), 4) for c, s in (("_l", width), ("_t", height), ("_r", width), ("_b", height))])
+    crop = F.array(*[F.bround(F.greatest(F.lit(0.0), F.least(F.col(c), F.col(s).cast("double"))), 4) for c, s in (("_l", width), ("_t", height), ("_r", width), ("_b", height))])
     return out.withColumn("crop", crop).drop("_l", "_t", "_r", "_b")
 
 

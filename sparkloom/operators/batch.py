@@ -136,6 +136,24 @@ def shuffled_rank(df: DataFrame, seed: int, pos: str = "pos", bits: int = 12) ->
     return ranked.join(F.broadcast(starts), "_b").withColumn("rank", F.col("_start") + F.col("_r") - 1).drop("_h", "_b", "_r", "_start")
 
 
+def mask_first_rank(df: DataFrame, mask: str, pos: str = "pos", buckets: int = 4096) -> DataFrame:
+    """``rank`` of each row, from 0, with the rows of a true ``mask`` first and each
+    kind by ``pos`` (a number, unique), and ``total``; a null mask is false.  No global
+    sort: rows are ranked within ranges of ``pos``, even ones if its values are, and the
+    counts of at most ``buckets`` ranges say where each begins."""
+    from pyspark.sql import Window as W
+
+    on = F.coalesce(F.col(mask), F.lit(False))
+    ends = df.agg(F.min(pos).cast("double").alias("_lo"), F.max(pos).cast("double").alias("_hi"))
+    place = F.floor((F.col(pos).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
+    rows = df.join(F.broadcast(ends)).withColumns({"_on": on, "_b": place}).drop("_lo", "_hi")
+    counts = rows.groupBy("_b").agg(F.count_if("_on").alias("_t"), F.count_if(~F.col("_on")).alias("_f"))
+    upto, every = W.orderBy("_b"), W.partitionBy(F.lit(0))
+    starts = counts.select("_b", (F.sum("_t").over(upto) - F.col("_t")).alias("_t0"), (F.sum("_f").over(upto) - F.col("_f") + F.sum("_t").over(every)).alias("_f0"), (F.sum("_t").over(every) + F.sum("_f").over(every)).alias("total"))
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_b", "_on").orderBy(pos)))
+    return ranked.join(F.broadcast(starts), "_b").withColumn("rank", F.when(F.col("_on"), F.col("_t0")).otherwise(F.col("_f0")) + F.col("_r") - 1).drop("_on", "_b", "_t0", "_f0", "_r")
+
+
 def mini_batches(df: DataFrame, size: int, seed: int, pos: str = "pos") -> DataFrame:
     """``mini_batch``: a seeded shuffle cut into batches of ``size`` rows, the last with
     the rest.  Another epoch is another seed."""

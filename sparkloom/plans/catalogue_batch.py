@@ -205,7 +205,7 @@ def prime_filter_downsample(read):
     return curate.accuracy_band(responses(read), "uid", "score", "length", 0.04, 0.06, 50, 2.0).select("uid", "pos", "score", "good")
 
 
-#: The question filter's reasons and patterns.
+#: Sample rules over documents; ``curate.QUESTION_RULES`` are those of the question filter.
 RULES = [("markup_noise", r"[|]{1}"), ("shouting", "[A-Z]{4,}!!"), ("license_line", "(?i)licensed? under"), ("short_question", r"^\S{0,40}$")]
 RULE_CASE = "CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN regexp_matches(text, '[|]{1}') THEN 'markup_noise' WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shouting' WHEN regexp_matches(text, '(?i)licensed? under') THEN 'license_line' WHEN regexp_matches(text, '^\\S{0,40}$') THEN 'short_question' ELSE 'keep' END"
 

@@ -369,3 +369,21 @@ def form_fields(read):
     said = """CASE size % 3 WHEN 0 THEN 'so ```json' || chr(10) || '{"at": {"brand": ["z", "' || brand || '"]},' || chr(10) || ' "name": "none!"} ```' WHEN 1 THEN '{"name": "' || name || ' ", "at": {"brand": ["z", "' || brand || '"]}}' ELSE 'none' END AS s"""
     df = _part(read).selectExpr("id % 7 AS g0", gold, said).select(F.col("g0").alias("grp"), "g", tables.json_block(F.col("s")).alias("s"))
     return tables.form_f1(df, "s", "g", ["grp"]).select(F.col("grp").alias("g"), "f1")
+
+
+@query(QUERIES, "SELECT event_id, row_number() OVER (ORDER BY value > 20 DESC, event_id) - 1 AS rank, count(*) OVER () AS total FROM events")
+def mask_first(read):
+    df = read("events").select("event_id", (F.col("value") > 20).alias("good"))
+    return batch.mask_first_rank(df, "good", "event_id").select("event_id", "rank", "total")
+
+
+_ASKED = """CASE id % 16 WHEN 0 THEN 'What colour is the ' || name || '?' WHEN 1 THEN ' Find the ' || name WHEN 2 THEN 'How many ' || name || 's at least?' WHEN 3 THEN 'In the bar chart, which ' || name || '?' WHEN 4 THEN 'According to the table, what ' || name || '?'
+ WHEN 5 THEN 'Write a script for ' || name WHEN 6 THEN 'A riddle about a ' || name WHEN 7 THEN '   ' WHEN 8 THEN 'So A B = ' || size WHEN 9 THEN 'value of  x in ' || name WHEN 10 THEN chr(92) || 'frac{1}{' || size || '}' WHEN 11 THEN 'The programme of ' || name
+ WHEN 12 THEN 'Is the summer ' || name || ' here?' WHEN 13 THEN 'The SQL of ' || name WHEN 14 THEN 'Which statement on the graph of ' || name WHEN 15 THEN name END"""
+_KINDS = "CASE WHEN trim(coalesce(t, '')) = '' THEN 'empty_question' " + " ".join(f"WHEN regexp_matches(trim(t), '{p}') THEN '{reason}'" for reason, p in curate.QUESTION_RULES) + " ELSE 'real_world_perception_candidate' END"
+
+
+@query(QUERIES, f"WITH {_P}, t AS (SELECT id, {_ASKED} AS t FROM p UNION ALL SELECT item_id, text FROM benchmark) SELECT id, {_KINDS} AS kind FROM t")
+def question_kinds(read):
+    asked = _part(read).selectExpr("id", f"{_ASKED} AS t").unionByName(read("benchmark").selectExpr("item_id AS id", "text AS t"))
+    return asked.select("id", curate.question_kind(F.col("t")).alias("kind"))

@@ -298,3 +298,24 @@ def test_table_and_form_rules(spark):
     assert tables.reindented("if a:\nb\nelse:\nc") == "if a:\n    b\nelse:\n    c" and tables.reindented(None) is None
     assert tables.field_counts('{"a": [1, 1]}', '{"a": [1, 2]}') == [1, 2] and tables.field_counts("no", '{"a": 1}') == [0, 1] and tables.field_counts(None, None) == [0, 0]
     assert spark.createDataFrame([("no", "no")], "s string, g string").transform(lambda d: tables.form_f1(d, "s", "g")).first()[0] == 0.0
+
+
+def test_mask_first_rank(spark):
+    df = spark.createDataFrame([(-5, True), (0, False), (7, None), (8, True), (10**12, False)], "pos long, m boolean")
+    for buckets in (1, 3, 4096):
+        out = batch.mask_first_rank(df, "m", buckets=buckets)
+        assert sorted(map(tuple, out.select("rank", "pos", "total").collect())) == [(0, -5, 5), (1, 8, 5), (2, 0, 5), (3, 7, 5), (4, 10**12, 5)]
+    assert batch.mask_first_rank(df.limit(0), "m").count() == 0 and batch.mask_first_rank(df.limit(1), "m").first()["rank"] == 0
+
+
+def test_accuracy_band_by_number_and_text(spark):
+    df = spark.createDataFrame([(u, float((u + i) % 3 > 0), 5) for u in range(20) for i in range(2)], "uid long, score double, length int")
+    a = curate.accuracy_band(df, "uid", "score", "length", 0.4, 0.6, 9, 2.0)
+    b = curate.accuracy_band(df.withColumn("uid", F.format_string("%03d", "uid")), "uid", "score", "length", 0.4, 0.6, 9, 2.0)
+    assert sorted({r["uid"] for r in a.collect()}) == sorted({int(r["uid"]) for r in b.collect()}) and a.count() == b.count() == 20
+
+
+def test_question_kinds(spark):
+    want = {"What colour is it?": "real_world_perception_candidate", "Find x": "math_reasoning", "In summer?": "real_world_perception_candidate", "the sum": "math_reasoning", "Following table: how many?": "chart_or_diagram", "the diagram": "chart_or_diagram", "Run Python": "code_or_symbolic_task", "programmes": "real_world_perception_candidate", "Sudoku": "logic_puzzle", "\n ": "empty_question", None: "empty_question", "\\sqrt 2": "math_reasoning"}
+    df = spark.createDataFrame([(k,) for k in want], "q string")
+    assert [r[0] for r in df.select(curate.question_kind(F.col("q"))).collect()] == list(want.values())
