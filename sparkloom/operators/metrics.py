@@ -36,7 +36,7 @@ def validation_at(df: DataFrame, source: str, prompt: str, value: str) -> DataFr
     """(source, metric, value): mean@n and std@n of each prompt's n responses, and
     best@k and worst@k, mean and std, for k = 2, 4, ... below n, and n; then means over
     prompts.  best and worst are the exact expectations over k draws with
-    replacement, which 1000 seeded draws (``bootstrap``) estimate."""
+    replacement, which 1000 seeded draws (``bootstrap``) estimate; ``majority_at`` gives maj@k."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy(source, prompt)
@@ -62,15 +62,15 @@ def schedule(n: int) -> list[int]:
     return [*out, n] if n > 1 else []
 
 
-def bootstrap(df: DataFrame, by: list[str], value: str, k: int, draws: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, by: list[str], value: str, k: int, draws: int = 1000, seed: int = 42, pos: str | None = None) -> DataFrame:
     """Mean and std over ``draws`` samples of k values with replacement of their
     max and min, seeded alike for every group; the groups are a prompt's
-    responses, which are few."""
+    responses, which are few.  Draws count by ``pos``, or else by size of the value."""
     import numpy as np
     import pandas as pd
 
     def one(pdf):
-        x = np.sort(pdf[value].to_numpy())
+        x = pdf.sort_values(pos or value)[value].to_numpy()
         rng = np.random.RandomState(seed)
         picks = x[rng.randint(0, len(x), size=(draws, k))]
         best, worst = picks.max(axis=1), picks.min(axis=1)
@@ -81,6 +81,34 @@ def bootstrap(df: DataFrame, by: list[str], value: str, k: int, draws: int = 100
     return df.groupBy(*by).applyInPandas(one, schema)
 
 
+def majority_at(df: DataFrame, by: list[str], value: str, vote: str, pos: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(by, k, maj_mean, maj_std) for k = 2, 4, ... below n, and n: over ``draws`` seeded
+    samples of k of a group's n responses with replacement, the value at the first of the
+    most frequent votes, of equally frequent ones that drawn first.  Groups of one response
+    have no row; a null vote is a vote of its own.  Groups are a prompt's responses, which are few."""
+    import numpy as np
+    import pandas as pd
+
+    names = [*by, "k", "maj_mean", "maj_std"]
+
+    def one(pdf):
+        pdf = pdf.sort_values(pos)
+        x, code = pdf[value].to_numpy(dtype="float64"), pd.factorize(pdf[vote], use_na_sentinel=False)[0]
+        out = []
+        for k in schedule(len(x)):
+            picks = np.random.RandomState(seed).randint(0, len(x), size=(draws, k))
+            hits = code[picks][:, :, None] == np.arange(code.max() + 1)
+            count, first = hits.sum(axis=1), hits.argmax(axis=1)
+            best = np.where(count > 0, count * (k + 1) - first, -1).argmax(axis=1)
+            got = x[picks[np.arange(draws), first[np.arange(draws), best]]]
+            out.append([*pdf[by].iloc[0], k, got.mean(), got.std()])
+        return pd.DataFrame(out, columns=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", k long, maj_mean double, maj_std double"
+    return df.select(*by, value, vote, pos).groupBy(*by).applyInPandas(one, schema)
+
+
 def best_of(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
     """The expectation that such a bootstrap estimates, exactly: the r-th smallest
     of n is the maximum of k draws with probability (r/n)^k - ((r-1)/n)^k."""

@@ -216,6 +216,8 @@ def test_answer_rules(spark):
     lit = F.lit
     for text, right, want in [("<think>a</think><answer>b</answer>", True, 1.0), ("a</think><answer>b</answer>", False, 0.2), ("b", True, 0.8), ("a</think><answer>" + "b" * 300 + "</answer>", True, 0.0), (None, None, 0.0)]:
         assert one(answers.tagged_reward(lit(text).cast("string"), lit(right).cast("boolean")))["score"] == pytest.approx(want)
+    call = "<think>a</think><tool_call>q</tool_call><answer>b</answer>"
+    assert one(answers.tagged_reward(lit(call), lit(True), ("code", "tool_call"), costly="tool_call"))["score"] == pytest.approx(0.92)
     for text, gold, want in [("Answer: x=\\frac12", "\\frac{1}{2}", 1), ("so\nanswer: 1,234 dollars", "1234", 1), ("Answer: 3\nAnswer: 4", "3", -1), ("4", "4", -1), ("Answer: \\sqrt2", "\\sqrt{2}", 1)]:
         assert one(answers.answer_line_score(lit(text), lit(gold))) == want
     assert [one(answers.letter_behind(lit(x))) for x in ("The answer is B", "\\boxed{(C)}", "The best option is D", "e", "")] == ["B", "(C)", "D", "E", "A"]
@@ -319,3 +321,25 @@ def test_question_kinds(spark):
     want = {"What colour is it?": "real_world_perception_candidate", "Find x": "math_reasoning", "In summer?": "real_world_perception_candidate", "the sum": "math_reasoning", "Following table: how many?": "chart_or_diagram", "the diagram": "chart_or_diagram", "Run Python": "code_or_symbolic_task", "programmes": "real_world_perception_candidate", "Sudoku": "logic_puzzle", "\n ": "empty_question", None: "empty_question", "\\sqrt 2": "math_reasoning"}
     df = spark.createDataFrame([(k,) for k in want], "q string")
     assert [r[0] for r in df.select(curate.question_kind(F.col("q"))).collect()] == list(want.values())
+
+
+def test_majority_at_against_single_draws(spark):
+    votes, vals = ["A", "B", "A", None, "B"], [0.9, 0.8, 0.7, 0.3, 0.1]
+    rows_ = [("p", i, v, x) for i, (v, x) in enumerate(zip(votes, vals, strict=True))] + [("q", 0, "A", 1.0)]
+    df = spark.createDataFrame(rows_, "g string, pos int, vote string, v double")
+    out = {r["k"]: (r["maj_mean"], r["maj_std"]) for r in metrics.majority_at(df, ["g"], "v", "vote", "pos").collect()}
+    assert set(out) == {2, 4, 5}
+    best = {r["best_mean"] for r in metrics.bootstrap(df.where("g = 'p'"), ["g"], "v", 4, pos="pos").collect()}
+    for k in out:
+        np.random.seed(42)
+        got, top = [], []
+        for _ in range(1000):
+            at = np.random.choice(5, size=k, replace=True)
+            counts = {}
+            for i in at:
+                counts.setdefault(votes[i], []).append(vals[i])
+            got.append(max(counts.values(), key=len)[0])
+            top.append(max(vals[i] for i in at))
+        assert out[k] == pytest.approx((np.mean(got), np.std(got)))
+        if k == 4:
+            assert list(best) == [pytest.approx(np.mean(top))]
