@@ -104,8 +104,31 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import filled
+
+    out = filled(_table(spark, sf_dir, "documents"), "char", seed="1", plain=10, spm=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scanned
+
+    out = scanned(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic
+
+    return periodic(_table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict:
     return {
+        "op11_fill_middle": op11_fill_middle,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_periodic_runs": op13_periodic_runs,
         "op1_mixing": op1_mixing,
         "op8_chat": op8_chat,
         "op7_quality": op7_quality,
@@ -237,5 +260,79 @@ FROM r
     return "".join(out)
 
 
+_FILL_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS u, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS v,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+p AS (SELECT *, substr(text, 1, least(u, v)) AS a, substr(text, least(u, v) + 1, greatest(u, v) - least(u, v)) AS b, substr(text, greatest(u, v) + 1) AS c FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN least(u, v) END AS prefix_chars, CASE WHEN form <> 'plain' THEN greatest(u, v) - least(u, v) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _secret_sql() -> str:
+    """Spans by the pieces between matches; windows one by one from the definition
+    of entropy."""
+
+    def spans(table: str, pattern: str) -> str:
+        # 2 * i + 1 .. : pieces and matches take turns, so a match starts where the
+        # pieces up to it and the matches before it end.
+        return f"""SELECT key, i, sum(gap) OVER w + sum(n) OVER w - n AS start, sum(gap) OVER w + sum(n) OVER w AS stop, m AS text
+  FROM (SELECT key, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, length(unnest(ms)) AS n, length(unnest(list_slice(ps, 1, len(ms)))) AS gap
+        FROM (SELECT key, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM {table}))
+  WINDOW w AS (PARTITION BY key ORDER BY i ROWS UNBOUNDED PRECEDING)"""
+
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    classes = [
+        ("hexrun", 3, "[0-9A-Fa-f]{20,}", "3.2::DOUBLE", True, ["[0-9]", "[A-Fa-f]"]),
+        ("base32run", 4, "[A-Z2-7]{20,}", "3.5::DOUBLE", False, ["[2-7]", "[A-Z]"]),
+        ("base64run", 5, "[A-Za-z0-9+/_-]{20,}", "3.9::DOUBLE", False, ["[0-9]", "[A-Z]", "[a-z]"]),
+    ]
+    out = [f"""
+WITH t AS (SELECT row_number() OVER () AS key, doc_id, coalesce(text, '') AS text FROM documents),
+assign AS ({spans("t", assign)}),
+access AS ({spans("t", "AKIA[A-Z0-9]+")}),
+hex AS ({spans("t", "[0-9a-f]+")}),
+all0 AS (
+  SELECT key, 0 AS k, start, stop FROM assign WHERE length(regexp_extract(text, '{assign}', 2)) >= 6
+  UNION ALL SELECT key, 1, start, stop FROM access WHERE stop - start >= 20 UNION ALL SELECT key, 2, start, stop FROM hex WHERE stop - start >= 24),
+c0 AS ({spans("t", "[A-Za-z0-9+/_-]{20,}")}),
+c AS (
+  SELECT c0.key AS doc, row_number() OVER () AS key, start, c0.text FROM c0 JOIN t ON t.key = c0.key
+  WHERE NOT regexp_matches(c0.text, '^[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}$')
+    AND NOT regexp_matches(c0.text, '^[/_+-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([/_+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[/_+-]*$')
+    AND NOT regexp_matches(lower(c0.text), 'abcdefgh|01234567|12345678|qwertyui|example|placeholder|changeme|dummy|redacted|x{{8}}')
+    AND NOT coalesce(start >= 7 AND substr(t.text, CAST(start AS BIGINT) - 6, 7) = 'base64,', false))"""]
+    for before, (name, k, pattern, bits, folded, needs) in enumerate(classes):
+        char = "lower(substr(r.text, CAST(w.o + x.j AS BIGINT), 1))" if folded else "substr(r.text, CAST(w.o + x.j AS BIGINT), 1)"
+        need = " AND ".join(f"regexp_matches(substr(r.text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '{x}')" for x in needs)
+        out.append(f"""
+{name}_r AS ({spans("c", pattern)}),
+{name}_w AS (SELECT key, i, start, text, unnest(range(0, CAST(length(text) - 19 AS BIGINT))) AS o FROM {name}_r),
+{name}_h AS (
+  SELECT key, i, o FROM (
+    SELECT w.key, w.i, w.o, {char} AS ch, count(*) AS n FROM {name}_w w JOIN {name}_r r ON r.key = w.key AND r.i = w.i CROSS JOIN range(1, 21) x(j) GROUP BY ALL)
+  GROUP BY key, i, o
+  HAVING sum(round(n * log2(n) * 1048576)) <= floor((log2(20) - {bits}) * 20 * 1048576)),
+{name}_g AS (SELECT *, sum(CASE WHEN o > last + 20 THEN 1 ELSE 0 END) OVER (PARTITION BY key, i ORDER BY o) AS grp FROM (SELECT *, lag(o) OVER (PARTITION BY key, i ORDER BY o) AS last FROM {name}_h)),
+{name}_s AS (
+  SELECT c.doc AS key, {k} AS k, c.start + r.start + a AS start, c.start + r.start + b AS stop
+  FROM (SELECT key, i, min(o) AS a, max(o) + 20 AS b FROM {name}_g GROUP BY key, i, grp) g JOIN {name}_r r ON r.key = g.key AND r.i = g.i JOIN c ON c.key = g.key WHERE {need}),
+all{before + 1} AS (
+  SELECT key, k, start, stop FROM all{before} UNION ALL
+  SELECT key, k, start, stop FROM {name}_s s WHERE NOT EXISTS (SELECT 1 FROM all{before} b WHERE b.key = s.key AND b.start < s.stop AND s.start < b.stop))""")
+    show = "string_agg(['assign', 'access', 'hex', 'hexrun', 'base32run', 'base64run'][k + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k)"
+    last = f"""
+SELECT t.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce({show} FILTER (k < 3), '')) AS base_sha256, coalesce({show} FILTER (k IS NOT NULL), '') AS spans
+FROM t LEFT JOIN all3 s ON s.key = t.key GROUP BY t.key, t.doc_id"""
+    return ",".join(out) + last
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_mixing": _MIXING_SQL, "op2_url_filter": _url_sql(), "op8_chat": _CHAT_SQL, "op9_line_dedup": _LINES_SQL}
+    return {"op1_mixing": _MIXING_SQL, "op2_url_filter": _url_sql(), "op8_chat": _CHAT_SQL, "op9_line_dedup": _LINES_SQL, "op11_fill_middle": _FILL_SQL, "op12_secret_scan": _secret_sql()}
