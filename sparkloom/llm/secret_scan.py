@@ -12,6 +12,7 @@ DataFrame functions only, and nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -189,8 +190,12 @@ def _of_class(candidates: str, name: str, window: int) -> Column:
     def within(c):
         def spans(r):
             hot = hot_spans(F.lower(r["text"]) if folded else r["text"], alphabet, bits, window)
-            for need in needs:
-                hot = F.filter(hot, lambda s, need=need: F.rlike(F.substr(r["text"], s["start"] + 1, s["end"] - s["start"]), F.lit(need)))
+
+            def whole(s):
+                held = [F.rlike(F.substr(r["text"], s["start"] + 1, s["end"] - s["start"]), F.lit(need)) for need in needs]
+                return functools.reduce(lambda a, b: a & b, held)
+
+            hot = F.filter(hot, whole)
             return F.transform(hot, lambda s: F.struct((c["start"] + r["start"] + s["start"]).alias("start"), (c["start"] + r["start"] + s["end"]).alias("end")))
 
         return F.flatten(F.transform(found(c["text"], pattern), spans))
