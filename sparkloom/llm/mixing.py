@@ -86,11 +86,24 @@ def mixture(docs: DataFrame, weights: list[float], share: float = 1.5, epochs: f
 def mixed_documents(docs: DataFrame, weights: list[float], **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` (doc_id, source, text, any others), all
     columns, each as often as the mixture takes it.  Rows that are equal in id,
-    source and text get the larger of their repetition counts; null ids and
+    source and text share the sum of their counts as evenly as whole numbers allow,
+    so the words that come out are those that the mixture takes; null ids and
     sources are values like others; an empty table gives none, and a very long
     text is one row like any other."""
-    key, source, tie, times, copy = (fresh_name(docs, x) for x in ("_id", "_source", "_tie", "_times", "_copy"))
-    plan = mixture(docs, weights, **options).where("times > 0").groupBy("doc_id", "source", "tie").agg(F.max("times").alias(times))
-    plan = written(plan.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), times), "plan")
+    key, source, tie, times, rows, copy, salt, number, before = (fresh_name(docs, x) for x in ("_id", "_source", "_tie", "_times", "_rows", "_copy", "_salt", "_number", "_before"))
+    plan = mixture(docs, weights, **options).groupBy("doc_id", "source", "tie").agg(F.sum("times").alias(times), F.count(F.lit(1)).alias(rows)).where(F.col(times) > 0)
+    plan = written(plan.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("tie").alias(tie), times, rows), "plan")
     joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan[key]) & docs["source"].cast("string").eqNullSafe(plan[source]) & (F.xxhash64(docs["text"]) == plan[tie]))
-    return joined.withColumn(copy, F.explode(F.expr(f"sequence(1L, {times})"))).select(*[docs[c] for c in docs.columns])
+    once = joined.where(F.col(rows) == 1).select(*[docs[c] for c in docs.columns], F.col(times).alias(times))
+    if not plan.where(F.col(rows) > 1).isEmpty():
+        # Equal rows are numbered within random parts of their group, then over these.
+        many = written(joined.where(F.col(rows) > 1).withColumn(salt, F.floor(F.rand(7) * 64)), "repeated")
+        same = [key, source, tie]
+        other = {c: fresh_name(docs, "_of" + c) for c in [*same, salt]}
+        counts = many.groupBy(*same, salt).agg(F.count(F.lit(1)).alias("_n"))
+        ahead = counts.select(*[F.col(c).alias(n) for c, n in other.items()], F.coalesce(F.sum("_n").over(W.partitionBy(*same).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+        many = many.withColumn(number, F.row_number().over(W.partitionBy(*same, salt).orderBy(tie)))
+        many = many.join(ahead, [F.col(c).eqNullSafe(F.col(n)) for c, n in other.items()])
+        share = F.floor(F.col(times) / F.col(rows)) + F.when(F.col(number) + F.col(before) <= F.col(times) % F.col(rows), 1).otherwise(0)
+        once = once.unionByName(many.select(*[F.col(f"`{c}`") for c in docs.columns], share.cast("long").alias(times)).where(F.col(times) > 0))
+    return once.withColumn(copy, F.explode(F.expr(f"sequence(1L, {times})"))).select(*[F.col(f"`{c}`") for c in docs.columns])

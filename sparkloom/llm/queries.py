@@ -173,15 +173,17 @@ FROM r
 
 
 _CHAT_SQL = r"""
-WITH said AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+WITH said AS (
+  SELECT row_number() OVER () AS line, conv_id, CAST(turn AS BIGINT) AS turn, role, text, sum(length(coalesce(text, '')) + 32) OVER (PARTITION BY conv_id) > 1048576 AS cut
+  FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'),
 m AS (
-  SELECT s.conv_id, p.perspective, CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS part, turn, role, text, coalesce(role = perspective, false) AS mine,
+  SELECT s.conv_id, p.perspective, CASE WHEN cut THEN CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) ELSE 0 END AS part, turn, role, text, line, coalesce(role = perspective, false) AS mine,
          '<|im_start|>' || CASE WHEN coalesce(role = perspective, false) THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || coalesce(role, 'unknown') END || chr(10) AS head,
          replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY part, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM m)
 SELECT conv_id, perspective, part, count(*) AS n_messages, CAST(coalesce(sum(length(body)) FILTER (mine), 0) AS BIGINT) AS n_masked,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered,

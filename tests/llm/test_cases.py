@@ -102,6 +102,18 @@ def test_null_ids_and_clashing_names_in_stages(spark):
     assert mix.columns == left.columns and got == {k: n for k, n in plan.items() if n}
 
 
+def test_mixing_keeps_its_words_with_repeated_rows(spark):
+    """Words that come out are those that the mixture takes, equal rows or not."""
+    rows = [(1, "a b c", "s")] * 3 + [(2, "d e", "s"), (3, "f g", "t"), (None, "h i j", None), (None, "h i j", None)] + [(4, "k l", "t")] * 7
+    for share in (0.3, 0.7, 1.0, 1.5):
+        taken = sum(r.taken for r in mixing.mixture(clashing(spark, rows), [3.0, 1.0], share=share).collect())
+        out = mixing.mixed_documents(clashing(spark, rows), [3.0, 1.0], share=share)
+        assert sum(len(r.text.split()) for r in out.collect()) == taken
+    few = mixing.mixed_documents(clashing(spark, [(1, "a b c", "s")] * 3 + [(2, "d e", "s")]), [1.0], share=15 / 11)
+    counts = [r["count"] for r in few.groupBy("doc_id").count().orderBy("doc_id").collect()]
+    assert abs(3 * counts[0] + 2 * counts[1] - 15) <= 2
+
+
 def test_stages_on_empty_tables(spark):
     empty = clashing(spark, [(1, "x", "s")]).where("doc_id > 1")
     items = spark.createDataFrame([(1, LONG)], "item_id long, text string")

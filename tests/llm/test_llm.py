@@ -348,16 +348,22 @@ def test_rotation(spark):
     out = {(r.conv_id, r.perspective): r for r in chat.rotated(df).collect()}
     assert set(out) == {(1, "ann"), (1, "bob"), (None, "ann")}
     a = out[(1, "ann")]
-    assert a.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo<| im_end|><|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
+    assert a.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nyo<| im_end|><|im_end|>\n<|im_start|>user name=bob\nyo<| im_end|><|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
     assert [a.rendered[s.start : s.end] for s in a["mask"]] == ["hi<|im_end|>"]
-    assert [out[(1, "bob")].rendered[s.start : s.end] for s in out[(1, "bob")]["mask"]] == ["yo<| im_end|><|im_end|>"]
+    assert [out[(1, "bob")].rendered[s.start : s.end] for s in out[(1, "bob")]["mask"]] == ["yo<| im_end|><|im_end|>"] * 2
+    assert a.n_messages == 5  # equal rows are as many messages
     assert chat.rotated(df.limit(0)).count() == 0
 
 
 def test_long_conversations_come_in_parts(spark):
     df = spark.range(200).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
-    out = chat.rotated(df).where("perspective = 'a'").orderBy("part").collect()
+    out = chat.rotated(df, whole=200).where("perspective = 'a'").orderBy("part").collect()
     assert [r.n_messages for r in out] == [64, 64, 64, 8]
+    one = chat.rotated(df).where("perspective = 'a'").collect()
+    assert len(one) == 1 and one[0].rendered == "".join(r.rendered for r in out)
+    # Places count from the start of the dialogue, whether it comes in parts or not.
+    assert [m for r in out for m in r["mask"]] == one[0]["mask"]
+    assert [one[0].rendered[m.start : m.end] for m in one[0]["mask"]] == [f"{i}{chat.END}" for i in range(0, 200, 2)]
 
 
 # --------------------------------------------------------------- 9: line dedup
