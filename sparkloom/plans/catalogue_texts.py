@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numerics
 from ..operators import captions
 from .common import query, r6
 
@@ -55,3 +56,45 @@ def caption_cider(read):
  SELECT g, count(*) AS captions, {r6('100 * avg(rouge_l)')} AS rouge_l, {r6('100 * avg(cider)')} AS cider FROM ci JOIN ro USING (id) GROUP BY g""")
 def caption_scores(read):
     return captions.caption_scores(_captions(read), "conv_id", "said", "refs", ["g"])
+
+
+# Numbers of the part table written as expressions; the gold one is a little off, by up
+# to two percent, so the tolerance decides.
+_NUMBERS = """SELECT p_partkey AS id, p_partkey % 8 AS kind, CAST(floor(p_partkey / 8) AS BIGINT) AS t, p_name AS name, CAST(p_size AS BIGINT) AS a, 1 + p_partkey % 7 AS k, CAST(p_partkey * 37 % 401 - 200 AS DOUBLE) / 10000 AS off FROM part"""
+_SAID = r"""CASE kind WHEN 0 THEN 'BSfrac{' || a || '}{' || k || '}' WHEN 1 THEN 'x = ' || a || ' BStimes ' || k WHEN 2 THEN 'BSboxed{BSsqrt{' || a || '}}' WHEN 3 THEN a || '%'
+ WHEN 4 THEN 'BS( BSleft(' || a || ' - ' || k || 'BSright)^{2}BSpi BS)' WHEN 5 THEN '(' || a || ', ' || k || ')' WHEN 6 THEN '-' || a || '^2 + BSsqrt[3]{' || k * k * k || '}' ELSE name || '.' END"""
+_VALUE = """CASE kind WHEN 0 THEN CAST(a AS DOUBLE) / k WHEN 1 THEN a * k WHEN 2 THEN sqrt(CAST(a AS DOUBLE)) WHEN 3 THEN CAST(a AS DOUBLE) / 100 WHEN 4 THEN CAST((a - k) * (a - k) AS DOUBLE) * 314 / 100 WHEN 6 THEN k - a * a END"""
+_MICRO = f"CAST(round(({_VALUE}) * (1 + off) * 1000000) AS BIGINT)"
+
+
+def _numbers(read, *exprs: str):
+    columns = ["p_partkey AS id", "p_partkey % 8 AS kind", "CAST(floor(p_partkey / 8) AS BIGINT) AS t", "p_name AS name", "CAST(p_size AS BIGINT) AS a", "1 + p_partkey % 7 AS k", "CAST(p_partkey * 37 % 401 - 200 AS DOUBLE) / 10000 AS off", "char(92) AS bs"]
+    return read("part").selectExpr(*columns).selectExpr("*", *(e.replace("BS", "' || bs || '") for e in exprs))
+
+
+_GOLD = f"CASE kind WHEN 5 THEN '[' || k || ', ' || (a + t % 2) || ']' WHEN 7 THEN upper(replace(name, ' ', '-')) || CASE WHEN t % 3 = 0 THEN 'x' ELSE '' END ELSE {_MICRO} || 'e-6' END"
+_BARE = "replace(replace(replace(lower({}), ' ', ''), '-', ''), '.', '')"
+
+
+@query(QUERIES, f"""WITH p AS ({_NUMBERS}), v AS (SELECT *, CAST({_VALUE} AS DOUBLE) AS v, {_MICRO} / 1000000::DOUBLE AS g FROM p)
+ SELECT id, CAST(CASE kind WHEN 5 THEN abs(least(a, k) - least(a + t % 2, k)) <= least(a + t % 2, k) * 0.01::DOUBLE AND abs(greatest(a, k) - greatest(a + t % 2, k)) <= greatest(a + t % 2, k) * 0.01::DOUBLE
+   WHEN 7 THEN {_BARE.format("name")} = {_BARE.format("name")} || CASE WHEN t % 3 = 0 THEN 'x' ELSE '' END ELSE abs(v - g) <= abs(g) * 0.01::DOUBLE END AS DOUBLE) AS score FROM v""")
+def expression_numbers(read):
+    """Numbers as expressions, in LaTeX or plain, with units, to one percent."""
+    return _numbers(read, f"{_SAID} AS said", f"{_GOLD} AS gold").select("id", numerics.numeric_match("said", "gold").alias("score"))
+
+
+# Polynomials by their coefficients, fractions by their cross products, pairs by both.
+_LEFT = r"""CASE kind WHEN 0 THEN '(x+' || a || ')^2' WHEN 1 THEN 'BSfrac{' || a || '}{' || k || '}' WHEN 2 THEN '[' || a || ',' || k || ')' WHEN 3 THEN '(x-y)(x+' || k || 'y)' WHEN 4 THEN a || '.0' WHEN 5 THEN k || ' ' || a || '/60'
+ WHEN 6 THEN a || ' meters' ELSE 'BSsqrt{' || a * a * k || '}' END"""
+_RIGHT = r"""CASE kind WHEN 0 THEN 'x^2+' || (2 * a + t % 3) || 'x+' || a * a WHEN 1 THEN (a * 3 + t % 2) || '/' || k * 3 WHEN 2 THEN '[' || a || '.0, ' || k || CASE WHEN t % 3 = 0 THEN ']' ELSE ')' END
+ WHEN 3 THEN 'x^2 + ' || (k - 1 + t % 2) || 'xBScdot y - ' || k || 'y^{2}' WHEN 4 THEN CAST(a * CASE t % 4 WHEN 0 THEN 100 WHEN 1 THEN 1 WHEN 2 THEN 10 ELSE 1 END AS STRING) WHEN 5 THEN (k * 60 + a) || '/60' WHEN 6 THEN a + t % 2 || '' ELSE a || 'BSsqrt{' || (k + t % 2) || '}' END"""
+
+
+@query(QUERIES, f"""WITH p AS ({_NUMBERS})
+ SELECT id, CASE kind WHEN 0 THEN t % 3 = 0 WHEN 1 THEN abs(a * 3 - (a * 3 + t % 2)) <= 0.0001::DOUBLE * (a * 3 + t % 2) WHEN 2 THEN t % 3 <> 0 WHEN 3 THEN t % 2 = 0
+     WHEN 4 THEN t % 4 <> 2 WHEN 5 THEN a * (k * 60 + a) = 0 OR k * a = k * 60 + a WHEN 6 THEN false ELSE sqrt(CAST(a * a * k AS DOUBLE)) >= (1 - 0.0001::DOUBLE) * a * sqrt(CAST(k + t % 2 AS DOUBLE)) END AS equal,
+   CASE kind WHEN 0 THEN t % 3 = 0 WHEN 1 THEN false WHEN 2 THEN t % 3 <> 0 WHEN 3 THEN t % 2 = 0 WHEN 4 THEN t % 4 IN (1, 3) WHEN 5 THEN true WHEN 6 THEN t % 2 = 0 ELSE t % 2 = 0 END AS graded FROM p""")
+def expression_equality(read):
+    """Equality of answers as expressions, loosely and strictly graded."""
+    return _numbers(read, f"{_LEFT} AS said", f"{_RIGHT} AS gold").select("id", numerics.maths_match("said", "gold").alias("equal"), numerics.graded_match("said", "gold").alias("graded"))
