@@ -47,12 +47,23 @@ _MATHS = """CASE id % 9 WHEN 0 THEN 'Answer: ' || size WHEN 1 THEN 'answer : x =
 _TRUTHS = "CASE id % 9 WHEN 1 THEN CAST(size * 1000 AS STRING) WHEN 4 THEN bs || 'frac{1}{' || size || '}' WHEN 5 THEN name ELSE CAST(size AS STRING) END"
 
 
+# As the twin's engine writes replacements.
+_REWRITTEN = [
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"$\3$"),
+    (r"(\\text\{)(.*?)(\})", r"\2"),
+    (r"(\\textbf\{)(.*?)(\})", r"\2"),
+    (r"(\\overline\{)(.*?)(\})", r"\2"),
+    (r"(\\boxed\{)(.*)(\})", r"\2"),
+    (r"(frac)([^{])(.)", r"frac{\2}{\3}"),
+    (r"(sqrt)([^{])", r"sqrt{\2}"),
+]
+
+
 def _final_sql(x: str) -> str:
     x = f"list_last(string_split({x}, '='))"
     for old, new in [*an.REPLACED, *((r, "") for r in an.REMOVED)]:
         x = f"replace({x}, '{old}', '{new}')"
-    for pattern, parts in an.REWRITTEN:
-        to = "".join(_BACK + str(p) if isinstance(p, int) else p for p in parts)
+    for pattern, to in _REWRITTEN:
         x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
     return f"replace({x}, '$', '')"
 
@@ -380,7 +391,13 @@ def mask_first(read):
 _ASKED = """CASE id % 16 WHEN 0 THEN 'What colour is the ' || name || '?' WHEN 1 THEN ' Find the ' || name WHEN 2 THEN 'How many ' || name || 's at least?' WHEN 3 THEN 'In the bar chart, which ' || name || '?' WHEN 4 THEN 'According to the table, what ' || name || '?'
  WHEN 5 THEN 'Write a script for ' || name WHEN 6 THEN 'A riddle about a ' || name WHEN 7 THEN '   ' WHEN 8 THEN 'So A B = ' || size WHEN 9 THEN 'value of  x in ' || name WHEN 10 THEN chr(92) || 'frac{1}{' || size || '}' WHEN 11 THEN 'The programme of ' || name
  WHEN 12 THEN 'Is the summer ' || name || ' here?' WHEN 13 THEN 'The SQL of ' || name WHEN 14 THEN 'Which statement on the graph of ' || name WHEN 15 THEN name END"""
-_KINDS = "CASE WHEN trim(coalesce(t, '')) = '' THEN 'empty_question' " + " ".join(f"WHEN regexp_matches(trim(t), '{p}') THEN '{reason}'" for reason, p in curate.QUESTION_RULES) + " ELSE 'real_world_perception_candidate' END"
+# The question filter's patterns, written out once more for the twin.
+_KINDS = r"""CASE WHEN trim(coalesce(t, '')) = '' THEN 'empty_question'
+ WHEN regexp_matches(trim(t), '(?i)(?:^\s*find\b|\b[A-Z]\s+[A-Z]\s*=|\b(?:find|calculate|compute|what is)\s+(?:the\s+)?(?:area|perimeter|volume)\b|\\(?:frac|sqrt|angle|triangle|overline)\b|\bvalue of\s+[xyz]\b|\b(?:mean|median|mode|average|sum|difference|product|quotient|calculate|calculation|compute|equation|fraction|ratio|percentage|percent(?:age)?|probability|algebra|geometry|hypotenuse|parallelogram|quadrilateral|polygon|hexagon|theorem|congruent|similar triangles|coordinate plane|intercept|radius|diameter|tangent|round to|nearest tenth|multiply|divide|subtract|at least|at most)\b)') THEN 'math_reasoning'
+ WHEN regexp_matches(trim(t), '(?i)(?:\b(?:according to|following|data)\s+(?:the\s+)?table\b|\b(?:bar chart|pie chart|line graph|scatter plot|chart|graph|spreadsheet|schedule|diagram|flowchart|histogram|coordinate|x-axis|y-axis)\b)') THEN 'chart_or_diagram'
+ WHEN regexp_matches(trim(t), '(?i)\b(?:write (?:a )?code|program(?:ming)?|python|javascript|sql|algorithm|terminal|compile|execute (?:the )?code|write (?:a )?script)\b') THEN 'code_or_symbolic_task'
+ WHEN regexp_matches(trim(t), '(?i)\b(?:logic puzzle|riddle|number sequence|next number|sudoku|crossword|deduce|deduction|which statement)\b') THEN 'logic_puzzle'
+ ELSE 'real_world_perception_candidate' END"""
 
 
 @query(QUERIES, f"WITH {_P}, t AS (SELECT id, {_ASKED} AS t FROM p UNION ALL SELECT item_id, text FROM benchmark) SELECT id, {_KINDS} AS kind FROM t")
