@@ -3,9 +3,11 @@ from the texts anew."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import numerics
+from ..functions import grids, numerics
+from ..functions import similarity as sim
 from ..operators import captions
 from .common import query, r6
 
@@ -98,3 +100,55 @@ _RIGHT = r"""CASE kind WHEN 0 THEN 'x^2+' || (2 * a + t % 3) || 'x+' || a * a WH
 def expression_equality(read):
     """Equality of answers as expressions, loosely and strictly graded."""
     return _numbers(read, f"{_LEFT} AS said", f"{_RIGHT} AS gold").select("id", numerics.maths_match("said", "gold").alias("equal"), numerics.graded_match("said", "gold").alias("graded"))
+
+
+# An order's lines as a table, flags spanning their lines: once as HTML, once as LaTeX,
+# where one amount differs.
+def _order_tables(read, off: str = "CAST(n AS STRING)"):
+    lines = read("lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS line", "l_returnflag AS flag", "CAST(l_quantity AS BIGINT) AS n")
+    lines = lines.withColumn("high", F.count(F.lit(1)).over(W.partitionBy("id", "flag"))).withColumn("at", F.row_number().over(W.partitionBy("id", "flag").orderBy("line", "n")))
+    lines = lines.withColumn("off", F.expr(off))
+    html = F.expr("""concat('<tr style="x">', if(at = 1, concat('<th rowspan="', high, '"><b>', flag, '</b></th>'), ''), '<td>', line, ' &amp; more</td><td class="n"> ', n, '</td></tr>')""")
+    latex = F.expr("""concat(if(at = 1, concat('\\\\multirow{', high, '}{*}{\\\\textbf{', flag, '}}'), ''), ' & ', line, ' \\\\& more & $', off, '$ \\\\\\\\ \\\\hline ')""")
+    rows = lines.select("id", F.struct("flag", "at", "line", html.alias("html"), latex.alias("latex")).alias("r")).groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    joined = lambda form: F.array_join(F.transform("rs", lambda r: r[form]), "")
+    head = F.concat(F.lit('<table border="0"><thead><tr><th colspan="2">Order '), F.col("id"), F.lit("</th><th>n<sup>o</sup></th></tr></thead><tbody>"))
+    tex = F.concat(F.lit(r"\begin{tabular}{l|cc} \toprule \multicolumn{2}{c}{Order "), F.col("id"), F.lit(r"} & no \\ \midrule "))
+    return rows.select("id", F.concat(head, joined("html"), F.lit("</tbody></table>")).alias("html"), F.concat(tex, joined("latex"), F.lit(r"\bottomrule \end{tabular}")).alias("latex"))
+
+
+_LINES = "l AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS n FROM lineitem), w AS (SELECT *, row_number() OVER (PARTITION BY id, flag ORDER BY line, n) AS nth FROM l)"
+
+
+@query(QUERIES, rf"""WITH {_LINES},
+ g AS (SELECT id, '|Order ' || id || '|Order ' || id || '|no' || string_agg(chr(10) || '|' || flag || '|' || line || ' & more|' || n, '' ORDER BY flag, nth, line) AS html,
+              '|Order ' || id || '|Order ' || id || '|no' || string_agg(chr(10) || '|' || flag || '|' || line || ' & more|$' || n || '$', '' ORDER BY flag, nth, line) AS latex FROM w GROUP BY id)
+ SELECT id, md5(html) AS html, md5(latex) AS latex, 3 AS width FROM g""")
+def table_grids(read):
+    """Grids of HTML and LaTeX tables, spans expanded."""
+    shown = lambda c: F.md5(F.array_join(F.transform(c, lambda r: F.concat(F.lit("|"), F.array_join(r, "|", "?"))), "\n").cast("binary"))
+    df = _order_tables(read).select("id", grids.table_grid("html").alias("h"), grids.table_grid("latex").alias("l"))
+    return df.select("id", shown(F.col("h")).alias("html"), shown(F.col("l")).alias("latex"), F.greatest(F.array_max(F.transform("h", F.size)), F.array_max(F.transform("l", F.size))).alias("width"))
+
+
+@query(QUERIES, rf"""WITH {_LINES},
+ c AS (SELECT *, '$' || (CASE WHEN line = 1 THEN n + id % 3 ELSE n END) || '$' AS off, '$' || n || '$' AS own FROM w)
+ SELECT id, {r6("1 - sum(levenshtein(own, off)::DOUBLE / greatest(length(own), length(off))) / (count(*) + 1 + 2 * count(*) + count(DISTINCT flag) + 2)")} AS similarity FROM c GROUP BY id""")
+def table_forms(read):
+    """Similarity of an HTML table and a LaTeX one with an amount changed, both in the
+    normal form."""
+    df = _order_tables(read, "if(line = 1, n + id % 3, n)").select("id", F.regexp_replace("html", '(<td class="n"> )([0-9]+)', r"$1\$$2\$").alias("html"), "latex")
+    return df.select("id", sim.teds(grids.table_html("html"), grids.table_html("latex")).alias("similarity"))
+
+
+_FORMULA = r"""CASE id % 5 WHEN 0 THEN 'so BS[ BSmathbf{A}_{' || a || '} = BSfrac{' || k || '}{X} BStag{' || a || '} BS] end' WHEN 1 THEN 'BSbegin{aligned}' || name || 'BSend{aligned}.' WHEN 2 THEN '..BStext{' || name || '} BSquad BSqquad x'
+ WHEN 3 THEN 'BShspace{' || a || 'cm}BSoperatorname{Sin} ' || k || ' BSarraycolsep=1.4pt}' ELSE name END"""
+
+
+@query(QUERIES, rf"""WITH p AS ({_NUMBERS.replace("SELECT p_partkey AS id", "SELECT chr(92) AS bs, p_partkey AS id", 1)}), t AS (SELECT id, {_FORMULA.replace("BS", "' || bs || '")} AS t FROM p),
+ i AS (SELECT id, CASE WHEN regexp_extract(t, '\\\[(.+?)\\\]', 1) <> '' THEN trim(regexp_extract(t, '\\\[(.+?)\\\]', 1)) ELSE t END AS t FROM t),
+ r AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\(tag|hspace)\{{.*?\}}', '', 'g'), '\\(begin|end)\{{.*?\}}', '', 'g'), '\\arraycolsep.*?\}}', '', 'g'), '.') AS t FROM i)
+ SELECT id, lower(replace(regexp_replace(t, '\\(mathbf|text|quad|qquad|operatorname)', '', 'g'), ' ', '')) AS formula FROM r""")
+def formula_forms(read):
+    """Formulas without what only their looks need."""
+    return _numbers(read, f"{_FORMULA} AS f").select("id", grids.normal_formula(F.col("f")).alias("formula"))
