@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import grids, numerics
+from ..functions import forms, grids, numerics
 from ..functions import similarity as sim
 from ..operators import captions
 from .common import query, r6
@@ -152,3 +152,41 @@ _FORMULA = r"""CASE id % 5 WHEN 0 THEN 'so BS[ BSmathbf{A}_{' || a || '} = BSfra
 def formula_forms(read):
     """Formulas without what only their looks need."""
     return _numbers(read, f"{_FORMULA} AS f").select("id", grids.normal_formula(F.col("f")).alias("formula"))
+
+
+# Parts as forms: what was said has its fields in another order, an edited name and, of
+# some, no size.
+_GOLD_FORM = """'{"item": [{"name": "' || name || '", "type": "' || kind || '"}], "size": ' || size || ', "tags": ["' || brand || '", "", "a"]}'"""
+_SAID_FORM = """CASE WHEN id % 4 = 0 THEN 'Here: ```json' || chr(10) ELSE '' END || '{"tags": ["' || brand || '", "a"], ' || CASE WHEN id % 3 = 0 THEN '' ELSE '"size": "' || size || '", ' END || '"item": {"type": "' || kind || '", "name": "'
+ || CASE WHEN id % 5 = 0 THEN replace(name, 'e', '') ELSE name END || '"}}' || CASE WHEN id % 4 = 0 THEN chr(10) || '```' ELSE '' END"""
+_PARTS = "p AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part)"
+
+
+def _forms(read):
+    columns = ["p_partkey AS id", "p_name AS name", "p_type AS kind", "p_brand AS brand", "CAST(p_size AS STRING) AS size", "char(10) AS nl"]
+    said = _SAID_FORM.replace("chr(10)", "nl")
+    return read("part").selectExpr(*columns).selectExpr("id", "id % 3 AS g", f"{said} AS said", f"{_GOLD_FORM} AS gold")
+
+
+@query(QUERIES, f"""WITH {_PARTS}, c AS (SELECT id, CASE WHEN id % 5 = 0 THEN levenshtein(name, replace(name, 'e', '')) ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 + length(size) ELSE 0 END AS edits,
+   1 + 1 + 1 + length(name) + 1 + length(kind) + 1 + length(size) + 1 + length(brand) + 1 AS whole FROM p)
+ SELECT id, {r6("1 - edits::DOUBLE / whole")} AS accuracy FROM c""")
+def form_trees(read):
+    """Tree-edit accuracy of nested forms."""
+    return _forms(read).select("id", forms.tree_accuracy("said", "gold").alias("accuracy"))
+
+
+@query(QUERIES, f"""WITH {_PARTS}, f AS (
+   SELECT id, 'item.name' AS field, name AS gold, CASE WHEN id % 5 = 0 THEN replace(name, 'e', '') ELSE name END AS said FROM p UNION ALL SELECT id, 'item.type', kind, kind FROM p
+   UNION ALL SELECT id, 'size', size, CASE WHEN id % 3 = 0 THEN NULL ELSE size END FROM p UNION ALL SELECT id, 'tags', brand, brand FROM p UNION ALL SELECT id, 'tags', 'a', 'a' FROM p)
+ SELECT field, count(*) FILTER (said = gold) AS both, CAST(coalesce(sum(CASE WHEN said IS NULL THEN 1 WHEN said <> gold THEN 2 ELSE 0 END), 0) AS BIGINT) AS off,
+   {r6("count(*) FILTER (said = gold) / (count(*) FILTER (said = gold) + coalesce(sum(CASE WHEN said IS NULL THEN 1 WHEN said <> gold THEN 2 ELSE 0 END), 0) / 2::DOUBLE + 0.000001::DOUBLE)")} AS f1 FROM f GROUP BY field""")
+def form_fields_report(read):
+    """Counts and F1 of each field over all forms."""
+    return forms.field_report(_forms(read), "said", "gold")
+
+
+@query(QUERIES, f"""WITH {_PARTS} SELECT id, '{{"item": [{{"name": ["' || name || '"], "type": ["' || kind || '"]}}], "size": ["' || size || '"], "tags": ["' || brand || '", "a"]}}' AS form FROM p""")
+def form_order(read):
+    """Forms with their fields in order, values in lists, without what is empty."""
+    return _forms(read).select("id", forms.canonical_json("gold").alias("form"))
