@@ -136,17 +136,32 @@ def shuffled_rank(df: DataFrame, seed: int, pos: str = "pos", bits: int = 12) ->
     return ranked.join(F.broadcast(starts), "_b").withColumn("rank", F.col("_start") + F.col("_r") - 1).drop("_h", "_b", "_r", "_start")
 
 
+def _text_range(df: DataFrame, column: str, buckets: int = 256) -> Column:
+    """The number of a text's range, in the texts' order.  All texts begin with what the
+    first and the last one share; the seven bytes behind it are a number, whose quantiles
+    bound the ranges."""
+    low, high = (x.encode() if x is not None else b"" for x in df.agg(F.min(column), F.max(column)).first())
+    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    behind = F.substring(F.col(column).cast("binary"), shared + 1, 7)
+    number = F.conv(F.rpad(F.hex(behind), 14, "0"), 16, 10).cast("long")
+    bounds = df.select(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 8 * buckets)).first()[0]
+    return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds or [0]))]), lambda b: b <= number))
+
+
 def mask_first_rank(df: DataFrame, mask: str, pos: str = "pos", buckets: int = 4096) -> DataFrame:
     """``rank`` of each row, from 0, with the rows of a true ``mask`` first and each
-    kind by ``pos`` (a number, unique), and ``total``; a null mask is false.  No global
-    sort: rows are ranked within ranges of ``pos``, even ones if its values are, and the
-    counts of at most ``buckets`` ranges say where each begins."""
+    kind by ``pos`` (a number or a text, unique), and ``total``; a null mask is false.  No
+    global sort: rows are ranked within ranges of ``pos``, even ones of numbers if their
+    values are, and the counts of at most ``buckets`` ranges say where each begins."""
     from pyspark.sql import Window as W
 
     on = F.coalesce(F.col(mask), F.lit(False))
-    ends = df.agg(F.min(pos).cast("double").alias("_lo"), F.max(pos).cast("double").alias("_hi"))
-    place = F.floor((F.col(pos).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
-    rows = df.join(F.broadcast(ends)).withColumns({"_on": on, "_b": place}).drop("_lo", "_hi")
+    if dict(df.dtypes)[pos] == "string":
+        rows = df.withColumns({"_on": on, "_b": _text_range(df, pos)})
+    else:
+        ends = df.agg(F.min(pos).cast("double").alias("_lo"), F.max(pos).cast("double").alias("_hi"))
+        place = F.floor((F.col(pos).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
+        rows = df.join(F.broadcast(ends)).withColumns({"_on": on, "_b": place}).drop("_lo", "_hi")
     counts = rows.groupBy("_b").agg(F.count_if("_on").alias("_t"), F.count_if(~F.col("_on")).alias("_f"))
     upto, every = W.orderBy("_b"), W.partitionBy(F.lit(0))
     starts = counts.select("_b", (F.sum("_t").over(upto) - F.col("_t")).alias("_t0"), (F.sum("_f").over(upto) - F.col("_f") + F.sum("_t").over(every)).alias("_f0"), (F.sum("_t").over(every) + F.sum("_f").over(every)).alias("total"))
@@ -169,17 +184,26 @@ def rank_shard(df: DataFrame, rank: int, world: int, pos: str = "pos") -> DataFr
     return df.where(F.col(pos) % world == rank)
 
 
-def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int, pos: str = "pos") -> DataFrame:
+def weighted_resample(df: DataFrame, weight: Column, draws: int, seed: int, pos: str = "pos", bits: int = 12) -> DataFrame:
     """``draws`` rows with replacement, row i with probability in proportion to
-    its weight: systematic draws over the running weight, which needs one ordered
-    window over weights only."""
+    its weight: systematic draws over the running weight in the order of a seeded hash.
+    Running weights are whole numbers within ranges of the hash, and the ranges' sums, at
+    most 2^bits of them, say where each begins, so no task sees all rows and the draws add
+    up.  Null and negative weights count as 0; without any weight nothing is drawn."""
     from pyspark.sql import Window as W
 
-    rows = df.withColumn("_w", weight)
-    total = rows.agg(F.sum("_w")).first()[0]
-    upto = W.orderBy(F.xxhash64(F.lit(seed), F.col(pos)), pos).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_hi", F.floor(F.sum("_w").over(upto) / F.lit(total) * draws + 0.5)).withColumn("_lo", F.floor((F.sum("_w").over(upto) - F.col("_w")) / F.lit(total) * draws + 0.5))
-    return repeat_by(rows, F.col("_hi") - F.col("_lo")).drop("_w", "_hi", "_lo", "copy")
+    h = F.xxhash64(F.lit(seed), F.col(pos))
+    rows = df.withColumns({"_v": F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), "_h": h, "_b": F.shiftright(h, 64 - bits)})
+    top = rows.agg(F.max("_v").alias("_top"))
+    rows = rows.join(F.broadcast(top)).withColumn("_w", F.when(F.col("_top") > 0, F.round(F.col("_v") / F.col("_top") * 1e12)).otherwise(0).cast("decimal(13,0)")).drop("_v", "_top")
+    sums = rows.groupBy("_b").agg(F.sum("_w").alias("_s"))
+    starts = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_start"), F.sum("_s").over(W.partitionBy(F.lit(0))).alias("_all"))
+    upto = F.sum("_w").over(W.partitionBy("_b").orderBy("_h", pos).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto).join(F.broadcast(starts), "_b")
+    # floor(2 * weight * draws + all) / (2 * all): draws up to a place, rounded.
+    number = lambda x: F.expr(f"CAST(({x} * {2 * draws} + _all) DIV (2 * _all) AS LONG)")
+    rows = rows.where("_all > 0").withColumn("_copies", number("(_start + _upto)") - number("(_start + _upto - _w)"))
+    return repeat_by(rows, F.col("_copies")).drop("_b", "_h", "_w", "_upto", "_start", "_all", "_copies", "copy")
 
 
 def resample_weights(df: DataFrame, batch: str, score: str, method: str = "pow", power: float = 2.0) -> DataFrame:

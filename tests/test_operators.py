@@ -343,3 +343,33 @@ def test_majority_at_against_single_draws(spark):
         assert out[k] == pytest.approx((np.mean(got), np.std(got)))
         if k == 4:
             assert list(best) == [pytest.approx(np.mean(top))]
+
+
+def test_weighted_resample_draws_in_proportion(spark):
+    from sparkloom.operators import batch
+
+    df = spark.range(400).select(F.col("id").alias("pos"), (F.col("id") % 7).cast("double").alias("w"))
+    for draws in (1, 37, 400, 5000):
+        got = {r.pos: r["count"] for r in batch.weighted_resample(df, F.col("w"), draws, seed=4).groupBy("pos").count().collect()}
+        assert sum(got.values()) == draws
+        total = sum(i % 7 for i in range(400))
+        for i in range(400):  # systematic draws: the whole parts on either side
+            assert abs(got.get(i, 0) - draws * (i % 7) / total) < 1
+    plan = batch.weighted_resample(df, F.col("w"), 5, seed=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_h" in plan and plan.count("Window") <= 3
+    assert batch.weighted_resample(df, F.lit(0.0), 5, seed=4).count() == 0
+    assert batch.weighted_resample(df.limit(0), F.col("w"), 5, seed=4).count() == 0
+    assert batch.weighted_resample(df, F.when(F.col("pos") == 3, 2.0), 5, seed=4).groupBy("pos").count().collect() == [(3, 5)]
+
+
+def test_ranks_of_texts(spark):
+    from sparkloom.operators import batch
+
+    names = [f"prompt-{i * i % 10_007:06d}-é{i}" for i in range(500)] + ["prompt-", "prompt-\u65e5", "prompt-zz"]
+    df = spark.createDataFrame([(n, i % 3 == 0) for i, n in enumerate(names)], "uid string, good boolean")
+    got = {r.uid: r["rank"] for r in batch.mask_first_rank(df, "good", "uid").collect()}
+    want = sorted(enumerate(names), key=lambda x: (x[0] % 3 != 0, x[1].encode()))
+    assert got == {n: k for k, (_, n) in enumerate(want)}
+    assert batch.mask_first_rank(df.limit(0), "good", "uid").count() == 0
+    one = spark.createDataFrame([("a", True)], "uid string, good boolean")
+    assert [r["rank"] for r in batch.mask_first_rank(one, "good", "uid").collect()] == [0]
