@@ -123,7 +123,7 @@ def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "
         raise ValueError(f"no writer for {kind}")
     writer = df.write.mode(mode).format(_FORMATS[kind])
     if kind in ("csv", "tsv"):
-        writer = writer.options(header=True, sep="\t" if kind == "tsv" else ",", quoteAll=True, escape='"')
+        writer = writer.options(header=True, sep="\t" if kind == "tsv" else ",", quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if kind == "parquet":
         writer = writer.option("compression", "zstd")
     writer.save(path)
@@ -134,9 +134,16 @@ def write_steps(df: DataFrame, path: str, step: str = "step") -> None:
     df.write.mode("append").partitionBy(step).json(path)
 
 
-def summary_json(df: DataFrame) -> str:
-    """A small aggregate as one JSON text."""
-    return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()], ensure_ascii=False)
+#: Rows of the largest summary.
+LONGEST_SUMMARY = 10_000
+
+
+def summary_json(df: DataFrame, most: int = LONGEST_SUMMARY) -> str:
+    """A small aggregate as one JSON text; more than ``most`` rows are refused."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a summary of more than {most} rows")
+    return json.dumps([json.loads(r[0]) for r in rows], ensure_ascii=False)
 
 
 def flat_metrics(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,8 +22,8 @@ BLOCK = 256
 
 
 class StepSource(DataSource):
-    """``training_steps``: (epoch, step) for ``epochs`` times ``steps`` steps, ``at_once``
-    of them in a micro-batch."""
+    """``training_steps``: (epoch, step) of the first ``until`` steps of epochs of
+    ``steps``, ``at_once`` of them in a micro-batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -33,18 +33,18 @@ class StepSource(DataSource):
         return "epoch long, step long"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _StepReader(*(int(self.options[k]) for k in ("epochs", "steps", "at_once")))
+        return _StepReader(*(int(self.options[k]) for k in ("steps", "at_once", "until")))
 
 
 class _StepReader(SimpleDataSourceStreamReader):
-    def __init__(self, epochs: int, steps: int, at_once: int):
-        self.steps, self.at_once, self.end = steps, at_once, epochs * steps
+    def __init__(self, steps: int, at_once: int, until: int):
+        self.steps, self.at_once, self.until = steps, at_once, until
 
     def initialOffset(self) -> dict:
         return {"given": 0}
 
     def read(self, start: dict):
-        end = {"given": min(start["given"] + self.at_once, self.end)}
+        end = {"given": max(start["given"], min(start["given"] + self.at_once, self.until))}
         return self.readBetweenOffsets(start, end), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
@@ -128,34 +128,25 @@ class Loader:
         the driver was lost or ``consume`` failed, is given again on the next run:
         ``consume`` should overwrite what it writes for a step (see ``step_writer``).
         ``stop_after``: so many micro-batches, then stop."""
-        done = [0]
 
         def each(batch: DataFrame, number: int) -> None:
-            if stop_after is not None and done[0] >= stop_after:
-                raise _Stopped()
             for epoch, step in sorted(tuple(r) for r in batch.collect()):  # at_once rows at most
                 consume(self.rows_of(epoch, step), epoch, step)
-            done[0] += 1
 
-        if self.steps == 0 or self.position() >= self.steps * self.epochs:
-            return self.position()
+        at, end = self.position(), self.steps * self.epochs
+        if at >= end:
+            return at
+        until = end if stop_after is None else min(end, at + stop_after * at_once)
         self.spark.dataSource.register(StepSource)
-        steps = self.spark.readStream.format("training_steps").options(epochs=self.epochs, steps=self.steps, at_once=at_once).load()
+        steps = self.spark.readStream.format("training_steps").options(steps=self.steps, at_once=at_once, until=until).load()
         query = steps.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.folder}/checkpoint").start()
         try:
             query.processAllAvailable()
-        except Exception as e:
-            if "_Stopped" not in str(e):
-                raise
         finally:
             query.stop()
         return self.position()
 
 
-class _Stopped(Exception):
-    """Ends a run before its next micro-batch."""
-
-
 def step_writer(path: str) -> Callable[[DataFrame, int, int], None]:
     """Writes each step to its own folder (epoch=, step=), over what a lost run left."""
 
