@@ -85,7 +85,7 @@ def leaderboard(df: DataFrame, model: str, dataset: str, datasets: list[str], sc
 
 def missing(models: DataFrame, datasets: DataFrame, results: DataFrame, model: str, dataset: str) -> DataFrame:
     """Pairs without a result; the two name lists are the axes of a report."""
-    every = models.select(model).distinct().join(F.broadcast(datasets.select(dataset).distinct()))
+    every = models.select(model).distinct().crossJoin(datasets.select(dataset).distinct())
     return every.join(results.select(model, dataset), [model, dataset], "left_anti")
 
 
@@ -95,6 +95,19 @@ def rescaled(df: DataFrame, by: str, score: str) -> DataFrame:
     return df.join(g, by).withColumn("rescaled", F.when(F.col("_hi") > F.col("_lo"), 100 * (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(100.0)).drop("_lo", "_hi")
 
 
+def shared_scale(df: DataFrame, by: str, score: str, log: bool = False) -> DataFrame:
+    """``scaled``: every group's scores as 0 to 100 of a range that is as wide for all,
+    the widest group's and a quarter more (of logarithms 0.5 % more), around the group's
+    middle; a range that would reach 100 ends there.  ``log`` needs positive scores."""
+    value = F.log(score) if log else F.col(score).cast("double")
+    g = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    widest = g.agg((F.max(F.col("_hi") - F.col("_lo")) * (1.005 if log else 1.25)).alias("_wide"))
+    rows = df.join(g, by).crossJoin(F.broadcast(widest))  # one row
+    top = (F.col("_lo") + F.col("_hi")) / 2 + F.col("_wide") / 2
+    start = F.when(top < 100, top - F.col("_wide")).otherwise(100 - F.col("_wide"))
+    return rows.withColumn("scaled", (value - start) / F.col("_wide") * 100).drop("_lo", "_hi", "_wide")
+
+
 def weighted_pages(df: DataFrame, page: list[str], attribute: str, distance: str, length: str) -> DataFrame:
     """Length-weighted mean distance of each page and attribute, then the mean
     over pages."""

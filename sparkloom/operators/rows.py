@@ -55,7 +55,7 @@ def with_shared(df: DataFrame, kind: str, shared: str) -> DataFrame:
     """Rows of the kind ``shared`` given to every other kind, with ``group``."""
     kinds = df.where(F.col(kind) != shared).select(F.col(kind).alias("group")).distinct()
     own = df.where(F.col(kind) != shared).withColumn("group", F.col(kind))
-    return own.unionByName(df.where(F.col(kind) == shared).join(F.broadcast(kinds)))
+    return own.unionByName(df.where(F.col(kind) == shared).crossJoin(kinds))
 
 
 def joined_maps(a: str, b: str) -> Column:
@@ -76,6 +76,18 @@ def circular_score(df: DataFrame, group: str, said: str, gold: str) -> DataFrame
     return df.groupBy(group).agg(F.every(F.coalesce(F.col(said) == F.col(gold), F.lit(False))).alias("hit"))
 
 
+def vanilla_score(df: DataFrame, said: Column, gold: str, by: list[str]) -> DataFrame:
+    """(by, n, acc): each question counts for itself; an answer without an option is wrong."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(said == F.col(gold), F.lit(False)).cast("double")).alias("acc"))
+
+
+def required_subset(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``df``; a row whose key ``known`` lacks fails the query and is named."""
+    marked = df.join(known.select(F.col(key).alias("_key"), F.lit(True).alias("_known")).distinct(), F.col(key) == F.col("_key"), "left")
+    stray = F.raise_error(F.concat(F.lit(f"{key} is not in the table: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return marked.withColumn(key, F.when(F.col("_known"), F.col(key)).otherwise(stray.cast(df.schema[key].dataType))).select(df.columns)
+
+
 def core_metrics(df: DataFrame, source: str, variable: str, metric: str) -> DataFrame:
     """``section`` of each metric name (mean@4, best@8/mean, ...): core for the
     variable acc, or reward where a source has no acc, at the source's largest
