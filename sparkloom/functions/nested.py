@@ -74,6 +74,15 @@ def sorted_json(texts):
     return texts.map(ordered, na_action="ignore")
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else; null is none.  Spark's own JSON
+    functions pass over what follows the first value and allow single quotes, so the text
+    must also be the first of two items of a list, and parse without those."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    strict = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+    return F.coalesce(F.json_object_keys(text).isNotNull() & alone & strict, F.lit(False))
+
+
 def normalised_columns(df: DataFrame, column: str, schema: str) -> DataFrame:
     """The fields of a JSON object column as columns in its place; a text that is no
     object of this schema gives nulls."""

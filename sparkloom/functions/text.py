@@ -8,9 +8,25 @@ from pyspark.sql import types as T
 
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Number words and contractions of answer normalisation.
+#: Number words, articles, marks and contractions of answer normalisation.
 DIGITS = {"none": "0", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
 ARTICLES = ["a", "an", "the"]
+MARKS = [";", "/", "[", "]", '"', "{", "}", "(", ")", "=", "+", "\\", "_", "-", ">", "<", "@", "`", ",", "?", "!"]
+CONTRACTIONS = {
+    "aint": "ain't", "arent": "aren't", "cant": "can't", "couldve": "could've", "couldnt": "couldn't", "couldn'tve": "couldn't've", "couldnt've": "couldn't've", "didnt": "didn't", "doesnt": "doesn't", "dont": "don't",
+    "hadnt": "hadn't", "hadnt've": "hadn't've", "hadn'tve": "hadn't've", "hasnt": "hasn't", "havent": "haven't", "hed": "he'd", "hed've": "he'd've", "he'dve": "he'd've", "hes": "he's", "howd": "how'd", "howll": "how'll",
+    "hows": "how's", "Id've": "I'd've", "I'dve": "I'd've", "Im": "I'm", "Ive": "I've", "isnt": "isn't", "itd": "it'd", "itd've": "it'd've", "it'dve": "it'd've", "itll": "it'll", "let's": "let's", "maam": "ma'am",
+    "mightnt": "mightn't", "mightnt've": "mightn't've", "mightn'tve": "mightn't've", "mightve": "might've", "mustnt": "mustn't", "mustve": "must've", "neednt": "needn't", "notve": "not've", "oclock": "o'clock",
+    "oughtnt": "oughtn't", "ow's'at": "'ow's'at", "'ows'at": "'ow's'at", "'ow'sat": "'ow's'at", "shant": "shan't", "shed've": "she'd've", "she'dve": "she'd've", "she's": "she's", "shouldve": "should've",
+    "shouldnt": "shouldn't", "shouldnt've": "shouldn't've", "shouldn'tve": "shouldn't've", "somebody'd": "somebodyd", "somebodyd've": "somebody'd've", "somebody'dve": "somebody'd've", "somebodyll": "somebody'll",
+    "somebodys": "somebody's", "someoned": "someone'd", "someoned've": "someone'd've", "someone'dve": "someone'd've", "someonell": "someone'll", "someones": "someone's", "somethingd": "something'd",
+    "somethingd've": "something'd've", "something'dve": "something'd've", "somethingll": "something'll", "thats": "that's", "thered": "there'd", "thered've": "there'd've", "there'dve": "there'd've", "therere": "there're",
+    "theres": "there's", "theyd": "they'd", "theyd've": "they'd've", "they'dve": "they'd've", "theyll": "they'll", "theyre": "they're", "theyve": "they've", "twas": "'twas", "wasnt": "wasn't", "wed've": "we'd've",
+    "we'dve": "we'd've", "weve": "we've", "werent": "weren't", "whatll": "what'll", "whatre": "what're", "whats": "what's", "whatve": "what've", "whens": "when's", "whered": "where'd", "wheres": "where's",
+    "whereve": "where've", "whod": "who'd", "whod've": "who'd've", "who'dve": "who'd've", "wholl": "who'll", "whos": "who's", "whove": "who've", "whyll": "why'll", "whyre": "why're", "whys": "why's", "wont": "won't",
+    "wouldve": "would've", "wouldnt": "wouldn't", "wouldnt've": "wouldn't've", "wouldn'tve": "wouldn't've", "yall": "y'all", "yall'll": "y'all'll", "y'allll": "y'all'll", "yall'd've": "y'all'd've",
+    "y'alld've": "y'all'd've", "y'all'dve": "y'all'd've", "youd": "you'd", "youd've": "you'd've", "you'dve": "you'd've", "youll": "you'll", "youre": "you're", "youve": "you've",
+}
 
 
 def _null_if_none(text: Column, pattern: str) -> Column:
@@ -76,11 +92,12 @@ def rule_match(text: Column, gold: Column) -> Column:
 
 
 def gsm8k(text: Column, strict: bool = True) -> Column:
-    """The number after ####, or the last number of a free text."""
+    """The number after ####, or the last number of a free text; a point alone is one only
+    where there is no other."""
     if strict:
         return F.regexp_replace(_null_if_none(text, r"#### (\-?[0-9\.\,]+)"), r"[,$]", "")
-    numbers = F.filter(F.regexp_extract_all(text, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1)), lambda x: ~x.isin("", "."))
-    return F.try_element_at(numbers, F.lit(-1))
+    every = F.regexp_extract_all(text, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1))
+    return F.coalesce(F.try_element_at(F.filter(every, lambda x: x != "."), F.lit(-1)), F.get(every, 0))
 
 
 def strict_format(text: Column) -> Column:
@@ -96,20 +113,38 @@ def mixed_reward(correct: Column, well_formed: Column, share: float = 0.1) -> Co
     return (1 - share) * correct.cast("double") + share * well_formed.cast("double")
 
 
+def without_marks(text: Column) -> Column:
+    """Marks gone, or a blank in their place: a mark goes if the text has it beside a
+    blank, or has a comma between digits, else it becomes a blank.  Then the first 32
+    points without a digit before or behind them go."""
+    between = text.rlike("[0-9],[0-9]")
+    out = text
+    for p in MARKS:
+        beside = F.contains(text, F.lit(p + " ")) | F.contains(text, F.lit(" " + p))
+        out = F.replace(out, F.lit(p), F.when(beside | between, "").otherwise(" "))
+    return F.array_join(F.split(out, r"(?<![0-9])\.(?![0-9])", 33), "")
+
+
 def vqa_words(text: Column) -> Column:
-    """Lower-case words with number words as digits and without articles."""
-    pairs = F.create_map(*[F.lit(x) for kv in DIGITS.items() for x in kv])
-    words = F.split(squeezed(F.translate(F.lower(text), ",.?!;:\"", "")), " ")
-    kept = F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(pairs, w), w)), lambda w: ~w.isin(ARTICLES))
-    return F.array_join(kept, " ")
+    """Lower-case words without marks, number words as digits, no articles, contractions
+    with their apostrophe."""
+    digits, short = (F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) for table in (DIGITS, CONTRACTIONS))
+    plain = without_marks(F.regexp_replace(F.regexp_replace(text, r"[\n\t]", " "), r"^\s+|\s+\z", ""))
+    words = F.filter(F.split(F.lower(plain), r"\s+"), lambda w: w != "")
+    kept = F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w)), lambda w: ~w.isin(ARTICLES))
+    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")
 
 
 def vqa_score(text: Column, golds: Column) -> Column:
     """Mean over the golds of min(1, matches among the others / 3)."""
-    said, n = vqa_words(text), F.size(golds)
-    hits = F.aggregate(golds, F.lit(0), lambda a, g: a + F.when(vqa_words(g) == said, 1).otherwise(0))
-    each = F.transform(golds, lambda g: F.least(F.lit(1.0), (hits - F.when(vqa_words(g) == said, 1).otherwise(0)) / 3.0))
-    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
+    # A gold of its own counts for 1 where it matches; every text is put in normal form once.
+    same = F.get(F.transform(F.array(vqa_words(text)), lambda said: F.transform(golds, lambda g: F.when(vqa_words(g) == said, 1).otherwise(0))), F.lit(0))
+
+    def mean(hits):
+        total = F.aggregate(hits, F.lit(0), lambda a, x: a + x)
+        return F.aggregate(F.transform(hits, lambda h: F.least(F.lit(1.0), (total - h) / 3.0)), F.lit(0.0), lambda a, x: a + x) / F.size(hits)
+
+    return F.get(F.transform(F.array(same), mean), F.lit(0))
 
 
 def anls_distance(a: Column, b: Column) -> Column:
@@ -198,8 +233,8 @@ def infer_by_text(text: Column, options: Column) -> Column:
 
 
 def yes_no(text: Column) -> Column:
-    """yes or no, if the words hold exactly one of them, else Unknown."""
-    words = F.split(squeezed(F.translate(F.lower(text), PUNCTUATION, " " * len(PUNCTUATION))), " ")
+    """yes or no, if the words, without marks, hold exactly one of them, else Unknown."""
+    words = F.split(without_marks(F.lower(text)), r"\s+")
     y, n = F.array_contains(words, "yes"), F.array_contains(words, "no")
     return F.when(y & ~n, "Yes").when(n & ~y, "No").otherwise("Unknown")
 

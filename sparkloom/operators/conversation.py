@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.nested import is_object
+
 OPEN, CLOSE = "<tool_response>", "</tool_response>"
 
 
@@ -69,7 +71,7 @@ def tool_calls(text: Column, known: list[str]) -> Column:
 
     def one(x):
         name, args = F.get_json_object(x, "$.name"), F.get_json_object(x, "$.arguments")
-        error = F.when(F.json_object_keys(x).isNull(), "not_an_object").when(name.isNull() | ~name.isin(known), "unsupported_tool").when(args.isNull() | F.json_object_keys(args).isNull(), "arguments_not_an_object")
+        error = F.when(~is_object(x), "not_an_object").when(name.isNull() | ~name.isin(known), "unsupported_tool").when(~is_object(args), "arguments_not_an_object")
         return F.struct(name.alias("name"), error.alias("error"))
 
     return F.transform(body, one)

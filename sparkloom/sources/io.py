@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nested import is_object
+
 _FORMATS = {"parquet": "parquet", "json": "json", "jsonl": "json", "csv": "csv", "tsv": "csv", "orc": "orc", "txt": "text"}
 
 
@@ -71,7 +73,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
         lines = lines.where("trim(value) <> ''")
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     # An object only: from_json gives a struct of nulls for anything else.
-    good = F.json_object_keys("value").isNotNull()
+    good = is_object(F.col("value"))
     return lines.select(F.when(good, parsed).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": bad JSON line: "), F.substring("value", 1, 200)))).alias("r")).select("r.*")
 
 
@@ -79,7 +81,7 @@ def read_records(spark: SparkSession, path: str, schema: str, column: str = "rec
     """One column of JSON objects of a parquet table, parsed; nulls and other
     than objects fail the query."""
     text = spark.read.parquet(path).select(column)
-    good = F.json_object_keys(column).isNotNull()
+    good = is_object(F.col(column))
     return text.select(F.when(good, F.from_json(column, schema)).otherwise(F.raise_error(F.lit(f"{column} is not an object"))).alias("r")).select("r.*")
 
 
@@ -103,7 +105,7 @@ def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     must fit a row."""
     pages = read_pages(spark, path)
     lines = pages.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.where("trim(text) <> ''").where(F.json_object_keys("text").isNull()).select("path", (F.col("line") + 1).alias("line"), "text")
+    return lines.where("trim(text) <> ''").where(~is_object(F.col("text"))).select("path", (F.col("line") + 1).alias("line"), "text")
 
 
 def output_name(path: str, suffix: str, kind: str = "jsonl") -> str:
