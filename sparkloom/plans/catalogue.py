@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_answers, catalogue_batch, catalogue_checks, catalogue_columns, catalogue_mixed, catalogue_more, catalogue_reports, catalogue_scores, catalogue_sources, catalogue_texts
+from . import catalogue_answers, catalogue_batch, catalogue_checks, catalogue_columns, catalogue_mixed, catalogue_more, catalogue_puzzles, catalogue_reports, catalogue_scores, catalogue_sources, catalogue_texts
 
-_PARTS = (catalogue_batch, catalogue_scores, catalogue_reports, catalogue_more, catalogue_answers, catalogue_checks, catalogue_texts, catalogue_sources, catalogue_columns, catalogue_mixed)
+_PARTS = (catalogue_batch, catalogue_scores, catalogue_reports, catalogue_more, catalogue_answers, catalogue_checks, catalogue_texts, catalogue_sources, catalogue_columns, catalogue_mixed, catalogue_puzzles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
