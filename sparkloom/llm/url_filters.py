@@ -75,26 +75,38 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], by: Column) -> D
 
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, path_key, segs, n, labelled, bad: a row for each distinct
-    host and segs) with ``template``."""
-    # Each level takes the paths that reach it; those that end before it are done.
-    done, longest = [], paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(1, longest + 1):
-        done.append(paths.where(F.size("segs") < level))
-        here = paths.where(F.size("segs") >= level).withColumn("prefix", F.array_join(F.slice("segs", 1, level - 1), "/")).withColumn("child", F.element_at("segs", level))
-        child = here.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        place = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), ((F.sum("bad") + 1.0) / (F.sum("labelled") + 2.0)).alias("share"))
-        judged = _salted(child, place, ["host", "prefix"], F.col("child"))
+    host and segs) with ``template``.
+
+    A round judges one level.  Paths that end, and those of a place below which all
+    are one path, are done: nothing can merge there.  So the rounds are as many as the
+    segments that two different paths share, however long one path is.
+    """
+    done, level, rest = [], 0, paths
+    whole = [F.xxhash64("segs"), F.xxhash64(F.lit(1), "segs")]
+    while not rest.isEmpty():
+        level += 1
+        done.append(rest.where(F.size("segs") < level))
+        here = rest.where(F.size("segs") >= level).withColumn("prefix", F.array_join(F.slice("segs", 1, level - 1), "/")).withColumn("child", F.element_at("segs", level))
+        ends = [f(h).alias(f"{f.__name__}{i}") for i, h in enumerate(whole) for f in (F.min, F.max)]
+        child = here.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), *ends)
+        one = (F.min("min0") == F.max("max0")) & (F.min("min1") == F.max("max1"))
+        place = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), ((F.sum("bad") + 1.0) / (F.sum("labelled") + 2.0)).alias("share"), one.alias("one"))
+        judged = _salted(child, place.where("not one"), ["host", "prefix"], F.col("child"))
         judged = judged.withColumn("close", F.expr(f"abs(bad - labelled * share) <= {ALIKE} * sqrt(labelled * share * (1 - share)) + 1e-9"))
         judged = judged.withColumn("variable", F.expr(f"children >= {CHILDREN} and all_n < {REPEATS} * children and n < {REPEATS} and close"))
         judged = judged.withColumn("alike", F.expr(f"close and labelled >= {EVIDENCE}"))
         judged = written(judged.select("host", "prefix", "child", "variable", "alike"), "judged")
         pairs = judged.groupBy("host", "prefix").agg(F.count_if("alike").alias("alikes"))
-        merged = _salted(judged, pairs, ["host", "prefix"], F.col("child")).where("variable or (alike and alikes >= 2)").select("host", "prefix", "child", F.lit(True).alias("wild"))
+        merged = _salted(judged, pairs, ["host", "prefix"], F.col("child")).select("host", "prefix", "child", F.expr("variable or (alike and alikes >= 2)").alias("wild"))
         wild = F.expr(f"transform(segs, (s, i) -> case when i = {level - 1} and wild then '*' else s end)")
-        paths = written(here.join(merged, ["host", "prefix", "child"], "left").withColumn("segs", F.when(F.col("wild"), wild).otherwise(F.col("segs"))).drop("prefix", "child", "wild"), "paths")
+        # Children of places that are done have no row in ``merged``.
+        both = written(here.join(merged, ["host", "prefix", "child"], "left").withColumn("segs", F.when(F.col("wild"), wild).otherwise(F.col("segs"))).drop("prefix", "child"), "paths")
+        done.append(both.where("wild is null").drop("wild"))
+        rest = both.where("wild is not null").drop("wild")
+    out = rest
     for ended in done:
-        paths = paths.unionByName(ended)
-    return paths.withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/")))
+        out = out.unionByName(ended)
+    return out.withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/")))
 
 
 def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame, purity: float = PURITY, prior: float = PRIOR) -> DataFrame:

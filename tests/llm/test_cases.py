@@ -39,6 +39,21 @@ def test_urls_repeats_ties_and_long_paths(spark):
     assert url_filters.judged_urls(pages, [], labels).count() == len(rows)
 
 
+def test_a_url_of_a_thousand_segments_adds_no_rounds(spark, monkeypatch):
+    rows = [(i, f"x://a.com/2024/05/{'casino' if i % 2 else 'news'}/{'xy'[i % 4 // 2]}") for i in range(60)]
+    trap = (900, "x://a.com/2024/trap/" + "/".join("ab"[i % 2] * (1 + i % 7) for i in range(1000)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, bad int")
+    rounds, real = [], url_filters.written
+    monkeypatch.setattr(url_filters, "written", lambda df, name, *a: rounds.append(name) or real(df, name, *a))
+    seen = []
+    for pages in (rows, [*rows, trap]):
+        rounds.clear()
+        out = {r.page_id: (r.template, r.verdict) for r in url_filters.judged_urls(spark.createDataFrame(pages, "page_id long, url string"), [], labels).collect()}
+        seen.append((len(rounds), {k: v for k, v in out.items() if k < 900}))
+    assert seen[0] == seen[1] and seen[0][0] <= 12
+    assert out[900][0].count("/") == 1002
+
+
 def test_short_items_are_found_word_for_word(spark):
     items = spark.createDataFrame([(1, "capital of France is"), (2, "Zanzibar"), (3, ""), (4, None), (5, "3 4")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "The capital of France is, they say, Paris."), (2, "the capital of Spain is Madrid"), (3, "in zanzibar, Zanzibar"), (None, "In Zanzibar"), (5, "5 6 or 3 4")], "doc_id long, text string")
