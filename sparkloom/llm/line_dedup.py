@@ -27,6 +27,8 @@ EDITS = 2
 CHARS_AN_EDIT = 10
 #: Code points that trimming leaves of a line.
 LEAST = 8
+#: Lines of a key that are paired in one block.
+BLOCK = 512
 #: Characters whose parities are compared: each edit changes two of them at most.
 PARITY = "etaoinshrdlucmfwypvbgk.,"
 #: What a blank line may hold.
@@ -172,11 +174,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     # Pairs of a key that are still apart.
     rows = mine.join(stars, F.col("lid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "lid"))
     rows = written(rows.join(texts.select("lid", "par"), "lid").select("key", "lid", "own", "comp", "par"), "rows")
-    ends = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "ends")
+    # A key of many lines is dealt out in blocks, so that no task pairs it whole.
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    ends = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks).where("lo <> hi").select("key", "blocks"), "ends")
     apart = written(rows.join(ends, "key"), "apart")
-    x = apart.where("own").select("key", F.col("lid").alias("a"), F.col("comp").alias("ca"), F.col("par").alias("qa"))
-    y = apart.select("key", F.col("lid").alias("b"), F.col("comp").alias("cb"), F.col("par").alias("qb"))
-    pairs = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = apart.where("own").select("key", F.col("lid").alias("a"), F.col("comp").alias("ca"), F.col("par").alias("qa"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    y = apart.select("key", F.col("lid").alias("b"), F.col("comp").alias("cb"), F.col("par").alias("qb"), F.expr("cast(pmod(xxhash64(lid), blocks) as int)").alias("block"))
+    pairs = x.join(y, ["key", "block"]).where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(_links(pairs, texts, edits), "links")
     classes = stars
     if not more.isEmpty():

@@ -378,7 +378,7 @@ def lev(a, b):
     return row[-1]
 
 
-def test_edit_join_against_all_pairs(spark):
+def test_edit_join_against_all_pairs(spark, monkeypatch):
     rng = np.random.RandomState(6)
     lines = []
     for _ in range(40):
@@ -409,6 +409,8 @@ def test_edit_join_against_all_pairs(spark):
             if near and find(a) != find(b):
                 up[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {(k // 8, k % 8): find(k) == k for k in range(len(lines))}
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)  # keys in many blocks
+    assert got == {(r.doc_id, r.pos): r.kept for r in line_dedup.marked_lines(docs(spark, rows)).collect()}
 
 
 def test_short_lines_one_edit_apart(spark):
