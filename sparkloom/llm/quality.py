@@ -118,16 +118,14 @@ def fit(slots: np.ndarray, before: np.ndarray, grades: np.ndarray, n_grades: int
     del seen, got
     names = np.flatnonzero(use)
     number = (np.cumsum(use) - 1).astype(np.int32)
-    doc, col = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    # Used features of each part: their numbers, and how many each document has.
+    pieces = []
     for a, b in parts:
         own = slots[before[a] : before[b]]
         ok = use[own]
-        doc.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(before[a : b + 1]))[ok])
-        col.append(number[own[ok]])
-    doc, col = np.concatenate(doc), np.concatenate(col)
-    # Features of each part of documents: temporaries are as long as one part's.
-    cuts = np.searchsorted(doc, [a for a, _ in parts] + [n])
-    pieces = [(a, b, doc[i:j], col[i:j]) for (a, b), i, j in zip(parts, cuts[:-1], cuts[1:], strict=True)]
+        upto = np.concatenate([[0], np.cumsum(ok)])
+        pieces.append((a, b, number[own[ok]], np.diff(upto[before[a : b + 1] - before[a]])))
+    del use, number
     counts = np.bincount(grades, minlength=n_grades) + 0.5
     tail = np.cumsum(counts[::-1])[::-1][1:] / counts.sum()
     t = -np.log(tail / (1 - tail))
@@ -138,7 +136,7 @@ def fit(slots: np.ndarray, before: np.ndarray, grades: np.ndarray, n_grades: int
     for step in range(1, rounds + 1):
         w, gaps = x[:k], np.exp(x[k + 1 :])
         t = x[k] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = np.concatenate([np.bincount(rows - a, weights=w[cols], minlength=b - a) for a, b, rows, cols in pieces])
+        s = np.concatenate([np.bincount(np.repeat(np.arange(b - a), width), weights=w[cols], minlength=b - a) for a, b, cols, width in pieces])
         p = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40)))
         over = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
         d = over * (1 - over)
@@ -152,8 +150,8 @@ def fit(slots: np.ndarray, before: np.ndarray, grades: np.ndarray, n_grades: int
         dt = dt[1:n_grades]
         back = np.cumsum(dt[::-1])[::-1]
         by_slot = np.zeros(k)
-        for _, _, rows, cols in pieces:
-            by_slot += np.bincount(cols, weights=ds[rows], minlength=k)
+        for a, b, cols, width in pieces:
+            by_slot += np.bincount(cols, weights=np.repeat(ds[a:b], width), minlength=k)
         g = np.concatenate([by_slot - penalty * w / 10, [back[0]], back[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x + rate * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
