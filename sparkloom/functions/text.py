@@ -207,6 +207,11 @@ def infer_order(text: Column) -> Column:
     return F.when((word != "") & different, word).when(F.size(named) == 4, F.array_join(named, "")).when(F.size(steps) == 4, F.array_join(steps, ""))
 
 
+def boxed_equal(text: Column, gold: Column) -> Column:
+    """1 where the last box holds the gold, letter for letter, else 0."""
+    return F.coalesce((last_boxed(text) == gold).cast("double"), F.lit(0.0))
+
+
 def think_box_format(text: Column) -> Column:
     """1 for a text of thoughts in tags and then a box, else 0."""
     return F.when(text.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"), 1.0).otherwise(0.0)

@@ -85,11 +85,13 @@ def reinforce_pp_baseline(df: DataFrame, uid: str = "uid", score: str = "score",
     often as it has tokens."""
     n = F.count(F.lit(1)).over(_over(uid))
     centred = df.withColumn("_c", F.col(score) - F.when(n == 1, 0.0).otherwise(F.avg(score).over(_over(uid))))
-    tokens = F.sum(length)
-    m = centred.agg((F.sum(F.col("_c") * F.col(length)) / (tokens + 1e-8)).alias("_mean"), tokens.alias("_tokens"))
-    both = centred.join(F.broadcast(m))  # one row
-    v = both.agg((F.sum((F.col("_c") - F.col("_mean")) ** 2 * F.col(length)) / (F.first("_tokens") + 1e-8) * F.first("_tokens") / (F.first("_tokens") - 1)).alias("_var"))
-    return both.join(F.broadcast(v)).withColumn("advantage", (F.col("_c") - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)).drop("_c", "_mean", "_tokens", "_var")
+    # Centred scores lie around 0, so their sums of squares lose nothing: one pass.
+    sums = centred.agg(F.sum(length).alias("_tokens"), F.sum(F.col("_c") * F.col(length)).alias("_s"), F.sum(F.col("_c") * F.col("_c") * F.col(length)).alias("_q"))
+    mean = F.col("_s") / (F.col("_tokens") + 1e-8)
+    spread = F.greatest(F.col("_q") - 2 * mean * F.col("_s") + mean * mean * F.col("_tokens"), F.lit(0.0))
+    stats = sums.select(mean.alias("_mean"), (spread / (F.col("_tokens") + 1e-8) * F.col("_tokens") / (F.col("_tokens") - 1)).alias("_var"))
+    both = centred.join(F.broadcast(stats))  # one row
+    return both.withColumn("advantage", (F.col("_c") - F.col("_mean")) / F.sqrt(F.col("_var") + 1e-8)).drop("_c", "_mean", "_var")
 
 
 def whiten(df: DataFrame, values: str, mask: str, out: str = "whitened") -> DataFrame:

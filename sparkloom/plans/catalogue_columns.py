@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, prompts
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import balance, batch, breakdowns, losses, reports
+from ..operators import balance, batch, breakdowns, datasets, losses, reports
 from ..operators import rows as rw
 from .common import query, r6
 
@@ -264,3 +264,49 @@ _DRAW = lambda what, n: f"CAST('0x' || substr(md5('count:' || c_custkey || ':' |
 def letter_counts(read):
     """Questions how many of a letter a word has, drawn by key."""
     return prompts.letter_counts(read("customer"), "c_custkey")
+
+
+# ---------------------------------------------------------- rows of datasets, rewards
+
+
+
+@query(QUERIES, f"""WITH k AS (SELECT item_id, text, kind FROM benchmark, (VALUES ('gsm8k'), ('math'), ('gsm8k_tool')) v(kind))
+ SELECT item_id, kind, CASE kind WHEN 'math' THEN 'DigitalLearningGmbH/MATH-lighteval' ELSE 'openai/gsm8k' END AS data_source, CASE kind WHEN 'math' THEN item_id::VARCHAR ELSE item_id || '000' END AS truth,
+   CASE kind WHEN 'gsm8k_tool' THEN 2 ELSE 1 END AS turns, text || CASE kind WHEN 'gsm8k' THEN ' Let''s think step by step and output the final answer after "####".' WHEN 'math' THEN ' Let''s think step by step and output the final answer within {chr(92)}boxed{{}}.' ELSE ' Let''s think step by step and output the final answer after `####`.' END AS asked,
+   CASE kind WHEN 'gsm8k_tool' THEN 'calc_gsm8k_reward=' || item_id || '000' WHEN 'math' THEN 'code_interpreter=' || item_id ELSE '' END AS tools FROM k""")
+def dataset_rows(read):
+    """Training rows of three datasets, one with a tool of its own and one with a code tool
+    added."""
+    b, out = read("benchmark"), None
+    for kind in ("gsm8k", "math", "gsm8k_tool"):
+        answer = F.concat(F.lit("so \\boxed{1} or \\boxed{"), "item_id", F.lit("}.")) if kind == "math" else F.concat(F.lit("we get #### "), "item_id", F.lit(",000 in all"))
+        rows = datasets.dataset_rows(b.select(F.col("item_id").alias("index"), F.col("text").alias("question"), answer.alias("answer")), kind, "train")
+        rows = datasets.with_code_tool(rows) if kind == "math" else rows
+        tools = F.lit("")
+        if kind != "gsm8k":
+            tools = F.array_join(F.transform(F.map_entries("extra_info.tools_kwargs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["create_kwargs"]["ground_truth"])), ",")
+        one = rows.select(F.col("extra_info.index").alias("item_id"), F.lit(kind).alias("kind"), "data_source", F.col("reward_model.ground_truth").alias("truth"), F.size("prompt").alias("turns"), F.element_at("prompt", -1)["content"].alias("asked"), tools.alias("tools"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(QUERIES, f"""WITH r AS (SELECT vec_id AS uid, 20 + vec_id % 40 AS n, vec_id % 3 = 0 AS hit FROM embeddings), s AS (SELECT *, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END AS acc, least(-(n - (60 - 20)) / 20.0::DOUBLE * 0.5::DOUBLE, 0) AS added FROM r),
+ t AS (SELECT uid, unnest(range(64)) AS i, n, acc, added FROM s)
+ SELECT uid, i::INTEGER AS i, {r6("acc")} AS acc, {r6("added")} AS added, {r6("CASE WHEN uid % 10 = 4 THEN 0.25::DOUBLE ELSE CASE WHEN i = n - 1 THEN acc + added ELSE 0 END + CASE WHEN i % 16 = 5 THEN 0.1::DOUBLE ELSE 0 END END")} AS reward FROM t""")
+def managed_rewards(read):
+    """Token rewards with a length penalty, the environment's own and stored ones."""
+    mask = F.transform("embedding", lambda x, i: F.when(i < 20 + F.col("vec_id") % 40, 1).otherwise(0))
+    env = F.transform("embedding", lambda x, i: F.when(i % 16 == 5, 0.1).otherwise(0.0))
+    stored = F.when(F.col("vec_id") % 10 == 4, F.transform("embedding", lambda x: F.lit(0.25)))
+    df = read("embeddings").select(F.col("vec_id").alias("uid"), mask.alias("mask"), env.alias("env"), stored.alias("stored"))
+    out = datasets.rewarded(df, F.col("uid") % 3 == 0, "mask", "dapo", stored="stored", env="env", most=60, buffer=20, factor=0.5)
+    return out.select("uid", "acc", "added", F.posexplode("rewards").alias("i", "reward"))
+
+
+@query(QUERIES, """WITH q AS (SELECT c_custkey AS id, c_custkey % 7 AS k FROM customer) SELECT id, CASE WHEN k % 2 = 0 AND k <> 6 THEN 1.0::DOUBLE ELSE 0 END AS score FROM q""")
+def letter_rewards(read):
+    """Answers that count letters: right where the last box is the truth as it stands."""
+    k = F.col("c_custkey") % 7
+    said = F.when(k == 6, F.lit("none")).otherwise(F.concat(F.lit("a = b.\n\\boxed{9} no \\boxed{"), k.cast("string"), F.lit("} in it")))
+    gold = F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit(".0")))
+    return read("customer").select(F.col("c_custkey").alias("id"), tx.boxed_equal(said, gold).alias("score"))

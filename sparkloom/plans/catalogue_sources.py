@@ -154,6 +154,19 @@ def summary_report(read):
     return df.sparkSession.createDataFrame([(io.summary_json(df),)], "summary string")
 
 
+@query(QUERIES, "SELECT c_custkey AS index, c_name AS question, c_custkey < 20 AS smoke FROM customer")
+def checked_table(read):
+    """A file known by its MD5 with a column of an old name, and its first rows apart."""
+    df = read("customer").select("c_custkey", "c_name")
+    spark, path = df.sparkSession, _folder(df, "checked")
+    io.write_with_smoke(df, f"{path}/all.json", f"{path}/smoke.json", 20, "c_custkey")
+    body = df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda r: F.concat(r["c_custkey"], F.lit("\t"), r["c_name"])), "\n").alias("b"))
+    files.write_files(body.select(F.lit("t.tsv").alias("path"), F.concat(F.lit("index\tquery\n"), "b", F.lit("\n")).cast("binary").alias("bytes")), path)
+    table = io.read_checked(spark, f"{path}/t.tsv", io.file_md5(spark, f"{path}/t.tsv"), {"query": "question"}, "index long, query string")
+    smoke = io.read_table(spark, f"{path}/smoke.json", "c_custkey long, c_name string").select(F.col("c_custkey").alias("k"), F.lit(True).alias("s"))
+    return table.join(smoke, F.col("index") == F.col("k"), "left").select("index", "question", F.coalesce("s", F.lit(False)).alias("smoke"))
+
+
 # ------------------------------------------------------------ caches and streams
 
 

@@ -41,6 +41,22 @@ def read_table(spark: SparkSession, path: str | list[str], schema: str | None =
     return df.select(*columns) if columns else df
 
 
+def file_md5(spark: SparkSession, path: str) -> str:
+    """MD5 of a file as Spark reads it; it must fit a row."""
+    found = spark.read.format("binaryFile").load(path).select(F.md5("content")).take(2)
+    if len(found) != 1:
+        raise ValueError(f"{path} is not one file")
+    return found[0][0]
+
+
+def read_checked(spark: SparkSession, path: str, md5: str | None = None, renamed: dict[str, str] | None = None, schema: str | None = None) -> DataFrame:
+    """A table whose file has the MD5 ``md5``; another file is an error.  Columns of old
+    names get their new ones."""
+    if md5 is not None and (found := file_md5(spark, path)) != md5:
+        raise ValueError(f"{path} has MD5 {found}, not {md5}")
+    return read_table(spark, path, schema).withColumnsRenamed(renamed or {})
+
+
 def read_shards(spark: SparkSession, path: str, n: int, pattern: str = "train-*.parquet") -> DataFrame:
     """The first ``n`` files of a folder that fit ``pattern``, by name."""
     jvm = spark._jvm
@@ -131,6 +147,13 @@ def write_table(df: DataFrame, path: str, kind: str | None = None, mode: str = "
     writer.save(path)
 
 
+def write_with_smoke(df: DataFrame, path: str, smoke: str, rows: int, order: str) -> None:
+    """JSON lines of a table, and of its first ``rows`` rows by ``order`` in a folder of
+    their own, which tests of what reads them take."""
+    for kept, at in ((df, path), (df.orderBy(order).limit(rows), smoke)):
+        kept.write.mode("overwrite").json(at)
+
+
 def write_steps(df: DataFrame, path: str, step: str = "step") -> None:
     """Rollouts as JSON lines, a folder for each step."""
     df.write.mode("append").partitionBy(step).json(path)

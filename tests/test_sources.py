@@ -76,3 +76,30 @@ def test_mapped_once_goes_on(spark, tmp_path):
     assert io.mapped_once(spark.range(5).toDF("k"), "k", cache, double).count() == 5
     out = io.mapped_once(spark.range(3, 9).toDF("k"), "k", cache, double)
     assert seen == [5, 4] and {tuple(r) for r in out.collect()} == {(k, 2 * k) for k in range(3, 9)}
+
+
+def test_files_are_known_by_their_md5(spark, tmp_path):
+    import hashlib
+
+    p = tmp_path / "t.tsv"
+    p.write_text("index\tquery\n1\tx\n")
+    md5 = hashlib.md5(p.read_bytes()).hexdigest()
+    assert io.read_checked(spark, str(p), md5, {"query": "question"}).columns == ["index", "question"]
+    with pytest.raises(ValueError, match=f"has MD5 {md5}, not 0"):
+        io.read_checked(spark, str(p), "0" * 32)
+
+
+def test_rows_of_datasets_need_a_truth(spark):
+    from sparkloom.operators import datasets
+
+    df = spark.createDataFrame([(1, "q", "no truth")], "index long, question string, answer string")
+    with pytest.raises(Exception, match="no number behind #### in: no truth"):
+        datasets.dataset_rows(df, "gsm8k", "train").collect()
+    with pytest.raises(Exception, match="no box in: no truth"):
+        datasets.dataset_rows(df, "math", "train").collect()
+    with pytest.raises(ValueError, match="no rows of"):
+        datasets.dataset_rows(df, "other", "train")
+    with pytest.raises(ValueError, match="no manager"):
+        datasets.rewarded(df, df.index, "mask", "other")
+    chat = spark.createDataFrame([(1, ["m"], ["t"])], "index long, messages array<string>, tools array<string>")
+    assert datasets.chat_rows(chat, "src", "train").first().enable_thinking is False
