@@ -61,6 +61,17 @@ def test_short_items_are_found_word_for_word(spark):
     assert got == {(1, 1, 1, True), (3, 2, 1, True), (None, 2, 1, True), (5, 5, 3, True)}
 
 
+def test_a_benchmark_too_large_to_send_is_joined_with_the_same_result(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    odd = spark.createDataFrame([(901, "capital of France is"), (902, "3 4"), (903, None), (904, "")], "item_id long, text string")
+    items = items.union(odd)
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, "the capital of France is Paris, 3 4"), (None, "3 4 5")], "doc_id long, text string"))
+    sent = sorted(map(str, decontamination.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "MAX_SENT", 0)
+    assert sorted(map(str, decontamination.leaks(docs, items).collect())) == sent and len(sent) > 3
+
+
 def swapped(text, kind, k):
     """The item with other numbers, names or units of the same kind."""
     names = {"Natalia": ["Weng", "Marta"][k], "Tom": ["Bob", "Igor"][k]}
