@@ -230,3 +230,45 @@ def mixed_amounts(read):
 
     df = _mixed(read, "scaled", _SCALED, 4).where(~F.contains("t", F.lit("("))).select("id", both("t").alias("a"))
     return df.select("id", F.col("a").isNotNull().alias("is_number"), F.col("a")[0].alias("amount"), F.col("a")[1].alias("bare"))
+
+
+# -------------------------------------------------------------------------- rewards
+
+_THOUGHTS = ["<think>", "</think>", "<answer>", "</answer>", "<answer>12</answer>", "<answer>x</answer>", "<code>", "</code>", "12", " so ", "\n", "</think><answer>12 km</answer>", "<tool_call>", "</tool_call>"]
+_JUDGED = ["## Equivalence Judgement", "TRUE", "false", " true ", "Judgement:", "1", "0", " ", "\n"]
+
+
+def _balanced(tag: str, t: str) -> str:
+    return f"(length({t}) - length(replace({t}, '<{tag}>', ''))) // {len(tag) + 2} = (length({t}) - length(replace({t}, '</{tag}>', ''))) // {len(tag) + 3}"
+
+
+_REWARDS = rf"""WITH {_mixed_sql("thoughts", _THOUGHTS)}, {_mixed_sql("judged", _JUDGED, 5, "j")},
+ h AS (SELECT s.id, CASE WHEN starts_with(s.t, '<think>') THEN s.t ELSE '<think>' || s.t END AS t, j.t AS verdict FROM s JOIN j USING (id)),
+ r AS (SELECT *, regexp_replace(list_last(string_split(t, '</think>')), '^\s+|\s+\z', '', 'g') AS rest FROM h),
+ a AS (SELECT *, regexp_replace(regexp_extract(rest, '(?s)<answer>(.*?)</answer>', 1), '^\s+|\s+\z', '', 'g') AS said, lower(list_last(string_split(verdict, '## Equivalence Judgement'))) AS e FROM r)"""
+
+
+@query(QUERIES, rf"""{_REWARDS}, f AS (SELECT id, CASE WHEN said <> '' AND replace(replace(said, ' ', ''), 'km', '') <> '' AND contains(e, 'true') AND NOT contains(e, 'false') THEN 1.0::DOUBLE ELSE 0 END AS acc,
+   CASE WHEN contains(t, '</think>') AND {_balanced("think", "t")} AND {_balanced("code", "t")} AND {_balanced("answer", "rest")} AND said <> '' THEN 1.0::DOUBLE ELSE 0 END AS format FROM a)
+ SELECT id, {r6("0.8 * acc + 0.2 * format")} AS score, acc, format FROM f""")
+def mixed_maths_rewards(read):
+    """Rewards of maths answers that a judge compares."""
+    df = _mixed(read, "thoughts", _THOUGHTS).join(_mixed(read, "judged", _JUDGED, 5).withColumnRenamed("t", "verdict"), "id")
+    return df.select("id", an.maths_reward(F.col("t"), F.lit("12"), F.col("verdict")).alias("r")).select("id", "r.*")
+
+
+@query(QUERIES, rf"""{_REWARDS}
+ SELECT id, CASE WHEN said = '' THEN 0.0::DOUBLE WHEN said = '12' OR starts_with(lower(said), '12') THEN 1 WHEN contains(verdict, 'Judgement:') THEN contains(list_last(string_split(verdict, 'Judgement:')), '1')::INTEGER ELSE (regexp_replace(verdict, '^\s+|\s+\z', '', 'g') = '1')::INTEGER END AS acc FROM a""")
+def mixed_accuracies(read):
+    """Answers that equal or start with the gold one, else as a judge says."""
+    df = _mixed(read, "thoughts", _THOUGHTS).join(_mixed(read, "judged", _JUDGED, 5).withColumnRenamed("t", "verdict"), "id")
+    return df.select("id", an.answer_accuracy(F.col("t"), F.lit("12"), F.col("verdict")).alias("acc"))
+
+
+@query(QUERIES, rf"""{_REWARDS}, f AS (SELECT id, CASE WHEN id % 3 = 0 AND length(said) < 300 THEN 1.0::DOUBLE ELSE 0 END AS acc, contains(t, '<tool_call>') AS searched,
+   CASE WHEN contains(t, '</think>') AND {_balanced("think", "t")} AND {_balanced("code", "t")} AND {_balanced("tool_call", "t")} AND {_balanced("answer", "rest")} AND said <> '' AND length(said) < 300 THEN 1.0::DOUBLE ELSE 0 END AS format FROM a)
+ SELECT id, {r6("CASE WHEN searched THEN 0.8::DOUBLE * 0.9::DOUBLE ELSE 0.8::DOUBLE END * acc + 0.2 * format")} AS score, acc, format FROM f""")
+def mixed_search_rewards(read):
+    """Rewards that searches make smaller."""
+    r = an.tagged_reward(F.col("t"), F.col("id") % 3 == 0, paired=("code", "tool_call"), costly="tool_call")
+    return _mixed(read, "thoughts", _THOUGHTS).select("id", r.alias("r")).select("id", "r.*")
