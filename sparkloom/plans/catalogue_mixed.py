@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
-from ..functions import nested, tables
+from ..functions import nested, tables, tasks
 from ..functions import text as tx
 from ..operators import conversation as cv
 from .common import query, r6
@@ -272,3 +272,18 @@ def mixed_search_rewards(read):
     """Rewards that searches make smaller."""
     r = an.tagged_reward(F.col("t"), F.col("id") % 3 == 0, paired=("code", "tool_call"), costly="tool_call")
     return _mixed(read, "thoughts", _THOUGHTS).select("id", r.alias("r")).select("id", "r.*")
+
+
+_TASKS = ["Answer: ", "answer:", "ANSWER : $", "A", "b", "C", "D$", " so ", "\\boxed{0.5}", "\\boxed{\\frac{1}{2}}", "\\boxed{2/4", "}", "\\boxed{3}", "\n"]
+
+
+@query(QUERIES, rf"""WITH {_mixed_sql("tasks", _TASKS, 6)}, a AS (SELECT id, t, length(t) - length(list_last(string_split(t, '\boxed{{'))) AS start FROM s WHERE contains(t, '\boxed{{')),
+ c AS (SELECT id, t, start, i, sum(CASE t[i] WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS depth FROM (SELECT id, t, start, unnest(range(start + 1, length(t) + 1)) AS i FROM a)),
+ e AS (SELECT id, any_value(t) AS t, any_value(start) AS start, min(i) FILTER (depth = -1) AS stop FROM c GROUP BY id),
+ b AS (SELECT s.id, s.t, coalesce(substr(s.t, CAST(e.start AS BIGINT) + 1, CAST(e.stop - e.start - 1 AS BIGINT)), s.t) AS said FROM s LEFT JOIN e USING (id))
+ SELECT id, CASE id % 2 WHEN 0 THEN 'gpqa' ELSE 'aime' END AS task, CAST(CASE id % 2 WHEN 0 THEN regexp_extract(t, '(?i)Answer[ \t]*:[ \t]*\$?([A-D])\$?', 1) = 'A' ELSE trim(replace(said, chr(10), ' ')) IN ('0.5', '\frac{{1}}{{2}}', '2/4') END AS DOUBLE) AS score FROM b""")
+def mixed_tasks(read):
+    """Letter and maths tasks by their source."""
+    even = F.col("id") % 2 == 0
+    score = tasks.task_score(F.when(even, "Idavidrein/gpqa").otherwise("Maxwell-Jia/AIME_2024"), F.col("t"), F.when(even, "A").otherwise("0.5"))
+    return _mixed(read, "tasks", _TASKS, 6).select("id", F.when(even, "gpqa").otherwise("aime").alias("task"), score.alias("score"))
