@@ -30,6 +30,10 @@ COVERED = 0.8
 #: (8 bytes each); a larger benchmark is joined by a shuffle instead.
 MAX_SENT = 2_000_000
 
+#: Consecutive windows with one hash, as within a run of numbers, are one row of up to so
+#: many.
+RUN = 64
+
 # Words that are units.
 UNITS = ("mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec secs min mins h hr hrs day days week weeks month months year years "
          "second seconds minute minutes hour hours meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters "
@@ -131,6 +135,21 @@ def windows(kind: np.ndarray, value: np.ndarray, first: np.ndarray, width: int)
     return np.concatenate(at), mixed(np.concatenate(out))
 
 
+def runs_of(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, how many, hash) of windows with one hash that start at consecutive
+    words, RUN of them at most."""
+    if not len(at):
+        return at, np.zeros(0, np.int64), h
+    order = np.lexsort((at, h))
+    at, h = at[order], h[order]
+    head = np.ones(len(at), bool)
+    head[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+    head |= (np.arange(len(at)) - first) % RUN == 0
+    heads = np.flatnonzero(head)
+    return at[heads], np.diff(np.append(heads, len(at))), h[heads]
+
+
 def whole_windows(value: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every window of ``width`` words as they are, without
     placeholders: what an item of so few words is looked for by."""
@@ -145,39 +164,43 @@ def whole_windows(value: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, item, item_words, at, win, kinds, values): every window of every
-    item in each reading.  item: a hash of the text; kinds, values: all words of
-    the item, in the rows of its first window only.  An item of fewer than
-    ``width`` words, but not none, has one window of all its words as they are."""
+    """(item_id, item, item_words, at, many, win, kinds, values): every window of every
+    item in each reading, ``many`` with one hash from ``at`` on.  item: a hash of the
+    text; kinds, values: all words of the item, in the rows of its first window only.  An
+    item of fewer than ``width`` words, but not none, has one window of all its words as
+    they are."""
 
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
             ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = {k: [] for k in ("item_id", "item", "item_words", "at", "win", "kinds", "values")}
+            out = {k: [] for k in ("item_id", "item", "item_words", "at", "many", "win", "kinds", "values")}
             for i, (key, item) in enumerate(zip(ids, keys, strict=True)):
                 part = raw[offsets[i] : offsets[i + 1]]
                 kind, value, first = template(part, np.asarray([0, len(part)]))
                 where, h = windows(kind, value, first, width) if len(kind) >= width else whole_windows(value, first, max(len(kind), 1))
-                for at, win in zip(where.tolist(), h.view(np.int64).tolist(), strict=True):
+                where, many, h = runs_of(where, h)
+                for at, count, win in zip(where.tolist(), many.tolist(), h.view(np.int64).tolist(), strict=True):
                     out["item_id"].append(key)
                     out["item"].append(item)
                     out["item_words"].append(len(kind))
                     out["at"].append(at)
+                    out["many"].append(count)
                     out["win"].append(win)
                     out["kinds"].append(None if at else kind.tobytes())
                     out["values"].append(None if at else value.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("win", pa.int64()), ("kinds", pa.binary()), ("values", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("item_id", pa.int64()), ("item", pa.int64()), ("item_words", pa.int32()), ("at", pa.int32()), ("many", pa.int32()), ("win", pa.int64()), ("kinds", pa.binary()), ("values", pa.binary())]))
 
-    schema = "item_id long, item long, item_words int, at int, win long, kinds binary, values binary"
+    schema = "item_id long, item long, item_words int, at int, many int, win long, kinds binary, values binary"
     text = F.col("text").cast("string")
     return items.select(F.col("item_id").cast("long"), F.xxhash64(text).alias("item"), text).mapInArrow(tidy(run), schema)
 
 
 def document_windows(docs: DataFrame, width: int, short: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(z, id, x1, x2, pos, win, start, kinds, values) of the windows of whole texts
-    whose hash is in ``wanted`` (None: of all): the row's keys; kinds, values: the
-    words from ``start`` on, ``width`` before the window to ``width`` after it.  Of
+    """(z, id, x1, x2, pos, win, count, start, kinds, values) of the windows of whole
+    texts whose hash is in ``wanted`` (None: of all), ``count`` with one hash from ``pos``
+    on: the row's keys; kinds, values: the words from ``start`` on, ``width`` before the
+    first window to ``width`` after the last one.  Of
     the widths ``short`` the windows of words as they are, each distinct one of a
     document where it comes first, with null kinds and values."""
 
@@ -186,9 +209,9 @@ def document_windows(docs: DataFrame, width: int, short: list[int], wanted: np.n
             return np.ones(len(h), bool)
         return wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
 
-    def rows_of(keys, doc, pos, h, start, kinds, values):
+    def rows_of(keys, doc, pos, h, count, start, kinds, values):
         own = keys.take(pa.array(doc)) if len(doc) else keys.slice(0, 0)
-        return pa.RecordBatch.from_arrays([*own.flatten(), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)), pa.array(start, pa.int64()), pa.array(kinds, pa.binary()), pa.array(values, pa.binary())], [*ROW_KEYS, "pos", "win", "start", "kinds", "values"])
+        return pa.RecordBatch.from_arrays([*own.flatten(), pa.array(pos, pa.int64()), pa.array(h.view(np.int64)), pa.array(count, pa.int32()), pa.array(start, pa.int64()), pa.array(kinds, pa.binary()), pa.array(values, pa.binary())], [*ROW_KEYS, "pos", "win", "count", "start", "kinds", "values"])
 
     def run(batches):
         for b in batches:
@@ -199,12 +222,13 @@ def document_windows(docs: DataFrame, width: int, short: list[int], wanted: np.n
                 kind, value, first = template(part, own)
                 at, h = windows(kind, value, first, width)
                 ok = known(h)
-                at, h = at[ok], h[ok]
+                # Windows of two documents don't follow each other.
+                at, count, h = runs_of(at[ok], h[ok])
                 doc = np.searchsorted(first, at, side="right") - 1
-                lo, hi = np.maximum(at - width, first[doc]), np.minimum(at + 2 * width, first[doc + 1])
+                lo, hi = np.maximum(at - width, first[doc]), np.minimum(at + count - 1 + 2 * width, first[doc + 1])
                 ranges = list(zip(lo.tolist(), hi.tolist(), strict=True))
                 kinds, values = [kind[p:q].tobytes() for p, q in ranges], [value[p:q].astype("<u8").tobytes() for p, q in ranges]
-                yield rows_of(keys, done + doc, at - first[doc], h, lo - first[doc], kinds, values)
+                yield rows_of(keys, done + doc, at - first[doc], h, count, lo - first[doc], kinds, values)
                 for w in short:
                     at, h = whole_windows(value, first, w)
                     ok = known(h)
@@ -212,10 +236,10 @@ def document_windows(docs: DataFrame, width: int, short: list[int], wanted: np.n
                     doc = np.searchsorted(first, at, side="right") - 1
                     _, once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1, return_index=True)
                     at, h, doc = at[once], h[once], doc[once]
-                    yield rows_of(keys, done + doc, at - first[doc], h, at - first[doc], [None] * len(at), [None] * len(at))
+                    yield rows_of(keys, done + doc, at - first[doc], h, np.ones(len(at), np.int64), at - first[doc], [None] * len(at), [None] * len(at))
                 done += e - s
 
-    schema = "z boolean, id long, x1 long, x2 long, pos long, win long, start long, kinds binary, values binary"
+    schema = "z boolean, id long, x1 long, x2 long, pos long, win long, count int, start long, kinds binary, values binary"
     return docs.select(*[k.alias(n) for k, n in zip(row_keys(docs), ROW_KEYS, strict=True)], F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
@@ -276,9 +300,9 @@ def _judged(ik: list[int], iv: list[int], dk: list[int], dv: list[int]) -> tuple
     return same + slots - forth + swapped, exact
 
 
-def _placed(rows: list[dict], kinds: bytes, values: bytes, covered: float):
+def _placed(rows: list[dict], kinds: bytes, values: bytes, block: int, covered: float):
     """(coverage, exact, pos) of each place where the hits ``rows`` of a document
-    line an item up."""
+    line an item up, on diagonals of the block and the next one."""
     ik, iv = np.frombuffer(kinds, np.uint8), np.frombuffer(values, "<u8")
     low = min(r["start"] for r in rows)
     span = max(r["start"] + len(r["kinds"]) for r in rows) - low
@@ -287,7 +311,10 @@ def _placed(rows: list[dict], kinds: bytes, values: bytes, covered: float):
         at = r["start"] - low
         dk[at : at + len(r["kinds"])] = np.frombuffer(r["kinds"], np.uint8)
         dv[at : at + len(r["kinds"])] = np.frombuffer(r["values"], "<u8")
-    diagonals = np.asarray(sorted({r["pos"] - r["at"] for r in rows}), np.int64)
+    near = range(block * len(ik), (block + 2) * len(ik))
+    diagonals = np.unique(np.concatenate([np.arange(max(near.start, r["pos"] - r["at"] - r["many"] + 1), min(near.stop, r["pos"] - r["at"] + r["count"])) for r in rows]))
+    if not len(diagonals):
+        return
     p = diagonals[:, None] + np.arange(len(ik)) - low
     inside = (p >= 0) & (p < span)
     p = np.clip(p, 0, span - 1)
@@ -321,22 +348,24 @@ def _found(docs: DataFrame, items: DataFrame, width: int, covered: float) -> Dat
     short = sorted(r[0] for r in known.where(F.col("item_words") < width).select("item_words").distinct().collect())  # fewer than width numbers
     found = document_windows(docs, width, short, wanted)
     found = written(found, "found") if wanted is not None else found
-    lined = found.join(known.select("item_id", "item", "item_words", "at", "win"), "win")
+    lined = found.join(known.select("item_id", "item", "item_words", "at", "many", "win"), "win")
     of = [*ROW_KEYS, "item_id"]
     whole_items = lined.where((F.col("item_words") < width) & F.col("kinds").isNull()).select(*of, F.lit(1.0).alias("coverage"), "pos", F.lit(True).alias("exact"))
     lined = lined.where((F.col("item_words") >= width) & F.col("kinds").isNotNull())
     # Chains of less drift than the item is long lie in two neighbouring blocks of diagonals.
-    block = F.floor((F.col("pos") - F.col("at")) / F.col("item_words"))
-    lined = lined.select(*of, "item", "item_words", F.explode(F.array(block, block - 1)).alias("block"), F.struct("pos", "at", "start", "kinds", "values").alias("row"))
+    low, high = F.col("pos") - F.col("at") - F.col("many") + 1, F.col("pos") - F.col("at") + F.col("count") - 1
+    blocks = F.sequence(F.floor(low / F.col("item_words")) - 1, F.floor(high / F.col("item_words")))
+    lined = lined.select(*of, "item", "item_words", F.explode(blocks).alias("block"), F.struct("pos", "at", "many", "count", "start", "kinds", "values").alias("row"))
     per = lined.groupBy(*of, "item", "item_words", "block").agg(F.collect_set("row").alias("rows"))
-    # A hit shows 3 * width words of the document at most.
-    per = per.where(F.size("rows") * F.lit(3 * width) >= F.lit(covered) * F.col("item_words"))
+    # A hit shows 3 * width words of the document at most, and one more for each further window.
+    shown = F.aggregate("rows", F.lit(0), lambda a, r: a + r["count"] + (3 * width - 1))
+    per = per.where(shown >= F.lit(covered) * F.col("item_words"))
     whole = known.where("kinds is not null").select("item", "kinds", "values").dropDuplicates(["item"])
-    per = per.join(whole, "item").select(*of, "rows", "kinds", "values")
+    per = per.join(whole, "item").select(*of, "rows", "kinds", "values", "block")
 
     def check(batches):
         for b in batches:
-            out = [(i, *place) for i, (rows, kinds, values) in enumerate(zip(*(b.column(k).to_pylist() for k in (5, 6, 7)), strict=True)) for place in _placed(rows, kinds, values, covered)]
+            out = [(i, *place) for i, (rows, kinds, values, block) in enumerate(zip(*(b.column(k).to_pylist() for k in (5, 6, 7, 8)), strict=True)) for place in _placed(rows, kinds, values, block, covered)]
             take, coverage, exact, pos = zip(*out, strict=True) if out else ((), (), (), ())
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(5)), pa.array(coverage, pa.float64()), pa.array(pos, pa.int64()), pa.array(exact, pa.bool_())], [*of, "coverage", "pos", "exact"])

@@ -72,6 +72,21 @@ def test_a_benchmark_too_large_to_send_is_joined_with_the_same_result(spark, sf,
     assert sorted(map(str, decontamination.leaks(docs, items).collect())) == sent and len(sent) > 3
 
 
+@pytest.mark.parametrize("run", [1, 3, 64])
+def test_runs_of_equal_windows_change_nothing(spark, monkeypatch, run):
+    """However many windows of a run of numbers are one row, the same leaks are found."""
+    import random
+
+    rng = random.Random(2)
+    numbers = lambda n: " ".join(str(rng.randint(1, 99)) for _ in range(n))
+    items = [(1, numbers(30)), (2, "Sum of " + " ".join(map(str, range(25))) + " is what?"), (3, " ".join(["7"] * 20)), (4, " ".join("w" + chr(97 + i) * 2 for i in range(20)))]
+    docs = [(i, numbers(n)) for i, n in enumerate((3, 5, 40, 90))] + [(10, "x y Sum of " + " ".join(str(i + 100) for i in range(25)) + " is what? more"), (11, " ".join(["8"] * 70)), (12, "a " + items[0][1] + " b"), (13, " ".join(["same"] * 50)), (14, items[3][1])]
+    monkeypatch.setattr(decontamination, "RUN", run)
+    got = {(r.doc_id, r.item_id, r.pos, r.exact) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(10, 2, 2, False), (12, 1, 1, True), (14, 4, 0, True)} <= got
+    assert {(d, i) for d, i, _, _ in got} == {(10, 2), (11, 3), (12, 1), (14, 4)}
+
+
 def swapped(text, kind, k):
     """The item with other numbers, names or units of the same kind."""
     names = {"Natalia": ["Weng", "Marta"][k], "Tom": ["Bob", "Igor"][k]}
