@@ -287,3 +287,33 @@ def mixed_tasks(read):
     even = F.col("id") % 2 == 0
     score = tasks.task_score(F.when(even, "Idavidrein/gpqa").otherwise("Maxwell-Jia/AIME_2024"), F.col("t"), F.when(even, "A").otherwise("0.5"))
     return _mixed(read, "tasks", _TASKS, 6).select("id", F.when(even, "gpqa").otherwise("aime").alias("task"), score.alias("score"))
+
+
+# ------------------------------------------------------------ objects and denotations
+
+_OBJECTS = ['{"a": 1}', "{", "}", '"b": {', "[1", "]", ", ", "x", "{}", '{"c": [1, {}]}', '"d": 2', " "]
+
+
+@query(QUERIES, rf"""WITH RECURSIVE {_mixed_sql("objects", _OBJECTS)}, o AS (SELECT id, t, unnest(list_filter(range(1, length(t) + 1), lambda i: t[i] = '{{')) AS a FROM s),
+ p AS (SELECT id, a, min(b) AS b FROM (SELECT id, t, a, unnest(list_filter(range(a + 1, length(t) + 1), lambda j: t[j] = '}}')) AS b FROM o) WHERE json_valid(substr(t, a, b - a + 1)) AND NOT regexp_matches(substr(t, a, b - a + 1), ',\s*[}}\]]') GROUP BY id, a),
+ k AS (SELECT id, min(a) AS a, 1 AS n FROM p GROUP BY id UNION ALL SELECT k.id, (SELECT min(q.a) FROM p q WHERE q.id = k.id AND q.a > (SELECT b FROM p r WHERE r.id = k.id AND r.a = k.a)) AS a, n + 1 FROM k WHERE k.a IS NOT NULL)
+ SELECT s.id, coalesce(max(k.n) FILTER (k.a IS NOT NULL), 0)::INTEGER AS objects FROM s LEFT JOIN k USING (id) GROUP BY s.id""")
+def mixed_objects(read):
+    """How many JSON objects stand in a text one after the other."""
+    return _mixed(read, "objects", _OBJECTS).select("id", F.size(nested.json_objects("t")).alias("objects"))
+
+
+_VALUES = ["1", "1.0", "2", "a", "A", "|", "|", "|", "b.", " ", "-3", "10", "."]
+
+
+def _denoted(source: str, name: str, text: str) -> str:
+    return rf"""{name}v AS (SELECT id, unnest(string_split({text}, '|')) AS v FROM {source}),
+ {name} AS (SELECT id, list_sort(list(DISTINCT CASE WHEN regexp_matches(trim(v), '^-?([0-9]+\.?[0-9]*|\.[0-9]+)$') THEN 'n' || CAST(trim(v) AS DOUBLE) ELSE 't' || lower(trim(regexp_replace(CASE WHEN ends_with(trim(v), '.') THEN trim(v)[:-2] ELSE trim(v) END, '\s+', ' ', 'g'))) END)) AS k FROM {name}v GROUP BY id)"""
+
+
+@query(QUERIES, rf"""WITH {_mixed_sql("values", _VALUES, 5)}, {_mixed_sql("said", _VALUES, 5, "z")}, {_denoted("s", "x", "t")}, {_denoted("z", "y", "replace(t, '||', '|')")}
+ SELECT x.id, x.k = y.k AS same FROM x JOIN y USING (id)""")
+def mixed_denotations(read):
+    """Lists of values that say the same, numbers by their value."""
+    df = _mixed(read, "values", _VALUES, 5).join(_mixed(read, "said", _VALUES, 5).withColumnRenamed("t", "said"), "id")
+    return df.select("id", tables.denotation_match("t", "said").alias("same"))
