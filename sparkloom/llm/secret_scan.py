@@ -29,6 +29,9 @@ BASE = {
 #: Characters of a window.
 WINDOW = 20
 
+#: Characters of a run whose windows are passed over at once.
+BLOCK = 1 << 15
+
 #: Character classes: runs of it, its characters (letters folded where the class
 #: takes both cases), least entropy in bits, and what a span must hold besides.
 CLASSES = {
@@ -105,8 +108,22 @@ def found(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
 
 
 def hot_spans(run: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
-    """Spans (start, end) of ``run``, characters of ``alphabet`` in any case that it
-    has, that windows of at least ``bits`` of entropy cover."""
+    """Spans (start, end) of ``run``, characters of ``alphabet``, that windows of at least
+    ``bits`` of entropy cover.  A long run goes in blocks whose windows follow each other;
+    spans that meet are one."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(run) - 1) / BLOCK).cast("int"))
+    moved = lambda i: F.transform(_block_spans(F.substr(run, i * BLOCK + 1, F.lit(BLOCK + window - 1)), alphabet, bits, window), lambda s: F.struct((s["start"] + i * BLOCK).alias("start"), (s["end"] + i * BLOCK).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def met(a, s):
+        last = F.get(a, F.size(a) - 1)
+        longer = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))
+        return F.when((F.size(a) > 0) & (last["end"] >= s["start"]), longer).otherwise(F.concat(a, F.array(s)))
+
+    return F.aggregate(F.flatten(F.transform(blocks, moved)), none, met)
+
+
+def _block_spans(run: Column, alphabet: str, bits: float, window: int) -> Column:
     g, k = F.array(*[F.lit(x) for x in weights(window)]), len(alphabet)
     codes = F.transform(F.split(run, "", -1), lambda c: F.instr(F.lit(alphabet), c))
     codes = F.filter(codes, lambda c: c > 0)

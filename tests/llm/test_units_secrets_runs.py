@@ -142,6 +142,17 @@ def test_many_matches_cross_chunks(spark):
     assert scan(spark, [(1, text)])[1].spans == shown(spans) and len(base) == 1301
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_long_runs_go_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(secret_scan, "BLOCK", block)
+    rng = random.Random(block)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, "".join("".join(rng.choices(letters if rng.random() < 0.6 else "ab1", k=rng.randint(5, 60))) for _ in range(4))) for i in range(40)]
+    got = scan(spark, rows)
+    assert [got[i].spans for i, _ in rows] == [shown(plain_spans(t)[1]) for _, t in rows]
+    assert any("," in r.spans for r in got.values())
+
+
 def test_scan_odd_rows(spark):
     got = secret_scan.scanned(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
