@@ -26,14 +26,27 @@ def parsed(text: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+# Blanks of a value as they should be, in this order: none between Chinese
+# characters, none between them and letters or digits, one behind marks, one between
+# digits and letters, one for many.
+SPACING = [
+    (r"(?<=[\u4e00-\u9fff])\s+(?=[\u4e00-\u9fff])", ""),
+    (r"(?<=[\u4e00-\u9fff])\s+(?=[a-zA-Z0-9])", ""),
+    (r"(?<=[a-zA-Z0-9])\s+(?=[\u4e00-\u9fff])", ""),
+    (r"(?<![0-9])\s*([,.!?:;])\s*", r"\1 "),
+    (r"(?<=[0-9])(?=[a-zA-Z])", " "),
+    (r"(?<=[a-zA-Z])(?=[0-9])", " "),
+    (r"\s+", " "),
+]
+_HALF = {0x3000: 0x20, **{c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}, ord("\u3001"): ","}
+
+
 def plain_value(text: str) -> str:
-    """Half-width signs and blanks as they should be: none beside Chinese characters,
-    one behind marks and between digits and letters."""
-    text = "".join(" " if c == "　" else chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in text).replace("、", ",")
-    text = re.sub(r"(?<=[一-鿿])\s+(?=[一-鿿a-zA-Z0-9])|(?<=[a-zA-Z0-9])\s+(?=[一-鿿])", "", text)
-    text = re.sub(r"(?<![0-9])\s*([,.!?:;])\s*", r"\1 ", text)
-    text = re.sub(r"(?<=[0-9])(?=[a-zA-Z])|(?<=[a-zA-Z])(?=[0-9])", " ", text)
-    return re.sub(r"\s+", " ", text)
+    """Half-width signs, and blanks as SPACING has them."""
+    text = text.translate(_HALF)
+    for pattern, to in SPACING:
+        text = re.sub(pattern, to, text)
+    return text
 
 
 def canonical(form, clean=None):

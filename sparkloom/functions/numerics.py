@@ -232,8 +232,12 @@ def _list_of(text: str):
 
 # ------------------------------------------------- numbers with units, one percent off
 
-#: Pi, the tolerance, and what goes.
+# Pi, the tolerance, what goes, marks of maths, what an answer is assigned
+# to, and a box.
 PI, WITHIN, DROPPED = Fraction("3.14"), Fraction(1, 100), ["$", "¥", "°C", " C", "°"]
+MATHS_MARKS = [r"\\\((.*?)\\\)", r"\\\[(.*?)\\\]"]
+ASSIGNED = r"(?:=|≈|\\approx)\s*(.+)"
+BOXED = r"\\boxed\{((?:[^\{\}]+|\{[^\{\}]*\})*)\}"
 
 
 def bare_text(text: str) -> str:
@@ -244,9 +248,9 @@ def bare_text(text: str) -> str:
 def read_number(text: str):
     """What an answer says as a number or a list of numbers, or None: the marks of inline
     and display maths go, then all up to the first equals sign, money and degrees."""
-    for pattern in (r"\\\((.*?)\\\)", r"\\\[(.*?)\\\]"):
+    for pattern in MATHS_MARKS:
         text = re.sub(pattern, r"\1", text)
-    m = re.search(r"(?:=|≈|\\approx)\s*(.+)", text)
+    m = re.search(ASSIGNED, text)
     text = m[1].strip() if m else text
     for x in DROPPED:
         text = text.replace(x, "")
@@ -265,7 +269,7 @@ def numeric_score(said: str | None, gold: str | None) -> float:
     r"""1.0 if two answers are numbers no more than one percent of the gold one apart, or
     lists of equally many such, each in order of size; else whether their bare texts are
     equal.  A boxed answer counts alone.  Null counts as empty."""
-    said, gold = (m[1] if (m := re.search(r"\\boxed\{((?:[^{}]+|\{[^{}]*\})*)\}", x or "")) else (x or "") for x in (said, gold))
+    said, gold = (m[1] if (m := re.search(BOXED, x or "")) else (x or "") for x in (said, gold))
     a, b = read_number(said), read_number(gold)
     if a is None or b is None:
         return float(bare_text(said) == bare_text(gold))
