@@ -10,6 +10,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,13 @@ SCALES = [(r" ?\bthousand\b", "e3"), (r" ?\bmillion\b", "e6"), (r" ?\bbillion\b"
 def plain_text(text: str | None) -> str:
     """Lower case without accents, citations, closing parentheses, outer quotes, a final
     dot and repeated blanks."""
-    text = "".join(c for c in unicodedata.normalize("NFKD", text or "") if unicodedata.category(c) != "Mn")
-    for pattern, to in ALIKE:
-        text = re.sub(pattern, to, text)
+    text = text or ""
+    if text.isascii():
+        text = text.replace("`", "'")
+    else:
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
+        for pattern, to in ALIKE:
+            text = re.sub(pattern, to, text)
     before = None
     while text != before:
         before = text
@@ -74,16 +79,23 @@ def denotation(text: str) -> tuple:
     return ("date", date, normal) if date else ("text", normal, normal)
 
 
-def same_denotations(gold: str | None, said: str | None) -> bool:
+@lru_cache(maxsize=4096)
+def _short_denotation(text: str) -> tuple:
+    return denotation(text)
+
+
+def same_denotations(gold: str | None, said: str | None, kinds: bool = False) -> bool:
     r"""Whether two lists, parted by bars (\p is a bar, \n a line end), hold equally many
-    different values and each gold one has its like.  Null counts as empty."""
+    different values and each gold one has its like.  Null counts as empty.  A number and
+    a text that have one plain form ("1.0" and "1.0.") are alike unless ``kinds`` is set:
+    then values of two kinds never are."""
 
     def values(text):
-        items = [re.sub(r"\\([np\\])", lambda m: {"n": "\n", "p": "|", "\\": "\\"}[m[1]], x) for x in (text or "").split("|")]
-        return list({v[:2]: v for v in map(denotation, items)}.values())
+        items = [re.sub(r"\\([np\\])", lambda m: {"n": "\n", "p": "|", "\\": "\\"}[m[1]], x) if "\\" in x else x for x in (text or "").split("|")]
+        return list({v[:2]: v for v in (_short_denotation(x) if len(x) <= 64 else denotation(x) for x in items)}.values())
 
     def alike(a, b):
-        if a[2] == b[2]:
+        if a[2] == b[2] and (a[0] == b[0] or not kinds):
             return True
         return a[0] == b[0] and (abs(a[1] - b[1]) < 1e-6 if a[0] == "number" else a[1] == b[1])
 
@@ -154,6 +166,12 @@ def denotation_match(gold, said):
     return gold.combine(said, same_denotations).astype(bool)
 
 
+@F.pandas_udf(T.BooleanType())
+def denotation_match_by_kind(gold, said):
+    """``same_denotations`` of two columns, numbers never like texts."""
+    return gold.combine(said, lambda g, s: same_denotations(g, s, kinds=True)).astype(bool)
+
+
 @F.pandas_udf(T.StructType([T.StructField("exact", T.BooleanType()), T.StructField("relieved", T.BooleanType())]))
 def amount_match(gold, said):
     """Whether amounts agree, and whether they do with or without their scales."""
