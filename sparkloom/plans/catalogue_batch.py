@@ -202,7 +202,9 @@ def dapo_group_filter(read):
 @query(QUERIES, f"""WITH {RESPONSES}, g AS (SELECT uid, avg(score) BETWEEN 0.04 AND 0.06 AND max(length) < 49 AS good FROM r GROUP BY uid),
  k AS (SELECT * FROM g ORDER BY good DESC, uid LIMIT (SELECT CAST(floor(count(*) / 2.0) AS BIGINT) FROM g)) SELECT uid, pos, score, good FROM r JOIN k USING (uid)""")
 def prime_filter_downsample(read):
-    return curate.accuracy_band(responses(read), "uid", "score", "length", 0.04, 0.06, 50, 2.0).select("uid", "pos", "score", "good")
+    """Scores are added in the order of the table, as the twin adds them in one thread."""
+    at = F.struct("_metadata.file_name", "_metadata.row_index").alias("at")
+    return curate.accuracy_band(responses(read, at), "uid", "score", "length", 0.04, 0.06, 50, 2.0, "at").select("uid", "pos", "score", "good")
 
 
 #: Sample rules over documents; ``curate.QUESTION_RULES`` are those of the question filter.

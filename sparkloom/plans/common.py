@@ -34,9 +34,9 @@ def query(into: dict, sql: str | None = None):
     return add
 
 
-def responses(read) -> DataFrame:
-    """Responses (uid, pos, score, length) of lineitem."""
-    return read("lineitem").select(F.col("l_orderkey").alias("uid"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("length"), F.col("l_suppkey").alias("tie"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"))
+def responses(read, *more) -> DataFrame:
+    """Responses (uid, pos, score, length) of lineitem, and ``more`` columns."""
+    return read("lineitem").select(*more, F.col("l_orderkey").alias("uid"), F.col("l_linenumber").cast("long").alias("pos"), F.col("l_discount").alias("score"), F.col("l_quantity").alias("length"), F.col("l_suppkey").alias("tie"), F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax"))
 
 
 RESPONSES = "r AS (SELECT l_orderkey AS uid, CAST(l_linenumber AS BIGINT) AS pos, l_discount AS score, l_quantity AS length, l_suppkey AS tie, l_extendedprice AS price, l_tax AS tax FROM lineitem)"

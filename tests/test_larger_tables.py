@@ -5,6 +5,7 @@ from oracle import same
 from pyspark.sql import functions as F
 
 from sparkloom.functions import tables
+from sparkloom.operators import curate
 from sparkloom.plans import catalogue
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracles()
@@ -28,3 +29,11 @@ def test_denotations_by_kind(spark, tmp_path):
 
 def test_images_that_overlap(spark, tmp_path):
     twin(spark, tmp_path, "mixed_images", events="select unnest([437592, 312045, 205504, 41372, 1, 2]) as event_id")
+
+
+def test_band_means_in_the_order_given(spark):
+    rows = [("a", 1, 0.1), ("a", 2, 0.2), ("a", 3, 0.3), ("b", 1, 0.3), ("b", 2, 0.2), ("b", 3, 0.1), ("c", 1, None), ("d", 1, 5.0)]
+    df = spark.createDataFrame(rows, "uid string, at int, score double").withColumn("length", F.lit(1)).repartition(3, "score")
+    out = curate.accuracy_band(df, "uid", "score", "length", 0.0, 0.2, 50, 1.0, "at")
+    # 0.1 + 0.2 + 0.3 is a little over 0.6, the other way round it is 0.6.
+    assert {r["uid"]: r["good"] for r in out.collect()} == {"a": False, "b": True, "c": None, "d": False}
