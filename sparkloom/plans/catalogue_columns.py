@@ -184,7 +184,7 @@ def cheapest_assignment(read):
 @query(QUERIES, "SELECT vec_id AS uid, array_to_string(list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 4)), ',') AS box FROM embeddings")
 def rounded_boxes(read):
     """Boxes with four digits."""
-    return read("embeddings").select(F.col("vec_id").alias("uid"), F.array_join(F.transform(prompts.rounded_floats(4)(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))), lambda x: F.regexp_replace(F.regexp_replace(x.cast("decimal(12,4)").cast("string"), r"(\.\d+?)0+$", "$1"), r"^-(0\.0)$", "-$1")), ",").alias("box"))
+    return read("embeddings").select(F.col("vec_id").alias("uid"), F.array_join(F.transform(prompts.rounded_floats(4)(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))), lambda x: F.when(x.cast("string") == "-0.0", "-0.0").otherwise(F.regexp_replace(x.cast("decimal(12,4)").cast("string"), r"(\.\d+?)0+$", "$1"))), ",").alias("box"))
 
 
 # ------------------------------------------------------------------------- texts

@@ -42,3 +42,7 @@ def test_band_means_in_the_order_given(spark):
 def test_nothing_is_near_zero(spark, tmp_path):
     assert spark.range(1).select(text.relaxed_accuracy(F.lit("0.0"), F.lit("0.0"))).first()[0]
     twin(spark, tmp_path, "relaxed_acc", events="select i as event_id, case when i < 8 then 0.0 else i * 1.7 end::double as value from range(1, 40) t(i)")
+
+
+def test_boxes_of_negative_zero(spark, tmp_path):
+    twin(spark, tmp_path, "rounded_boxes", embeddings="select 1::bigint as vec_id, [-7.96e-06, 0.0, -0.0445, 0.1994]::float[] as embedding")
