@@ -4,7 +4,7 @@ import duckdb
 from oracle import same
 from pyspark.sql import functions as F
 
-from sparkloom.functions import tables, text
+from sparkloom.functions import puzzles, tables, text
 from sparkloom.operators import curate
 from sparkloom.plans import catalogue
 
@@ -46,3 +46,18 @@ def test_nothing_is_near_zero(spark, tmp_path):
 
 def test_boxes_of_negative_zero(spark, tmp_path):
     twin(spark, tmp_path, "rounded_boxes", embeddings="select 1::bigint as vec_id, [-7.96e-06, 0.0, -0.0445, 0.1994]::float[] as embedding")
+
+
+def test_puzzle_rules_run_in_batches(spark, tmp_path):
+    twin(spark, tmp_path, "hitori_rules", events="select range as event_id from range(3000)")
+    for name in ("sudoku_rules", "binairo_rules", "hitori_rules", "kakurasu_rules", "skyscraper_rules", "futoshiki_rules"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "lambda" not in plan.split("ArrowEvalPython")[1], name
+
+
+def test_puzzles_of_odd_shapes(spark):
+    rows = [([[1, 2], [2, 1]], [1, 1]), ([[1, None], [2, 1]], [1, 1]), ([[1, 2]], [1, 1]), (None, None), ([[1, 2], None], None), ([], []), ([[1, 0], [0, 0]], [1, None]), ([[1, 0], [0, 0]], [1])]
+    df = spark.createDataFrame(rows, "g array<array<int>>, s array<int>")
+    shape = [["shape"]] * 5
+    assert [r[0] for r in df.select(puzzles.kakurasu(F.col("g"), F.col("s"), F.col("s"), 2)).collect()] == [["digits", "rows", "columns"], *shape, ["rows", "columns"], ["rows", "columns"]]
+    assert [r[0] for r in df.select(puzzles.binairo(F.col("g"), 2)).collect()][1:6] == shape
