@@ -13,7 +13,7 @@ from ..sources import annotations, files, io
 from ..sources.scratch import work_folder
 from ..streaming import windows
 from ..streaming.loader import Loader, step_writer
-from .common import query, r6
+from .common import query, r6, spread
 
 QUERIES: dict = {}
 
@@ -274,7 +274,7 @@ def annotation_lines(read):
  SELECT id, {r6("shared / (w * h + 20 - shared)")} AS box, {r6("shared / (w * h + 20 - shared)")} AS corners FROM i""")
 def box_overlaps(read):
     """Overlap of boxes as polygons, given as boxes and as corners in either direction."""
-    df = read("part").selectExpr("p_partkey AS id", "double(p_partkey % 10) AS x", "double(p_size % 10) AS y", "double(1 + p_partkey % 4) AS w", "double(1 + p_size % 3) AS h")
+    df = spread(read("part").select("p_partkey", "p_size")).selectExpr("p_partkey AS id", "double(p_partkey % 10) AS x", "double(p_size % 10) AS y", "double(1 + p_partkey % 4) AS w", "double(1 + p_size % 3) AS h")
     fixed = F.array(*[F.lit(v) for v in (3.0, 2.0, 8.0, 6.0)])
     box = F.expr("array(x, y, x + w, y + h)")
     turned = F.expr("array(x, y, x, y + h, x + w, y + h, x + w, y)")

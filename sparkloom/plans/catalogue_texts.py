@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import forms, grids, numerics
 from ..functions import similarity as sim
 from ..operators import captions
-from .common import query, r6
+from .common import query, r6, spread
 
 QUERIES: dict = {}
 
@@ -71,7 +71,7 @@ _MICRO = f"CAST(round(({_VALUE}) * (1 + off) * 1000000) AS BIGINT)"
 
 def _numbers(read, *exprs: str):
     columns = ["p_partkey AS id", "p_partkey % 8 AS kind", "CAST(floor(p_partkey / 8) AS BIGINT) AS t", "p_name AS name", "CAST(p_size AS BIGINT) AS a", "1 + p_partkey % 7 AS k", "CAST(p_partkey * 37 % 401 - 200 AS DOUBLE) / 10000 AS off", "char(92) AS bs"]
-    return read("part").selectExpr(*columns).selectExpr("*", *(e.replace("BS", "' || bs || '") for e in exprs))
+    return spread(read("part").select("p_partkey", "p_name", "p_size")).selectExpr(*columns).selectExpr("*", *(e.replace("BS", "' || bs || '") for e in exprs))
 
 
 _GOLD = f"CASE kind WHEN 5 THEN '[' || k || ', ' || (a + t % 2) || ']' WHEN 7 THEN upper(replace(name, ' ', '-')) || CASE WHEN t % 3 = 0 THEN 'x' ELSE '' END ELSE {_MICRO} || 'e-6' END"
@@ -106,6 +106,7 @@ def expression_equality(read):
 # where one amount differs.
 def _order_tables(read, off: str = "CAST(n AS STRING)"):
     lines = read("lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS line", "l_returnflag AS flag", "CAST(l_quantity AS BIGINT) AS n")
+    lines = spread(lines, "id")  # the window and the groups keep to these parts
     lines = lines.withColumn("high", F.count(F.lit(1)).over(W.partitionBy("id", "flag"))).withColumn("at", F.row_number().over(W.partitionBy("id", "flag").orderBy("line", "n")))
     lines = lines.withColumn("off", F.expr(off))
     html = F.expr("""concat('<tr style="x">', if(at = 1, concat('<th rowspan="', high, '"><b>', flag, '</b></th>'), ''), '<td>', line, ' &amp; more</td><td class="n"> ', n, '</td></tr>')""")
@@ -165,7 +166,7 @@ _PARTS = "p AS (SELECT p_partkey AS id, p_name AS name, p_type AS kind, p_brand
 def _forms(read):
     columns = ["p_partkey AS id", "p_name AS name", "p_type AS kind", "p_brand AS brand", "CAST(p_size AS STRING) AS size", "char(10) AS nl"]
     said = _SAID_FORM.replace("chr(10)", "nl")
-    return read("part").selectExpr(*columns).selectExpr("id", "id % 3 AS g", f"{said} AS said", f"{_GOLD_FORM} AS gold")
+    return spread(read("part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")).selectExpr(*columns).selectExpr("id", "id % 3 AS g", f"{said} AS said", f"{_GOLD_FORM} AS gold")
 
 
 @query(QUERIES, f"""WITH {_PARTS}, c AS (SELECT id, CASE WHEN id % 5 = 0 THEN levenshtein(name, replace(name, 'e', '')) ELSE 0 END + CASE WHEN id % 3 = 0 THEN 1 + length(size) ELSE 0 END AS edits,

@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows over all cores, before work that is long for each row: a table of few bytes
+    is read by one task or two, and a small shuffle is joined to as few."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Double columns with six digits and no negative zero; the nudge keeps values
     that end in an exact half from rounding by their last bit."""

@@ -11,7 +11,6 @@ import io
 import re
 import zipfile
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,47 +111,44 @@ def corners(points: Column) -> Column:
     return F.when(F.size(points) == 4, box).otherwise(points)
 
 
-def _clipped(shape: np.ndarray, by: np.ndarray) -> np.ndarray:
+def _clipped(shape: list, by: list) -> list:
     """What of a polygon lies within a convex one, edge by edge; both clockwise."""
-    for a, b in zip(by, np.roll(by, -1, axis=0), strict=True):
-        if len(shape) == 0:
+    for (ax, ay), (bx, by_) in zip(by, by[1:] + by[:1], strict=True):
+        if not shape:
             break
-        side = (b[0] - a[0]) * (shape[:, 1] - a[1]) - (b[1] - a[1]) * (shape[:, 0] - a[0])
+        side = [(bx - ax) * (y - ay) - (by_ - ay) * (x - ax) for x, y in shape]
         out = []
-        for p, q, s, t in zip(shape, np.roll(shape, -1, axis=0), side, np.roll(side, -1), strict=True):
+        for (px, py), (qx, qy), s, t in zip(shape, shape[1:] + shape[:1], side, side[1:] + side[:1], strict=True):
             if s >= 0:
-                out.append(p)
+                out.append((px, py))
             if (s > 0 > t) or (s < 0 < t):
-                out.append(p + (q - p) * (s / (s - t)))
-        shape = np.array(out).reshape(-1, 2)
+                k = s / (s - t)
+                out.append((px + (qx - px) * k, py + (qy - py) * k))
+        shape = out
     return shape
 
 
-def _area(shape: np.ndarray) -> float:
-    if len(shape) < 3:
-        return 0.0
-    x, y = shape[:, 0], shape[:, 1]
-    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
+def _turn(shape: list) -> float:
+    """Twice the area, below 0 if the corners go the other way."""
+    return sum(x * v - y * u for (x, y), (u, v) in zip(shape, shape[1:] + shape[:1], strict=True))
 
 
 def polygon_iou(a, b) -> float:
     """Common area over joint area of two convex polygons of corners x1, y1, ...; 0 where
-    one is null or has no area."""
+    one is null or has no area.  Polygons are small: plain numbers, no arrays."""
     if a is None or b is None:
         return 0.0
-    x, y = (np.asarray(p, float).reshape(-1, 2) for p in (a, b))
-    if ((x[:, 0] * np.roll(x[:, 1], -1) - x[:, 1] * np.roll(x[:, 0], -1)).sum()) < 0:
-        x = x[::-1]
-    if ((y[:, 0] * np.roll(y[:, 1], -1) - y[:, 1] * np.roll(y[:, 0], -1)).sum()) < 0:
-        y = y[::-1]
-    own, other = _area(x), _area(y)
-    if own == 0 or other == 0:
+    x, y = ([(float(u), float(v)) for u, v in zip(p[::2], p[1::2], strict=True)] for p in (a, b))
+    own, other = _turn(x), _turn(y)
+    if len(x) < 3 or len(y) < 3 or own == 0 or other == 0:
         return 0.0
-    both = _area(_clipped(x, y))
-    return both / (own + other - both)
+    x, y = x if own > 0 else x[::-1], y if other > 0 else y[::-1]
+    shared = _clipped(x, y)
+    both = abs(_turn(shared)) if len(shared) > 2 else 0.0
+    return both / (abs(own) + abs(other) - both)
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap(a, b):
     """``polygon_iou`` of two columns."""
-    return a.combine(b, polygon_iou).astype(float)
+    return a.combine(b, lambda p, q: polygon_iou(None if p is None else p.tolist(), None if q is None else q.tolist())).astype(float)

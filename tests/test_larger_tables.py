@@ -1,10 +1,12 @@
 """What differed from the twins, or took too long, on larger tables."""
 
+import random
+
 import duckdb
 from oracle import same
 from pyspark.sql import functions as F
 
-from sparkloom.functions import puzzles, tables, text
+from sparkloom.functions import puzzles, similarity, tables, text
 from sparkloom.operators import curate
 from sparkloom.plans import catalogue
 
@@ -61,3 +63,25 @@ def test_puzzles_of_odd_shapes(spark):
     shape = [["shape"]] * 5
     assert [r[0] for r in df.select(puzzles.kakurasu(F.col("g"), F.col("s"), F.col("s"), 2)).collect()] == [["digits", "rows", "columns"], *shape, ["rows", "columns"], ["rows", "columns"]]
     assert [r[0] for r in df.select(puzzles.binairo(F.col("g"), 2)).collect()][1:6] == shape
+
+
+def test_long_rows_are_spread(spark, sf):
+    for name in ("teds", "table_forms", "table_grids", "form_trees", "form_fields_report", "box_overlaps", "expression_equality"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_trimmed_trees_keep_their_distance():
+    rng = random.Random(5)
+
+    def tree(depth=0):
+        if depth == 3 or rng.random() < 0.2:
+            return ["td", (rng.choice("12"), "1"), [], list(rng.choice(["", "a", "ab", "b"]))]
+        return [rng.choice(["tr", "tbody"]), ("1", "1"), [tree(depth + 1) for _ in range(rng.randint(0, 3))], []]
+
+    for _ in range(400):
+        x, y = (["table", ("1", "1"), [tree(1) for _ in range(rng.randint(0, 3))], []] for _ in range(2))
+        if rng.random() < 0.7:  # much in common
+            y[2] = x[2][: rng.randint(0, 3)] + y[2][:1] + x[2][rng.randint(0, 3) :]
+        whole = similarity._forest_distance(similarity._plain(x, False), similarity._plain(y, False))
+        assert abs(similarity.tree_distance(x, y) - whole) < 1e-9
+    assert similarity.edit_distance("kitten", "sitting") == 3 and similarity.edit_distance("", "ab") == 2 and similarity.edit_distance("a" * 70, "a" * 69 + "b") == 1
