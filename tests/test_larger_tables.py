@@ -6,7 +6,7 @@ import duckdb
 from oracle import same
 from pyspark.sql import functions as F
 
-from sparkloom.functions import puzzles, similarity, tables, text
+from sparkloom.functions import grids, puzzles, similarity, tables, text
 from sparkloom.operators import curate
 from sparkloom.plans import catalogue
 
@@ -85,3 +85,22 @@ def test_trimmed_trees_keep_their_distance():
         whole = similarity._forest_distance(similarity._plain(x, False), similarity._plain(y, False))
         assert abs(similarity.tree_distance(x, y) - whole) < 1e-9
     assert similarity.edit_distance("kitten", "sitting") == 3 and similarity.edit_distance("", "ab") == 2 and similarity.edit_distance("a" * 70, "a" * 69 + "b") == 1
+
+
+def test_markup_read_both_ways():
+    rng = random.Random(6)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", '<td colspan="2" rowspan="3">', "<th >", "</th>", "a b", "&amp;", "&lt;", "amp;lt;", "<br>", "<b>", "</b>", "\n", ">", '"']
+    odd = ["<", "&", "&nbsp;", "<TD>", "<math>", "<!-- x -->", "<td colspan=2>", "<br/>", "<script>"]
+    for k in range(600):
+        text = "".join(rng.choice(pieces if k % 2 or rng.random() < 0.9 else odd) for _ in range(rng.randint(0, 14)))
+        found = []
+        for short in (True, False):
+            tree, cells = similarity._Tree(), grids._Cells()
+            for p in (tree, cells):
+                if short:
+                    similarity.feed_markup(p, text)
+                else:
+                    p.feed(text)
+                    p.close()
+            found.append((tree.root, cells.rows))
+        assert found[0] == found[1], text
