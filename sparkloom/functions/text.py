@@ -113,16 +113,24 @@ def mixed_reward(correct: Column, well_formed: Column, share: float = 0.1) -> Co
     return (1 - share) * correct.cast("double") + share * well_formed.cast("double")
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_marks(text: Column) -> Column:
     """Marks gone, or a blank in their place: a mark goes if the text has it beside a
     blank, or has a comma between digits, else it becomes a blank.  Then the first 32
     points without a digit before or behind them go."""
-    between = text.rlike("[0-9],[0-9]")
-    out = text
-    for p in MARKS:
-        beside = F.contains(text, F.lit(p + " ")) | F.contains(text, F.lit(" " + p))
-        out = F.replace(out, F.lit(p), F.when(beside | between, "").otherwise(" "))
-    return F.array_join(F.split(out, r"(?<![0-9])\.(?![0-9])", 33), "")
+    def bare(t, between):
+        out = t
+        for p in MARKS:
+            beside = F.contains(t, F.lit(p + " ")) | F.contains(t, F.lit(" " + p))
+            out = F.replace(out, F.lit(p), F.when(beside | between, "").otherwise(" "))
+        return F.array_join(F.split(out, r"(?<![0-9])\.(?![0-9])", 33), "")
+
+    # The text stands in every mark's rule: it and the comma's rule are computed once.
+    return _once(text, lambda t: _once(t.rlike("[0-9],[0-9]"), lambda between: bare(t, between)))
 
 
 def vqa_words(text: Column) -> Column:

@@ -104,3 +104,9 @@ def test_markup_read_both_ways():
                     p.close()
             found.append((tree.root, cells.rows))
         assert found[0] == found[1], text
+
+
+def test_marks_look_at_a_text_once(spark):
+    assert str(text.without_marks(F.upper("t"))).lower().count("upper") == 1
+    got = spark.createDataFrame([("a, b?c 1,2.x.",), ("x-y; z.",), (None,)], "t string").select(text.without_marks(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["a bc 12.x", "x y z", None]
