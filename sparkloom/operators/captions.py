@@ -1,14 +1,20 @@
 """Scores of captions against several references each, over a whole set.
 
 CIDEr weighs n-grams by the captions whose references hold them, so it takes two
-passes: document frequencies over the set, then weighted cosines.  Both are
-groupings of (caption, n-gram) rows; nothing but the number of captions is one
-value.  ROUGE-L needs one caption at a time.
+passes: document frequencies over the set, then weighted cosines.  Captions lie in
+blocks.  A block sends each of its n-grams once, as a hash, with its number of
+captions that hold it; ranges of hashes are summed and sent back in the order in
+which they came.  Nothing but the number of captions is one value.  ROUGE-L needs
+one caption at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,23 +22,147 @@ from pyspark.sql import types as T
 #: weight of recall in ROUGE-L.
 GRAMS, SIGMA, SCALE, BETA = 4, 6.0, 10.0, 1.2
 
-#: An n-gram that one of so many captions holds, or more, is frequent.  There are at
-#: most this many times the mean number of n-grams of a caption of them.
+#: A block has so many captions at least, where there are as many: an n-gram that one
+#: of so many holds is frequent, and a block sends it once.
 FREQUENT = 100
-
-
-def words_of(text: Column) -> Column:
-    """Words between blanks; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-
-
-def grams_of(words: Column) -> Column:
-    """All n-grams of 1 to GRAMS words as (n, gram), words joined by a blank."""
-    def of(n):
-        return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
-
-    none = F.array().cast("array<struct<n:int,gram:string>>")
-    return F.concat(*[F.when(F.size(words) >= n, of(n)).otherwise(none) for n in range(1, GRAMS + 1)])
+#: Captions of a block at most; some 100 KB of memory each while it is counted.
+BLOCK = 8192
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes, then all second ones, and so on: the high
+    bytes of small numbers are zeros in a row, which a shuffle's compression takes away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``packed`` had."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all words of ``texts`` in order: words between blanks, null has
+    none; 64 bits of hash."""
+    lists = pc.split_pattern_regex(texts.fill_null(""), pattern=r"[ \t\n\x0b\f\r]+")
+    at, words = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    there = pc.not_equal(words, "")
+    coded = words.filter(there).dictionary_encode()
+    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return at.filter(there).to_numpy(zero_copy_only=False).astype(np.int64), hashes[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def hashed_grams(at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n, hash) of all n-grams of 1 to GRAMS words of the texts ``at``."""
+    out, g = [], np.zeros(len(words), np.uint64)
+    for n in range(1, GRAMS + 1):
+        m = max(0, len(words) - n + 1)
+        g = g[:m] * np.uint64(0x9E3779B97F4A7C15) + words[n - 1 : n - 1 + m]
+        g = (g ^ (g >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        g = g ^ (g >> np.uint64(31))
+        within = at[:m] == at[n - 1 : n - 1 + m]
+        out.append((at[:m][within], np.full(within.sum(), n, np.int8), g[within]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Counted:
+    """N-grams of a block of captions: ``grams``, their sorted hashes, ``n``, their
+    numbers of words, and (text, place in grams, count) of each text's.  Candidates are
+    the first texts, then come all references; ``owner`` is a text's caption."""
+
+    def __init__(self, captions: pa.Table):
+        refs = captions["_refs"].combine_chunks()
+        said = captions["_said"].combine_chunks()
+        self.captions = len(said)
+        self.owner = np.concatenate([np.arange(len(said)), pc.list_parent_indices(refs).to_numpy(zero_copy_only=False)]).astype(np.int64)
+        at, n, grams = hashed_grams(*hashed_words(pa.concat_arrays([said, pc.list_flatten(refs)])))
+        self.grams, place = np.unique(grams, return_inverse=True)
+        self.n = np.zeros(len(self.grams), np.int8)
+        self.n[place] = n
+        self.size = max(1, len(self.grams))
+        self.pairs, self.count = np.unique(at * self.size + place, return_counts=True)
+        self.text, self.place = np.divmod(self.pairs, self.size)
+
+    def held(self) -> np.ndarray:
+        """The number of captions whose references hold each n-gram."""
+        ref = self.text >= self.captions
+        both = np.unique(self.owner[self.text[ref]] * self.size + self.place[ref])
+        return np.bincount(both % self.size, minlength=len(self.grams))
+
+    def buckets(self, number: int) -> np.ndarray:
+        """Where each of ``number`` ranges of hashes begins and the last one ends."""
+        bucket = ((self.grams >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)
+        return np.searchsorted(bucket, np.arange(number + 1, dtype=np.uint64))
+
+    def scores(self, held: np.ndarray, total: int) -> np.ndarray:
+        """CIDEr of each caption; ``held`` over the set, of ``total`` captions."""
+        square = (np.log(total) - np.log(np.maximum(held, 1))) ** 2
+        mean = lambda x, cells: np.bincount(cells, x, GRAMS * len(self.owner)).reshape(-1, GRAMS)
+        cell, c = self.text * GRAMS + self.n[self.place] - 1, self.count.astype(np.float64)
+        norm, number = mean(c * c * square[self.place], cell), mean(c, cell)
+        ref = self.text >= self.captions
+        # Candidates' pairs are the first ones.
+        mine, own = self.pairs[~ref], self.owner[self.text[ref]] * self.size + self.place[ref]
+        found = np.minimum(np.searchsorted(mine, own), max(0, len(mine) - 1))
+        same = mine[found] == own if len(mine) else np.zeros(len(own), bool)
+        mine, c, place = c[~ref][found[same]], c[ref][same], self.place[ref][same]
+        dot = mean(np.minimum(mine, c) * c * square[place], cell[ref][same])
+        of = self.owner[self.captions :]
+        size = np.sqrt(norm[of]) * np.sqrt(norm[self.captions :])
+        cosines = np.divide(dot[self.captions :], size, out=np.zeros_like(size), where=size > 0).sum(axis=1)
+        delta = number[of, 1] - number[self.captions :, 1]
+        score = np.bincount(of, cosines / GRAMS * np.exp(-(delta**2) / (2 * SIGMA**2)), self.captions)
+        return SCALE * score / np.maximum(1, np.bincount(of, minlength=self.captions))
+
+
+def _sent(captions: pa.Table) -> pa.Table:
+    """(_block, _bucket, _grams, _held) of a block: differences of sorted hashes, and
+    the number of the block's captions that hold each."""
+    counted = Counted(captions)
+    held, cuts = counted.held(), counted.buckets(captions["_blocks"][0].as_py())
+    full = [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+    grams = [packed(np.diff(counted.grams[x:y], prepend=np.uint64(0))) for _, x, y in full]
+    block = pa.array([captions["_block"][0].as_py()] * len(full), pa.int64())
+    return pa.table({"_block": block, "_bucket": pa.array([b for b, _, _ in full], pa.int64()), "_grams": pa.array(grams, pa.binary()), "_held": pa.array([packed(held[x:y]) for _, x, y in full], pa.binary())})
+
+
+def _summed(sent: pa.Table) -> pa.Table:
+    """(_block, _bucket, _held) of a range of hashes: as ``_sent``, over all blocks."""
+    grams = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in sent["_grams"]]
+    _, place = np.unique(np.concatenate(grams), return_inverse=True)
+    held = np.bincount(place, np.concatenate([unpacked(x.as_py(), np.int64) for x in sent["_held"]])).astype(np.int64)[place]
+    parts = np.split(held, np.cumsum([len(g) for g in grams])[:-1])
+    return pa.table({"_block": sent["_block"], "_bucket": sent["_bucket"], "_held": pa.array([packed(x) for x in parts], pa.binary())})
+
+
+def in_blocks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the number of its keys, the number of blocks and the key's block, as
+    ``cider`` deals it: rows of captions still to be put together may be repartitioned
+    by ``_block``, so that they need no second shuffle."""
+    # As many blocks as cores keep busy, of BLOCK captions at most.
+    share = f"greatest({max(1, FREQUENT)}, least({BLOCK}, _total div {2 * df.sparkSession.sparkContext.defaultParallelism}))"
+    total = df.agg(F.count_distinct(F.struct(key)).alias("_total")).withColumn("_blocks", F.expr(f"cast(ceil(_total / {share}) as bigint)"))
+    return df.crossJoin(F.broadcast(total)).withColumn("_block", F.pmod(F.xxhash64(key), "_blocks"))
+
+
+def _scores(df: DataFrame, key: str, candidate: str, references: str, keep: list[str], rouge: bool = False) -> DataFrame:
+    """(key, keep, cider) and (if ``rouge``) rouge of each row."""
+    df = df if "_block" in df.columns else in_blocks(df, key)
+    refs = F.coalesce(F.col(references).cast("array<string>"), F.array().cast("array<string>"))
+    texts = df.select("_block", "_blocks", "_total", F.col(key).alias("_key"), refs.alias("_refs"), F.col(candidate).cast("string").alias("_said"), *keep)
+    sent = texts.groupBy("_block").applyInArrow(_sent, "_block long, _bucket long, _grams binary, _held binary")
+    summed = sent.groupBy("_bucket").applyInArrow(_summed, "_block long, _bucket long, _held binary")
+
+    def scored(captions: pa.Table, held: pa.Table) -> pa.Table:
+        parts = [unpacked(x.as_py(), np.int64) for x in held.sort_by("_bucket")["_held"]]
+        score = Counted(captions).scores(np.concatenate([np.zeros(0, np.int64), *parts]), captions["_total"][0].as_py())
+        out = captions.select(["_key", *keep]).append_column("cider", pa.array(score, pa.float64()))
+        if rouge:
+            out = out.append_column("rouge", pa.array([rouge_score(a.as_py(), b.as_py()) for a, b in zip(captions["_said"], captions["_refs"])], pa.float64()))
+        return out
+
+    schema = T.StructType([T.StructField(c, texts.schema[c].dataType) for c in ("_key", *keep)] + [T.StructField(c, T.DoubleType()) for c in (["cider", "rouge"] if rouge else ["cider"])])
+    return texts.groupBy("_block").cogroup(summed.groupBy("_block")).applyInArrow(scored, schema).withColumnRenamed("_key", key)
 
 
 def cider(df: DataFrame, key: str, candidate: str, references: str) -> DataFrame:
@@ -44,43 +174,12 @@ def cider(df: DataFrame, key: str, candidate: str, references: str) -> DataFrame
     counts clipped to the reference's in the product, times a Gaussian of the
     difference in the number of two-grams, times ten.  A caption without references,
     or without n-grams, has 0, as has every one of a set of one.  Null texts are
-    empty; words are parted by blanks.
+    empty; words are parted by blanks.  N-grams are known by 64 bits of hash.
 
-    Captions that hold a common n-gram would meet at its frequency; frequencies of
-    common ones are broadcast (see FREQUENT for their bound), and only the rest is
-    joined by a shuffle.
+    An n-gram of a block, common or not, is some six bytes of shuffle on its way to
+    its frequency and about one on the way back.
     """
-    texts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(references).cast("array<string>"), F.array().cast("array<string>")).alias("_refs"), F.col(candidate).alias("_said"))
-    total = texts.agg(F.count(F.lit(1)).alias("_total"))
-    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.col("_said").alias("text"))), F.transform("_refs", lambda r, i: F.struct(i.alias("side"), r.alias("text"))))
-    # Many words: the n-grams of a text are dealt out after it is cut to words.
-    said = texts.select("_key", F.explode(sides).alias("s")).select("_key", F.col("s.side").alias("side"), words_of(F.col("s.text")).alias("words"))
-    counted = said.select("_key", "side", F.explode(grams_of(F.col("words"))).alias("g")).groupBy("_key", "side", "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c"))
-    counted = counted.groupBy("_key", "n", "gram").agg(F.coalesce(F.max(F.when(F.col("side") < 0, F.col("c"))), F.lit(0)).alias("mine"), F.collect_list(F.when(F.col("side") >= 0, F.struct("side", "c"))).alias("theirs"))
-
-    seen = counted.where(F.size("theirs") > 0).groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    frequent = seen.crossJoin(F.broadcast(total)).where(F.col("held") * FREQUENT >= F.col("_total")).select(F.col("gram").alias("_often"), F.col("held").alias("_held"))
-    # A frequent n-gram has its frequency now; its rows go anywhere in the next join.
-    rows = counted.join(F.broadcast(frequent), F.col("gram") == F.col("_often"), "left")
-    place = F.when(F.col("_held").isNull(), F.concat(F.lit("g"), F.col("gram"))).otherwise(F.concat(F.lit("k"), F.xxhash64("_key", "gram").cast("string")))
-    rare = seen.crossJoin(F.broadcast(total)).where(F.col("held") * FREQUENT < F.col("_total")).select(F.concat(F.lit("g"), F.col("gram")).alias("_place"), F.col("held").alias("_rare"))
-    rows = rows.withColumn("_at", place).join(rare, F.col("_at") == F.col("_place"), "left").crossJoin(F.broadcast(total))
-    weight = F.log(F.col("_total").cast("double")) - F.log(F.coalesce("_held", "_rare", F.lit(1)).cast("double"))
-    rows = rows.select("_key", "n", "mine", "theirs", (weight * weight).alias("w"))
-
-    own = rows.groupBy("_key", "n").agg(F.sum(F.col("mine") * F.col("mine") * F.col("w")).alias("own"), F.sum("mine").alias("own_count"))
-    other = rows.select("_key", "n", "mine", "w", F.explode("theirs").alias("t")).groupBy("_key", "n", "t.side").agg(
-        F.sum(F.least("mine", "t.c") * F.col("t.c") * F.col("w")).alias("dot"), F.sum(F.col("t.c") * F.col("t.c") * F.col("w")).alias("norm"), F.sum("t.c").alias("count"))
-    both = other.join(own, ["_key", "n"])
-    by_side = both.groupBy("_key", "side").agg(
-        F.sum(F.when((F.col("own") > 0) & (F.col("norm") > 0), F.col("dot") / (F.sqrt("own") * F.sqrt("norm"))).otherwise(0.0)).alias("cosines"),
-        F.max(F.when(F.col("n") == 2, F.col("count"))).alias("twos"))
-    twos = own.where("n = 2").select(F.col("_key").alias("_k"), F.col("own_count").alias("_own_twos"))
-    by_side = by_side.join(twos, F.col("_key") == F.col("_k"), "left")
-    delta = F.coalesce("_own_twos", F.lit(0)) - F.coalesce("twos", F.lit(0))
-    scores = by_side.groupBy("_key").agg(F.sum(F.col("cosines") / GRAMS * F.exp(-(delta * delta) / (2 * SIGMA * SIGMA))).alias("_sum")).withColumnRenamed("_key", "_scored")
-    out = texts.select("_key", F.size("_refs").alias("_n")).join(scores, F.col("_key") == F.col("_scored"), "left")
-    return out.select(F.col("_key").alias(key), F.coalesce(F.col("_sum") / F.nullif(F.col("_n"), F.lit(0)) * SCALE, F.lit(0.0)).alias("cider"))
+    return _scores(df, key, candidate, references, [])
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -115,7 +214,5 @@ def caption_scores(df: DataFrame, key: str, candidate: str, references: str, by:
     """(by, captions, rouge_l, cider) of a caption set, in hundredths: means over the
     captions of each group, n-gram frequencies over the whole set."""
     by = by or []
-    rouge = df.select(*by, F.col(key).alias("_id"), caption_rouge(candidate, references).alias("_rouge"))
-    scores = cider(df, key, candidate, references).select(F.col(key).alias("_of"), "cider")
-    both = rouge.join(scores, F.col("_id") == F.col("_of"))
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("captions"), (100 * F.avg("_rouge")).alias("rouge_l"), (100 * F.avg("cider")).alias("cider"))
+    both = _scores(df, key, candidate, references, by, rouge=True)
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("captions"), (100 * F.avg("rouge")).alias("rouge_l"), (100 * F.avg("cider")).alias("cider"))

@@ -19,7 +19,9 @@ def _captions(read):
     references."""
     said = F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("said")
     refs = F.transform(F.sort_array(F.collect_list(F.when(F.col("turn") != 1, F.struct("turn", "text")))), lambda x: x["text"]).alias("refs")
-    return read("conversations").groupBy("conv_id").agg(said, refs).withColumn("g", F.col("conv_id") % 3)
+    # Dealt by the blocks in which they are scored, texts are shuffled once.
+    turns = captions.in_blocks(read("conversations").select("conv_id", "turn", "text"), "conv_id").repartition("_block")
+    return turns.groupBy("_block", "_blocks", "_total", "conv_id").agg(said, refs).withColumn("g", F.col("conv_id") % 3)
 
 
 _CAPTIONS = """c AS (SELECT conv_id AS id, conv_id % 3 AS g, coalesce(max(text) FILTER (turn = 1), '') AS said, coalesce(list(text ORDER BY turn, text) FILTER (turn <> 1), []) AS refs FROM conversations GROUP BY conv_id),
