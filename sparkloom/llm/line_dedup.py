@@ -6,8 +6,9 @@ points, EDITS at most.  Segments of all distinct lines are indexed by (length,
 segment number, hash) and probed with the few substrings of each line that can be
 such a segment.  Of the lines that share a key each is first compared with one
 leader of the key only; then all pairs that this left in different classes are.
-The parities of common characters rule most of them out, and a banded
-bit-parallel edit distance verifies the rest.  DataFrame functions only.
+Counts of common characters and parities of character pairs, which few edits can
+hardly change, rule nearly all of them out, and a banded bit-parallel edit distance
+verifies the rest.  DataFrame functions only.
 
 Copies of a line are one distinct line, found by a partial aggregate first, so a
 line that is everywhere costs no more than another, and a group of lines that are
@@ -29,7 +30,8 @@ CHARS_AN_EDIT = 10
 LEAST = 8
 #: Lines of a key that are paired in one block.
 BLOCK = 512
-#: Characters whose parities are compared: each edit changes two of them at most.
+#: Characters whose counts modulo 4 are compared: a replaced character changes two
+#: counts by one, one put in or left out changes one.
 PARITY = "etaoinshrdlucmfwypvbgk.,"
 #: What a blank line may hold.
 BLANKS = r"' \t\n\u000b\f\r'"
@@ -74,10 +76,27 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     return lines.select(*names, F.expr(f"array({', '.join(own)})").alias("own"), F.expr(f"array({', '.join(other)})").alias("other"))
 
 
-def parities() -> Column:
-    """Bit k: whether the line holds an odd number of the k-th character."""
-    bits = [f"shiftleft((length(line) - length(replace(line, '{c}', ''))) & 1, {k})" for k, c in enumerate(PARITY)]
-    return F.expr(" | ".join(bits))
+def marks() -> list[Column]:
+    """Columns q, g and h of a line.  Bit k of q is the lowest bit of the count of the
+    k-th character of PARITY, bit k + len(PARITY) the second one.  g and h are parities
+    of 128 classes of pairs of neighbouring characters, the last with the end."""
+    counts = ", ".join(f"length(line) - length(replace(line, '{c}', ''))" for c in PARITY)
+    q = f"aggregate(transform(array({counts}), (c, k) -> shiftleft(cast(c & 1 as bigint), k) | shiftleft(cast(c & 2 as bigint), k + {len(PARITY) - 1})), 0L, (x, y) -> x | y)"
+    pairs = "transform(array(split(line, '')), s -> transform(s, (c, i) -> xxhash64(c, get(s, i + 1))))[0]"
+    half = "aggregate(p, 0L, (x, y) -> x ^ if(y & 64 = {bit}, shiftleft(1L, cast(y & 63 as int)), 0L))"
+    both = f"transform(array({pairs}), p -> array({half.format(bit=0)}, {half.format(bit=64)}))[0]"
+    return [F.expr(q).alias("q"), F.expr(f"{both}[0]").alias("g"), F.expr(f"{both}[1]").alias("h")]
+
+
+def _maybe_near(t: str) -> str:
+    """SQL: whether ``marks`` and lengths n of two lines, a and b, allow t edits.  Of these
+    as many as the lengths differ by, or more, put in or leave out: each changes counts
+    by one and three pairs at most, a replacement counts by two and four pairs."""
+    full = (1 << len(PARITY)) - 1
+    odd = f"((qa ^ qb) & {full}L)"
+    return f"""abs(na - nb) <= {t}
+      and bit_count({odd}) + 2 * bit_count(shiftright(qa ^ qb, {len(PARITY)}) & {full}L & ~{odd}) <= 2 * {t} - abs(na - nb)
+      and bit_count(ga ^ gb) + bit_count(ha ^ hb) <= 4 * {t} - abs(na - nb)"""
 
 
 def _distance(a: str, b: str, edits: int) -> str:
@@ -119,9 +138,9 @@ def _trimmed(a: str, b: str) -> str:
 
 def _links(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """(u, v) of ``pairs`` (a, b) whose edit distance is small enough."""
-    of = lambda x: texts.select(F.col("lid").alias(x), F.col("line").alias("l" + x), F.col("n").alias("n" + x), F.col("par").alias("p" + x))
+    of = lambda x: texts.select(F.col("lid").alias(x), F.col("line").alias("l" + x), *[F.col(c).alias(c + x) for c in "nqgh"])
     both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("t", F.expr(f"least({edits}, least(na, nb) div {CHARS_AN_EDIT})"))
-    both = both.where("abs(na - nb) <= t and bit_count(pa ^ pb) <= 2 * t")
+    both = both.where(_maybe_near("t"))
     both = both.select("a", "b", "t", F.expr("if(na >= nb, la, lb)").alias("la"), F.expr("if(na >= nb, lb, la)").alias("lb"))
     near = f"transform(array({_trimmed('la', 'lb')}), p -> {_distance('p.la', 'p.lb', edits)})[0] <= t"
     return both.where(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -164,7 +183,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = with_possible(_hashed(source), ["h1", "h2"], written(id_bitmap(nodes, "h1", "h2"), "bitmap"), "_maybe").where("_maybe").select("doc_id", "pos", "h1", "h2", "line", "n")
     at = nodes.select("lid", "cnt", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("doc_id").alias("d"), F.col("pos").alias("p"))
     texts = texts.join(at, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    texts = written(texts.select("lid", "cnt", "line", "n", parities().alias("par")).dropDuplicates(["lid"]), "texts")
+    texts = written(texts.select("lid", "cnt", "line", "n").dropDuplicates(["lid"]).select("*", *marks()), "texts")
 
     # Each line against one leader of each of its keys: the most frequent line that has it in the index.
     lead = mine.where("own").join(texts.select("lid", "cnt"), "lid").groupBy("key").agg(F.max(F.struct("cnt", F.negative("lid").alias("c"))).alias("top"))
@@ -173,14 +192,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     stars = written(connected_components(written(_links(pairs, texts, edits), "links")), "stars")
     # Pairs of a key that are still apart.
     rows = mine.join(stars, F.col("lid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "lid"))
-    rows = written(rows.join(texts.select("lid", "par"), "lid").select("key", "lid", "own", "comp", "par"), "rows")
+    rows = written(rows.join(texts.select("lid", *"nqgh"), "lid").select("key", "lid", "own", "comp", *"nqgh"), "rows")
     # A key of many lines is dealt out in blocks, so that no task pairs it whole.
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
     ends = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks).where("lo <> hi").select("key", "blocks"), "ends")
     apart = written(rows.join(ends, "key"), "apart")
-    x = apart.where("own").select("key", F.col("lid").alias("a"), F.col("comp").alias("ca"), F.col("par").alias("qa"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    y = apart.select("key", F.col("lid").alias("b"), F.col("comp").alias("cb"), F.col("par").alias("qb"), F.expr("cast(pmod(xxhash64(lid), blocks) as int)").alias("block"))
-    pairs = x.join(y, ["key", "block"]).where((F.col("ca") != F.col("cb")) & (F.bit_count(F.col("qa").bitwiseXOR(F.col("qb"))) <= 2 * edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: [F.col("lid").alias(x), F.col("comp").alias("c" + x), *[F.col(c).alias(c + x) for c in "nqgh"]]
+    x = apart.where("own").select("key", *side("a"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    y = apart.select("key", *side("b"), F.expr("cast(pmod(xxhash64(lid), blocks) as int)").alias("block"))
+    pairs = x.join(y, ["key", "block"]).where(F.expr(f"ca <> cb and {_maybe_near(str(edits))}")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(_links(pairs, texts, edits), "links")
     classes = stars
     if not more.isEmpty():
