@@ -141,7 +141,7 @@ def table_forms(read):
     """Similarity of an HTML table and a LaTeX one with an amount changed, both in the
     normal form."""
     df = _order_tables(read, "if(line = 1, n + id % 3, n)").select("id", F.regexp_replace("html", '(<td class="n"> )([0-9]+)', r"$1\$$2\$").alias("html"), "latex")
-    return df.select("id", sim.teds(grids.table_html("html"), grids.table_html("latex")).alias("similarity"))
+    return df.select("id", grids.form_similarity("html", "latex").alias("similarity"))
 
 
 _FORMULA = r"""CASE id % 5 WHEN 0 THEN 'so BS[ BSmathbf{A}_{' || a || '} = BSfrac{' || k || '}{X} BStag{' || a || '} BS] end' WHEN 1 THEN 'BSbegin{aligned}' || name || 'BSend{aligned}.' WHEN 2 THEN '..BStext{' || name || '} BSquad BSqquad x'

@@ -1,6 +1,8 @@
 """What differed from the twins, or took too long, on larger tables."""
 
+import html
 import random
+import sys
 
 import duckdb
 from oracle import same
@@ -110,3 +112,92 @@ def test_marks_look_at_a_text_once(spark):
     assert str(text.without_marks(F.upper("t"))).lower().count("upper") == 1
     got = spark.createDataFrame([("a, b?c 1,2.x.",), ("x-y; z.",), (None,)], "t string").select(text.without_marks(F.col("t"))).collect()
     assert [r[0] for r in got] == ["a bc 12.x", "x y z", None]
+
+
+def order_tables(rng, i):
+    """An order's lines as HTML and LaTeX, as ``table_forms`` writes them."""
+    lines = sorted((rng.choice("ANR"), rng.randint(1, 7), rng.randint(1, 50)) for _ in range(rng.randint(1, 8)))
+    markup, tex, last = f'<table border="0"><thead><tr><th colspan="2">Order {i}</th><th>n<sup>o</sup></th></tr></thead><tbody>', rf"\begin{{tabular}}{{l|cc}} \toprule \multicolumn{{2}}{{c}}{{Order {i}}} & no \\ \midrule ", None
+    for flag, line, n in lines:
+        high = sum(x[0] == flag for x in lines)
+        markup += '<tr style="x">' + (f'<th rowspan="{high}"><b>{flag}</b></th>' if flag != last else "") + f'<td>{line} &amp; more</td><td class="n"> ${n}$</td></tr>'
+        tex += (rf"\multirow{{{high}}}{{*}}{{\textbf{{{flag}}}}}" if flag != last else "") + rf" & {line} \& more & ${n + i % 3 if line == 1 else n}$ \\ \hline "
+        last = flag
+    return markup + "</tbody></table>", tex + r"\bottomrule \end{tabular}"
+
+
+def test_forms_take_few_steps(spark, sf):
+    """Round 4: each order took some thousand Python steps, and its tables were written as
+    HTML and read again between two functions."""
+    plan = QUERIES["table_forms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "table_html" not in plan and "form_similarity" in plan
+    rng, steps = random.Random(8), 0
+    pairs = [order_tables(rng, i) for i in range(200)]
+
+    def step(frame, event, arg):
+        nonlocal steps
+        steps += event in ("call", "c_call")
+
+    sys.setprofile(step)
+    try:
+        got = [similarity.rows_similarity(*map(grids.table_rows, p)) for p in pairs]
+    finally:
+        sys.setprofile(None)
+    assert steps < 400 * len(pairs), steps / len(pairs)
+    assert got == [similarity.table_similarity(*map(grids.normal_html, p)) for p in pairs] and min(got) < 1
+
+
+def test_forms_of_odd_texts(spark):
+    texts = [None, "", "no table", "<table></table>", "<table><tr><td>a &amp;lt; b</td></tr></table>", r"\begin{tabular}{l} a < b \\ \end{tabular}", r"\begin{tabular}{l}{ a & b \end{tabular}", "<table><td>a</br>b<br>c</td>d<th rowspan='2'>e<tr><td>f</table>", "<table><tr></tr><tr><td>a > b</td><td colspan=\"2\"> é</td></table>"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = df.select(grids.form_similarity("a", "b").alias("x"), similarity.teds(grids.table_html("a"), grids.table_html("b")).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and sum(r.x == 1 for r in got) == 7
+
+
+def test_cells_cut_by_patterns():
+    rng = random.Random(9)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", '<td colspan="2" rowspan="3">', '<th  rowspan="2" >', "</th>", "a b", "&amp;", "&lt;", "amp;lt;", "<br>", '<br class="x">', "</br>", "<b>", "</b>", '<span class="td">', "<thead>", "</thead>", "\n", ">", '"']
+    odd = ["<", "&", "&nbsp;", "<TD>", "<math>", "<!-- x -->", "<td colspan=2>", "<br/>", "<script>", "</td >"]
+    for k in range(3000):
+        text = "".join(rng.choice(pieces if k % 2 or rng.random() < 0.9 else odd) for _ in range(rng.randint(0, 14)))
+        cells = grids._Cells()
+        cells.feed(text)
+        cells.close()
+        want = [[(grids._shown(html.unescape(c[0])), c[1], c[2]) for c in row] for row in cells.rows if row]
+        assert grids.html_rows(f"<table>{text}</table>") == want, text
+
+
+def test_marks_cut_by_patterns():
+    rng = random.Random(10)
+
+    def plain(text, mark):
+        out, depth, start, i = [], 0, 0, 0
+        while i < len(text):
+            sign = text[i : i + 2] if text[i] == "\\" and i + 1 < len(text) else text[i]
+            if sign == mark and depth == 0:
+                out.append(text[start:i])
+                start = i + len(sign)
+            depth += (sign == "{") - (sign == "}")
+            i += len(sign)
+        return [*out, text[start:]]
+
+    for _ in range(5000):
+        text = "".join(rng.choice(["\\", "\\\\", "&", "\\&", "{", "}", "{{a}&}", "a", " ", "\n", "[1pt]"]) for _ in range(rng.randint(0, 12)))
+        assert [grids._cut(text, m) for m in ("\\\\", "&")] == [plain(text, m) for m in ("\\\\", "&")], text
+        text, depth = "{" + text, 0
+        for i, c in enumerate(text):
+            depth += (c == "{") - (c == "}")
+            if depth == 0:
+                break
+        assert grids._argument(text, 0) == ((text[1:i], i + 1) if depth == 0 else (text[1:], len(text))), text
+
+
+def test_trees_of_one_shape():
+    rng = random.Random(12)
+    for _ in range(400):
+        rows = [[("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))), rng.randint(1, 2), 1) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 4))]
+        other = [[(rng.choice([c[0], c[0] + "x", "b"]), rng.choice([c[1], 1]), 1) for c in row] for row in rows]
+        if rng.random() < 0.3:
+            other.insert(rng.randint(0, len(other)), [("a", 1, 1)])
+        a, b = ((("table", None, ()), tuple((("tr", None, ()), tuple((("td", c[1:], c[0]), ()) for c in row)) for row in t)) for t in (rows, other))
+        assert abs(similarity._plain_distance(a, b) - similarity._forest_distance(a, b)) < 1e-9
